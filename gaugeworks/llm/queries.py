@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe
-from gaugeworks.llm.common import table, text_or_empty
+from gaugeworks.llm import bpe, secrets, urls
+from gaugeworks.llm.common import table
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,54 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secret_spans(docs)
+    base = F.array(*(F.lit(r.kind) for r in secrets.BASE_RULES))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(r.kind) for r in secrets.BASE_RULES),
+        F.sha2(text(F.filter("found", lambda s: F.array_contains(base, s.kind))), 256).alias("base_sha256"),
+        text(F.col("found")).alias("spans"),
+    )
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP10_SQL = """
+with parts as (
+  select page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+  from pages
+), judged as (
+  select page_id, host, path,
+         case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+              when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+              when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+              when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
+  from parts
+)
+select page_id, host, path, rule,
+       case when rule in ('net/', 'example.com/de/') then 'block'
+            when rule is not null then 'allow'
+            when regexp_matches(host, '(^|[.-])(spam|pills|casino|xxx)([.-]|$)') or regexp_matches(path, '/wp-login\\.php$') then 'block'
+            else 'allow' end as verdict
+from judged
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_secret_scan": op3_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": OP10_SQL,
+}
