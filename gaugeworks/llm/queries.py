@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, rans, secrets, urls
+from gaugeworks.llm import bpe, decontaminate, quality, rans, secrets, urls
 from gaugeworks.llm.common import table
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, keep_text=False)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select("doc_id", F.inline("hits")).select("doc_id", "item_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "distance")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = rans.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -73,6 +86,8 @@ from judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
