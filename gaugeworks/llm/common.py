@@ -74,3 +74,60 @@ def packed(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.
     if data is None or not len(array):
         return np.zeros(0, np.uint8), np.zeros(len(array) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+# ---- words of packed texts ---------------------------------------------------------------------------------------
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse modulo 2**64, n of each at least."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 9 << 20)
+        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _INVERSE)]
+    return _powers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """The words of packed texts, between the bytes 9 to 13 and 32, with A-Z taken as a-z: document, place, 64-bit hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.n_docs = len(offsets) - 1
+        gap = _SPACE[data]
+        edge = np.ones(len(data) + 1, bool)  # a text's end divides words too
+        edge[1:-1] = gap[1:] | gap[:-1]
+        edge[offsets] = True
+        at = np.flatnonzero(edge)
+        words = ~gap[at[:-1]] if len(data) else np.zeros(0, bool)
+        self.start, self.end = at[:-1][words], at[1:][words]
+        self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        up, down = _power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
+        self.counts = np.bincount(self.doc, minlength=self.n_docs)
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of k words in a row, and their documents; none of documents with fewer words."""
+        n = len(self.hash) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        value = np.zeros(n, np.uint64)
+        for j in range(k):
+            value = mixed(value * _BASE + self.hash[j : j + n] + np.uint64(j + 1))
+        whole = self.doc[:n] == self.doc[k - 1 :]
+        return value[whole], self.doc[:n][whole]

@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
 Method: a text is a vector of hashed byte trigrams, log(1 + count) times inverse document frequency over all
-documents. The vectors of a bounded sample of labelled rows (SAMPLE of each label at most) give, by singular value
+documents, at unit length, and one more coordinate: the share of its three-word shingles that repeat earlier ones. The vectors of a bounded sample of labelled rows (SAMPLE of each label at most) give, by singular value
 decomposition, a latent space of RANK dimensions. The labelled vectors in that space are broadcast (SAMPLE * 2 * RANK
 floats at most). Every document, block by block, gets its exact cosine with each of them, and the NEIGHBOURS nearest
 vote with a weight that grows with their similarity.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import packed, slices
+from gaugeworks.llm.common import Words, packed, slices
 
 FEATURES = 4096
 RANK = 64
@@ -31,6 +31,8 @@ SAMPLE = 1024
 NEIGHBOURS = 25
 #: Rows of one block of cosine products.
 BLOCK = 512
+#: The greatest value of the coordinate for repetition, beside a unit vector.
+REPETITION = 2.0
 #: A neighbour's weight is its cosine to this power.
 SHARPNESS = 4
 
@@ -52,6 +54,21 @@ def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount((doc * FEATURES + feature)[inside], minlength=n * FEATURES).reshape(n, FEATURES)
 
 
+def repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The share of each document's three-word shingles that are not its first of their kind."""
+    value, doc = Words(data, offsets).shingles(3)
+    n = len(offsets) - 1
+    order = np.argsort(value ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    value, doc = value[order], doc[order]
+    again = (value[1:] == value[:-1]) & (doc[1:] == doc[:-1])
+    return np.bincount(doc[1:][again], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
+
+
+def vectors(counts: np.ndarray, repeated: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = _unit(np.log1p(counts, dtype=np.float32) * idf)
+    return np.concatenate([x, (REPETITION * repeated[:, None]).astype(np.float32)], 1)
+
+
 def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     for part in slices(batch, column, 2 << 20):
         for k in range(0, len(part), BLOCK):
@@ -70,13 +87,10 @@ class Model:
     labels: np.ndarray
     prior: float
 
-    def latent(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts, dtype=np.float32) * self.idf @ self.axes)
-
-    def scores(self, counts: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not len(self.labels):
-            return np.full(len(counts), self.prior)
-        cosine = self.latent(counts) @ self.vectors.T
+            return np.full(len(offsets) - 1, self.prior)
+        cosine = _unit(vectors(trigram_counts(data, offsets), repetition(data, offsets), self.idf) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
@@ -118,21 +132,19 @@ def fit(df: DataFrame, labels: DataFrame, column: str = "text", key: str = "doc_
         for batch in batches:
             for block in blocks_of(batch, column):
                 counts = np.minimum(trigram_counts(*packed(block, column)), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([block.column("label"), block.column(key), pa.array([c.tobytes() for c in counts], pa.binary())], ["label", key, "counts"])
+                columns = [block.column("label"), block.column(key), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(repetition(*packed(block, column)))]
+                yield pa.RecordBatch.from_arrays(columns, ["label", key, "counts", "repeated"])
 
     sample = F.broadcast(labelled_sample(labels, key, label))
     rows = df.select(key, column).join(sample, key).dropDuplicates([key]).select("label", key, column)
-    rows = sorted(rows.mapInArrow(run, f"label int, {key} bigint, counts binary").collect(), key=lambda r: r[key])
+    rows = sorted(rows.mapInArrow(run, f"label int, {key} bigint, counts binary, repeated double").collect(), key=lambda r: r[key])
     y = np.array([r.label for r in rows], float)
     if not len(y):
-        return Model(idf, np.zeros((FEATURES, RANK), np.float32), np.zeros((0, RANK), np.float32), y, 0.5)
-    x = np.zeros((len(rows), FEATURES), np.float32)
-    for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r.counts, "<u2")
-    x = _unit(np.log1p(x) * idf)
-    model = Model(idf, latent_axes(x), x[:, :RANK], y, float(y.mean()))
-    model.vectors = _unit(x @ model.axes)
-    return model
+        return Model(idf, np.zeros((FEATURES + 1, RANK), np.float32), np.zeros((0, RANK), np.float32), y, 0.5)
+    counts = np.stack([np.frombuffer(r.counts, "<u2") for r in rows])
+    x = vectors(counts, np.array([r.repeated for r in rows]), idf)
+    axes = latent_axes(x)
+    return Model(idf, axes, _unit(x @ axes), y, float(y.mean()))
 
 
 def latent_axes(x: np.ndarray) -> np.ndarray:
@@ -151,7 +163,7 @@ def score_quality(df: DataFrame, model: Model, column: str = "text", out: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch, column):
-                score = shared.value.scores(trigram_counts(*packed(block, column)))
+                score = shared.value.scores(*packed(block, column))
                 names = [c for c in block.schema.names if c != out and (keep_text or c != column)]
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(np.clip(score, 0, 1))], [*names, out])
 
