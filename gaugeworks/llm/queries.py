@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, quality, rans, secrets, urls
+from gaugeworks.llm import bpe, decontaminate, quality, rans, secrets, substring, urls
 from gaugeworks.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.secret_spans(docs)
@@ -85,6 +89,7 @@ from judged
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
