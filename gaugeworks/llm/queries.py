@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, quality, rans, secrets, substring, urls
+from gaugeworks.llm import bpe, decontaminate, minhash, quality, rans, secrets, substring, urls
 from gaugeworks.llm.common import table
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -91,6 +95,7 @@ from judged
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
