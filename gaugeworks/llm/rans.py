@@ -51,11 +51,14 @@ class WordTokenizer:
     """The tokenizers library over the distinct words of texts.
 
     The library's pre-tokeniser never joins what a space, tab or line end divides, so a text's ids are those of its
-    words in a row. Each distinct word is encoded once and remembered."""
+    words in a row. Letters and the plain signs after them are two of its pieces, so these are kept apart too. Each
+    distinct word is encoded once and remembered."""
 
-    #: Where a comma or full stop follows anything but a plain letter or digit it may belong to a longer run of signs.
-    _run = re.compile(r"[^A-Za-z0-9][,.][ \n]|^[,.]")
     _cut = re.compile("[ \t\r\n]+").split
+    #: A word with signs after it, which is cut if normalising keeps its letters letters. An apostrophe may begin a contraction, which is a piece of another kind.
+    _signs = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+    _only_signs = re.compile(r"[!-&(-/:-@\[-`{-~]+").fullmatch
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,56 +66,72 @@ class WordTokenizer:
         self.own = Tokenizer.from_file(path)
         size = self.own.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(size, bool)  # ids that end a word
-        for token, k in self.own.get_vocab().items():
-            self.ends[k] = token.endswith("</w>")
         self.lowers = '"type":"Lowercase"' in self.own.to_str().replace(" ", "")
+        # the byte-level alphabet: printable bytes stand for themselves, the others for what follows 255, in order
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.model = self.own.model if '"type":"ByteLevel"' in self.own.to_str().replace(" ", "") else None
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def direct(self, part: str) -> list[int] | None:
+        """The ids of a part that normalising leaves as it is and that is one piece: it needs the library's model only."""
+        if self.model is None or not self.lowers:
+            return None
+        if part.isascii():
+            if (part.isalpha() and part.islower()) or (self._only_signs(part)):
+                return [t.id for t in self.model.tokenize(part)]
+        elif part.isalpha() and part == part.lower() and max(part) <= "\xff":
+            return [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, part.encode())))]
+        return None
 
     def words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._split(text)
         if self.lowers and "<|" not in text:
-            text = text.lower()
-        if not self._run.search(text):
-            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-        return self._split(text)
-
-    def _split(self, text: str) -> list[str]:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), not to the library
             return [w for w in self._cut(text) if w]
         return text.split()
 
-    def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if w.isalpha()]
-        for k in range(0, len(plain), 512):
-            part = plain[k : k + 512]
-            ids = np.array(self.own.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                size = self.dtype.itemsize
-                raw, at = ids.tobytes(), (np.concatenate([[0], ends]) * size).tolist()
-                self.known.update(zip(part, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
+    def learn(self, new: set[str]) -> None:
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+        split = {w: m.groups() for w in new if (m := self._signs(w)) and m[1].isalpha() and max(m[1]) <= "\xff"}
+        parts = {x for w in new for x in split.get(w, (w,))}.difference(self.parts)
+        if len(self.parts) + len(parts) > REMEMBERED:
+            self.parts = {}
+            parts = {x for w in new for x in split.get(w, (w,))}
+        todo = []
+        for x in parts:
+            if (ids := self.direct(x)) is None:
+                todo.append(x)
             else:
-                self._one_by_one(part)
-        self._one_by_one([w for w in new if not w.isalpha()])
-
-    def _one_by_one(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for w, e in zip(part, self.own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
+                self.parts[x] = np.array(ids, self.dtype).tobytes()
+        for k in range(0, len(todo), 4096):
+            some = todo[k : k + 4096]
+            for w, e in zip(some, self.own.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[w] = np.array(e.ids, self.dtype).tobytes()
+        for w in new:
+            self.known[w] = b"".join(self.parts[x] for x in split.get(w, (w,)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
-        new = set().union(*words).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*words)
-        self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        every = [w for ws in words for w in ws]
+        got = list(map(self.known.get, every))
+        missed = [k for k, x in enumerate(got) if x is None]
+        if missed:
+            self.learn({every[k] for k in missed})
+            for k in missed:
+                got[k] = self.known[every[k]]
+        out, at = [], 0
+        for ws in words:
+            out.append(b"".join(got[at : at + len(ws)]))
+            at += len(ws)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -129,7 +148,7 @@ def tokenise(df: DataFrame, path: str, end_id: int, column: str = "text", key: s
         end = np.array([end_id], encode.dtype).tobytes()
         size = encode.dtype.itemsize
         for batch in batches:
-            for rows in slices(batch, column):
+            for rows in slices(batch, column, 2 << 20):
                 ids = [x + end for x in encode(texts_of(rows, column))]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // size
                 until = before + np.cumsum(n)
