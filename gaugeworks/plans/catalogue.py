@@ -5,6 +5,427 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gaugeworks.functions import probs, text
+from gaugeworks.operators import corpus, curves, folds, metrics, sampling, vectors, votes
+from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+P = preds_sql()
+LABELS_SQL = "(select unnest(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']) as label)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- metrics -------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {P}, per as (select truth, count(*) as n, sum((truth = pred)::int) as k from preds group by truth),
+one as (select sum(n)::BIGINT as n, sum(k)::DOUBLE as k, max(n) as most, min(n) as least from per),
+w as (select *, k / n as p, 1 + 1.96 * 1.96 / n as s from one)
+select n, round(p, 6) as accuracy, round(most / n, 6) as majority_baseline, round(least / n, 6) as minority_share, round(p - most / n, 6) as lift_over_chance,
+round(((p + 1.96 * 1.96 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / s, 6) as wilson95_lo,
+round(((p + 1.96 * 1.96 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / s, 6) as wilson95_hi from w""")
+def metric_contract(spark, sf):
+    return rounded(metrics.contract(predictions(spark, sf)))
+
+
+@query(f"""with {P} select a.label as truth, b.label as pred, count(p.row_id)::BIGINT as n from {LABELS_SQL} a cross join {LABELS_SQL} b
+left join preds p on p.truth = a.label and p.pred = b.label group by 1, 2""")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(predictions(spark, sf), PRIORITY.labels)
+
+
+PER_LABEL_SQL = f"""{P}, s as (select truth as label, count(*) as support, sum((truth = pred)::int) as hit from preds group by 1), q as (select pred as label, count(*) as predicted from preds group by 1),
+per as (select s.label, s.support::BIGINT as support, q.predicted::BIGINT as predicted, hit / support as recall, hit / predicted as precision, 2.0 * hit / (support + predicted) as f1 from s join q using (label))"""
+
+
+@query(f"with {PER_LABEL_SQL} select label, support, predicted, round(recall, 6) as recall, round(precision, 6) as precision, round(f1, 6) as f1 from per")
+def per_label_metrics(spark, sf):
+    return rounded(metrics.per_label(predictions(spark, sf), PRIORITY.labels))
+
+
+@query(f"with {PER_LABEL_SQL} select round(avg(f1), 6) as macro_f1_defined, round(sum(f1) / 5, 6) as macro_f1_all, round(avg(recall), 6) as balanced_accuracy from per")
+def macro_f1(spark, sf):
+    return rounded(metrics.macro_f1(predictions(spark, sf), PRIORITY.labels))
+
+
+@query(f"with {PER_LABEL_SQL} select label, support, round(recall, 6) as recall from per order by support, label limit 1")
+def minor_class_recall(spark, sf):
+    return rounded(metrics.minor_class_recall(predictions(spark, sf), PRIORITY.labels))
+
+
+VOTES_SQL = "list_filter(votes, lambda x: x is not null)"
+
+
+@query(f"""with {P}, v as (select truth = pred as ok, len(list_distinct(votes)) + (len(list_filter(votes, lambda x: x is null)) > 0)::int = 1 as same from preds)
+select count(*)::BIGINT as n, round(avg(same::int), 6) as jury_agreement, round(avg((not same)::int), 6) as contested_share, round(avg(ok::int) filter (where same), 6) as accuracy_unanimous,
+round(avg(ok::int) filter (where not same), 6) as accuracy_contested, round(avg((not ok)::int) filter (where same), 6) as error_on_unanimous, round(avg((ok or not same)::int), 6) as ceiling_from_perfect_labels from v""")
+def label_ceiling(spark, sf):
+    return rounded(metrics.label_ceiling(predictions(spark, sf)))
+
+
+BINS_SQL = f"""{P}, edges as (select k, k * 0.1::DOUBLE as low, (k + 1) * 0.1::DOUBLE as high from range(10) r(k)),
+bins as (select k::int as bin, count(*)::BIGINT as n, avg(conf) as confidence, avg((truth = pred)::int) as accuracy from preds join edges on conf > low and (conf <= high or (k = 9 and conf <= 1)) group by 1)"""
+
+
+@query(f"with {BINS_SQL} select bin, n, round(confidence, 6) as confidence, round(accuracy, 6) as accuracy from bins")
+def calibration_bins(spark, sf):
+    return rounded(metrics.calibration_bins(predictions(spark, sf)))
+
+
+@query(f"""with {BINS_SQL}, whole as (select count(*) as n, avg(conf) - avg((truth = pred)::int) as over from preds)
+select round(sum(abs(confidence - accuracy) * bins.n) / any_value(whole.n), 6) as ece, round(max(abs(confidence - accuracy)), 6) as mce, round(any_value(over), 6) as overconfidence, count(*)::BIGINT as bins from bins, whole""")
+def calibration(spark, sf):
+    return rounded(metrics.calibration(predictions(spark, sf)))
+
+
+@query(f"with {P}, m as (select median(conf) as m from preds) select round(max(conf) - min(conf), 6) as confident_half_spread from preds, m where conf >= m.m")
+def confident_half_spread(spark, sf):
+    return rounded(metrics.confident_half_spread(predictions(spark, sf)))
+
+
+@query(f"""with {P}, g as (select unnest([2, 4]) as g, unnest(['3-MEDIUM', '5-LOW']) as gate)
+select gate, round(avg((p >= g)::int) filter (where t >= g), 6) as containment, round(avg((p >= g)::int) filter (where t < g), 6) as over_block, round(avg((p = 0)::int) filter (where t >= g), 6) as released_to_lowest
+from preds, g group by gate""")
+def gate_metrics(spark, sf):
+    return rounded(metrics.gates(predictions(spark, sf), PRIORITY))
+
+
+HALVES_SQL = """halves as (select *, case when row_number() over (partition by rep order by md5(rep || ':' || row_id), row_id) <= floor(count(*) over (partition by rep) / 2) then 0 else 1 end as half
+from scored, range({repeats}) r(rep))"""
+
+
+@query(f"""with {P}, scored as (select row_id, conf, (truth = pred)::int as ok from preds), {HALVES_SQL.format(repeats=6)}, c as (select unnest([0.95, 0.90, 0.80, 0.70]) as coverage),
+cuts as (select rep, 1 - half as half, coverage, quantile_cont(conf, 1 - coverage) as cut from (select rep, half, list(conf) as l from halves group by 1, 2) x, c, unnest(l) t(conf) group by 1, 2, 3),
+e as (select coverage, rep, half, avg(ok) filter (where conf >= cut) as a, avg(ok) filter (where conf < cut) as w from halves join cuts using (rep, half) group by 1, 2, 3)
+select coverage::DOUBLE as coverage, round(avg(a), 6) as accuracy, round(avg(w), 6) as waste from e group by 1""".replace("quantile_cont(conf, 1 - coverage)", "case coverage when 0.95 then quantile_cont(conf, 0.05) when 0.90 then quantile_cont(conf, 0.1) when 0.80 then quantile_cont(conf, 0.2) else quantile_cont(conf, 0.3) end"))
+def risk_coverage(spark, sf):
+    return rounded(metrics.risk_coverage(predictions(spark, sf), repeats=6))
+
+
+@query(f"""with {P}, x as (select conf, (len(list_distinct({VOTES_SQL})) + (len(list_filter(votes, lambda v: v is null)) > 0)::int > 1)::int as c from preds), q as (select quantile_cont(conf, 0.1) as cut from x)
+select round(avg(c), 6) as base_rate, round(avg(c) filter (where conf < cut), 6) as in_dropped, round(avg(c) filter (where conf < cut) / avg(c), 6) as enrichment from x, q""")
+def contested_enrichment(spark, sf):
+    return rounded(metrics.contested_enrichment(predictions(spark, sf)))
+
+
+@query(f"""with {CALLS_SQL} select count(*)::BIGINT as attempted, count(*) filter (where status = 'OK')::BIGINT as succeeded, round(avg((status = 'OK')::int), 6) as coverage, round(avg((status = 'ABSTAIN')::int), 6) as abstain_rate,
+round(avg((status = 'RESOURCE_EXHAUSTED')::int), 6) as resource_exhausted_rate, round(avg((status not in ('OK', 'ABSTAIN'))::int), 6) as error_rate, round(quantile_cont(latency_ms, 0.5) filter (where status = 'OK'), 6) as p50_ms,
+round(quantile_cont(latency_ms, 0.95) filter (where status = 'OK'), 6) as p95_ms, round(quantile_cont(latency_ms, 0.99) filter (where status = 'OK'), 6) as p99_ms, round(avg(latency_ms) filter (where status = 'OK'), 6) as mean_ms from calls""")
+def runtime_summary(spark, sf):
+    return rounded(metrics.runtime_summary(calls(spark, sf)))
+
+
+@query(f"""with {CALLS_SQL} select date_trunc('hour', ts) as hour, count(*)::BIGINT as n, round(avg(conf), 6) as conf_mean, round(quantile_cont(conf, 0.1), 6) as conf_p10, round(quantile_cont(conf, 0.5), 6) as conf_p50,
+round(quantile_cont(latency_ms, 0.5), 6) as p50_ms, round(quantile_cont(latency_ms, 0.99), 6) as p99_ms, round(avg((conf < 0.6)::int), 6) as abstain_at_60 from calls group by 1""")
+def shadow_metrics(spark, sf):
+    from gaugeworks.streaming.shadow import window_metrics
+
+    return rounded(window_metrics(calls(spark, sf)))
+
+
+@query(f"""with {CALLS_SQL}, n as (select date_trunc('hour', ts) as hour, pred, count(*) as n from calls group by 1, 2) select hour, pred, n::BIGINT as n, round(n / sum(n) over (partition by hour), 6) as share from n""")
+def shadow_shares(spark, sf):
+    from gaugeworks.streaming.shadow import predicted_shares
+
+    return rounded(predicted_shares(calls(spark, sf)))
+
+
+# ---- folds and votes -----------------------------------------------------------------------------------------
+
+
+@query(f"""with {P}, f as (select b as fold_id, [0, b & 1, (b & 1) + (b >> 1 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1) + (b >> 3 & 1)] as g from range(1, 16) r(b)),
+x as (select fold_id, g[5] + 1 as n_groups, g[t + 1] as own, len(list_distinct(list_transform({VOTES_SQL}, lambda v: g[substr(v, 1, 1)::int]))) = 1 as agree from preds, f),
+y as (select fold_id, n_groups, own, count(*) as n, sum(agree::int) as a from x group by 1, 2, 3)
+select fold_id::BIGINT as fold_id, n_groups::int as n_groups, round(sum(a) / sum(n), 6) as agreement, round(min(n) / sum(n), 6) as minority, min(n) / sum(n) < 0.06 as degenerate from y group by 1, 2""")
+def fold_search(spark, sf):
+    found = folds.fold_search(predictions(spark, sf), PRIORITY)
+    named = folds.contiguous_folds(spark, PRIORITY).select("fold_id", "name")
+    return rounded(found.join(F.broadcast(named), "name").select("fold_id", "n_groups", "agreement", "minority", "degenerate"))
+
+
+@query(f"""with {P}, r as (select truth in ('1-URGENT', '2-HIGH') as fast, list_transform({VOTES_SQL}, lambda v: v in ('1-URGENT', '2-HIGH')) as v from preds)
+select case when fast then 'FAST' else 'SLOW' end as truth, count(*)::BIGINT as n, sum((len(list_distinct(v)) <= 1)::int)::BIGINT as unanimous from r group by 1""")
+def fold_rows(spark, sf):
+    rows = folds.fold_rows(predictions(spark, sf), PRIORITY, PRIORITY.folds["route"])
+    return rows.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.sum(votes.unanimous(F.col("votes")).cast("long")).alias("unanimous"))
+
+
+@query(f"""with {P}, q as (select *, len(list_filter(votes, lambda x: x is null)) > 0 as miss from preds), top as (select *, (select struct_pack(n := count(*), at := min(i), l := x) from (select unnest(votes) as x, unnest([1, 2, 3]) as i) z group by x order by count(*) desc, min(i) limit 1) as b from q),
+s as (select case when miss then 'unanswered' when b.n = 3 then 'gold' when b.n >= 2 then 'contested' else 'unresolved' end as stratum, b.l as l from top)
+select stratum, case when stratum in ('gold', 'contested') then l end as tier, count(*)::BIGINT as n from s group by 1, 2""")
+def jury_adjudication(spark, sf):
+    return votes.adjudicate(predictions(spark, sf)).groupBy("stratum", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {P}, f as (select votes from preds where len({VOTES_SQL}) = 3), p as (select unnest([0, 0, 1]) as a, unnest([1, 2, 2]) as b)
+select a::int as a, b::int as b, count(*)::BIGINT as n, round(avg((votes[a + 1] = votes[b + 1])::int), 6) as agreement from f, p group by 1, 2""")
+def pairwise_agreement(spark, sf):
+    return rounded(votes.pairwise_agreement(predictions(spark, sf), 3))
+
+
+@query(f"""with {P}, x as (select list_slice(votes, 1, 2) as v from preds where votes[1] is not null and votes[2] is not null) select v[1] as tier, v[1] = v[2] as agree, count(*)::BIGINT as n from x group by 1, 2""")
+def two_labellers(spark, sf):
+    rows = predictions(spark, sf).withColumn("votes", F.slice("votes", 1, 2))
+    return votes.two_labellers(rows).groupBy("tier", "agree").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {P}, x as (select votes[3] as tier from preds where votes[3] is not null and list_contains(list_slice(votes, 1, 2), votes[3])) select tier, count(*)::BIGINT as n from x group by 1""")
+def tie_resolution(spark, sf):
+    rows = predictions(spark, sf).withColumn("third", F.get("votes", F.lit(2))).withColumn("votes", F.slice("votes", 1, 2))
+    return votes.resolve_ties(rows, "third").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {P}, s as (select list_sort(list_distinct(votes)) as d, votes from preds where len({VOTES_SQL}) = 3), sp as (select d[1] as low, d[2] as high, count(*) as splits from s where len(d) = 2 group by 1, 2),
+c as (select x as label, count(*) as n from s, unnest(votes) t(x) group by 1), o as (select a.label as low, b.label as high, a.n + b.n as opportunities from c a join c b on a.label < b.label)
+select low, high, splits::BIGINT as splits, opportunities::BIGINT as opportunities, round((splits / (select sum(splits) from sp)) / (opportunities / (select sum(opportunities) from o)), 6) as over from sp join o using (low, high) where splits >= 3""")
+def boundary_shares(spark, sf):
+    rows = predictions(spark, sf)
+    return rounded(votes.boundary_shares(rows.where(votes.answered(F.col("votes")))))
+
+
+# ---- curves --------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {P}, grid as (select k, -4.0::DOUBLE + k * 0.05::DOUBLE as bias from range(201) r(k)), l as (select t, [ln(p0), ln(p1), ln(p2), ln(p3), ln(p4)] as l from preds),
+f as (select t >= 2 as inside, greatest(l[1], l[2]) - greatest(l[3], l[4], l[5]) as flip from l)
+select round(bias, 6) as bias, round(avg((bias > flip)::int) filter (where inside), 6) as containment, round(avg((bias > flip)::int) filter (where not inside), 6) as over_block from f, grid group by bias""")
+def bias_sweep(spark, sf):
+    return rounded(curves.bias_sweep(predictions(spark, sf), PRIORITY, "3-MEDIUM"))
+
+
+@query(f"""with {P}, grid as (select k, -4.0::DOUBLE + k * 0.05::DOUBLE as bias from range(201) r(k)), f as (select t >= 2 as inside, greatest(ln(p0), ln(p1)) - greatest(ln(p2), ln(p3), ln(p4)) as flip from preds),
+c as (select bias, avg((bias > flip)::int) filter (where inside) as containment, avg((bias > flip)::int) filter (where not inside) as over_block from f, grid group by bias), x as (select unnest([0.85, 0.90, 0.95])::DOUBLE as target)
+select target, round(min(over_block) filter (where containment >= target), 6) as over_block from c, x group by target""")
+def matched_over_block(spark, sf):
+    return rounded(curves.matched_over_block(curves.bias_sweep(predictions(spark, sf), PRIORITY, "3-MEDIUM")))
+
+
+SCORES_SQL = f"{P}, scored as (select row_id, p2 + p3 + p4 as score, t >= 2 as positive from preds)"
+
+
+def _scores(spark, sf):
+    p = lambda k: F.get("probs", F.lit(k))
+    return predictions(spark, sf).select("row_id", (p(2) + p(3) + p(4)).alias("score"), (PRIORITY.rank(F.col("truth")) >= 2).alias("positive"))
+
+
+@query(f"""with {SCORES_SQL}, x as (select unnest([0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::DOUBLE as threshold)
+select threshold, round(avg(((score >= threshold) = positive)::int), 6) as accuracy, round(avg((score >= threshold)::int) filter (where positive), 6) as recall, round(avg(positive::int) filter (where score >= threshold), 6) as precision,
+round(avg((score >= threshold)::int) filter (where not positive), 6) as false_fire from scored, x group by 1""")
+def threshold_curve(spark, sf):
+    return rounded(curves.threshold_curve(_scores(spark, sf)))
+
+
+@query(f"""with {SCORES_SQL}, {HALVES_SQL.format(repeats=5)}, g as (select k * 0.05::DOUBLE as th from range(1, 20) r(k)),
+c as (select rep, half, th, avg(((score >= th) = positive)::int) as a from halves, g group by 1, 2, 3), b as (select rep, half, th from c qualify row_number() over (partition by rep, half order by a desc, th) = 1)
+select round(b.th, 6) as threshold, count(*)::BIGINT as times, round(avg(c.a), 6) as accuracy from b join c on c.rep = b.rep and c.half = 1 - b.half and c.th = b.th group by 1""")
+def heldout_threshold(spark, sf):
+    return rounded(curves.heldout_threshold(_scores(spark, sf), repeats=5))
+
+
+@query(f"""with {SCORES_SQL}, {HALVES_SQL.format(repeats=5)}, cand as (select distinct rep, half, round(score, 3) as th from halves),
+cc as (select c.rep, c.half, c.th, avg((h.score >= c.th)::int) as con from cand c join halves h on h.rep = c.rep and h.half = c.half and h.positive group by 1, 2, 3),
+ch as (select rep, half, max(th) as cut from cc where con >= 0.95 group by 1, 2), e as (select h.rep, h.half, avg((score >= cut)::int) filter (where positive) as c, avg((score >= cut)::int) filter (where not positive) as o
+from halves h join ch on ch.rep = h.rep and ch.half = 1 - h.half group by 1, 2) select round(avg(c), 6) as containment, round(avg(o), 6) as over_block, round(avg((c < 0.95)::int), 6) as miss_rate, count(*)::BIGINT as evaluations from e""")
+def containment_transfer(spark, sf):
+    return rounded(curves.containment_transfer(_scores(spark, sf), repeats=5))
+
+
+COVER = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4)
+COVER_SQL = f"{P}, cv as (" + " union all ".join(f"select {c}::DOUBLE as coverage, quantile_cont(conf, {1 - c!r}) as cut from preds" for c in COVER) + "), curve as (select coverage, avg((truth = pred)::int) as accuracy, count(*) as kept from preds join cv on conf >= cut group by 1)"
+
+
+@query(f"""with {COVER_SQL}, d as (select *, lag(accuracy) over (order by coverage desc) - accuracy as fall from curve)
+select coverage, round(accuracy, 6) as accuracy, kept::BIGINT as kept, round(fall, 6) as fall, coalesce(fall > 0.005, false) as inverted from d""")
+def ordering_audit(spark, sf):
+    return rounded(curves.ordering_audit(predictions(spark, sf), COVER))
+
+
+@query(f"with {COVER_SQL} select 0.85::DOUBLE as target, max(coverage) filter (where accuracy >= 0.85) as coverage from curve")
+def coverage_for_target(spark, sf):
+    return rounded(curves.coverage_for_target(curves.coverage_curve(predictions(spark, sf), COVER), 0.85))
+
+
+RATIOS = [0.4, 0.2, 0.0, -0.2, -0.4]
+
+
+@query(f"""with {P}, tau as (select unnest([0.0, 0.5, 1.0, 1.5, 2.0])::DOUBLE as tau), s as (select tau, t, [ln(p0) + tau * 0.4::DOUBLE, ln(p1) + tau * 0.2::DOUBLE, ln(p2) + tau * 0.0::DOUBLE, ln(p3) + tau * -0.2::DOUBLE, ln(p4) + tau * -0.4::DOUBLE] as l from preds, tau)
+select tau, round(avg((list_position(l, list_max(l)) - 1 = t)::int), 6) as accuracy from s group by 1""")
+def prior_shift(spark, sf):
+    return rounded(curves.prior_shift(predictions(spark, sf), RATIOS, labels=PRIORITY.labels))
+
+
+@query(f"""with {P}, x as (select t <= 1 as t, p <= 1 as a, p0 + p1 >= p2 + p3 + p4 as b from preds), c as (select count(*)::BIGINT as n, avg((t = a)::int) as af, avg((t = b)::int) as ff, avg((a <> b)::int) as d, sum((t = a and t <> b)::int)::BIGINT as oa, sum((t <> a and t = b)::int)::BIGINT as ob from x)
+select n, round(af, 6) as argmax_first, round(ff, 6) as fold_first, round(d, 6) as disagreement, oa as only_a, ob as only_b from c""")
+def fold_orders(spark, sf):
+    return rounded(curves.fold_orders(predictions(spark, sf), PRIORITY, "route").drop("p_value"))
+
+
+@query(f"""with {P}, x as (select (p0 + p1 >= p2 + p3 + p4) = (t <= 1) as ok, greatest(p0, p1, p2, p3, p4) as f, greatest(p0 + p1, p2 + p3 + p4) as c from preds),
+s as (select ok::int as ok, 'labels' as strategy, f as conf from x union all select ok::int, 'groups', c from x union all select ok::int, 'both', f * c from x),
+q as ({" union all ".join(f"select strategy, {c}::DOUBLE as coverage, quantile_cont(conf, {1 - c!r}) as cut from s group by 1" for c in (0.95, 0.9, 0.8, 0.7, 0.6))})
+select strategy, coverage, round(avg(ok) filter (where conf >= cut), 6) as accuracy, round(avg(ok) filter (where conf < cut), 6) as waste from s join q using (strategy) group by 1, 2""")
+def fold_aware_abstention(spark, sf):
+    return rounded(curves.fold_aware_abstention(predictions(spark, sf), PRIORITY, "route"))
+
+
+MEMBERS = {"a": (0.25, "p"), "b": (0.3, "q"), "c": (0.35, "r")}
+
+
+@query("with " + ", ".join(preds_sql(r, s, f"m{k}") for k, (r, s) in MEMBERS.items()) + """, j as (select ma.t, [ma.p0, ma.p1, ma.p2, ma.p3, ma.p4] as a, [mb.p0, mb.p1, mb.p2, mb.p3, mb.p4] as b, [mc.p0, mc.p1, mc.p2, mc.p3, mc.p4] as c from ma join mb using (row_id) join mc using (row_id)),
+s as (select t, 'a' as members, 1 as size, a as l from j union all select t, 'b', 1, b from j union all select t, 'c', 1, c from j union all select t, 'a+b', 2, [a[i] + b[i] for i in range(1, 6)] from j
+union all select t, 'a+c', 2, [a[i] + c[i] for i in range(1, 6)] from j union all select t, 'b+c', 2, [b[i] + c[i] for i in range(1, 6)] from j union all select t, 'a+b+c', 3, [a[i] + b[i] + c[i] for i in range(1, 6)] from j)
+select members, size::int as size, round(avg((list_position(l, list_max(l)) - 1 = t)::int), 6) as accuracy from s group by 1, 2""")
+def ensemble_search(spark, sf):
+    out = predictions(spark, sf, *MEMBERS["a"]).select("row_id", "truth", F.col("probs").alias("a"))
+    for name in ("b", "c"):
+        out = out.join(predictions(spark, sf, *MEMBERS[name]).select("row_id", F.col("probs").alias(name)), "row_id")
+    return rounded(curves.ensemble_search(out, list(MEMBERS), PRIORITY.labels))
+
+
+# ---- sampling ------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {P} select row_id, truth from preds qualify row_number() over (partition by truth order by md5('s:' || row_id), row_id) <= 20""")
+def stratified_sample(spark, sf):
+    return sampling.stratified(predictions(spark, sf), "truth", 20).select("row_id", "truth")
+
+
+SKEWED_SQL = f"{P}, sk as (select row_id, case when t = 0 then 'rare' when t <= 2 then 'some' else 'many' end as tier from preds)"
+
+
+def _skewed(spark, sf):
+    t = PRIORITY.rank(F.col("truth"))
+    return predictions(spark, sf).select("row_id", F.when(t == 0, "rare").when(t <= 2, "some").otherwise("many").alias("tier"))
+
+
+@query(f"""with {SKEWED_SQL}, n as (select tier, count(*) as n from sk group by 1), tg as (select list_sort(list(n))[(count(*) // 2)::int + 1] as target from n), r as (select *, row_number() over (partition by tier order by md5('b:' || row_id), row_id) as rn from sk)
+select row_id, tier, unnest(range(((target - rn) // n)::BIGINT + 1))::int as copy from r join n using (tier), tg where rn <= target""")
+def balance_classes(spark, sf):
+    return sampling.balanced(_skewed(spark, sf), "tier").select("row_id", "tier", "copy")
+
+
+@query(f"""with {SKEWED_SQL}, n as (select tier, count(*) as n from sk group by 1), w as (select tier, n, case tier when 'rare' then 0.5 when 'some' then 0.3 else 0.2 end::DOUBLE as w from n), q as (select tier, floor((select min(n / w) from w) * w + 1e-9) as quota from w)
+select row_id, tier from sk join q using (tier) qualify row_number() over (partition by tier order by md5('p:' || row_id), row_id) <= any_value(quota) over (partition by tier)""")
+def resample_to_prior(spark, sf):
+    prior = spark.createDataFrame([("rare", 0.5), ("some", 0.3), ("many", 0.2)], "tier string, share double")
+    return sampling.to_prior(_skewed(spark, sf), prior, "tier")
+
+
+@query(f"""with {P}, m as (select row_id, pred, conf - (1 - conf) / 4 as margin from preds), c as (select * from m qualify row_number() over (partition by pred order by margin, row_id) <= 20) select row_id, pred, round(margin, 6) as margin from c order by margin, row_id limit 100""")
+def uncertainty_selection(spark, sf):
+    rows = predictions(spark, sf).select("row_id", "pred", probs.margin(F.col("probs")).alias("margin"))
+    return rounded(sampling.most_uncertain(rows, 100, 5))
+
+
+@query(f"""with {P}, m as (select row_id, pred, votes[1] as screen, conf - (1 - conf) / 4 as margin from preds), c as (select * from m where margin >= 0.5 and pred <> screen qualify row_number() over (partition by pred order by margin desc, row_id) <= 20)
+select row_id, pred, screen from c order by margin desc, row_id limit 100""")
+def disagreement_selection(spark, sf):
+    rows = predictions(spark, sf).select("row_id", "pred", F.get("votes", F.lit(0)).alias("screen"), probs.margin(F.col("probs")).alias("margin"))
+    return sampling.disagreements(rows, 0.5, 100, 5).select("row_id", "pred", "screen")
+
+
+@query(f"""with {CALLS_SQL} select call_id from calls where (('0x' || substr(md5('r:' || call_id), 1, 8))::BIGINT / 4294967296::DOUBLE) < least(1.0, 0.05 * case when conf < 0.6 then 5.0 else 1.0 end)""")
+def retained_calls(spark, sf):
+    return sampling.retained(calls(spark, sf), 0.05, "call_id").select("call_id")
+
+
+# ---- corpora -------------------------------------------------------------------------------------------------
+
+KEY_SQL = r"md5(trim(regexp_replace(lower({0}), '[ \t\n\r\f\v]+', ' ', 'g')))"
+
+
+@query(rf"""with f as (select conv_id, trim(text) as text from conversations where turn = 0 and role = 'user'), g as (select conv_id, text, {KEY_SQL.format('text')} as text_key from f
+where length(text) between 15 and 2000 and length(text) - length(replace(text, chr(10), '')) <= 40 and regexp_matches(text, '[A-Za-z]{{3}}')) select text_key, min(conv_id) as conv_id from g group by 1""")
+def harvest_prompts(spark, sf):
+    return corpus.harvest(table(spark, sf, "conversations")).select("text_key", "conv_id")
+
+
+@query(rf"select {KEY_SQL.format('text')} as text_key, min(doc_id) as doc_id, count(*)::BIGINT as copies from documents group by 1")
+def first_occurrences(spark, sf):
+    rows = table(spark, sf, "documents").select(text.key(F.col("text")).alias("text_key"), "doc_id")
+    first = corpus.first_of_key(rows, "text_key", "doc_id")
+    return first.join(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")), "text_key")
+
+
+@query(rf"with h as (select {KEY_SQL.format('text')} as k from documents where source in ('src0', 'src1')) select doc_id from documents where source not in ('src0', 'src1') and {KEY_SQL.format('text')} not in (select k from h)")
+def decontaminated_documents(spark, sf):
+    docs = table(spark, sf, "documents")
+    held = docs.where(F.col("source").isin("src0", "src1"))
+    return corpus.decontaminate(docs.where(~F.col("source").isin("src0", "src1")), held).select("doc_id")
+
+
+@query("with a as (select trim(text) as text from documents where source = 'src0' intersect select trim(text) from documents where source <> 'src0') select md5(text) as text_md5, length(text)::int as n_chars from a")
+def leaked_texts(spark, sf):
+    docs = table(spark, sf, "documents").select("text", "source")
+    return corpus.leaks(docs.where("source = 'src0'"), docs.where("source <> 'src0'")).select(F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+@query("""with a as (select d.doc_id as row_id, case when l.quality = 1 then 'good' else 'bad' end as old, case when d.n_chars >= 500 then 'good' else 'bad' end as new from documents d join labels l using (doc_id)) select old, new, count(*)::BIGINT as n from a where old <> new group by 1, 2""")
+def changed_labels(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.when(F.col("n_chars") >= 500, "good").otherwise("bad").alias("tier"))
+    gold = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tier"))
+    return corpus.changed_labels(gold, docs)
+
+
+@query("with c as (select source, lang, count(*) as n from documents group by 1, 2) select source, lang, n::BIGINT as n, round(n / sum(n) over (partition by source), 6) as share from c")
+def source_mixes(spark, sf):
+    return rounded(corpus.mixes(table(spark, sf, "documents"), "lang", "source"))
+
+
+@query(r"""with s as (select doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) as n_words, length(text) - length(replace(text, chr(10), '')) as n_newlines from documents) select doc_id, n_words::int as n_words, n_newlines::int as n_newlines from s""")
+def text_sizes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), text.newlines(F.col("text")).alias("n_newlines"))
+
+
+@query()
+def text_segments(spark, sf):
+    """Sentences and long segments of each document; the cuts need look-behind, which the SQL engine's patterns lack."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(t)).alias("n_sentences"), F.size(text.segments(t)).alias("n_segments"))
+
+
+# ---- vectors -------------------------------------------------------------------------------------------------
+
+VEC_SQL = """e as (select vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings), a as (select vec_id as aid, label as alabel, v as av from e where vec_id % 10 = 0), q as (select * from e where vec_id % 10 <> 0)"""
+
+
+@query(f"""with {VEC_SQL}, s as (select vec_id, alabel, list_cosine_similarity(v, av) as c from q, a), t as (select vec_id, alabel, c from s qualify row_number() over (partition by vec_id, alabel order by c desc) <= 3), m as (select vec_id, alabel, avg(c) as s from t group by 1, 2)
+select vec_id as row_id, alabel as label, round(s, 6) as score from m qualify row_number() over (partition by vec_id order by round(s, 12) desc, alabel) = 1""")
+def anchor_labels(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    return rounded(vectors.best_label(vectors.anchor_scores(rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0"))))
+
+
+@query(f"""with {VEC_SQL}, un as (select alabel, unnest(av) / sqrt(list_dot_product(av, av)) as x, generate_subscripts(av, 1) as i from a), c as (select alabel, list(x order by i) as c from (select alabel, i, avg(x) as x from un group by 1, 2) group by 1)
+select vec_id as row_id, alabel as label, round(list_cosine_similarity(v, c), 6) as score from q, c qualify row_number() over (partition by vec_id order by round(list_cosine_similarity(v, c), 12) desc, alabel) = 1""")
+def nearest_centroids(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    return rounded(vectors.nearest_centroid(rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0")))
+
+
+@query()
+def medoid_anchors(spark, sf):
+    """Rows at even distances below the centroid; ranks of nearly equal cosines depend on the order of summing."""
+    return vectors.medoid_anchors(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id"), 5)
+
+
+@query("""with a as (select n.n_nationkey as k, avg(c.c_acctbal) as x, count(*) as n from customer c join nation n on n.n_nationkey = c.c_nationkey group by 1), b as (select s_nationkey as k, avg(s_acctbal) as y from supplier group by 1)
+select round(corr(x, y), 6) as r, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept, count(*)::BIGINT as n from a join b using (k)""")
+def agreement_fit(spark, sf):
+    """Correlation and least-squares line of two measures of the same groups."""
+    x = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("x"))
+    y = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("y"))
+    return rounded(x.join(y, "k").agg(F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n")))
