@@ -15,7 +15,7 @@ def plurality(votes: Column) -> Column:
 
 
 def unanimous(votes: Column) -> Column:
-    return (F.size(votes) > 0) & (F.size(F.array_distinct(votes)) == 1)
+    return F.coalesce((F.size(votes) > 0) & (F.size(F.array_distinct(votes)) == 1), F.lit(False))
 
 
 def contested(votes: Column) -> Column:
@@ -24,7 +24,7 @@ def contested(votes: Column) -> Column:
 
 
 def answered(votes: Column) -> Column:
-    return (F.size(votes) > 0) & ~F.exists(votes, lambda v: v.isNull())
+    return F.coalesce((F.size(votes) > 0) & ~F.exists(votes, lambda v: v.isNull()), F.lit(False))
 
 
 def adjudicate(rows: DataFrame, votes: str = "votes", jurors: int = 3) -> DataFrame:
