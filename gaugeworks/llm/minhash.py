@@ -44,10 +44,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     sets = [np.unique(value[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     first = np.concatenate([[0], np.cumsum(words.counts)])
     for d in np.flatnonzero((words.counts > 0) & (words.counts < SHINGLE)):
-        h = np.uint64(words.counts[d])
-        for w in words.hash[first[d] : first[d + 1]]:
-            h = mixed(np.array([h * np.uint64(31) + w]))[0]
-        sets[d] = np.array([h], np.uint64)
+        h = words.counts[d : d + 1].astype(np.uint64)
+        for k in range(first[d], first[d + 1]):
+            h = mixed(h * np.uint64(31) + words.hash[k : k + 1])
+        sets[d] = h
     return sets
 
 
