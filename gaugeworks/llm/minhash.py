@@ -33,7 +33,7 @@ MIN_SHARED = 32
 #: Pairs whose estimate is below this can't be links, but for five standard deviations of chance.
 LEAST_ESTIMATE = 0.48
 #: Shingles in a side of a block of comparisons.
-BLOCK_SHINGLES = 1 << 18
+BLOCK_SHINGLES = 1 << 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
