@@ -26,7 +26,7 @@ from gaugeworks.llm.common import slices, texts_of
 
 NONE = np.uint32(0xFFFFFFFF)
 #: Entries of a worker's memory of pieces; at this count it starts anew, which changes speed alone.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: A row's rounds cost its width each: beyond this many bytes a piece is merged by a heap, with the same result.
 WIDEST = 2048
 
@@ -170,20 +170,8 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.find, self.known = ranks_of(path), regex.compile(pattern).findall, {}
 
-    def __call__(self, texts: Iterable[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            pieces = self.find(text)
-            if new := set(pieces).difference(self.known):
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known = {}
-                    new = set(pieces)
-                self.known.update(encode_pieces(self.ranks, list(new)))
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return out
-
     def batch(self, texts: list[str]) -> list[bytes]:
-        """As above, with the distinct pieces of all texts in the same matrices."""
+        """Packed ids of each text; the distinct pieces of all texts share the matrices."""
         pieces = [self.find(t) for t in texts]
         new = set().union(*pieces).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
