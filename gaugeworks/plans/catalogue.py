@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import probs, text
-from gaugeworks.operators import corpus, curves, folds, metrics, sampling, vectors, votes
+from gaugeworks.operators import corpus, curves, folds, judging, metrics, probe, sampling, vectors, votes
+from gaugeworks.plans import frames, policy
 from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,3 +430,83 @@ def agreement_fit(spark, sf):
     x = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("x"))
     y = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("y"))
     return rounded(x.join(y, "k").agg(F.corr("x", "y").alias("r"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n")))
+
+
+# ---- judges, teachers, specialists ---------------------------------------------------------------------------
+
+
+def _members(spark, sf):
+    out = predictions(spark, sf, *MEMBERS["a"]).select("row_id", "truth", F.col("pred").alias("a"), F.col("probs").alias("pa"))
+    for name in ("b", "c"):
+        out = out.join(predictions(spark, sf, *MEMBERS[name]).select("row_id", F.col("pred").alias(name), F.col("probs").alias(f"p{name}")), "row_id")
+    return out
+
+
+MEMBERS_SQL = ", ".join(preds_sql(r, s, f"m{k}") for k, (r, s) in MEMBERS.items()) + ", j as (select row_id, ma.truth, ma.t, ma.pred as a, mb.pred as b, mc.pred as c, ma.p0 as p0, ma.p1 as p1, ma.p2 as p2, ma.p3 as p3, ma.p4 as p4, [ma.p0 + mb.p0 + mc.p0, ma.p1 + mb.p1 + mc.p1, ma.p2 + mb.p2 + mc.p2, ma.p3 + mb.p3 + mc.p3, ma.p4 + mb.p4 + mc.p4] as s from ma join mb using (row_id) join mc using (row_id))"
+
+
+@query(f"with {MEMBERS_SQL}, x as (select 'a' as a, 'b' as b, a <> truth as w, b <> truth as v from j union all select 'a', 'c', a <> truth, c <> truth from j union all select 'b', 'c', b <> truth, c <> truth from j) select a, b, count(*) filter (where w and v)::BIGINT as both, count(*) filter (where w or v)::BIGINT as either, round(count(*) filter (where w and v) / count(*) filter (where w or v), 6) as jaccard from x group by 1, 2")
+def error_overlap(spark, sf):
+    return rounded(judging.error_overlap(_members(spark, sf), ["a", "b", "c"]))
+
+
+@query(f"with {MEMBERS_SQL} select row_id, truth from j where a <> truth and b <> truth and c <> truth")
+def all_members_wrong(spark, sf):
+    return judging.all_wrong(_members(spark, sf), ["a", "b", "c"]).select("row_id", "truth")
+
+
+@query(f"with {MEMBERS_SQL} select (['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'])[list_position(s, list_max(s))] as tier, count(*)::BIGINT as n, round(avg(list_max(s) / 3), 4) as confidence from j group by 1")
+def distilled_labels(spark, sf):
+    rows = judging.distilled(_members(spark, sf), ["pa", "pb", "pc"], PRIORITY.labels)
+    return rounded(rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("soft_dist")).alias("confidence")), 4)
+
+
+@query(f"""with {P}, j as (select row_id, {frames.u("'f:' || row_id")} < 0.5 as flip, case when {frames.u("'w:' || row_id")} < 0.45 then 'A' when {frames.u("'w:' || row_id")} < 0.9 then 'B' else 'tie' end as verdict from preds where truth <> pred),
+w as (select case when verdict = 'tie' then 'neither' when (verdict = 'A') = (not flip) then 'gold' else 'model' end as who from j)
+select count(*)::BIGINT as n, count(*) filter (where who = 'gold')::BIGINT as gold, count(*) filter (where who = 'model')::BIGINT as model, count(*) filter (where who = 'neither')::BIGINT as neither, round(1 - count(*) filter (where who = 'gold') / count(*), 6) as ceiling from w""")
+def paired_adjudication(spark, sf):
+    w = text.hash_unit("w:", F.col("row_id"))
+    rows = predictions(spark, sf).where("truth <> pred").select("row_id", judging.flipped(F.col("row_id")).alias("flip"), F.when(w < 0.45, "A").when(w < 0.9, "B").otherwise("tie").alias("verdict"))
+    return rounded(judging.paired_tally(rows))
+
+
+@query(f"""with {P}, x as (select truth, pred, votes[1] as s from preds where votes[1] is not null) select truth, count(*)::BIGINT as n, round(avg((pred = s)::int), 6) as agreement from x group by 1""")
+def screen_agreement(spark, sf):
+    rows = predictions(spark, sf).withColumn("screen", F.get("votes", F.lit(0)))
+    return rounded(judging.agreement_by(rows, "truth", "pred", "screen"))
+
+
+@query(f"""with {MEMBERS_SQL}, f as (select *, (a in ('1-URGENT', '2-HIGH')) as near, greatest(p0, p1) as hi from j), r as (select truth, a as pred, case when near and least(p0, p1) >= greatest(p2, p3, p4) then b else a end as final, near and least(p0, p1) >= greatest(p2, p3, p4) as fired from f where b in ('1-URGENT', '2-HIGH'))
+select sum(fired::int)::BIGINT as fired, sum((final <> pred)::int)::BIGINT as changed, sum((final = truth)::int - (pred = truth)::int)::BIGINT as net_corrected from r""")
+def arbiter(spark, sf):
+    rows = _members(spark, sf).where(F.col("b").isin("1-URGENT", "2-HIGH"))
+    special = probs.one_hot(F.col("b"), ["1-URGENT", "2-HIGH"])
+    rows = rows.select("truth", F.col("a").alias("pred"), F.col("pa").alias("probs"), special.alias("special"))
+    return judging.arbiter_summary(judging.arbitrated(rows, PRIORITY.labels, {("1-URGENT", "2-HIGH"): "special"}))
+
+
+@query()
+def separability(spark, sf):
+    """Two halves of the embeddings by label, told apart by a probe; an iterative fit that SQL can't express."""
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    return rounded(probe.separability(rows.where("label < 5"), rows.where("label >= 5")), 3)
+
+
+@query()
+def probe_accuracy(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    return rounded(probe.cross_validated(rows), 3)
+
+
+@query(f"""with {P}, c as (select (1 - avg((truth = pred)::int)) as e from preds), m as (select max(n) * 1.0 / sum(n) as majority, min(n) * 1.0 / sum(n) as minority from (select count(*) as n from preds group by truth))
+select 'baseline_lift' as control, case when minority < 0.06 then 'FAIL' when 1 - e - majority < 0.02 then 'FAIL' when 1 - e - majority < 0.04 then 'WARN' else 'PASS' end as status from c, m
+union all select 'confidence_ordering', case when max(fall) > 0.005 then 'FAIL' else 'PASS' end from (with {COVER_SQL} select lag(accuracy) over (order by coverage desc) - accuracy as fall from curve)
+union all select 'calibration', case when (with {BINS_SQL}, whole as (select count(*) as n from preds) select sum(abs(confidence - accuracy) * bins.n) / any_value(whole.n) from bins, whole) > 0.10 then 'WARN' else 'PASS' end
+union all select 'traffic_alignment', 'WARN'""")
+def control_results(spark, sf):
+    """Controls over the measured metrics of one classifier; a row for each control."""
+    rows = predictions(spark, sf)
+    found = policy.bag(metrics.contract(rows)) | policy.bag(metrics.calibration(rows))
+    curve = [(r.coverage, r.accuracy) for r in curves.coverage_curve(rows, COVER).collect()]  # a row for each coverage
+    results = policy.run_controls({"metrics": found, "curve": curve}, ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment"])
+    return spark.createDataFrame([(r.control, r.status) for r in results], "control string, status string")
