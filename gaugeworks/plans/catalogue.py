@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import probs, text
-from gaugeworks.operators import corpus, curves, folds, judging, metrics, probe, sampling, vectors, votes
+from gaugeworks.operators import adapters, compress, corpus, curves, folds, judging, medoids, metrics, probe, sampling, vectors, votes
 from gaugeworks.plans import frames, policy
 from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
 
@@ -510,3 +510,26 @@ def control_results(spark, sf):
     curve = [(r.coverage, r.accuracy) for r in curves.coverage_curve(rows, COVER).collect()]  # a row for each coverage
     results = policy.run_controls({"metrics": found, "curve": curve}, ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment"])
     return spark.createDataFrame([(r.control, r.status) for r in results], "control string, status string")
+
+
+@query()
+def k_medoids(spark, sf):
+    """Medoids of each label of the embeddings."""
+    return medoids.medoids(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id"), 5)
+
+
+@query()
+def compressed_documents(spark, sf):
+    """The sizes of all documents when cut to half of their characters by ranked sentences."""
+    short = compress.compress(table(spark, sf, "documents").select("doc_id", "text"))
+    return short.select("doc_id", F.length("text").alias("n_chars"), F.length("short").alias("n_short"))
+
+
+@query(r"""with p as (select doc_id as row_id, case when n_chars < 500 then 'short' when contains(text, '!!') then 'loud' else 'plain' end as pred from documents) select pred, count(*)::BIGINT as n from p group by 1""")
+def adapter_predictions(spark, sf):
+    """A rule as a classifier, through the adapter that any model goes through."""
+    labels = ["loud", "plain", "short"]
+    rule = adapters.FunctionAdapter(labels, lambda t: "short" if len(t) < 500 else "loud" if "!!" in t else "plain")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    answers = adapters.predict(rows, rule)
+    return answers.where("status = 'OK'").groupBy(probs.argmax_label(F.col("probs"), labels).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
