@@ -75,7 +75,8 @@ def fold_search(rows: DataFrame, task: Taxonomy, label: str = "truth", votes: st
     known = F.array_sort(F.array_distinct(F.filter(F.transform(F.col(votes), index), lambda i: i >= 0)))
     few = rows.where(F.size(votes) > 0).groupBy(index(F.col(label)).alias("t"), known.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     folds = contiguous_folds(rows.sparkSession, task)
-    per = few.join(F.broadcast(folds), F.lit(True))  # 2 ** (labels - 1) - 1 folds
+    every = [F.struct(*(F.lit(x).alias(n) for x, n in zip(r, folds.columns, strict=True))) for r in folds.collect()]  # 2 ** (labels - 1) - 1
+    per = few.withColumn("fold", F.explode(F.array(*every))).select("*", "fold.*")
     agree = F.size(F.array_distinct(F.transform("v", lambda i: F.get(F.col("groups"), i)))) == 1
     shares = per.groupBy("fold_id", "name", "n_groups", F.get("groups", F.col("t")).alias("g")).agg(F.sum("n").alias("n"), F.sum(F.when(agree, F.col("n")).otherwise(0)).alias("a"))
     out = shares.groupBy("name", "n_groups").agg((F.sum("a") / F.sum("n")).alias("agreement"), (F.min(F.when(F.col("g").isNotNull(), F.col("n"))) / F.sum("n")).alias("minority"))

@@ -5,11 +5,13 @@ is combined."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import stats
+from gaugeworks.functions.text import hash_order
 from gaugeworks.operators.folds import Taxonomy
+from gaugeworks.operators.sampling import within_quota
 from gaugeworks.operators.votes import contested, unanimous
 
 CONTRACT = ("accuracy", "majority_baseline", "lift_over_chance", "minority_share", "n")
@@ -123,12 +125,9 @@ def gates(preds: DataFrame, task: Taxonomy) -> DataFrame:
 
 def hash_halves(preds: DataFrame, repeats: int, key: str = "row_id") -> DataFrame:
     """Each row `repeats` times, with rep and half (0 or 1): the lower half of the rows by a hash of rep and key."""
-    from gaugeworks.functions.text import hash_order
-
     many = preds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    order = Window.partitionBy("rep").orderBy(hash_order(F.col("rep"), ":", F.col(key)), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy("rep"))
-    return many.withColumn("half", F.when(F.row_number().over(order) <= F.floor(n / 2), 0).otherwise(1))
+    quotas = many.groupBy("rep").agg(F.floor(F.count(F.lit(1)) / 2).alias("quota"))
+    return within_quota(many, ["rep"], hash_order(F.col("rep"), ":", F.col(key)), key, quotas).withColumn("half", F.when(F.col("in_quota"), 0).otherwise(1)).drop("in_quota")
 
 
 def risk_coverage(preds: DataFrame, coverages: tuple[float, ...] = (0.95, 0.90, 0.80, 0.70), repeats: int = 40) -> DataFrame:

@@ -12,6 +12,27 @@ def _rank(by: str | list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order))
 
 
+#: Hexadecimal digits of a hash that rows are counted by: 16 ** 4 counts a group.
+PREFIX = 4
+
+
+def within_quota(rows: DataFrame, by: list[str], order: Column, key: str, quotas: DataFrame) -> DataFrame:
+    """rows with in_quota: is the row among its group's first `quota` by the hash `order` (hexadecimal), then by key?
+
+    quotas (by, quota) has a row for each of a few groups. Rows are counted by group and prefix of the hash; all but
+    those of the one prefix where a group's quota ends are decided by that alone, so no group is sorted in one task."""
+    marked = rows.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, PREFIX))
+    counts = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b"))).join(F.broadcast(quotas), by)
+    ends = so_far.where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
+    ends = ends.select(*by, F.col("_b").alias("_cut"), (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_left"))
+    joined = marked.join(F.broadcast(quotas.join(ends, by, "left")), by)
+    sure = F.when(F.col("quota") <= 0, False).when(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")), True).when(F.col("_b") > F.col("_cut"), False)
+    decided = joined.where(sure.isNotNull()).withColumn("in_quota", sure)
+    edge = joined.where(sure.isNull()).withColumn("in_quota", _rank(by, "_h", key) <= F.col("_left"))
+    return decided.unionByName(edge).select(*rows.columns, "in_quota")
+
+
 def stratified(rows: DataFrame, stratum: str, n: int, key: str = "row_id", seed: str = "s") -> DataFrame:
     """At most n rows of each stratum, without replacement. A bounded heap for each task precedes the shuffle: Spark
     limits ranked windows before the exchange."""
@@ -28,11 +49,12 @@ def balanced(rows: DataFrame, label: str, key: str = "row_id", seed: str = "b")
     `copy` numbers the copies of a row."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     target = counts.agg(F.sort_array(F.collect_list("n")).alias("all")).select(F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("target"))
+    # of n rows below the target, the first target % n are used once more than the others
     sizes = counts.join(F.broadcast(target), F.lit(True))
-    ranked = rows.withColumn("_rn", _rank(label, hash_order(seed, ":", F.col(key)), key)).join(F.broadcast(sizes), label)
-    # row r of n is used once for each r + k * n up to the target
-    copies = F.when(F.col("_rn") <= F.col("target"), F.floor((F.col("target") - F.col("_rn")) / F.col("n")).cast("int")).otherwise(-1)
-    return ranked.where(copies >= 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("_rn", "n", "target")
+    quotas = sizes.select(label, F.when(F.col("n") >= F.col("target"), F.col("target")).otherwise(F.col("target") % F.col("n")).alias("quota"))
+    marked = within_quota(rows, [label], hash_order(seed, ":", F.col(key)), key, quotas).join(F.broadcast(sizes), label)
+    copies = F.when(F.col("n") >= F.col("target"), 0).otherwise(F.floor(F.col("target") / F.col("n"))) + F.col("in_quota").cast("int")
+    return marked.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1))).select(*rows.columns, "copy")
 
 
 def to_prior(rows: DataFrame, prior: DataFrame, label: str, root: bool = False, key: str = "row_id", seed: str = "p") -> DataFrame:
@@ -42,8 +64,7 @@ def to_prior(rows: DataFrame, prior: DataFrame, label: str, root: bool = False,
     share = F.sqrt(F.col("want") * F.col("n") / F.sum("n").over(whole)) if root else F.col("want")
     counts = counts.withColumn("w", share).withColumn("w", F.col("w") / F.sum("w").over(whole))
     counts = counts.withColumn("total", F.min(F.when(F.col("w") > 0, F.col("n") / F.col("w"))).over(whole)).select(label, F.floor(F.col("total") * F.col("w") + 1e-9).alias("quota"))
-    ranked = rows.withColumn("_rn", _rank(label, hash_order(seed, ":", F.col(key)), key)).join(F.broadcast(counts), label)
-    return ranked.where(F.col("_rn") <= F.col("quota")).drop("_rn", "quota")
+    return within_quota(rows, [label], hash_order(seed, ":", F.col(key)), key, counts).where("in_quota").drop("in_quota")
 
 
 def most_uncertain(rows: DataFrame, budget: int, labels: int, pred: str = "pred", key: str = "row_id") -> DataFrame:
