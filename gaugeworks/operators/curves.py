@@ -148,3 +148,36 @@ def ensemble_search(member_probs: DataFrame, names: list[str], labels: list[str]
 
 def highest_tier(ranks: list[Column]) -> Column:
     return F.greatest(*ranks)
+
+
+def rescued_by_fold(preds: DataFrame, task: Taxonomy, fold: str, coverage: float = 0.9) -> DataFrame:
+    """One row on the rows that confidence among labels drops and confidence among groups keeps: how many, the share
+    that is right after folding, and the share whose votes differ."""
+    groups, table = task.folded(fold).labels, task.folds[fold]
+    summed = probs.folded(F.col("probs"), task.labels, table)
+    ok = (probs.argmax_label(summed, groups) == task.group(table, F.col("truth"))).cast("double")
+    split = F.coalesce((F.size(F.array_distinct("votes")) > 1).cast("double"), F.lit(0.0))
+    rows = preds.select(ok.alias("ok"), split.alias("split"), F.array_max("probs").alias("fine"), F.array_max(summed).alias("coarse"))
+    cuts = rows.agg(F.percentile("fine", F.lit(1 - coverage)).alias("fine_cut"), F.percentile("coarse", F.lit(1 - coverage)).alias("coarse_cut"))
+    both = rows.join(F.broadcast(cuts), (F.col("fine") < F.col("fine_cut")) & (F.col("coarse") >= F.col("coarse_cut")))
+    return both.agg(F.count(F.lit(1)).alias("rescued"), F.avg("ok").alias("accuracy"), F.avg("split").alias("contested"))
+
+
+def offset_ascent(dev: DataFrame, labels: list[str], passes: int = 6, reach: float = 2.0, steps: int = 41) -> list[float]:
+    """Per-label offsets to log probabilities, each set in turn to the value of best accuracy on dev, the first of
+    equal ones, until a pass changes nothing. Each setting is one aggregation over dev, of a row of `steps` numbers."""
+    deltas = [-reach + 2 * reach * k / (steps - 1) for k in range(steps)]
+    logs = dev.select("truth", probs.log_clipped(F.col("probs")).alias("l")).cache()
+    offsets, best = [0.0] * len(labels), -1.0
+    for _ in range(passes):
+        before = list(offsets)
+        for k in range(len(labels)):
+            tried = [[*offsets[:k], d, *offsets[k + 1 :]] for d in deltas]
+            row = logs.agg(*(F.avg((probs.argmax_label(probs.shifted(F.col("l"), o), labels) == F.col("truth")).cast("double")).alias(f"a{j}") for j, o in enumerate(tried))).first()
+            top = max(range(steps), key=lambda j: (row[j] or 0.0, -j))
+            if (row[top] or 0.0) > best:
+                best, offsets = row[top], tried[top]
+        if offsets == before:
+            break
+    logs.unpersist()
+    return offsets

@@ -533,3 +533,9 @@ def adapter_predictions(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
     answers = adapters.predict(rows, rule)
     return answers.where("status = 'OK'").groupBy(probs.argmax_label(F.col("probs"), labels).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""with {P}, x as (select ((p0 + p1 >= p2 + p3 + p4) = (t <= 1))::int as ok, (len(list_distinct({VOTES_SQL})) + (len(list_filter(votes, lambda v: v is null)) > 0)::int > 1)::int as split, greatest(p0, p1, p2, p3, p4) as f, greatest(p0 + p1, p2 + p3 + p4) as c from preds),
+q as (select quantile_cont(f, {1 - 0.9!r}) as fc, quantile_cont(c, {1 - 0.9!r}) as cc from x) select count(*)::BIGINT as rescued, round(avg(ok), 6) as accuracy, round(avg(split), 6) as contested from x, q where f < fc and c >= cc""")
+def rescued_by_fold(spark, sf):
+    return rounded(curves.rescued_by_fold(predictions(spark, sf), PRIORITY, "route"))

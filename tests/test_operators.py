@@ -88,3 +88,13 @@ def test_selection_caps(spark):
     assert [(j.role, j.setting) for j in jobs] == [("x", "s"), ("y", "v"), ("x", "u"), ("y", "t"), ("x", "s"), ("y", "v")]
     parts = sampling.split(df, 0.9).groupBy("part").count().collect()
     assert sum(p["count"] for p in parts) == 100
+
+
+def test_offsets_undo_a_shift(spark):
+    r = np.random.default_rng(4)
+    p = r.dirichlet(np.ones(2), 300)
+    truth = p[:, 0] * 0.3 > p[:, 1] * 0.7
+    df = spark.createDataFrame([("a" if t else "b", q.tolist()) for t, q in zip(truth, p, strict=True)], "truth string, probs array<double>")
+    a, b = curves.offset_ascent(df, ["a", "b"], passes=2)
+    moved = (np.log(p) + np.array([a, b])).argmax(1) == 0
+    assert (moved == truth).mean() > 0.97
