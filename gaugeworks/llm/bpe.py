@@ -26,7 +26,7 @@ from gaugeworks.llm.common import slices, texts_of
 
 NONE = np.uint32(0xFFFFFFFF)
 #: Entries of a worker's memory of pieces; at this count it starts anew, which changes speed alone.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: A row's rounds cost its width each: beyond this many bytes a piece is merged by a heap, with the same result.
 WIDEST = 2048
 
@@ -39,8 +39,8 @@ class Ranks:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.uint32)
-        pairs = [(self.ids[t[:k]], self.ids[t[k:]], i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
-        left, right, merged = (np.array(x, np.uint64) for x in zip(*pairs, strict=True))
+        pairs = (x for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids for x in (self.ids[t[:k]], self.ids[t[k:]], i))
+        left, right, merged = np.fromiter(pairs, np.uint64).reshape(-1, 3).T
         self.bits = int(np.ceil(np.log2(4 * len(left))))
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.merged = np.full(1 << self.bits, NONE, np.uint32)

@@ -54,7 +54,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of each part stay near most_bytes; one longer text is a part of its own."""
     _, offsets = packed(batch, column)
     part = offsets[1:] // most_bytes
@@ -92,7 +92,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the hash's base and of its inverse modulo 2**64, n of each at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, (2 << 20) + (1 << 18))
+        size = max(n, 5 << 18)
         _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _INVERSE)]
     return _powers
 
