@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import probs, stats
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.operators.metrics import hash_halves
+from gaugeworks.operators.quantiles import quantiles
 
 
 def flip_bias(logits: Column, gate: int) -> Column:
@@ -82,7 +83,7 @@ def containment_transfer(scores: DataFrame, target: float = 0.95, repeats: int =
 
 def coverage_curve(preds: DataFrame, coverages: tuple[float, ...]) -> DataFrame:
     """(coverage, accuracy, kept): in-sample accuracy of the most confident share, ties at the threshold kept."""
-    cuts = preds.agg(F.percentile("conf", F.lit([1 - c for c in coverages])).alias("cuts")).select(F.posexplode("cuts").alias("k", "cut"))
+    cuts = quantiles(preds, "conf", [1 - c for c in coverages]).select("k", "cut")
     rows = preds.select("conf", (F.col("truth") == F.col("pred")).cast("double").alias("ok"))
     both = rows.join(F.broadcast(cuts), F.col("conf") >= F.col("cut"))  # one row for each coverage
     return both.groupBy("k").agg(F.avg("ok").alias("accuracy"), F.count(F.lit(1)).alias("kept")).select(F.get(F.lit(list(coverages)), F.col("k")).alias("coverage"), "accuracy", "kept")
@@ -124,7 +125,7 @@ def fold_aware_abstention(preds: DataFrame, task: Taxonomy, fold: str, coverages
     ok = (probs.argmax_label(summed, groups) == task.group(table, F.col("truth"))).cast("double")
     fine, coarse = F.array_max("probs"), F.array_max(summed)
     rows = preds.select(ok.alias("ok"), F.inline(F.array(*(F.struct(F.lit(s).alias("strategy"), c.alias("conf")) for s, c in (("labels", fine), ("groups", coarse), ("both", fine * coarse))))))
-    cuts = rows.groupBy("strategy").agg(F.percentile("conf", F.lit([1 - c for c in coverages])).alias("cuts")).select("strategy", F.posexplode("cuts").alias("k", "cut"))
+    cuts = quantiles(rows, "conf", [1 - c for c in coverages], ["strategy"]).select("strategy", "k", "cut")
     both = rows.join(F.broadcast(cuts), "strategy")
     kept = F.col("conf") >= F.col("cut")
     return both.groupBy("strategy", "k").agg(F.avg(F.when(kept, F.col("ok"))).alias("accuracy"), F.avg(F.when(~kept, F.col("ok"))).alias("waste")).select("strategy", F.get(F.lit(list(coverages)), F.col("k")).alias("coverage"), "accuracy", "waste")
@@ -158,7 +159,8 @@ def rescued_by_fold(preds: DataFrame, task: Taxonomy, fold: str, coverage: float
     ok = (probs.argmax_label(summed, groups) == task.group(table, F.col("truth"))).cast("double")
     split = F.coalesce((F.size(F.array_distinct("votes")) > 1).cast("double"), F.lit(0.0))
     rows = preds.select(ok.alias("ok"), split.alias("split"), F.array_max("probs").alias("fine"), F.array_max(summed).alias("coarse"))
-    cuts = rows.agg(F.percentile("fine", F.lit(1 - coverage)).alias("fine_cut"), F.percentile("coarse", F.lit(1 - coverage)).alias("coarse_cut"))
+    cut = lambda c: quantiles(rows, c, [1 - coverage]).select(F.col("cut").alias(f"{c}_cut"))
+    cuts = cut("fine").join(F.broadcast(cut("coarse")), F.lit(True))  # one row each
     both = rows.join(F.broadcast(cuts), (F.col("fine") < F.col("fine_cut")) & (F.col("coarse") >= F.col("coarse_cut")))
     return both.agg(F.count(F.lit(1)).alias("rescued"), F.avg("ok").alias("accuracy"), F.avg("split").alias("contested"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions import stats
 from gaugeworks.functions.text import hash_order
 from gaugeworks.operators.folds import Taxonomy
+from gaugeworks.operators.quantiles import quantiles
 from gaugeworks.operators.sampling import within_quota
 from gaugeworks.operators.votes import contested, unanimous
 
@@ -104,8 +105,8 @@ def calibration(preds: DataFrame, bins: int = 10) -> DataFrame:
 
 def confident_half_spread(preds: DataFrame) -> DataFrame:
     """The range of confidence in the upper half; NULL below four rows."""
-    middle = preds.agg(F.median("conf").alias("m"), F.count(F.lit(1)).alias("n"))
-    upper = preds.select("conf").join(F.broadcast(middle), F.col("conf") >= F.col("m"))
+    middle = quantiles(preds, "conf", [0.5]).select("n", "cut")
+    upper = preds.select("conf").join(F.broadcast(middle), F.col("conf") >= F.col("cut"))
     return upper.agg(F.when(F.max("n") >= 4, F.max("conf") - F.min("conf")).alias("confident_half_spread"))
 
 
@@ -134,8 +135,8 @@ def risk_coverage(preds: DataFrame, coverages: tuple[float, ...] = (0.95, 0.90,
     """(coverage, accuracy, waste): thresholds are quantiles of one half's confidence and are scored on the other, in
     both directions; waste is the share of dropped rows that were right."""
     rows = hash_halves(preds.select("row_id", "conf", (F.col("truth") == F.col("pred")).cast("double").alias("ok")), repeats)
-    cuts = rows.groupBy("rep", "half").agg(F.percentile("conf", F.lit([1 - c for c in coverages])).alias("cuts"))
-    other = cuts.select("rep", (1 - F.col("half")).alias("half"), F.posexplode("cuts").alias("k", "cut"))
+    cuts = quantiles(rows, "conf", [1 - c for c in coverages], ["rep", "half"])
+    other = cuts.select("rep", (1 - F.col("half")).alias("half"), "k", "cut")
     both = rows.join(F.broadcast(other), ["rep", "half"])
     kept = F.col("conf") >= F.col("cut")
     each = both.groupBy("rep", "half", "k").agg(F.avg(F.when(kept, F.col("ok"))).alias("accuracy"), F.avg(F.when(~kept, F.col("ok"))).alias("waste"))
@@ -144,8 +145,8 @@ def risk_coverage(preds: DataFrame, coverages: tuple[float, ...] = (0.95, 0.90,
 
 def contested_enrichment(preds: DataFrame, coverage: float = 0.90) -> DataFrame:
     """Are contested rows more frequent among those that a confidence threshold drops? NULL without any."""
-    cut = preds.agg(F.percentile("conf", F.lit(1 - coverage)).alias("cut"))
-    rows = preds.select("conf", contested(F.col("votes")).cast("double").alias("c")).join(F.broadcast(cut), F.lit(True))
+    cut = quantiles(preds, "conf", [1 - coverage]).select("cut")
+    rows = preds.select("conf", contested(F.col("votes")).cast("double").alias("c")).join(F.broadcast(cut), F.lit(True), "left")
     out = rows.agg(F.avg("c").alias("base_rate"), F.avg(F.when(F.col("conf") < F.col("cut"), F.col("c"))).alias("in_dropped"))
     return out.select("base_rate", "in_dropped", F.try_divide("in_dropped", "base_rate").alias("enrichment"))
 
@@ -153,9 +154,10 @@ def contested_enrichment(preds: DataFrame, coverage: float = 0.90) -> DataFrame:
 def runtime_summary(calls: DataFrame) -> DataFrame:
     """Of calls (status, latency_ms): OK succeeds, ABSTAIN abstains, RESOURCE_EXHAUSTED and all else are errors."""
     ok = F.col("status") == "OK"
-    q = F.percentile(F.when(ok, F.col("latency_ms")), F.lit([0.5, 0.95, 0.99]))
-    one = calls.agg(F.count(F.lit(1)).alias("attempted"), F.sum(ok.cast("long")).alias("succeeded"), _share(F.col("status") == "RESOURCE_EXHAUSTED").alias("resource_exhausted_rate"), _share(F.col("status") == "ABSTAIN").alias("abstain_rate"), _share(~F.col("status").isin("OK", "ABSTAIN")).alias("error_rate"), q.alias("q"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"))
-    return one.select("attempted", "succeeded", (F.col("succeeded") / F.greatest("attempted", F.lit(1))).alias("coverage"), "abstain_rate", "resource_exhausted_rate", "error_rate", *(F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))), "mean_ms")
+    names = ("p50_ms", "p95_ms", "p99_ms")
+    cuts = quantiles(calls.where(ok), "latency_ms", [0.5, 0.95, 0.99]).agg(*(F.max(F.when(F.col("k") == k, F.col("cut"))).alias(n) for k, n in enumerate(names)))
+    one = calls.agg(F.count(F.lit(1)).alias("attempted"), F.sum(ok.cast("long")).alias("succeeded"), _share(F.col("status") == "RESOURCE_EXHAUSTED").alias("resource_exhausted_rate"), _share(F.col("status") == "ABSTAIN").alias("abstain_rate"), _share(~F.col("status").isin("OK", "ABSTAIN")).alias("error_rate"), F.avg(F.when(ok, F.col("latency_ms"))).alias("mean_ms"))
+    return one.join(F.broadcast(cuts), F.lit(True)).select("attempted", "succeeded", (F.col("succeeded") / F.greatest("attempted", F.lit(1))).alias("coverage"), "abstain_rate", "resource_exhausted_rate", "error_rate", *names, "mean_ms")
 
 
 def seed_summary(scores: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.sampling import stratified
 from gaugeworks.functions.probs import unit
 
-#: Anchors are broadcast up to this many, in a check before the join; more are joined in blocks of this size.
+#: Anchors go to every task up to this many, after a check; more are joined in blocks.
 ANCHORS = 20_000
+#: Rows of a block of queries or of anchors.
+BLOCK = 1024
 
 
 def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
@@ -36,10 +39,35 @@ def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
 
 def anchor_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
     """(row_id, label, score): the mean of a query's k largest cosines with each label's anchors, or all if fewer."""
-    n = anchors.limit(ANCHORS + 1).count()
-    if n > ANCHORS:
-        raise ValueError(f"more than {ANCHORS} anchors; choose fewer, for example by medoid_anchors")
-    return _scores(queries, anchors, k)
+    few = anchors.limit(ANCHORS + 1).count() <= ANCHORS
+    return _scores(queries, anchors, k) if few else blocked_scores(queries, anchors, k)
+
+
+def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
+    """anchor_scores for anchors of any number, with row_id: each block of queries meets each block of anchors, and only
+    the k largest cosines of a query, label and block go on."""
+    import numpy as np
+    import pandas as pd
+
+    def blocks(rows: DataFrame, kept: str, name: str) -> DataFrame:
+        n = rows.count() // BLOCK + 1
+        packed = F.struct(F.col(kept).alias("id"), unit(F.col("embedding")).alias("v"))
+        return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(packed).alias(name))
+
+    def run(batches):
+        for pdf in batches:
+            for q, a in zip(pdf.q, pdf.a, strict=True):
+                ids, labels = [r["id"] for r in q], np.array([r["id"] for r in a])
+                cosine = np.array([r["v"] for r in q]) @ np.array([r["v"] for r in a]).T
+                for x in np.unique(labels):
+                    top = np.sort(cosine[:, labels == x], 1)[:, -k:]
+                    yield pd.DataFrame({"row_id": ids, "label": x, "top": list(top)})
+
+    kinds = dict(queries.dtypes)["row_id"], dict(anchors.dtypes)["label"]
+    pairs = blocks(queries, "row_id", "q").join(blocks(anchors, "label", "a"), F.lit(True)).select("q", "a")
+    tops = pairs.mapInPandas(run, f"row_id {kinds[0]}, label {kinds[1]}, top array<double>")
+    merged = tops.groupBy("row_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
+    return merged.select("row_id", "label", (F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")).alias("score"))
 
 
 def best_label(scores: DataFrame) -> DataFrame:
@@ -59,10 +87,12 @@ def nearest_centroid(queries: DataFrame, labelled: DataFrame) -> DataFrame:
     return best_label(anchor_scores(queries, centroids(labelled), 1))
 
 
-def medoid_anchors(rows: DataFrame, k: int, keep: float = 0.9) -> DataFrame:
-    """(label, row_id): k rows of each label spread evenly over those nearest its centroid, outliers trimmed."""
+def medoid_anchors(rows: DataFrame, k: int, keep: float = 0.9, sample: int = 1500) -> DataFrame:
+    """(label, row_id): k rows of each label spread evenly over those nearest its centroid, outliers trimmed. Anchors
+    are chosen among at most `sample` rows of a label by hash, so that no label is sorted whole in one task."""
     from gaugeworks.functions.probs import dot
 
+    rows = stratified(rows, "label", sample)
     centre = centroids(rows).withColumnRenamed("embedding", "c")
     near = rows.join(F.broadcast(centre), "label").select("label", "row_id", F.round(dot(unit(F.col("embedding")), F.col("c")), 12).alias("cos"))
     by = Window.partitionBy("label")

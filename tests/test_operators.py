@@ -98,3 +98,29 @@ def test_offsets_undo_a_shift(spark):
     a, b = curves.offset_ascent(df, ["a", "b"], passes=2)
     moved = (np.log(p) + np.array([a, b])).argmax(1) == 0
     assert (moved == truth).mean() > 0.97
+
+
+def test_quantiles_equal_percentiles(spark, monkeypatch):
+    from gaugeworks.operators import quantiles
+
+    df = spark.range(30_000, numPartitions=4).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)) / 7).alias("x"))
+    df = df.unionByName(spark.range(20_000).select(F.lit(1).alias("g"), F.lit(42.0).alias("x")))  # most of a group is one value
+    shares = [0.0, 0.05, 0.5, 0.99, 1.0]
+    want = {(r.g, k): v for r in df.groupBy("g").agg(F.percentile("x", F.lit(shares)).alias("p")).collect() for k, v in enumerate(r.p)}
+    for small in (quantiles.SMALL, 1000):  # without and with bounds
+        monkeypatch.setattr(quantiles, "SMALL", small)
+        assert {(r.g, r.k): r.cut for r in quantiles.quantiles(df, "x", shares, ["g"]).collect()} == want
+    assert quantiles.quantiles(df.where("g > 5"), "x", shares).count() == 0
+
+
+def test_blocks_of_anchors_score_as_broadcast_ones(spark, monkeypatch):
+    from gaugeworks.operators import vectors
+
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, k % 3, r.normal(size=4).tolist()) for k in range(90)], "row_id bigint, label int, embedding array<double>")
+    queries, anchors = df.where("row_id >= 40"), df.where("row_id < 40")
+    scores = lambda: {(x.row_id, x.label): round(x.score, 9) for x in vectors.anchor_scores(queries, anchors).collect()}
+    want = scores()
+    monkeypatch.setattr(vectors, "ANCHORS", 10)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    assert scores() == want and len(want) == 150
