@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.quantiles import quantiles
 from gaugeworks.operators.sampling import retained
 
 WINDOW = "1 hour"
@@ -12,17 +13,14 @@ WINDOW = "1 hour"
 
 def window_metrics(calls: DataFrame, abstain_below: float = 0.6) -> DataFrame:
     """Exact metrics of each window of calls (ts, conf, latency_ms), in batch."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    out = calls.groupBy(F.window("ts", WINDOW).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("conf").alias("conf_mean"),
-        q("conf", 0.1).alias("conf_p10"),
-        q("conf", 0.5).alias("conf_p50"),
-        q("latency_ms", 0.5).alias("p50_ms"),
-        q("latency_ms", 0.99).alias("p99_ms"),
-        F.avg((F.col("conf") < abstain_below).cast("double")).alias("abstain_at_60"),
-    )
-    return out.select(F.col("w.start").alias("hour"), *out.columns[1:])
+    rows = calls.select(F.window("ts", WINDOW)["start"].alias("hour"), "conf", "latency_ms")
+    out = rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf_mean"), F.avg((F.col("conf") < abstain_below).cast("double")).alias("abstain_at_60"))
+    wanted = {"conf": {0.1: "conf_p10", 0.5: "conf_p50"}, "latency_ms": {0.5: "p50_ms", 0.99: "p99_ms"}}
+    for column, names in wanted.items():
+        cuts = quantiles(rows, column, list(names), ["hour"])
+        wide = cuts.groupBy("hour").agg(*(F.max(F.when(F.col("k") == k, F.col("cut"))).alias(n) for k, n in enumerate(names.values())))
+        out = out.join(wide, "hour", "left")
+    return out.select("hour", "n", "conf_mean", "conf_p10", "conf_p50", "p50_ms", "p99_ms", "abstain_at_60")
 
 
 def predicted_shares(calls: DataFrame) -> DataFrame:
