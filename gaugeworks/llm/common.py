@@ -117,11 +117,15 @@ class Words:
         words = ~gap[at[:-1]] if len(data) else np.zeros(0, bool)
         self.start, self.end = at[:-1][words], at[1:][words]
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.hash = self.hashed(_LOWER[data])
+        self.counts = np.bincount(self.doc, minlength=self.n_docs)
+
+    def hashed(self, data: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each word's bytes in data, which are the texts' bytes or stand for them one by one."""
         up, down = _power_tables(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * down[self.start])
-        self.counts = np.bincount(self.doc, minlength=self.n_docs)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        return mixed((sums[self.end] - sums[self.start]) * down[self.start])
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k words in a row, and their documents; none of documents with fewer words."""

@@ -128,6 +128,25 @@ def test_removed_spans_leave_the_rest_with_its_offsets(docs, empty):
     assert substring.repeated_spans(empty).count() == 0
 
 
+def test_later_whole_lines_go_whatever_their_length(spark):
+    """Against plain hashing of lines: short ones, between lines that occur once, of one part or of several."""
+    lines = ["Short line here", "x", prose(20, 31), prose(27, 32)]
+    own = lambda k: prose(14, 100 + k)
+    rows = [(k, "\n".join(x for j, line in enumerate(lines) for x in (own(10 * k + j), f"  {line} " if k == 2 else line))) for k in range(3)]
+    rows += [(3, own(90) + " Short line here"), (4, "short line here"), (5, f"x\n{lines[2]}\n\n{own(91)}\nx"), (6, "x y")]
+    spans, seen = substring.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect(), set()
+    for i, t in rows:
+        at, later = 0, set()
+        for line in t.split("\n"):
+            if (key := tuple(line.split())) in seen:
+                later |= {m.start() for m in SPACE.finditer(t, at, at + len(line))}
+            seen |= {key} - {()}
+            at += len(line) + 1
+        assert {m.start() for m in SPACE.finditer(t) if any(s.start_at <= m.start() < s.end_at for s in spans if s.doc_id == i)} == later
+        mine = sorted((s.start_at, s.end_at) for s in spans if s.doc_id == i)
+        assert all(a[1] <= b[0] for a, b in zip(mine, mine[1:], strict=False))
+
+
 # ---- secrets -------------------------------------------------------------------------------------------------
 
 
