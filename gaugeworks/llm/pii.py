@@ -5,7 +5,10 @@ form, so that the same entity has the same surrogate in all documents (coreferen
 shape: letters for letters of the same script and case, digits for digits, separators kept; addresses move to reserved
 example domains, card numbers keep their first digit and get a right check digit, names keep title and gender. The
 distinct entities of the corpus are then checked: where two share a surrogate, or a surrogate is some real entity, all
-but one draw again until none collides (distinctness). All of it is DataFrame functions, and texts are not shuffled
+but one draw again until none collides (distinctness), however many draws that takes. Names are drawn from a larger
+pool each time, with one more syllable, and addresses with one more letter from draw GROWS on, so that no corpus has
+more of them than there are surrogates; kinds of a fixed number of digits have no more surrogates than their format.
+All of it is DataFrame functions, and texts are not shuffled
 unless entities had to draw again, and then only if their table is too large for Spark to broadcast.
 
 Defined results: null texts stay null, empty ones empty; equal texts get equal results; card numbers need a right
@@ -53,7 +56,8 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 PATTERN = rf"(?<![\p{{L}}0-9._%+@-])(?:{'|'.join(PATTERNS.values())})"
-ROUNDS = 12
+#: The draw from which on addresses are longer than their entities.
+GROWS = 4
 
 
 def kind_of(entity: Column) -> Column:
@@ -128,7 +132,8 @@ def surrogate(entity: Column, kind: Column, salt: Column, key: str) -> Column:
     digest = draw(key, kind, form, salt.cast("string"))
     domain = draw(key, F.lit("domain"), F.lower(F.substring_index(entity, "@", -1)), salt.cast("string"))
     label = F.substring_index(F.substring_index(entity, "@", -1), ".", 1)
-    email = F.concat(shaped(F.substring_index(entity, "@", 1), digest), F.lit("@"), shaped(label, domain), F.lit(".example."), pick(domain, 31, ("com", "net", "org")))
+    more = F.repeat(F.lit("a"), F.greatest(salt - GROWS + 1, F.lit(0)))
+    email = F.concat(shaped(F.concat(F.substring_index(entity, "@", 1), more), digest), F.lit("@"), shaped(label, domain), F.lit(".example."), pick(domain, 31, ("com", "net", "org")))
     digits = digits_of(entity)
     other = F.array_join(F.transform(F.split(digits, ""), lambda c, i: drawn(digest, i, 10).cast("string")), "")
     # a number's country code stays; the number after it begins with 2 to 9
@@ -140,15 +145,16 @@ def surrogate(entity: Column, kind: Column, salt: Column, key: str) -> Column:
     ip = F.concat_ws(".", *((drawn(digest, k, 254) + 1).cast("string") for k in range(4)))
     iban = F.concat(F.substring(entity, 1, 2), shaped(F.substring(entity, F.lit(3), F.length(entity)), digest))
     out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", respelt(entity, other)).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-    return out.otherwise(_person(entity, digest))
+    return out.otherwise(_person(entity, digest, salt))
 
 
-def _person(entity: Column, digest: Column) -> Column:
+def _person(entity: Column, digest: Column, salt: Column) -> Column:
     title = F.regexp_extract(entity, r"^(\S+ )", 1)
     female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*TITLES["f"])
     cyrillic = F.substring(entity, F.length(title) + 1, F.lit(1)).rlike(r"\p{IsCyrillic}")
     named = lambda script: F.when(female, pick(digest, 0, GIVEN["f", script])).otherwise(pick(digest, 0, GIVEN["m", script]))
-    surname = lambda script: F.initcap(F.concat(*(pick(digest, k, SYLLABLES[script]) for k in (1, 2, 3))))
+    syllable = lambda script: lambda k: F.element_at(F.lit(list(SYLLABLES[script])), drawn(digest, k, len(SYLLABLES[script])) + 1)
+    surname = lambda script: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), salt + 3), syllable(script)), ""))
     both = lambda part: F.when(cyrillic, part("cyrillic")).otherwise(part("latin"))
     several = F.substring(entity, F.length(title) + 1, F.length(entity)).rlike("[ -]")
     return F.concat(title, F.when(several, F.concat(both(named), F.lit(" "))).otherwise(F.lit("")), both(surname))
@@ -165,7 +171,7 @@ def redrawn(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     known = materialise(found.groupBy("kind", "form").agg(F.min("entity").alias("entity")), "entities")
     real = known.select("kind", F.col("form").alias("drawn"), F.lit(True).alias("real"))
     state = known.withColumn("salt", F.lit(0))
-    for _ in range(ROUNDS):
+    while True:
         state = state.withColumn("drawn", normal(surrogate(F.col("entity"), F.col("kind"), F.col("salt"), key), F.col("kind")))
         taken = state.groupBy("kind", "drawn").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("salt", "form")).alias("keeper"))
         clash = taken.join(real, ["kind", "drawn"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "drawn", "keeper", F.coalesce("real", F.lit(False)).alias("real"))
@@ -175,8 +181,6 @@ def redrawn(df: DataFrame, key: str, column: str = "text") -> DataFrame:
         again = F.col("keeper").isNotNull() & (F.col("real") | (F.struct("salt", "form") != F.col("keeper")))
         state = state.join(clash, ["kind", "drawn"], "left").withColumn("salt", F.col("salt") + F.when(again, 1).otherwise(0))
         state = materialise(state.select("kind", "form", "entity", "salt"), "draws")
-    else:
-        raise RuntimeError(f"surrogates still collide after {ROUNDS} draws")
     return state.where("salt > 0").select("kind", "form", "salt")
 
 

@@ -246,6 +246,18 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert [e.text for e in got[99].found] == list(first.values())
 
 
+def test_more_entities_than_the_first_pool_holds(spark, monkeypatch):
+    """8 surnames of three syllables for 90 people, 300 addresses of the shape 1@1.com for 400."""
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba", "del"), "cyrillic": ("ба", "вел")})
+    names = [f"{title} {a}{b}" for title, first, last in (("Mr", "ABCDEFGHI", "abcde"), ("г-н", "АБВГДЕЖЗИ", "абвгд")) for a in first for b in last]
+    mails = [f"{a}@{b}.{end}" for a in range(10) for b in range(10) for end in ("de", "fr", "it", "uk")]
+    rows = list(enumerate(names + mails))
+    got = by_id(pii.replace_pii(spark.createDataFrame(rows, "doc_id bigint, text string"), "k"))
+    drawn = [got[k].text for k, _ in rows]
+    assert all(len(got[k].found) == 1 for k, _ in rows)
+    assert len(set(drawn)) == len(rows) and not set(drawn) & set(names + mails)
+
+
 # ---- quality -------------------------------------------------------------------------------------------------
 
 
