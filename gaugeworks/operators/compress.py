@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Sentences compared with each other at once; longer texts are shortened section by section.
-SECTION = 400
+#: Texts of more sentences are scored without the matrix of all pairs of sentences, to the same scores.
+PAIRS = 400
 
 
 def _z(x: np.ndarray) -> np.ndarray:
@@ -19,23 +19,49 @@ def _z(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / (sd if sd > 0 else 1.0)
 
 
+def _pull(row: np.ndarray, col: np.ndarray, size: np.ndarray, n_words: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The product of the graph of shared words with a vector of its sentences. An edge is the number of shared words
+    over log1p(size) of both ends, and there is none from a sentence to itself. row and col: which sentence has which
+    word."""
+    n, log = len(size), np.log1p(size)
+    if n <= PAIRS:
+        has = np.zeros((n, n_words))
+        has[row, col] = 1
+        graph = has @ has.T / (log[:, None] + log[None, :])
+        np.fill_diagonal(graph, 0)
+        return lambda x: graph @ x
+    # sentences of one size have the same divisor, so their words are summed first: memory in proportion to the text
+    groups = [(np.log1p(s), row[at], col[at]) for s in np.unique(size) for at in [np.flatnonzero(size[row] == s)]]
+    linked = np.bincount(row, np.bincount(col, minlength=n_words)[col] > 1, n) > 0
+    own = np.bincount(row, minlength=n) / (2 * log)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        x = np.where(linked, x, 0.0)
+        out = -own * x
+        for its_log, rows, cols in groups:
+            words = np.bincount(cols, x[rows], n_words)
+            out += np.bincount(row, words[col], n) / (log + its_log)
+        return np.where(linked, out, 0.0)
+
+    return product
+
+
 def sentence_scores(sentences: list[str]) -> np.ndarray:
     """The sum of four z-scores: centrality in the graph of shared words, early place, length in distinct words, and
     words that few other sentences have."""
     words = [set(re.findall(r"\w+", s.lower())) for s in sentences]
     vocabulary = {w: k for k, w in enumerate(sorted(set().union(*words)))}
-    has = np.zeros((len(sentences), max(len(vocabulary), 1)))
-    for k, ws in enumerate(words):
-        has[k, [vocabulary[w] for w in ws]] = 1
-    shared, size = has @ has.T, np.maximum(has.sum(1), 1)
-    graph = shared / (np.log1p(size)[:, None] + np.log1p(size)[None, :])
-    np.fill_diagonal(graph, 0)
-    step = graph / np.maximum(graph.sum(1, keepdims=True), 1e-12)
-    rank = np.full(len(sentences), 1 / len(sentences))
+    n, n_words = len(sentences), max(len(vocabulary), 1)
+    row = np.repeat(np.arange(n), [len(ws) for ws in words])
+    col = np.array([vocabulary[w] for ws in words for w in sorted(ws)], np.int64)
+    size = np.maximum(np.bincount(row, minlength=n), 1).astype(float)
+    pull = _pull(row, col, size, n_words)
+    strength = np.maximum(pull(np.ones(n)), 1e-12)
+    rank = np.full(n, 1 / n)
     for _ in range(30):
-        rank = 0.15 / len(sentences) + 0.85 * step.T @ rank
-    novelty = (has / np.maximum(has.sum(0), 1)).sum(1) / size
-    return _z(rank) + _z(-np.arange(len(sentences), dtype=float)) + _z(size) + _z(novelty)
+        rank = 0.15 / n + 0.85 * pull(rank / strength)
+    novelty = np.bincount(row, 1 / np.bincount(col, minlength=n_words)[col], n) / size
+    return _z(rank) + _z(-np.arange(n, dtype=float)) + _z(size) + _z(novelty)
 
 
 def shortened(text: str, share: float) -> str:
@@ -43,7 +69,7 @@ def shortened(text: str, share: float) -> str:
     sentences = [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s.strip()]
     if len(sentences) < 2:
         return text.strip()
-    score = np.concatenate([sentence_scores(sentences[k : k + SECTION]) for k in range(0, len(sentences), SECTION)])
+    score = sentence_scores(sentences)
     room, kept = share * len(text), []
     for k in np.argsort(-score, kind="stable"):
         if not kept or len(sentences[k]) <= room:

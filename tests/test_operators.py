@@ -33,6 +33,33 @@ def test_compression_keeps_order_and_budget(spark):
     assert [r.short for r in compress.compress(df).orderBy("row_id").collect()][:3] == [None, "", "one"]
 
 
+def _scores_by_all_pairs(sentences):
+    words = [set(s.lower().split()) for s in sentences]
+    n, size = len(words), np.array([max(len(w), 1) for w in words], float)
+    graph = np.array([[len(a & b) / (np.log1p(len(a)) + np.log1p(len(b))) if i != j and a & b else 0.0 for j, b in enumerate(words)] for i, a in enumerate(words)])
+    step, rank = graph / np.maximum(graph.sum(1, keepdims=True), 1e-12), np.full(n, 1 / n)
+    for _ in range(30):
+        rank = 0.15 / n + 0.85 * step.T @ rank
+    frequency = {w: sum(w in other for other in words) for w in set().union(*words)}
+    novelty = np.array([sum(1 / frequency[w] for w in ws) for ws in words]) / size
+    z = lambda x: (x - x.mean()) / (x.std() or 1.0)
+    return z(rank) + z(-np.arange(n, dtype=float)) + z(size) + z(novelty)
+
+
+@pytest.mark.parametrize("n", [30, 950])
+def test_sentences_are_scored_over_the_whole_text(n):
+    r = np.random.default_rng(n)
+    sentences = [" ".join(f"w{int(k)}" for k in r.zipf(1.5, r.integers(1, 15)) % 400) if j % 50 else f"alone{j}" for j in range(n)]
+    want = _scores_by_all_pairs(sentences)
+    assert np.allclose(compress.sentence_scores(sentences), want, atol=1e-9)
+    text, kept, room = "\n".join(sentences), [], 0.5 * len("\n".join(sentences))
+    for k in np.argsort(-want, kind="stable"):
+        if not kept or len(sentences[k]) <= room:
+            kept.append(k)
+            room -= len(sentences[k])
+    assert compress.shortened(text, 0.5) == " ".join(sentences[k] for k in sorted(kept))
+
+
 def test_medoids_and_greedy_anchors(spark):
     r = np.random.default_rng(0)
     centres = np.eye(4)[:3]
