@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,14 +25,37 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, for a column that df gets for a while."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def kept_columns(df: DataFrame, *replaced: str) -> list[Column]:
+    """The columns of df but those named like a result."""
+    gone = {r.lower() for r in replaced}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+
+
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="gaugeworks-")
+    folder = tempfile.TemporaryDirectory(prefix="gaugeworks-")
+    atexit.register(folder.cleanup)
+    return folder.name
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is unset (tests, local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder of spark.checkpoint.dir. Where that is unset, a session that is one process (tests) gets a folder of
+    its own; a cluster gets none, as there is no telling which folders its machines share."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_folder()
 
 
 @contextmanager
