@@ -1,70 +1,113 @@
 """Personal data replaced by surrogates.
 
-Method: one pattern finds the entities of a text; each gets a surrogate drawn by a keyed digest of its kind and normal
-form, so that the same entity has the same surrogate in all documents (coreference). A surrogate has its entity's
-shape: letters for letters of the same script and case, digits for digits, separators kept; addresses move to reserved
-example domains, card numbers keep their first digit and get a right check digit, names keep title and gender. The
-distinct entities of the corpus are then checked: where two share a surrogate, or a surrogate is some real entity, all
-but one draw again until none collides (distinctness), however many draws that takes. Names are drawn from a larger
-pool each time, with one more syllable, and addresses with one more letter from draw GROWS on, so that no corpus has
-more of them than there are surrogates; kinds of a fixed number of digits have no more surrogates than their format.
-All of it is DataFrame functions, and texts are not shuffled
-unless entities had to draw again, and then only if their table is too large for Spark to broadcast.
+Method: one pattern finds the entities of a text, and its groups tell their kinds. An entity is one piece, but for a
+name, whose title, given names and surnames are pieces of their own. Each piece gets a surrogate drawn by a keyed
+digest of its kind and normal form, so that the same piece has the same surrogate in all documents: `Mr Smith`,
+`Mr. Smith` and `Mr John Smith` share a surname (coreference). A surrogate has its entity's shape: letters for letters
+of the same script and case, digits for digits, separators kept; addresses move to reserved example domains, card
+numbers keep their first digit and get a right check digit, names keep title, particles, hyphens, gender and script.
+The distinct pieces of the corpus are then checked: where two share a surrogate, or a surrogate is some real piece, all
+but one draw again until none collides (distinctness), however many draws that takes. Names come from a larger pool
+each time, with one more syllable, and addresses have one more letter from draw GROWS on, so that no corpus has more of
+them than there are surrogates; kinds of a fixed number of digits have no more surrogates than their format. All of it
+is DataFrame functions. Texts are shuffled only where pieces had to draw again, and documents without such a piece are
+then spread evenly.
+
+What counts as a name: one to eight capitalised words after a title (TITLES), or after a given name of GIVEN or MORE_GIVEN
+without a title. Of its words the last one, with all that hyphens join to it, is the surname; those before are given
+names; particles in lower case stay. A given name's gender is that of its list, else that of the title, else the
+digest decides.
 
 Defined results: null texts stay null, empty ones empty; equal texts get equal results; card numbers need a right
-check digit, IP addresses bytes of 0 to 255; an empty table gives an empty table; other columns are kept unless named
-`found`, which is replaced.
+check digit, IP addresses bytes of 0 to 255; an empty table gives an empty table; other columns are kept, whatever
+their names, unless named `found`, which is replaced. No expression recurses, so long texts need no deep stack.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import materialise
+from gaugeworks.llm.common import free_name, kept_columns, materialise
 
-_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_UP, _LOW = r"\p{Lu}", r"\p{Ll}"
-#: Titles with the gender they tell, in the scripts of their languages.
+#: Titles with the gender they tell, in the scripts of their languages; n tells none.
 TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа"),
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"),
+    "f": ("Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Signora", "Dona", "г-жа", "госпожа", "Κυρία"),
+    "m": ("Mr", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Dom", "г-н", "господин", "Κύριος", "Κύριε"),
+    "n": ("Mx", "Dr", "Prof", "Professor", "Doctor", "доктор", "профессор"),
 }
-#: Given names by gender and script.
+#: Given names of surrogates by gender and script; they also begin names without a title.
 GIVEN = {
     ("f", "latin"): ("Anna", "Clara", "Elena", "Emma", "Helen", "Irene", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia"),
     ("m", "latin"): ("Adam", "Daniel", "Erik", "Felix", "Hugo", "Ivan", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Viktor"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София"),
     ("m", "cyrillic"): ("Антон", "Борис", "Иван", "Лев", "Максим", "Олег", "Павел", "Фёдор"),
+    ("f", "greek"): ("Άννα", "Ελένη", "Ειρήνη", "Μαρία", "Σοφία"),
+    ("m", "greek"): ("Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
+}
+#: Further given names that begin a name without a title.
+MORE_GIVEN = {
+    "f": ("Alice", "Barbara", "Carmen", "Catherine", "Elizabeth", "Ingrid", "Jane", "Jennifer", "Karen", "Linda", "Lucía", "Margaret", "María", "Mary", "Olga", "Patricia", "Sarah", "Susan", "Ursula"),
+    "m": ("Andrew", "Charles", "David", "Edward", "Fernando", "George", "Hans", "James", "Jean", "John", "José", "Juan", "Klaus", "Michael", "Peter", "Pierre", "Richard", "Robert", "Thomas", "William"),
 }
-#: Syllables of surrogate surnames.
+#: Syllables of surrogate names.
 SYLLABLES = {
     "latin": ("ba", "del", "fen", "gor", "hal", "ken", "lin", "mar", "nor", "pel", "ros", "sten", "tal", "ver", "wil", "zan"),
     "cyrillic": ("ба", "вел", "гор", "дан", "зор", "кал", "лен", "мир", "нов", "пет", "рос", "сев", "тар", "фед", "хар", "шум"),
+    "greek": ("βα", "γορ", "δελ", "ζαν", "θεν", "καλ", "λιν", "μαρ", "νορ", "πελ", "ροσ", "σταν", "ταλ", "φερ", "χαν", "ψιλ"),
 }
 
-_NAME = rf"(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? {_UP}{_LOW}+(?:[ -]{_UP}{_LOW}+)?"
-#: What each kind looks like. A pattern never begins inside a word, number or address.
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_NAMES = {g: tuple(dict.fromkeys(n for (h, _), ns in GIVEN.items() if h == g for n in ns)) + MORE_GIVEN[g] for g in "fm"}
+_TITLE = rf"(?:{'|'.join(sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}, key=lambda t: (-len(t), t)))})\b\.?"
+_FIRST = rf"(?:{'|'.join(sorted(_NAMES['f'] + _NAMES['m'], key=lambda t: (-len(t), t)))})(?![\p{{L}}\p{{M}}])"
+#: A capitalised word: McDonald, O'Brien, d'Artagnan, José.
+_WORD = r"(?:[dlDL]['’])?+\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{Lu}[\p{L}\p{M}]*+)*+"
+_PARTICLE = r"(?:von|van|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|do|dos|das|du|la|le|el|al|bin|ibn|ter|ten|y|e) "
+_NEXT = rf"[ -](?:{_PARTICLE}){{0,3}}+{_WORD}"
+#: What each kind looks like; possessive repeats, so that no text makes the matcher recurse. A pattern never begins
+#: inside a word, number or address.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}0-9][\p{L}0-9._%+-]*+@[\p{L}0-9][\p{L}0-9.-]*+",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"{_BYTE}(?:\.{_BYTE}){{3}}(?![0-9]|\.[0-9])",
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "person": _NAME,
+    "person": rf"(?=[\p{{Lu}}гдп])(?:{_TITLE} (?:{_PARTICLE}){{0,3}}+{_WORD}(?:{_NEXT}){{0,7}}+|{_FIRST}(?:{_NEXT}){{1,7}}+)",
 }
 KINDS = tuple(PATTERNS)
-PATTERN = rf"(?<![\p{{L}}0-9._%+@-])(?:{'|'.join(PATTERNS.values())})"
+PATTERN = rf"(?<![\p{{L}}\p{{M}}0-9._%+@-])(?:{'|'.join(f'({p})' for p in PATTERNS.values())})"
 #: The draw from which on addresses are longer than their entities.
 GROWS = 4
+#: Pieces of one task of the collision check.
+TASK_PIECES = 2000
+
+# Private-use characters: around an entity, between its groups, and two that escape them in texts that hold them.
+_MARK, _SLOT, _ESCAPE, _IS_MARK, _IS_ESCAPE = (chr(0xE000 + k) for k in range(5))
+_PIECE = "struct<kind:string,text:string,form:string>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# ---- finding -----------------------------------------------------------------------------------------------------
 
 
-def kind_of(entity: Column) -> Column:
-    out = F.when(entity.contains("@"), "email")
-    for kind in KINDS[1:]:
-        out = out.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return out
+def parts_of(text: Column) -> Column:
+    """The text cut at its entities: stretches between them at even places, entities at odd ones, their seven groups
+    divided by _SLOT. The pattern runs once."""
+    clean = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + _IS_ESCAPE)), F.lit(_MARK), F.lit(_ESCAPE + _IS_MARK))
+    groups = _SLOT.join(f"${k}" for k in range(1, len(KINDS) + 1))
+    return F.split(F.regexp_replace(clean, PATTERN, _MARK + groups + _MARK), _MARK, -1)
+
+
+def between(part: Column) -> Column:
+    return F.replace(F.replace(part, F.lit(_ESCAPE + _IS_MARK), F.lit(_MARK)), F.lit(_ESCAPE + _IS_ESCAPE), F.lit(_ESCAPE))
 
 
 def digits_of(entity: Column) -> Column:
@@ -81,16 +124,63 @@ def check_digit(digits: Column) -> Column:
     return F.pmod(F.lit(10) - _luhn_sum(digits) % 10, F.lit(10)).cast("string")
 
 
-def is_entity(entity: Column) -> Column:
-    """What the pattern finds but no kind holds is left alone: numbers whose check digit is wrong."""
-    digits = digits_of(entity)
+def normal(text: Column, kind: Column) -> Column:
+    """Spellings that mean the same piece."""
+    return F.when(kind.isin("phone", "card", "ssn"), digits_of(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit(""))).otherwise(F.lower(text))
+
+
+def _piece(kind: Column, text: Column) -> Column:
+    return F.struct(kind.alias("kind"), text.alias("text"), F.when(kind.isNotNull(), normal(text, kind)).alias("form"))
+
+
+def _no_kind() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _spelt(gender: str) -> list[str]:
+    return [x for t in TITLES[gender] for x in (t, t.upper())]
+
+
+def _name_pieces(name: Column) -> Column:
+    title = F.regexp_extract(name, f"^{_TITLE} ", 0)
+    bare = F.regexp_replace(title, "[. ]+$", "")
+    told = F.when(bare.isin(*_spelt("f")), "f").when(bare.isin(*_spelt("m")), "m")
+    tokens = F.split(F.substring(name, F.length(title) + 1, F.length(name)), "(?<=[ -])|(?=[ -])")
+
+    def one(t: Column, i: Column) -> Column:
+        behind = F.array_position(F.reverse(tokens), " ")  # the last space, counted from the end
+        last = F.when(behind > 0, F.size(tokens) - behind).otherwise(-1)
+        gender = F.when(t.isin(*_NAMES["f"]), "f").when(t.isin(*_NAMES["m"]), "m")
+        gender = F.coalesce(told, gender, F.when(F.crc32(F.lower(t).cast("binary")) % 2 == 0, "f").otherwise("m"))
+        kind = F.when(~t.rlike(r"^(?:[dlDL]['’])?\p{Lu}"), _no_kind()).when(i > last, "surname").otherwise(F.concat(F.lit("given_"), gender))
+        return _piece(kind, t)
+
+    head = F.when(title != "", F.array(_piece(_no_kind(), title))).otherwise(F.array().cast(f"array<{_PIECE}>"))
+    return F.concat(head, F.transform(tokens, one))
+
+
+def entity_of(part: Column) -> Column:
+    return let(F.split(part, _SLOT, -1), lambda slots: let(F.array_join(slots, ""), lambda text: _entity(slots, text)))
+
+
+def _entity(slots: Column, text: Column) -> Column:
+    """Struct (kind, pieces) of an odd part; kind is null for what the pattern finds but no kind holds: card numbers
+    whose check digit is wrong, addresses without a top-level domain. The texts of the pieces make up the entity."""
+    kind = F.get(F.lit(list(KINDS)), F.array_position(F.transform(slots, lambda s: s != ""), True).cast("int") - 1)
+    core = F.regexp_extract(text, r"^[^@]+@[\p{L}0-9.-]*\.\p{L}{2,}", 0)  # a full stop or number may follow an address
+    digits = digits_of(text)
     right = F.right(digits, F.lit(1)) == check_digit(F.substring(digits, F.lit(1), F.length(digits) - 1))
-    return ~(kind_of(entity) == "card") | right
+    kind = F.when((kind == "card") & ~right, _no_kind()).when((kind == "email") & (core == ""), _no_kind()).otherwise(kind)
+    tail = F.substring(text, F.length(core) + 1, F.length(text))
+    pieces = F.when(kind == "person", _name_pieces(text)).when(kind == "email", F.array(_piece(kind, core), _piece(_no_kind(), tail))).otherwise(F.array(_piece(kind, text)))
+    return F.struct(kind.alias("kind"), pieces.alias("pieces"))
+
 
+def entities_of(parts: Column) -> Column:
+    return F.transform(F.filter(parts, lambda p, i: i % 2 == 1), entity_of)
 
-def normal(entity: Column, kind: Column) -> Column:
-    """Spellings that mean the same entity."""
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "ssn"), digits_of(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+
+# ---- drawing -----------------------------------------------------------------------------------------------------
 
 
 def draw(key: str, *parts: Column) -> Column:
@@ -111,7 +201,7 @@ def shaped(entity: Column, digest: Column) -> Column:
     """Letters for letters of the same script and case, digits for digits, all else kept."""
 
     def one(c: Column, i: Column) -> Column:
-        ranges = (("[0-9]", "0", 10), ("[a-z]", "a", 26), ("[A-Z]", "A", 26), ("[а-я]", "а", 32), ("[А-Я]", "А", 32), ("[α-ω]", "α", 25), ("[Α-Ω]", "Α", 17))
+        ranges = ((r"[0-9]", "0", 10), (r"[\p{IsLatin}&&[^\p{Lu}]]", "a", 26), (r"[\p{IsLatin}&&\p{Lu}]", "A", 26), ("[а-яё]", "а", 32), ("[А-ЯЁ]", "А", 32), ("[α-ω]", "α", 25), ("[Α-Ω]", "Α", 17))
         out = F.when(F.lit(False), c)
         for regex, first, n in ranges:
             letters = "".join(chr(ord(first) + k) for k in range(n))
@@ -127,83 +217,103 @@ def respelt(entity: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(c)), "")
 
 
-def surrogate(entity: Column, kind: Column, salt: Column, key: str) -> Column:
-    form = normal(entity, kind)
-    digest = draw(key, kind, form, salt.cast("string"))
-    domain = draw(key, F.lit("domain"), F.lower(F.substring_index(entity, "@", -1)), salt.cast("string"))
-    label = F.substring_index(F.substring_index(entity, "@", -1), ".", 1)
+def _name(text: Column, kind: Column, digest: Column, salt: Column) -> Column:
+    """A surname or given name in the script of text; in capitals if text is."""
+    script = lambda part: F.when(text.rlike(r"\p{IsCyrillic}"), part("cyrillic")).when(text.rlike(r"\p{IsGreek}"), part("greek")).otherwise(part("latin"))
+    syllable = lambda s: lambda k: F.element_at(F.lit(list(SYLLABLES[s])), drawn(digest, k, len(SYLLABLES[s])) + 1)
+    made = lambda n: lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), syllable(s)), ""))
+    listed = lambda g: F.when(salt == 0, script(lambda s: pick(digest, 0, GIVEN[g, s]))).otherwise(script(made(salt + 1)))
+    out = F.when(kind == "surname", script(made(salt + 3))).when(kind == "given_f", listed("f")).otherwise(listed("m"))
+    return F.when((F.length(text) > 1) & (text == F.upper(text)), F.upper(out)).otherwise(out)
+
+
+def _email(text: Column, digest: Column, salt: Column, key: str) -> Column:
+    label = F.substring_index(F.substring_index(text, "@", -1), ".", 1)
     more = F.repeat(F.lit("a"), F.greatest(salt - GROWS + 1, F.lit(0)))
-    email = F.concat(shaped(F.concat(F.substring_index(entity, "@", 1), more), digest), F.lit("@"), shaped(label, domain), F.lit(".example."), pick(domain, 31, ("com", "net", "org")))
-    digits = digits_of(entity)
-    other = F.array_join(F.transform(F.split(digits, ""), lambda c, i: drawn(digest, i, 10).cast("string")), "")
-    # a number's country code stays; the number after it begins with 2 to 9
-    code = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+([0-9]{1,3})(?![0-9])", 1))).otherwise(F.lit(0))
+    domain = draw(key, F.lit("domain"), F.lower(F.substring_index(text, "@", -1)), salt.cast("string"))
+    return let(domain, lambda d: F.concat(shaped(F.concat(F.substring_index(text, "@", 1), more), digest), F.lit("@"), shaped(label, d), F.lit(".example."), pick(d, 31, ("com", "net", "org"))))
+
+
+def _phone(text: Column, digits: Column, other: Column, digest: Column) -> Column:
+    """A number's country code stays; the number after it begins with 2 to 9."""
+    code = F.when(text.startswith("+"), F.length(F.regexp_extract(text, r"^\+([0-9]{1,3})(?![0-9])", 1))).otherwise(F.lit(0))
     first = (drawn(digest, 31, 8) + 2).cast("string")
-    phone = respelt(entity, F.concat(F.substring(digits, F.lit(1), code), first, F.substring(other, code + 2, F.length(digits))))
-    body = F.concat(F.substring(digits, 1, 1), F.substring(other, F.lit(2), F.length(digits) - 2))
-    card = respelt(entity, F.concat(body, check_digit(body)))
-    ip = F.concat_ws(".", *((drawn(digest, k, 254) + 1).cast("string") for k in range(4)))
-    iban = F.concat(F.substring(entity, 1, 2), shaped(F.substring(entity, F.lit(3), F.length(entity)), digest))
-    out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ssn", respelt(entity, other)).when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban)
-    return out.otherwise(_person(entity, digest, salt))
+    new = F.concat(F.substring(digits, F.lit(1), code), first, F.substring(other, code + 2, F.length(digits)))
+    return let(new, lambda d: respelt(text, d))
+
+
+def _number(text: Column, kind: Column, digest: Column) -> Column:
+    def of(digits: Column, other: Column) -> Column:
+        body = F.concat(F.substring(digits, 1, 1), F.substring(other, F.lit(2), F.length(digits) - 2))
+        card = let(body, lambda b: let(F.concat(b, check_digit(b)), lambda d: respelt(text, d)))
+        return F.when(kind == "phone", _phone(text, digits, other, digest)).when(kind == "card", card).otherwise(respelt(text, other))
+
+    other = lambda digits: F.array_join(F.transform(F.split(digits, ""), lambda c, i: drawn(digest, i, 10).cast("string")), "")
+    return let(digits_of(text), lambda digits: let(other(digits), lambda o: of(digits, o)))
 
 
-def _person(entity: Column, digest: Column, salt: Column) -> Column:
-    title = F.regexp_extract(entity, r"^(\S+ )", 1)
-    female = F.regexp_replace(F.trim(title), r"\.$", "").isin(*TITLES["f"])
-    cyrillic = F.substring(entity, F.length(title) + 1, F.lit(1)).rlike(r"\p{IsCyrillic}")
-    named = lambda script: F.when(female, pick(digest, 0, GIVEN["f", script])).otherwise(pick(digest, 0, GIVEN["m", script]))
-    syllable = lambda script: lambda k: F.element_at(F.lit(list(SYLLABLES[script])), drawn(digest, k, len(SYLLABLES[script])) + 1)
-    surname = lambda script: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), salt + 3), syllable(script)), ""))
-    both = lambda part: F.when(cyrillic, part("cyrillic")).otherwise(part("latin"))
-    several = F.substring(entity, F.length(title) + 1, F.length(entity)).rlike("[ -]")
-    return F.concat(title, F.when(several, F.concat(both(named), F.lit(" "))).otherwise(F.lit("")), both(surname))
+def surrogate(text: Column, kind: Column, salt: Column, key: str) -> Column:
+    """What stands for a piece at its draw number `salt`."""
 
+    def of(digest: Column) -> Column:
+        ip = F.concat_ws(".", *((drawn(digest, k, 254) + 1).cast("string") for k in range(4)))
+        iban = F.concat(F.substring(text, 1, 2), shaped(F.substring(text, F.lit(3), F.length(text)), digest))
+        out = F.when(kind == "email", _email(text, digest, salt, key)).when(kind.isin("phone", "ssn", "card"), _number(text, kind, digest))
+        return out.when(kind == "ip", ip).when(kind == "iban", iban).otherwise(_name(text, kind, digest, salt))
 
-def entities_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return let(draw(key, kind, normal(text, kind), salt.cast("string")), of)
 
 
 def redrawn(df: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(kind, form, salt) of the entities of the corpus whose first draw collided: salt is the draw that didn't."""
-    found = df.select(F.explode(entities_of(F.col(column))).alias("entity")).where(is_entity(F.col("entity")))
-    found = found.withColumn("kind", kind_of(F.col("entity"))).withColumn("form", normal(F.col("entity"), F.col("kind")))
-    known = materialise(found.groupBy("kind", "form").agg(F.min("entity").alias("entity")), "entities")
+    """(kind, form, salt) of the pieces of the corpus whose first draw collided: salt is the draw that didn't."""
+    pieces = F.flatten(F.transform(entities_of(parts_of(F.col(column))), lambda e: e.pieces))
+    found = df.where(F.col(column).isNotNull()).select(F.explode(pieces).alias("p")).select("p.*").where("kind is not null")
+    known = materialise(found.groupBy("kind", "form").agg(F.min("text").alias("text")), "pieces")
+    tasks = known.count() // TASK_PIECES + 1
     real = known.select("kind", F.col("form").alias("drawn"), F.lit(True).alias("real"))
-    state = known.withColumn("salt", F.lit(0))
+    again = normal(surrogate(F.col("text"), F.col("kind"), F.col("salt"), key), F.col("kind"))
+    state = known.repartition(tasks).withColumn("salt", F.lit(0))
+    state = materialise(state.withColumn("drawn", again), "draws")
     while True:
-        state = state.withColumn("drawn", normal(surrogate(F.col("entity"), F.col("kind"), F.col("salt"), key), F.col("kind")))
         taken = state.groupBy("kind", "drawn").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("salt", "form")).alias("keeper"))
         clash = taken.join(real, ["kind", "drawn"], "left").where((F.col("n") > 1) | F.col("real")).select("kind", "drawn", "keeper", F.coalesce("real", F.lit(False)).alias("real"))
         clash = materialise(clash, "clashes")
         if clash.isEmpty():
-            break
-        again = F.col("keeper").isNotNull() & (F.col("real") | (F.struct("salt", "form") != F.col("keeper")))
-        state = state.join(clash, ["kind", "drawn"], "left").withColumn("salt", F.col("salt") + F.when(again, 1).otherwise(0))
-        state = materialise(state.select("kind", "form", "entity", "salt"), "draws")
-    return state.where("salt > 0").select("kind", "form", "salt")
+            return state.where("salt > 0").select("kind", "form", "salt")
+        loses = F.col("keeper").isNotNull() & (F.col("real") | (F.struct("salt", "form") != F.col("keeper")))
+        state = state.join(clash, ["kind", "drawn"], "left").withColumn("_loses", F.coalesce(loses, F.lit(False)))
+        state = state.withColumn("salt", F.col("salt") + F.col("_loses").cast("int"))
+        state = materialise(state.withColumn("drawn", F.when(F.col("_loses"), again).otherwise(F.col("drawn"))).select("kind", "form", "text", "salt", "drawn"), "draws")
 
 
-def replace_pii(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+def replace_pii(df: DataFrame, key: str, column: str = "text", found: str = "found") -> DataFrame:
     """df with each entity of the text replaced, and `found`: kind and surrogate of each, in order."""
+    df = df.drop(found)
     salts = materialise(redrawn(df, key, column), "salts")
-    rows = df.drop("found").withColumn("_entities", F.coalesce(entities_of(F.col(column)), F.array().cast("array<string>")))
+    own = {n: free_name(df, n) for n in ("parts", "entities", "salts", "place", "swapped", "text_key")}
+    parts, entities, salt_map, place, swapped, text_key = map(F.col, own.values())
+    rows = df.withColumn(own["parts"], parts_of(F.col(column))).withColumn(own["entities"], F.when(F.size(parts) > 1, entities_of(parts)))
+    none = F.lit(None).cast("map<string,int>")
     if salts.isEmpty():
-        rows = rows.withColumn("_salts", F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(own["salts"], none)
     else:
-        rows = rows.withColumn("_text_key", F.xxhash64(column))
-        pairs = rows.where(F.size("_entities") > 0).select("_text_key", F.explode("_entities").alias("entity")).distinct()
-        pairs = pairs.withColumn("kind", kind_of(F.col("entity"))).withColumn("form", normal(F.col("entity"), F.col("kind")))
-        maps = pairs.join(salts, ["kind", "form"]).groupBy("_text_key").agg(F.map_from_entries(F.collect_set(F.struct("entity", "salt"))).alias("_salts"))
-        rows = rows.join(maps, "_text_key", "left").drop("_text_key")
-
-    def swapped(entity: Column) -> Column:
-        kind = F.when(is_entity(entity), kind_of(entity))
-        salt = F.coalesce(F.element_at("_salts", entity), F.lit(0))
-        return F.struct(kind.alias("kind"), F.when(kind.isNull(), entity).otherwise(surrogate(entity, kind, salt, key)).alias("text"))
-
-    rows = rows.withColumn("_swapped", F.when(F.size("_entities") > 0, F.transform("_entities", swapped)).otherwise(F.array().cast("array<struct<kind:string,text:string>>")))
-    gaps = F.split(column, PATTERN, -1)
-    text = F.concat(F.element_at(gaps, 1), F.array_join(F.zip_with(F.col("_swapped"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda s, g: F.concat(s.text, g)), ""))
-    out = rows.withColumn(column, F.when(F.size("_entities") > 0, text).otherwise(F.col(column))).withColumn("found", F.filter("_swapped", lambda s: s.kind.isNotNull()))
-    return out.select(*(c for c in df.columns if c != "found"), "found")
+        # texts without an entity match nothing and are dealt by their places, so that no key holds them all
+        rows = rows.withColumn(own["place"], F.when(entities.isNull(), F.monotonically_increasing_id()).otherwise(-1)).withColumn(own["text_key"], F.xxhash64(column))
+        asked = rows.where(entities.isNotNull()).select(text_key.alias("k"), F.explode(F.flatten(F.transform(entities, lambda e: e.pieces))).alias("p")).select("k", "p.kind", "p.form").where("kind is not null").distinct()
+        maps = asked.join(salts, ["kind", "form"]).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "form"), "salt"))).alias(own["salts"]))
+        maps = maps.select(F.col("k").alias(own["text_key"]), F.lit(-1).cast("bigint").alias(own["place"]), own["salts"])
+        rows = rows.join(maps, [own["place"], own["text_key"]], "left")
+
+    def replaced(p: Column) -> Column:
+        salt = F.coalesce(F.element_at(salt_map, F.concat_ws("|", p.kind, p.form)), F.lit(0))
+        return F.when(p.kind.isNull(), p.text).otherwise(surrogate(p.text, p.kind, salt, key))
+
+    done = F.transform(entities, lambda e: F.struct(e.kind.alias("kind"), F.transform(e.pieces, replaced).alias("new"), F.transform(e.pieces, lambda p: p.kind).alias("kinds")))
+    rows = rows.withColumn(own["swapped"], done)
+    gaps = F.transform(F.filter(parts, lambda p, i: i % 2 == 0), between)
+    text = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.zip_with(swapped, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda s, g: F.concat(F.array_join(s.new, ""), g)), ""))
+    out = rows.withColumn(column, F.when(swapped.isNull(), F.col(column)).otherwise(text))
+    # an address's surrogate is its first piece alone: what follows isn't part of it
+    shown = lambda s: F.struct(s.kind.alias("kind"), F.when(s.kind == "email", F.get(s.new, F.lit(0))).otherwise(F.array_join(s.new, "")).alias("text"))
+    every = F.coalesce(F.transform(F.filter(swapped, lambda s: s.kind.isNotNull()), shown), F.array().cast("array<struct<kind:string,text:string>>"))
+    return out.select(*kept_columns(df), every.alias(found))
