@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, decontaminate, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
-from gaugeworks.llm.common import table
+from gaugeworks.llm.common import materialise, table
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,12 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Each document that loses text: what stays of it, where that stood, and what went for which earlier document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = materialise(substring.repeated_spans(docs), "spans")
+    gone = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("start_at", "end_at", "first_doc_id", "first_start"))).alias("spans"))
+    left = substring.remove_spans(docs.join(gone.select("doc_id"), "doc_id", "left_semi"), spans)
+    return left.join(gone, "doc_id").select("doc_id", "text", "kept", "spans", "n_spans", "n_words")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,24 +89,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP10_SQL = """
+def _listed_sql(rule: urls.UrlRule) -> str:
+    host, _, path = rule.name.partition("/")
+    return f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}') then '{rule.name}'"
+
+
+OP10_SQL = f"""
 with parts as (
   select page_id,
          translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
   from pages
 ), judged as (
-  select page_id, host, path,
-         case when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
-              when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
-              when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
-              when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule
-  from parts
+  select page_id, host, path, case {" ".join(_listed_sql(r) for r in sorted(urls.LISTED_RULES, key=lambda r: -len(r.name)))} end as rule from parts
 )
 select page_id, host, path, rule,
-       case when rule in ('net/', 'example.com/de/') then 'block'
+       case when rule in ({", ".join(f"'{r.name}'" for r in urls.LISTED_RULES if r.verdict == "block")}) then 'block'
             when rule is not null then 'allow'
-            when regexp_matches(host, '(^|[.-])(spam|pills|casino|xxx)([.-]|$)') or regexp_matches(path, '/wp-login\\.php$') then 'block'
+            when {" or ".join(f"regexp_matches(host || path, '{r.regex}')" for r in urls.PATTERN_RULES if r.verdict == "block")} then 'block'
             else 'allow' end as verdict
 from judged
 """
