@@ -7,7 +7,7 @@ mandatory trigrams scan all documents. The index of a block is complete for that
 executors and memory is bounded by the block.
 
 Defined results: null and empty texts have no spans; repeated rows give equal results; columns other than the text
-are kept; an empty table gives an empty table. Offsets are in code points, ends are exclusive.
+are kept, unless named `found`, which is replaced; an empty table gives an empty table. Offsets are in code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -45,19 +45,21 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),  # the longest runs of 16 or more are the runs of any length that are kept
 )
-#: Further public formats of keys and tokens.
+#: Further public formats of keys and tokens. None takes more than linear time: what comes before a fixed
+#: part has a bounded length, and no match begins inside a run that it would scan again.
 MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP )?PRIVATE KEY(?: BLOCK)?-----"),
     Rule("forge_token", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("pay_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{3,}@[^\s/@]+"),
+    Rule("url_login", r"[A-Za-z][A-Za-z0-9+.-]{0,30}://[^\s:/@]++:[^\s:/@]{3,}+@[^\s/@]+"),
 )
 
 #: A Boolean query: True (anything may match), or a set of alternatives, each a set of trigrams that must all occur.
 Query = bool | frozenset[frozenset[bytes]]
+REPEATS = (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT)
 #: Strings that an expression part may stand for, or None if they are too many to list.
 MOST_STRINGS = 64
 
@@ -92,7 +94,7 @@ def _strings(op, arg) -> set[str] | None:
         if any(kind is not sre.LITERAL or x >= 128 for kind, x in arg):
             return None
         return {chr(x).lower() for _, x in arg}
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+    if op in REPEATS:
         low, high, inner = arg
         one = _sequence(inner)[0]
         if one is None or high is sre.MAXREPEAT or high > 2:
@@ -107,12 +109,12 @@ def _strings(op, arg) -> set[str] | None:
     if op is sre.BRANCH:
         parts = [_sequence(x)[0] for x in arg[1]]
         return None if any(p is None for p in parts) else set().union(*parts)
-    return {""} if op is sre.AT else None
+    return {""} if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT) else None
 
 
 def _inner(op, arg) -> Query:
     """What must occur inside an element whose strings can't be listed."""
-    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+    if op in REPEATS:
         return _sequence(arg[2])[1] if arg[0] else True
     if op is sre.SUBPATTERN:
         return _sequence(arg[3])[1]
