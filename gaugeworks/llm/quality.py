@@ -1,14 +1,17 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
 Method: a text is a vector of hashed byte trigrams, log(1 + count) times inverse document frequency over all
-documents, at unit length, and one more coordinate: the share of its three-word shingles that repeat earlier ones. The vectors of a bounded sample of labelled rows (SAMPLE of each label at most) give, by singular value
-decomposition, a latent space of RANK dimensions. The labelled vectors in that space are broadcast (SAMPLE * 2 * RANK
-floats at most). Every document, block by block, gets its exact cosine with each of them, and the NEIGHBOURS nearest
-vote with a weight that grows with their similarity.
+documents, at unit length, and one more coordinate: the share of its three-word shingles that repeat earlier ones. The
+vectors of a bounded sample of labelled rows (SAMPLE of each label at most) give, by singular value decomposition, a
+latent space of RANK dimensions. The labelled vectors in that space are broadcast (SAMPLE * 2 * RANK numbers at most).
+Every document, block by block, gets its exact cosine with each of them, and the NEIGHBOURS nearest vote with a weight
+that grows with their similarity. Vectors are whole multiples of 1 / UNIT, so that sums of products are exact in
+doubles and a text's score doesn't depend on the texts beside it; of equally near neighbours the lower doc_id counts.
 
 Defined results: null and empty texts, and texts of under three bytes, have no direction and get the share of label 1
-among the training rows; a row labelled both ways is not learnt from; repeated rows get equal scores; with no usable
-label every score is 0.5; an empty table gives an empty table; columns named like a result are replaced.
+among the training rows; a row labelled both ways is not learnt from; of several texts of a labelled id that of least
+hash is learnt; repeated rows get equal scores; with no usable label every score is 0.5; an empty table gives an empty
+table; columns named like a result are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ NEIGHBOURS = 25
 BLOCK = 512
 #: The greatest value of the coordinate for repetition, beside a unit vector.
 REPETITION = 2.0
+#: Coordinates are whole multiples of 1 / UNIT: products of two sum exactly in doubles.
+UNIT = 1 << 20
 #: A neighbour's weight is its cosine to this power.
 SHARPNESS = 4
 
@@ -64,9 +69,24 @@ def repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(doc[1:][again], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1)
 
 
+_LOGS = np.log1p(np.arange(1 << 16))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Rows at length UNIT, rounded to whole numbers; zero rows stay zero. Rows of whole numbers of up to 2 ** 20 have
+    exact squared lengths, so a row's result depends on itself alone."""
+    return np.rint(x * (UNIT / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1.0))[:, None])
+
+
 def vectors(counts: np.ndarray, repeated: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = _unit(np.log1p(counts, dtype=np.float32) * idf)
-    return np.concatenate([x, (REPETITION * repeated[:, None]).astype(np.float32)], 1)
+    """(documents, FEATURES + 1) whole numbers, in units of 1 / UNIT."""
+    x = np.rint(_LOGS[np.minimum(counts, len(_LOGS) - 1)] * idf * 1024)
+    return np.concatenate([_whole(x), np.rint(REPETITION * UNIT * repeated)[:, None]], 1)
+
+
+def latent(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors (in units of 1 / UNIT) in the space of axes (likewise)."""
+    return _whole(np.rint(x @ axes / UNIT))
 
 
 def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -75,10 +95,6 @@ def blocks_of(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
             yield part.slice(k, BLOCK)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
 @dataclass
 class Model:
     idf: np.ndarray
@@ -90,11 +106,18 @@ class Model:
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(offsets) - 1, self.prior)
-        cosine = _unit(vectors(trigram_counts(data, offsets), repetition(data, offsets), self.idf) @ self.axes) @ self.vectors.T
+        products = latent(vectors(trigram_counts(data, offsets), repetition(data, offsets), self.idf), self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** SHARPNESS
-        return ((weight * self.labels[near]).sum(1) + 1e-6 * self.prior) / (weight.sum(1) + 1e-6)
+        # one number orders neighbours by product, then by their place, which follows doc_id
+        order = products * 4096 + np.arange(len(self.labels), 0, -1)
+        near = np.argpartition(-order, k - 1, axis=1)[:, :k]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(order, near, 1), axis=1), 1)
+        votes, weights = np.zeros(len(products)), np.zeros(len(products))
+        for j in range(k):  # in order, so that equal rows have equal sums
+            weight = np.maximum(products[np.arange(len(products)), near[:, j]] / UNIT**2, 0) ** SHARPNESS
+            votes += weight * self.labels[near[:, j]]
+            weights += weight
+        return (votes + 1e-6 * self.prior) / (weights + 1e-6)
 
 
 def document_frequencies(df: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -126,25 +149,33 @@ def labelled_sample(labels: DataFrame, key: str, label: str) -> DataFrame:
 
 def fit(df: DataFrame, labels: DataFrame, column: str = "text", key: str = "doc_id", label: str = "quality") -> Model:
     found, n = document_frequencies(df, column)
-    idf = np.log((1 + n) / (1 + found)).astype(np.float32) + 1
+    idf = np.log((1 + n) / (1 + found)) + 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch, column):
-                counts = np.minimum(trigram_counts(*packed(block, column)), 65535).astype("<u2")
-                columns = [block.column("label"), block.column(key), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array(repetition(*packed(block, column)))]
-                yield pa.RecordBatch.from_arrays(columns, ["label", key, "counts", "repeated"])
+                counts = trigram_counts(*packed(block, column))
+                seen = [np.flatnonzero(c) for c in counts]  # most features of a text are 0
+                at = pa.array([a.astype("<u2").tobytes() for a in seen], pa.binary())
+                n = pa.array([np.minimum(c[a], 65535).astype("<u2").tobytes() for c, a in zip(counts, seen, strict=True)], pa.binary())
+                columns = [block.column("label"), block.column(key), at, n, pa.array(repetition(*packed(block, column)))]
+                yield pa.RecordBatch.from_arrays(columns, ["label", key, "at", "n", "repeated"])
 
     sample = F.broadcast(labelled_sample(labels, key, label))
-    rows = df.select(key, column).join(sample, key).dropDuplicates([key]).select("label", key, column)
-    rows = sorted(rows.mapInArrow(run, f"label int, {key} bigint, counts binary, repeated double").collect(), key=lambda r: r[key])
-    y = np.array([r.label for r in rows], float)
+    texts = df.select(key, column).join(sample, key).groupBy(key).agg(F.min("label").alias("label"), F.min_by(column, F.xxhash64(column)).alias(column)).select("label", key, column)
+    rows = texts.mapInArrow(run, f"label int, {key} bigint, at binary, n binary, repeated double").orderBy(key).toArrow()  # 2 * SAMPLE rows at most
+    y = rows.column("label").to_numpy().astype(float)
     if not len(y):
-        return Model(idf, np.zeros((FEATURES + 1, RANK), np.float32), np.zeros((0, RANK), np.float32), y, 0.5)
-    counts = np.stack([np.frombuffer(r.counts, "<u2") for r in rows])
-    x = vectors(counts, np.array([r.repeated for r in rows]), idf)
-    axes = latent_axes(x)
-    return Model(idf, axes, _unit(x @ axes), y, float(y.mean()))
+        return Model(idf, np.zeros((FEATURES + 1, RANK)), np.zeros((0, RANK)), y, 0.5)
+    x = np.empty((len(y), FEATURES + 1), np.float32)
+    at, n, repeated = rows.column("at"), rows.column("n"), rows.column("repeated").to_numpy()
+    for k in range(len(y)):
+        counts = np.zeros((1, FEATURES), np.int64)
+        counts[0, np.frombuffer(at[k].as_py(), "<u2")] = np.frombuffer(n[k].as_py(), "<u2")
+        x[k] = vectors(counts, repeated[k : k + 1], idf)[0] / UNIT
+    axes = np.rint(latent_axes(x) * float(UNIT))
+    own = np.concatenate([latent(np.rint(x[k : k + 64].astype(float) * UNIT), axes) for k in range(0, len(x), 64)])
+    return Model(idf, axes, own, y, float(y.mean()))
 
 
 def latent_axes(x: np.ndarray) -> np.ndarray:
@@ -153,7 +184,7 @@ def latent_axes(x: np.ndarray) -> np.ndarray:
     basis = np.linalg.qr(x @ np.random.default_rng(0).standard_normal((x.shape[1], rank), np.float32))[0]
     for _ in range(6):
         basis = np.linalg.qr(x @ (x.T @ basis))[0]
-    return np.ascontiguousarray(np.linalg.svd(basis.T @ x, full_matrices=False)[2][:RANK].T)
+    return np.ascontiguousarray(np.linalg.svd(basis.T @ x, full_matrices=False)[2][:RANK].T, float)
 
 
 def score_quality(df: DataFrame, model: Model, column: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
@@ -164,8 +195,8 @@ def score_quality(df: DataFrame, model: Model, column: str = "text", out: str =
         for batch in batches:
             for block in blocks_of(batch, column):
                 score = shared.value.scores(*packed(block, column))
-                names = [c for c in block.schema.names if c != out and (keep_text or c != column)]
+                names = [c for c in block.schema.names if c.lower() != out.lower() and (keep_text or c != column)]
                 yield pa.RecordBatch.from_arrays([*(block.column(c) for c in names), pa.array(np.clip(score, 0, 1))], [*names, out])
 
-    fields = [f for f in df.schema.fields if f.name != out and (keep_text or f.name != column)]
+    fields = [f for f in df.schema.fields if f.name.lower() != out.lower() and (keep_text or f.name != column)]
     return df.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())]))
