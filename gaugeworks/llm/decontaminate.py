@@ -6,12 +6,14 @@ document; each hit proposes a place, and Myers' bit-parallel algorithm gives the
 any stretch of text there. Letters are compared in lower case, and line ends and tabs as spaces; offsets stay those
 of the original text.
 
-The items are taken in blocks of at most BLOCK_BYTES, and each block is broadcast and run against all documents, so
-what is broadcast is bounded for benchmarks of any size.
-
-Defined results: null and empty texts and items match nothing, nor do items of under LEAST characters; repeated items
-are reported each; repeated documents get equal hits; of an item's places in a document the one of least distance is
-kept, the first of equal ones; empty tables give no hits; columns named like a result are replaced.
+The items are taken in blocks of at most BLOCK_BYTES. Each block is broadcast and run against all documents, and where
+there are several, the documents with their hits so far are stored in between, so that a task has one block's automaton
+at a time: memory is bounded for benchmarks of any size.
+
+Defined results: null and empty texts and items match nothing; an item too short for an edit (under 16 characters) must
+stand between characters that are neither letters nor digits; repeated items are reported each, as are rows of one
+item_id; repeated documents get equal hits; of an item's places in a document the one of least distance is kept, the
+first of equal ones; empty tables give no hits; columns named like a result are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import slices, texts_of
+from gaugeworks.llm.common import kept_columns, materialise, slices, texts_of
 
 ERRORS_PER_CHARACTER = 1 / 16
-LEAST = 24
 BLOCK_BYTES = 4 << 20
 
 HITS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "start", "end", "distance")]))
@@ -74,11 +75,16 @@ def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def apart(text: str, start: int, end: int) -> bool:
+    """Is there no letter or digit right before start or after end?"""
+    return not (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum())
+
+
 class Matcher:
     """The pieces of one block of items, ready to be found."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, int(len(t) * ERRORS_PER_CHARACTER)) for i, t in ((i, folded(t or "")) for i, t in items) if len(t) >= LEAST]
+        self.items = [(i, t, int(len(t) * ERRORS_PER_CHARACTER)) for i, t in ((i, folded(t or "")) for i, t in items) if t.strip()]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, errors) in enumerate(self.items):
             for at, piece in pieces(t, errors):
@@ -90,7 +96,7 @@ class Matcher:
 
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, distance) of each item that occurs, by start."""
-        if not self.items or len(text) < LEAST // 2:
+        if not self.items or not text:
             return []
         low = folded(text)
         places: dict[int, set[int]] = {}
@@ -100,8 +106,8 @@ class Matcher:
         out = []
         for k, starts in places.items():
             item_id, item, errors = self.items[k]
-            best = next(((0, s, s + len(item)) for s in sorted(starts) if s >= 0 and low.startswith(item, s)), None)
-            if best is None:
+            best = next(((0, s, s + len(item)) for s in sorted(starts) if s >= 0 and low.startswith(item, s) and (errors or apart(low, s, s + len(item)))), None)
+            if best is None and errors:
                 best = self._nearest(item, errors, low, sorted(starts))
             if best:
                 out.append((item_id, best[1], best[2], best[0]))
@@ -131,7 +137,7 @@ def _matcher(items: tuple[tuple[int, str], ...]) -> Matcher:
 
 def item_blocks(items: DataFrame, column: str = "text", key: str = "item_id") -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks of about BLOCK_BYTES; the driver holds one block at a time."""
-    rows = items.where(F.length(column) >= LEAST).select(F.col(key).cast("bigint").alias("k"), F.col(column).alias("t"))
+    rows = items.where(F.length(column) > 0).select(F.col(key).cast("bigint").alias("k"), F.col(column).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
     for k in range(n):
@@ -142,10 +148,14 @@ def item_blocks(items: DataFrame, column: str = "text", key: str = "item_id") ->
 def benchmark_hits(df: DataFrame, items: DataFrame, column: str = "text", out: str = "hits", keep_text: bool = True) -> DataFrame:
     """Add `out`: the items found in each text, with place and distance."""
     spark = df.sparkSession
-    names = [c for c in df.columns if c != out]
-    result = df.select(*names).withColumn(out, F.lit(None).cast(HITS))
+    result = df.select(*kept_columns(df, out)).withColumn(out, F.lit(None).cast(HITS))
+    before = None
     for block in item_blocks(items):
-        result = _with_hits(result, spark.sparkContext.broadcast(tuple(block)), column, out)
+        if before is not None:  # one automaton a task
+            result = materialise(result, "hits")
+            before.destroy()
+        before = spark.sparkContext.broadcast(tuple(block))
+        result = _with_hits(result, before, column, out)
     result = result.withColumn(out, F.coalesce(out, F.array().cast(HITS)))
     return result if keep_text else result.drop(column)
 
