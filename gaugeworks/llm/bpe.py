@@ -3,7 +3,8 @@
 Method: the pieces that the pre-tokeniser's pattern finds, each distinct piece of a batch once, are laid out as
 rows of padded numpy matrices, in buckets of similar length. Each round every row merges its leftmost pair of
 least rank; pairs are looked up in a hash table of numpy arrays; rows without a pair that merges leave the matrix
-(compaction). The ids equal those of the tiktoken library for the same ranks and pattern.
+(compaction). Equal pairs right of the leftmost one merge in the same round, unless a pair that comes about in between
+has a lower rank and would go first; so a long piece of few different pairs takes few rounds. The ids equal those of the tiktoken library for the same ranks and pattern.
 
 Defined results: null and empty texts have no ids; repeated rows give equal results; columns other than the text
 are kept as they are unless named `ids` or `decoded`, which are replaced; an empty table gives an empty table.
@@ -12,7 +13,6 @@ are kept as they are unless named `ids` or `decoded`, which are replaced; an emp
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,8 +27,6 @@ from gaugeworks.llm.common import slices, texts_of
 NONE = np.uint32(0xFFFFFFFF)
 #: Entries of a worker's memory of pieces; at this count it starts anew, which changes speed alone.
 REMEMBERED = 120_000
-#: A row's rounds cost its width each: beyond this many bytes a piece is merged by a heap, with the same result.
-WIDEST = 2048
 
 
 class Ranks:
@@ -82,65 +80,76 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
+def _at_once(rank: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which columns merge: those of least rank, from the left, none that shares an id with the one before it."""
+    merge = rank == least[:, None]
+    run = merge[:, 1:] & merge[:, :-1]
+    if run.any():  # overlapping pairs, as in aaaa: every other one, counted from the run's beginning
+        cols = np.arange(rank.shape[1])
+        begins = np.where(merge & ~np.pad(run, ((0, 0), (1, 0))), cols, 0)
+        merge &= (cols - np.maximum.accumulate(begins, axis=1)) % 2 == 0
+    return merge
+
+
+def _overtaken(ranks: Ranks, ids: np.ndarray, merge: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Rows in which a merge makes a pair of a lower rank than its own, which would have to go before the next merge."""
+    row, col = np.nonzero(merge)
+    new = least[row]
+    width = ids.shape[1]
+    wide = np.pad(ids, ((0, 0), (2, 2)), constant_values=NONE)
+    merged = np.pad(merge, ((0, 0), (2, 2)))
+    before = np.where(merged[row, col], new, wide[row, col + 1])  # merges go from the left: the one before is done
+    after = np.where(col + 2 < width, wide[row, col + 4], NONE)
+    low = (ranks.lookup(before, new) < new) | (ranks.lookup(new, after) < new)
+    return np.bincount(row[low], minlength=len(ids)) > 0
+
+
 def merge_rows(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
     """Ids of pieces of similar length, merged together as the rows of one padded matrix."""
     n = np.fromiter(map(len, pieces), np.int64, len(pieces))
     width = int(n.max())
-    cols = np.arange(width)
     ids = np.full((len(pieces), width), NONE, np.uint32)
-    ids[cols < n[:, None]] = ranks.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
+    ids[np.arange(width) < n[:, None]] = ranks.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
     rank = np.full((len(pieces), width), NONE, np.uint32)  # of the pair that begins in each column
     if width > 1:
         rank[:, :-1] = ranks.lookup(ids[:, :-1], ids[:, 1:])
     out: list = [None] * len(pieces)
     row = np.arange(len(pieces))
     while len(row):
-        best = rank.argmin(axis=1)  # the leftmost of equal ranks
-        least = rank[np.arange(len(row)), best]
+        least = rank.min(axis=1)
         over = least == NONE
         if over.any():
             for k in np.flatnonzero(over):
                 out[row[k]] = ids[k, : n[k]].copy()
             stay = ~over
-            row, n, best, least, ids, rank = row[stay], n[stay], best[stay], least[stay], ids[stay], rank[stay]
+            row, n, least, ids, rank = row[stay], n[stay], least[stay], ids[stay], rank[stay]
             if not len(row):
                 break
-            width = int(n.max())  # compaction: finished rows and spare columns go
-            ids, rank = ids[:, :width], rank[:, :width]
-        at = np.arange(len(row))
-        cols = np.arange(width - 1)
-        source = cols + (cols > best[:, None])
-        ids[at, best] = least
-        ids = np.concatenate([np.take_along_axis(ids, source, 1), np.full((len(row), 1), NONE, np.uint32)], 1)
-        rank = np.concatenate([np.take_along_axis(rank, source, 1), np.full((len(row), 1), NONE, np.uint32)], 1)
-        n = n - 1
-        after = np.minimum(best + 1, width - 1)
-        rank[at, best] = ranks.lookup(ids[at, best], ids[at, after])
-        before = np.maximum(best - 1, 0)
-        rank[at, before] = np.where(best > 0, ranks.lookup(ids[at, before], ids[at, best]), rank[at, before])
+        merge = _at_once(rank, least)
+        if merge.sum() > len(row):
+            one = _overtaken(ranks, ids, merge, least)
+            if one.any():  # the leftmost alone
+                merge[one] &= np.cumsum(merge[one], axis=1) == 1
+        # compaction: what merges into its left neighbour goes, and so do spare columns
+        keep = np.arange(ids.shape[1]) < n[:, None]
+        keep[:, 1:] &= ~merge[:, :-1]
+        n = keep.sum(axis=1)
+        width = int(n.max())
+        ids = np.where(merge, least[:, None], ids)
+        held = np.arange(width) < n[:, None]
+        ids, rank, merge = (_packed_left(x, keep, held, spare) for x, spare in ((ids, NONE), (rank, NONE), (merge, False)))
+        touched = merge.copy()  # pairs that begin with a new id or end in one
+        touched[:, :-1] |= merge[:, 1:]
+        r, c = np.nonzero(touched)
+        last = c + 1 >= width
+        rank[r, c] = np.where(last, NONE, ranks.lookup(ids[r, c], ids[r, np.where(last, c, c + 1)]))
     return out
 
 
-def merge_long(ranks: Ranks, piece: bytes) -> np.ndarray:
-    """The same merges for one very long piece, by a heap of pairs over a linked list."""
-    ids = ranks.of_byte[np.frombuffer(piece, np.uint8)].tolist()
-    n = len(ids)
-    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-    pair = lambda a, b: ranks.ids.get(ranks.tokens[a] + ranks.tokens[b])
-    heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := pair(ids[k], ids[k + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        r, k, a, b = heapq.heappop(heap)
-        j = after[k]
-        if ids[k] != a or j >= n or ids[j] != b:
-            continue
-        ids[k], ids[j], after[k] = r, -1, after[j]
-        if after[k] < n:
-            before[after[k]] = k
-        for x in (before[k], k):
-            if x >= 0 and after[x] < n and (y := pair(ids[x], ids[after[x]])) is not None:
-                heapq.heappush(heap, (y, x, ids[x], ids[after[x]]))
-    return np.array([i for i in ids if i >= 0], np.uint32)
+def _packed_left(x: np.ndarray, keep: np.ndarray, held: np.ndarray, spare) -> np.ndarray:
+    out = np.full(held.shape, spare, x.dtype)
+    out[held] = x[keep]
+    return out
 
 
 def encode_pieces(ranks: Ranks, pieces: list[str]) -> dict[str, bytes]:
@@ -151,8 +160,6 @@ def encode_pieces(ranks: Ranks, pieces: list[str]) -> dict[str, bytes]:
         raw = p.encode()
         if (whole := ranks.ids.get(raw)) is not None:
             found[p] = whole.to_bytes(4, "little")
-        elif len(raw) > WIDEST:
-            found[p] = merge_long(ranks, raw).astype("<u4").tobytes()
         else:
             buckets.setdefault(len(raw) if len(raw) < 16 else 1 << len(raw).bit_length(), []).append((p, raw))
     for width, rows in buckets.items():
