@@ -3,7 +3,7 @@
 Method: all ids are counted once into one frequency table, scaled to 2**SCALE_BITS, that every block shares. A block
 holds whole documents in ascending doc_id order. Its ids go round LANES interleaved 64-bit states, which push 32-bit
 words to one stream. At each CHECKPOINT_STEPS steps the states and the place in the stream are stored, so that a
-block's segments are decoded side by side, and each block has a checksum of its ids. Blocks depend on nothing but the
+block's segments are decoded side by side, and each block has a checksum of its ids and of whose they are. Blocks depend on nothing but the
 shared table. numpy advances all blocks (to encode) or segments (to decode) of a batch together.
 
 The files: a folder with `blocks` (one row a block, as Parquet) and `table` (symbol, frequency). Spark writes and
@@ -52,7 +52,14 @@ class WordTokenizer:
 
     The library's pre-tokeniser never joins what a space, tab or line end divides, so a text's ids are those of its
     words in a row. Letters and the plain signs after them are two of its pieces, so these are kept apart too. Each
-    distinct word is encoded once and remembered."""
+    distinct word is encoded once and remembered. All of that holds for tokenizers that pass PROBES; the texts of any
+    other are encoded whole."""
+
+    #: Texts whose ids must be those of their words, or the tokenizer isn't one whose words can be taken apart.
+    PROBES = (
+        "The cat sat, quite still; on the mat.  Twice\tor\r\nthrice!", "don't we'll I'd (you're) 'tis rock'n'roll", "ÉCOLE Straße naïve café, ¿qué? Ñandú", "x=1; y+=2.5e-3 #define A_B <|endoftext|> <|pad|>",
+        "日本語 한국어 Σας İstanbul ﬁn e\u0301 \u00a0 \x85 \x1c \u200b", "UPPER lower MiXeD 1st 22nd 3,000.50 a1b2 ... --- !!! a.b.c", " leading and trailing ", "", "\n\n", "wordsigns!?( and )more, \"quoted\" `code` ~tilde",
+    )
 
     _cut = re.compile("[ \t\r\n]+").split
     #: A word with signs after it, which is cut if normalising keeps its letters letters. An apostrophe may begin a contraction, which is a piece of another kind.
@@ -74,6 +81,8 @@ class WordTokenizer:
         self.model = self.own.model if '"type":"ByteLevel"' in self.own.to_str().replace(" ", "") else None
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        whole = [np.array(self.own.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t in self.PROBES]
+        self.by_words = self._by_words(list(self.PROBES)) == whole
 
     def direct(self, part: str) -> list[int] | None:
         """The ids of a part that normalising leaves as it is and that is one piece: it needs the library's model only."""
@@ -119,6 +128,11 @@ class WordTokenizer:
             self.known[w] = b"".join(self.parts[x] for x in split.get(w, (w,)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.by_words:
+            return self._by_words(texts)
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         words = [self.words(t) for t in texts]
         every = [w for ws in words for w in ws]
         got = list(map(self.known.get, every))
@@ -272,7 +286,8 @@ class Table:
             if len(row):
                 count = pull.sum(1)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                x[row, lane] = x[row, lane] << _32 | words[at[row] + rank]
+                # a damaged block may ask for more words than there are: its checksum tells
+                x[row, lane] = x[row, lane] << _32 | words[np.clip(at[row] + rank, 0, len(words) - 1)]
                 at[:a] += count
             state[:a] = x
         place = np.empty(len(order), np.int64)
@@ -316,7 +331,8 @@ def write_blocks(tokenised: DataFrame, path: str, size: int, width: int, key: st
             for (_, start, n, docs, counts, raw), (marks, words) in zip(ready, coded, strict=True):
                 known = np.array([0 if d is None else d for d in docs], "<i8")
                 nulls = np.array([d is None for d in docs], np.uint8)
-                rows.append((int(known[0]), start, n, width, known.tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes(), marks, words, zlib.crc32(b"".join(raw))))
+                about = known.tobytes(), nulls.tobytes(), np.array(counts, "<u4").tobytes()
+                rows.append((int(known[0]), start, n, width, *about, marks, words, zlib.crc32(b"".join([*about, *raw]))))
             ready.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW_BLOCKS, strict=True)], [f.split()[0] for f in BLOCKS.split(", ")])
 
@@ -361,7 +377,8 @@ def read_blocks(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
                 decoded = table.decode([(r["n_tokens"], r["checkpoints"], r["words"]) for r in rows])
                 docs, starts, counts, packed = [], [], [], []
                 for r, ids in zip(rows, decoded, strict=True):
-                    if zlib.crc32(ids.astype(f"<u{r['id_bytes']}").tobytes()) != r["checksum"]:
+                    about = r["doc_ids"] + r["doc_nulls"] + r["doc_tokens"]
+                    if zlib.crc32(about + ids.astype(f"<u{r['id_bytes']}").tobytes()) != r["checksum"]:
                         raise ValueError(f"block at {r['start']} doesn't match its checksum")
                     n = np.frombuffer(r["doc_tokens"], "<u4").astype(np.int64)
                     until = np.cumsum(n)
