@@ -7,7 +7,8 @@ normaliser and case folder are those of the ICU library that Spark brings for it
 
 Defined results: null and empty texts are one and the same empty form; white space is what Unicode calls so; rows of
 equal doc_id have one place in the ring of documents; rows without a doc_id have no
-place in it and no row in edited_fingerprints; an empty table gives an empty table; other columns are kept unless named like a result.
+place in it and no row in edited_fingerprints; an empty table gives an empty table; other columns are kept by
+with_fingerprints, whatever their names, unless named `fingerprint`, which is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import materialise, text_or_empty
+from gaugeworks.llm.common import free_name, kept_columns, materialise, text_or_empty
 
 
 def canonical(text: Column) -> Column:
@@ -51,14 +52,14 @@ def collisions(forms: DataFrame) -> DataFrame:
 
 def with_fingerprints(df: DataFrame, column: str = "text", bits: int = 128) -> DataFrame:
     """Add `fingerprint`: equal for texts of equal canonical form and for no others."""
-    rows = df.drop("fingerprint").withColumn("_form", canonical(text_or_empty(column))).withColumn("_h", bucket(F.col("_form"), bits))
-    shared = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h")
-    found = collisions(rows.join(shared, "_h", "left_semi").select(F.col("_h").alias("h"), F.col("_form").alias("form")))
+    form, h, variant = (free_name(df, n) for n in ("form", "h", "variant"))
+    rows = df.select(*kept_columns(df, "fingerprint")).withColumn(form, canonical(text_or_empty(column))).withColumn(h, bucket(F.col(form), bits))
+    shared = rows.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(h)
+    found = collisions(rows.join(shared, h, "left_semi").select(F.col(h).alias("h"), F.col(form).alias("form")))
     if found.isEmpty():
-        return rows.withColumn("fingerprint", text_of(F.col("_h"), F.lit(0))).drop("_form", "_h")
-    found = found.toDF("_h", "_form", "_variant")
-    rows = rows.join(found, ["_h", "_form"], "left")
-    return rows.withColumn("fingerprint", text_of(F.col("_h"), F.coalesce("_variant", F.lit(0)))).select(*(c for c in df.columns if c != "fingerprint"), "fingerprint")
+        return rows.select(*kept_columns(df, "fingerprint"), text_of(F.col(h), F.lit(0)).alias("fingerprint"))
+    rows = rows.join(found.toDF(h, form, variant), [h, form], "left")
+    return rows.select(*kept_columns(df, "fingerprint"), text_of(F.col(h), F.coalesce(variant, F.lit(0))).alias("fingerprint"))
 
 
 # ---- each document and its successor ------------------------------------------------------------------------
