@@ -11,8 +11,9 @@ of bounded size, and only links leave a block. Classes linked to the same centre
 comparison, so a group of copies costs one comparison a class, not all pairs.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and are linked with nothing; a text
-of fewer than five words is one shingle; repeated rows are one class; an empty table gives an empty table; other
-columns aren't kept.
+of fewer than five words is one shingle; repeated rows are one class, whatever their ids, and a null id is larger than
+all others and kept only where no other id is in its class; an empty table gives an empty table; other columns aren't
+kept.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ SKETCH = 64
 MIN_SHARED = 32
 #: Pairs whose estimate is below this can't be links, but for five standard deviations of chance.
 LEAST_ESTIMATE = 0.48
-#: Shingles in a side of a block of comparisons.
+#: Shingles and classes in a side of a block of comparisons.
 BLOCK_SHINGLES = 1 << 16
+BLOCK_ROWS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -136,7 +138,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compare_block(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links between the orphans and the members of one block; both hold at most about BLOCK_SHINGLES shingles."""
+    """Links between the orphans and the members of one block; both hold at most about BLOCK_SHINGLES shingles and BLOCK_ROWS rows."""
     side, comp, c = rows.column("side").to_numpy(), rows.column("comp").to_numpy(), rows.column("c").to_numpy()
     lists = rows.column("shingles").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
@@ -176,10 +178,10 @@ def links_among_groups(pairs: DataFrame, comps: DataFrame, sets: DataFrame, size
     own = own.join(comps.select(F.col("node").alias("z"), F.col("component").alias("zcomp")), "z", "left").withColumn("zcomp", F.coalesce("zcomp", "z"))
     own = own.join(sizes, "c").withColumn("orphan", F.col("comp") != F.col("zcomp"))
     per_group = own.groupBy("z").agg(
-        F.sum(F.when(F.col("orphan"), F.col("n"))).alias("orphan_n"), F.sum("n").alias("member_n"), F.count(F.lit(1)).alias("members"), F.max("n").alias("most")
+        F.sum(F.when(F.col("orphan"), F.col("n"))).alias("orphan_n"), F.sum("n").alias("member_n"), F.count(F.lit(1)).alias("members"), F.sum(F.col("orphan").cast("int")).alias("orphans")
     ).where("orphan_n > 0 and members > 1")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK_SHINGLES).cast("int")
-    own = own.join(per_group.select("z", blocks("orphan_n").alias("n_o"), blocks("member_n").alias("n_m")), "z")
+    blocks = lambda n, rows: F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(rows) / BLOCK_ROWS)).cast("int")
+    own = own.join(per_group.select("z", blocks("orphan_n", "orphans").alias("n_o"), blocks("member_n", "members").alias("n_m")), "z")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     orphans = own.where("orphan").select("z", F.pmod(F.xxhash64("c"), "n_o").cast("int").alias("o"), F.explode(every("n_m")).alias("m"), F.lit(0).alias("side"), "c", "comp")
     members = own.select("z", F.explode(every("n_o")).alias("o"), F.pmod(F.xxhash64("c"), "n_m").cast("int").alias("m"), F.lit(1).alias("side"), "c", "comp")
@@ -203,7 +205,8 @@ def near_duplicates(df: DataFrame, column: str = "text", key: str = "doc_id") ->
     links = materialise(verified(estimates(both.select("c", "z", "a", "b")), sets).toDF("u", "v"), "verified")
     comps = materialise(connected_components(links), "components")
     more = materialise(links_among_groups(pairs, comps, sets, listed.select("c", "n")), "more_links")
-    comps = connected_components(links.unionByName(more))
+    if not more.isEmpty():
+        comps = materialise(connected_components(more, comps), "components")
     owned = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "c").join(comps.withColumnRenamed("node", "c"), "c", "left")
     owned = owned.select("k1", "k2", "n_shingles", F.coalesce("component", "c").alias("component"))
     joined = docs.drop("sketch").join(owned, ["k1", "k2", "n_shingles"], "left")
