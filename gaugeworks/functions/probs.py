@@ -79,7 +79,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def smoothed_ordinal(label_index: Column, n: int, alpha: float = 0.1, reach: int = 2, decay: float = 0.5) -> Column:
+def smoothed(target: Column, n: int, alpha: float = 0.12, reach: int = 2, decay: float = 0.5) -> Column:
+    """Of each label's mass, alpha goes to the labels within reach, by decay; the result sums to 1."""
+    weight = lambda i, j: decay ** (abs(i - j) - 1) if 0 < abs(i - j) <= reach else 0.0
+    whole = [sum(weight(i, j) for j in range(n)) or 1.0 for i in range(n)]
+    mass = lambda i: F.greatest(F.get(target, F.lit(i)), F.lit(0.0))
+    moved = F.array(*(mass(j) * (1 - alpha) + sum((mass(i) * (alpha * weight(i, j) / whole[i]) for i in range(n) if weight(i, j)), F.lit(0.0)) for j in range(n)))
+    return F.when(total(moved) > 0, F.transform(moved, lambda x: x / total(moved)))
+
+
+def smoothed_ordinal(label_index: Column, n: int, alpha: float = 0.12, reach: int = 2, decay: float = 0.5) -> Column:
     """1 - alpha on the label, alpha shared among labels within reach by decay; sums to 1."""
     weight = lambda i: F.when(i == label_index, 0.0).when(F.abs(i - label_index) <= reach, F.pow(F.lit(decay), F.abs(i - label_index) - 1)).otherwise(0.0)
     index = F.sequence(F.lit(0), F.lit(n - 1))
@@ -87,17 +96,14 @@ def smoothed_ordinal(label_index: Column, n: int, alpha: float = 0.1, reach: int
     return F.transform(index, lambda i: F.when(i == label_index, F.when(total(near) > 0, 1 - alpha).otherwise(1.0)).otherwise(alpha * weight(i) / F.greatest(total(near), F.lit(1e-12))))
 
 
-def soft_target(votes: Column, labels: list[str], smooth: float = 0.03) -> Column:
-    """Shares of the votes for known labels, mixed with a uniform share; NULL without such votes."""
+def soft_target(votes: Column, labels: list[str], smooth: float = 0.03, given: Column | None = None) -> Column:
+    """Shares of the votes for known labels, mixed with a uniform share; NULL without such votes. A target that is
+    given goes first, if it has a number for each label."""
+    if given is not None:
+        return F.when(F.size(given) == len(labels), given).otherwise(soft_target(votes, labels, smooth))
     known = F.filter(votes, lambda v: F.array_contains(F.lit(labels), v))
     n = F.size(known)
     share = F.transform(F.lit(labels), lambda x: (1 - smooth) * F.size(F.filter(known, lambda v: v == x)) / n + smooth / len(labels))
     return F.when(n > 0, share)
 
 
-def inverse_root_weight(count: Column) -> Column:
-    return 1 / F.sqrt(count)
-
-
-def log_ratio(a: Column, b: Column) -> Column:
-    return F.log(a / b)

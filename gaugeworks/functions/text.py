@@ -35,20 +35,20 @@ def sentences(t: Column) -> Column:
 
 
 def quoted_spans(t: Column, least: int = 80) -> Column:
-    """What stands in straight or curly quotes, if it is long enough."""
-    straight = F.regexp_extract_all(t, F.lit(f'"([^"]{{{least},}})"'), F.lit(1))
-    curly = F.regexp_extract_all(t, F.lit(f"“([^”]{{{least},}})”"), F.lit(1))
-    return F.concat(straight, curly)
+    """What stands in straight or curly quotes, if it is long enough, trimmed, in the order of the text."""
+    found = F.regexp_extract_all(t, F.lit(f'"[^"]{{{least},}}"|“[^”]{{{least},}}”'), F.lit(0))
+    return F.transform(found, lambda s: F.regexp_replace(F.substring(s, F.lit(2), F.length(s) - 2), r"^\s+|\s+$", ""))
 
 
 def paragraphs(t: Column, least: int = 80, most: int = 6) -> Column:
-    parts = F.filter(F.transform(F.split(t, r"\n[ \t\r\f\x0B]*\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+    parts = F.filter(F.transform(F.split(t, r"\n\s*\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= least)
     return F.slice(parts, 1, most)
 
 
 def segments(t: Column, least: int = 80, most: int = 6) -> Column:
-    """The whole text, then its quoted spans and first paragraphs."""
-    return F.array_distinct(F.concat(F.array(t), quoted_spans(t, least), paragraphs(t, least, most)))
+    """The whole text, then its first quoted spans, or its first paragraphs if it quotes nothing."""
+    quoted = F.slice(F.filter(quoted_spans(t, least), lambda s: F.length(s) >= least), 1, most)
+    return F.concat(F.array(t), F.when(F.size(quoted_spans(t, least)) > 0, quoted).otherwise(paragraphs(t, least, most)))
 
 
 def hash_unit(*parts: Column | str) -> Column:
@@ -60,3 +60,18 @@ def hash_unit(*parts: Column | str) -> Column:
 def hash_order(*parts: Column | str) -> Column:
     """What stands in for a seeded shuffle: sort by it."""
     return F.md5(F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts)))
+
+
+def capped(t: Column, most: int) -> Column:
+    """The first characters, for what goes into a prompt or a log."""
+    return F.left(t, F.lit(most))
+
+
+def scheme_of(uri: Column) -> Column:
+    """What stands before ://, in lower case; empty where nothing does."""
+    return F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+
+
+def level_of(metric: Column) -> Column:
+    """The number after the @ of a metric's name; NULL without one."""
+    return F.try_to_number(F.nullif(F.regexp_extract(metric, r"@([0-9]*\.?[0-9]+)$", 1), F.lit("")), F.lit("9.999999")).cast("double")

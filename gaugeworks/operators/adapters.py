@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.probs import argmax_index, reordered
+from gaugeworks.functions.text import segments
+
 
 class Adapter(ABC):
     """A classifier that a task loads once: load() runs on the executor, predict() for each batch of texts."""
@@ -70,9 +73,19 @@ def predict(rows: DataFrame, adapter: Adapter, key: str = "row_id", column: str
                 each = (time.perf_counter() - began) * 1000 / len(part)
                 yield pd.DataFrame({key: part[key], "probs": [p for p, _ in got], "status": [s for _, s in got], "latency_ms": each})
 
-    return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, probs array<double>, status string, latency_ms double")
+    return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.select(key).dtypes)[key]}, probs array<double>, status string, latency_ms double")
 
 
 def with_answers(rows: DataFrame, answers: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows that got an answer, with it."""
     return rows.join(answers.where("status = 'OK'").select(key, "probs"), key)
+
+
+def span_max(rows: DataFrame, adapter: Adapter, labels: list[str], key: str = "row_id", column: str = "text") -> DataFrame:
+    """(row_id, label, n_segments): the highest label, in the order of labels, among a text and its quoted or first
+    parts. Every segment is a row of the adapter's; a row without an answered segment has no label."""
+    parts = rows.select(key, F.posexplode(segments(F.coalesce(column, F.lit("")))).alias("_at", column))
+    parts = parts.withColumn("_segment", F.struct(F.col(key).alias("k"), F.col("_at").alias("at")))
+    answers = predict(parts, adapter, "_segment", column).where("status = 'OK'")
+    best = answers.groupBy(F.col("_segment.k").alias(key)).agg(F.max(argmax_index(reordered(F.col("probs"), adapter.labels, labels))).alias("rank"), F.count(F.lit(1)).alias("n_segments"))
+    return best.select(key, F.get(F.lit(labels), F.col("rank")).alias("label"), "n_segments")

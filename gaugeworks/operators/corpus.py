@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
@@ -16,6 +16,29 @@ def harvest(turns: DataFrame, low: int = 15, high: int = 2000, most_lines: int =
     return first_of_key(fit.select("conv_id", t.alias("text"), text.key(t).alias("text_key")), "text_key", "conv_id")
 
 
+def english_and_civil(rows: DataFrame, language: str = "language", toxic: str = "toxic", wanted: str = "English") -> DataFrame:
+    """Rows of the wanted language that aren't marked as toxic; an unmarked row isn't."""
+    return rows.where((F.col(language) == wanted) & ~F.coalesce(F.col(toxic).cast("boolean"), F.lit(False)))
+
+
+def prior_ratios(rows: DataFrame, target: DataFrame, label: str = "label") -> DataFrame:
+    """(label, have, want, ratio): the share of each label in two frames, and the logarithm of want over have; NULL where
+    one lacks the label."""
+    share = lambda df, name: df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn(name, F.col("n") / F.sum("n").over(Window.partitionBy())).drop("n")
+    return share(rows, "have").join(share(target, "want"), label, "full").withColumn("ratio", F.log(F.col("want") / F.col("have")))
+
+
+def class_weights(rows: DataFrame, labels: list[str], escalate: float = 0.0, label: str = "label") -> DataFrame:
+    """(label, weight): the inverse square root of each label's share, raised by its place in the order of labels if
+    escalate is over 0, at a mean of 1. Labels that don't occur count as one row."""
+    known = rows.sparkSession.createDataFrame([(x, k) for k, x in enumerate(labels)], "label string, at int")
+    counts = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("all"))
+    per = known.join(counts, "label", "left").join(F.broadcast(whole), F.lit(True))
+    weight = F.sqrt(F.col("all") / F.coalesce("n", F.lit(1))) * (1 + F.lit(escalate) * F.col("at") / max(1, len(labels) - 1))
+    return per.withColumn("w", weight).select("label", (F.col("w") / F.avg("w").over(Window.partitionBy())).alias("weight"))
+
+
 def first_of_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The row of least order of each key. Minima combine before the shuffle, so a key of many rows is no hot spot."""
     others = [c for c in rows.columns if c not in (key, order)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import probs, stats
 from gaugeworks.operators.folds import Taxonomy
-from gaugeworks.operators.metrics import hash_halves
+from gaugeworks.operators.metrics import half_sums, half_word, heldout_cuts, right_rows
 from gaugeworks.operators.quantiles import quantiles
 
 
@@ -57,28 +57,76 @@ def threshold_curve(scores: DataFrame, thresholds: tuple[float, ...] = (0.2, 0.3
 def heldout_threshold(scores: DataFrame, repeats: int = 40, grid: tuple[float, ...] = tuple(k * 0.05 for k in range(1, 20))) -> DataFrame:
     """(threshold, times, accuracy): the threshold of best accuracy on one half (the least of equal ones), how often it
     is chosen, and its mean accuracy on the other half."""
-    rows = hash_halves(scores.select("row_id", "score", "positive"), repeats)
-    right = lambda t: F.avg(((F.col("score") >= t) == F.col("positive")).cast("double"))
-    each = rows.groupBy("rep", "half").agg(F.array(*(F.struct(F.lit(t).alias("t"), right(t).alias("a")) for t in grid)).alias("curve"))
-    best = each.select("rep", "half", F.array_max(F.transform("curve", lambda s: F.struct(s.a.alias("a"), (-s.t).alias("t")))).alias("best"), "curve")
-    other = best.select("rep", (1 - F.col("half")).alias("half"), F.col("curve").alias("other"))
-    both = best.join(other, ["rep", "half"]).select((-F.col("best.t")).alias("threshold"), F.filter("other", lambda s: s.t == -F.col("best.t"))[0].a.alias("accuracy"))
-    return both.groupBy("threshold").agg(F.count(F.lit(1)).alias("times"), F.avg("accuracy").alias("accuracy"))
+    return _heldout_choices(scores, repeats, grid).groupBy("threshold").agg(F.count(F.lit(1)).alias("times"), F.avg("accuracy").alias("accuracy"))
+
+
+def threshold_transfer(scores: DataFrame, repeats: int = 40, grid: tuple[float, ...] = tuple(k * 0.05 for k in range(1, 20))) -> DataFrame:
+    """One row for the holdout control: the mean accuracy of chosen thresholds where they were fitted, and held out."""
+    return _heldout_choices(scores, repeats, grid).agg(F.avg("fitted").alias("threshold/fitted"), F.avg("accuracy").alias("threshold/heldout"))
+
+
+def _heldout_choices(scores: DataFrame, repeats: int, grid: tuple[float, ...]) -> DataFrame:
+    """(rep, half, threshold, fitted, accuracy). Rows are first counted by how many thresholds they reach."""
+    reached = sum(((F.col("score") >= t).cast("int") for t in grid), F.lit(0))
+    rows = scores.select(reached.alias("bin"), F.lit(1).cast("bigint").alias("n"), F.col("positive").cast("bigint").alias("pos"), half_word().alias("word"))
+    sums = half_sums(rows, ["bin"], ["n", "pos"], repeats)
+    right = lambda k: F.sum(F.when(F.col("bin") > k, F.col("pos")).otherwise(F.col("n") - F.col("pos"))) / F.sum("n")
+    each = sums.groupBy("rep", "half").agg(F.sum("n").alias("n"), F.array(*(F.struct(F.lit(t).alias("t"), right(k).alias("a")) for k, t in enumerate(grid))).alias("curve")).where("n > 0")
+    best = each.select("rep", "half", F.array_max(F.transform("curve", lambda s: F.struct(s.a.alias("a"), (-s.t).alias("t")))).alias("best"))
+    other = each.select("rep", (1 - F.col("half")).alias("half"), F.col("curve").alias("other"))
+    return best.join(other, ["rep", "half"]).select("rep", "half", (-F.col("best.t")).alias("threshold"), F.col("best.a").alias("fitted"), F.filter("other", lambda s: s.t == -F.col("best.t"))[0].a.alias("accuracy"))
+
+
+def recall_guide(scores: DataFrame, targets: tuple[float, ...] = (0.90, 0.95, 0.99), repeats: int = 40, digits: int = 3) -> DataFrame:
+    """(target, achieved, shortfall, false_fire, miss_rate, evaluations): for each target share of positives, the
+    largest rounded score that reaches it on one half, measured on the other; halves that none reaches don't count.
+
+    Rows are first counted by rounded score, and by whether they reach it: all else is done on those counts."""
+    t = F.round("score", digits)
+    rows = scores.select(t.alias("t"), (F.col("score") >= t).alias("at"), F.col("positive").cast("bigint").alias("p"), F.lit(1).cast("bigint").alias("n"), half_word().alias("word"))
+    every = half_sums(rows, ["t", "at"], ["p", "n"], repeats)
+    some = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0))
+    at = F.col("at")
+    per = every.groupBy("rep", "half", "t").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), some("p", at).alias("p_at"), some("n", at).alias("n_at"))
+    above = Window.partitionBy("rep", "half").orderBy(F.desc("t"))
+    whole = Window.partitionBy("rep", "half")
+    reach = lambda c: F.sum(c).over(above) - F.col(c) + F.col(f"{c}_at")
+    # a candidate is a score of the half itself; on the other half it is counted all the same
+    curve = per.select("rep", "half", "t", F.col("n").alias("here"), reach("p").alias("p"), reach("n").alias("n"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    wanted = curve.where("here > 0").select("rep", "half", "t", "p", "all_p", F.explode(F.lit(list(targets))).alias("target"))
+    chosen = wanted.where("p / all_p >= target").groupBy("rep", "half", "target").agg(F.max("t").alias("t"))
+    other = chosen.select("rep", (1 - F.col("half")).alias("half"), "t", "target")
+    fired = curve.join(other, ["rep", "half", "t"]).select("target", F.try_divide("p", "all_p").alias("c"), F.try_divide(F.col("n") - F.col("p"), F.col("all_n") - F.col("all_p")).alias("o"))
+    out = fired.groupBy("target").agg(F.avg("c").alias("achieved"), F.avg("o").alias("false_fire"), F.avg((F.col("c") < F.col("target")).cast("double")).alias("miss_rate"), F.count(F.lit(1)).alias("evaluations"))
+    return out.select("target", "achieved", (F.col("achieved") - F.col("target")).alias("shortfall"), "false_fire", "miss_rate", "evaluations")
 
 
 def containment_transfer(scores: DataFrame, target: float = 0.95, repeats: int = 60, digits: int = 3) -> DataFrame:
     """The largest rounded score that contains the target share of one half's positives, measured on the other half."""
-    rows = hash_halves(scores.select("row_id", "score", "positive"), repeats)
-    cut = F.round("score", digits)
-    # candidates are all rounded scores; containment of t counts positives with score >= t
-    every = rows.groupBy("rep", "half", cut.alias("t")).agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((F.col("positive") & (F.col("score") >= cut)).cast("long")).alias("at"))
-    above = Window.partitionBy("rep", "half").orderBy(F.desc("t"))
-    curve = every.withColumn("over", F.sum("p").over(above) - F.col("p") + F.col("at")).withColumn("all", F.sum("p").over(Window.partitionBy("rep", "half")))
-    chosen = curve.where(F.col("over") >= target * F.col("all")).groupBy("rep", "half").agg(F.max("t").alias("cut"))
-    both = rows.join(F.broadcast(chosen.select("rep", (1 - F.col("half")).alias("half"), "cut")), ["rep", "half"])
-    fire = F.col("score") >= F.col("cut")
-    each = both.groupBy("rep", "half").agg(F.avg(F.when(F.col("positive"), fire.cast("double"))).alias("c"), F.avg(F.when(~F.col("positive"), fire.cast("double"))).alias("o"))
-    return each.agg(F.avg("c").alias("containment"), F.avg("o").alias("over_block"), F.avg((F.col("c") < target).cast("double")).alias("miss_rate"), F.count(F.lit(1)).alias("evaluations"))
+    return recall_guide(scores, (target,), repeats, digits).select(F.col("achieved").alias("containment"), F.col("false_fire").alias("over_block"), "miss_rate", "evaluations")
+
+
+def exact_over_block(scores: DataFrame, targets: tuple[float, ...] = (0.85, 0.90, 0.95, 0.99), digits: int = 4) -> DataFrame:
+    """(target, over_block): the least over-block, in sample, of a rounded score that contains each target share of the
+    positives; NULL if none does."""
+    t = F.round("score", digits)
+    per = scores.groupBy(t.alias("t")).agg(*(F.sum(c).alias(n) for n, c in (("p", F.col("positive").cast("long")), ("n", F.lit(1)), ("p_at", (F.col("positive") & (F.col("score") >= t)).cast("long")), ("n_at", (F.col("score") >= t).cast("long")))))
+    above = Window.orderBy(F.desc("t"))  # one row for each rounded score
+    whole = Window.partitionBy()
+    reach = lambda c: F.sum(c).over(above) - F.col(c) + F.col(f"{c}_at")
+    curve = per.select(reach("p").alias("p"), reach("n").alias("n"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    return matched_over_block(curve.select(F.try_divide("p", "all_p").alias("containment"), F.try_divide(F.col("n") - F.col("p"), F.col("all_n") - F.col("all_p")).alias("over_block")), targets)
+
+
+def matched_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(target, a, b, won) of two matched over-block tables: won is NULL where a side has none."""
+    both = a.select("target", F.col("over_block").alias("a")).join(b.select("target", F.col("over_block").alias("b")), "target", "full")
+    return both.withColumn("won", F.col("a") < F.col("b"))
+
+
+def cells_won(compared: DataFrame) -> DataFrame:
+    """One row for the matched operating point control: cells_won and cells, those that both sides reach."""
+    return compared.agg(F.count(F.when(F.col("won"), 1)).alias("cells_won"), F.count("won").alias("cells"))
 
 
 def coverage_curve(preds: DataFrame, coverages: tuple[float, ...]) -> DataFrame:
@@ -96,9 +144,22 @@ def ordering_audit(preds: DataFrame, coverages: tuple[float, ...] = (1.0, 0.95,
     return curve.withColumn("fall", before - F.col("accuracy")).withColumn("inverted", F.coalesce(F.col("fall") > tolerance, F.lit(False)))
 
 
-def coverage_for_target(curve: DataFrame, target: float) -> DataFrame:
-    """(target, coverage): the largest coverage whose accuracy reaches the target; NULL if none does."""
-    return curve.agg(F.lit(target).alias("target"), F.max(F.when(F.col("accuracy") >= target, F.col("coverage"))).alias("coverage"))
+def coverage_for_target(preds: DataFrame, target: float = 0.99, repeats: int = 20, coverages: tuple[float, ...] = tuple(round(0.95 - 0.05 * k, 2) for k in range(16))) -> DataFrame:
+    """(target, coverage): the largest coverage whose mean held-out accuracy reaches the target; NULL if none does."""
+    each = heldout_cuts(right_rows(preds), coverages, repeats)
+    mean = each.groupBy("k").agg(F.avg(F.try_divide("ok_kept", "n_kept")).alias("accuracy"))
+    return mean.agg(F.lit(target).alias("target"), F.max(F.when(F.col("accuracy") >= target, F.get(F.lit(list(coverages)), F.col("k")))).alias("coverage"))
+
+
+def escalation_needed(preds: DataFrame, targets: tuple[float, ...] = (0.97, 0.99), repeats: int = 40, least_kept: int = 20) -> DataFrame:
+    """(target, escalation, reached): the mean share of rows that must go elsewhere for the rest of a held-out half to
+    reach the target, over the halves that reach it at a coverage of 0.30 or more; NULL unless over half of them do."""
+    coverages = tuple(round(1 - 0.01 * k, 2) for k in range(71))
+    each = heldout_cuts(right_rows(preds), coverages, repeats).withColumn("accuracy", F.when(F.col("n_kept") >= least_kept, F.try_divide("ok_kept", "n_kept")))
+    need = each.select("rep", "half", "accuracy", F.get(F.lit(list(coverages)), F.col("k")).alias("coverage"), F.explode(F.lit(list(targets))).alias("target"))
+    first = need.groupBy("rep", "half", "target").agg((1 - F.max(F.when(F.col("accuracy") >= F.col("target"), F.col("coverage")))).alias("need"))
+    out = first.groupBy("target").agg(F.avg("need").alias("mean"), F.avg(F.col("need").isNotNull().cast("double")).alias("reached"))
+    return out.select("target", F.when(F.col("reached") > 0.5, F.col("mean")).alias("escalation"), "reached")
 
 
 def prior_shift(preds: DataFrame, ratios: list[float], taus: tuple[float, ...] = (0.0, 0.5, 1.0, 1.5, 2.0), labels: list[str] | None = None) -> DataFrame:
@@ -118,13 +179,16 @@ def fold_orders(preds: DataFrame, task: Taxonomy, fold: str) -> DataFrame:
     return one.withColumn("p_value", stats.exact_sign_p(F.col("only_a"), F.col("only_b")))
 
 
-def fold_aware_abstention(preds: DataFrame, task: Taxonomy, fold: str, coverages: tuple[float, ...] = (0.95, 0.9, 0.8, 0.7, 0.6)) -> DataFrame:
-    """(strategy, coverage, accuracy, waste) of abstaining by confidence among labels, among groups, or by both."""
+def fold_aware_abstention(preds: DataFrame, task: Taxonomy, fold: str, head: str, head_conf: str, coverages: tuple[float, ...] = (0.98, 0.95, 0.90, 0.85, 0.80)) -> DataFrame:
+    """(strategy, coverage, accuracy, waste), in sample, of three ways to abstain from a folded decision: a head of its
+    own that was trained on the groups (columns head and head_conf), the folded prediction by the confidence among
+    labels, and the same by the confidence among groups. waste: the share of dropped rows that were right."""
     groups, table = task.folded(fold).labels, task.folds[fold]
     summed = probs.folded(F.col("probs"), task.labels, table)
-    ok = (probs.argmax_label(summed, groups) == task.group(table, F.col("truth"))).cast("double")
-    fine, coarse = F.array_max("probs"), F.array_max(summed)
-    rows = preds.select(ok.alias("ok"), F.inline(F.array(*(F.struct(F.lit(s).alias("strategy"), c.alias("conf")) for s, c in (("labels", fine), ("groups", coarse), ("both", fine * coarse))))))
+    truth = task.group(table, F.col("truth"))
+    ok = (probs.argmax_label(summed, groups) == truth).cast("double")
+    arms = (("binary head", (F.col(head) == truth).cast("double"), F.col(head_conf)), ("naive", ok, F.array_max("probs")), ("fold-aware", ok, F.array_max(summed)))
+    rows = preds.select(F.inline(F.array(*(F.struct(F.lit(s).alias("strategy"), o.alias("ok"), c.alias("conf")) for s, o, c in arms))))
     cuts = quantiles(rows, "conf", [1 - c for c in coverages], ["strategy"]).select("strategy", "k", "cut")
     both = rows.join(F.broadcast(cuts), "strategy")
     kept = F.col("conf") >= F.col("cut")
@@ -147,8 +211,11 @@ def ensemble_search(member_probs: DataFrame, names: list[str], labels: list[str]
     return member_probs.agg(F.array(*each).alias("c")).select(F.inline("c"))
 
 
-def highest_tier(ranks: list[Column]) -> Column:
-    return F.greatest(*ranks)
+def highest_tier(members: DataFrame, names: list[str], task: Taxonomy) -> DataFrame:
+    """Add tier: the highest of the members' predictions, the merge that errs on the safe side; NULL and unknown labels
+    don't count, unless all are."""
+    top = F.greatest(*(task.rank(F.col(n)) for n in names))
+    return members.withColumn("tier", F.when(top >= 0, F.get(F.lit(task.labels), top)))
 
 
 def rescued_by_fold(preds: DataFrame, task: Taxonomy, fold: str, coverage: float = 0.9) -> DataFrame:
@@ -167,19 +234,39 @@ def rescued_by_fold(preds: DataFrame, task: Taxonomy, fold: str, coverage: float
 
 def offset_ascent(dev: DataFrame, labels: list[str], passes: int = 6, reach: float = 2.0, steps: int = 41) -> list[float]:
     """Per-label offsets to log probabilities, each set in turn to the value of best accuracy on dev, the first of
-    equal ones, until a pass changes nothing. Each setting is one aggregation over dev, of a row of `steps` numbers."""
+    equal ones, until a pass changes nothing.
+
+    One aggregation tries all values of one label's offset: a row is right from one offset on (if the label is its
+    truth) or up to one (if not), so rows are counted by that step, and the driver gets a count for each."""
     deltas = [-reach + 2 * reach * k / (steps - 1) for k in range(steps)]
-    logs = dev.select("truth", probs.log_clipped(F.col("probs")).alias("l")).cache()
+    logs = dev.select(F.array_position(F.lit(labels), F.col("truth")).cast("int").alias("t"), probs.log_clipped(F.col("probs")).alias("l"))
     offsets, best = [0.0] * len(labels), -1.0
     for _ in range(passes):
         before = list(offsets)
         for k in range(len(labels)):
-            tried = [[*offsets[:k], d, *offsets[k + 1 :]] for d in deltas]
-            row = logs.agg(*(F.avg((probs.argmax_label(probs.shifted(F.col("l"), o), labels) == F.col("truth")).cast("double")).alias(f"a{j}") for j, o in enumerate(tried))).first()
-            top = max(range(steps), key=lambda j: (row[j] or 0.0, -j))
-            if (row[top] or 0.0) > best:
-                best, offsets = row[top], tried[top]
+            shifted = probs.shifted(F.col("l"), [*offsets[:k], 0.0, *offsets[k + 1 :]])
+            own = F.get(shifted, F.lit(k))
+            rest = F.transform(shifted, lambda x, i: F.when(i == k, float("-inf")).otherwise(x))  # noqa: B023
+            rival = F.array_max(rest)
+            first = F.array_position(rest, rival) - 1  # the first of equal ones wins
+            wins = F.filter(F.lit(deltas), lambda d: (own + d > rival) | ((own + d == rival) & (F.lit(k) < first)))  # noqa: B023
+            right = F.when(F.col("t") == k + 1, F.lit(1)).when(F.col("t") == first + 1, F.lit(-1)).otherwise(0)
+            counts = {(r.s, r.w): r.n for r in logs.select(right.alias("s"), F.size(wins).alias("w")).groupBy("s", "w").agg(F.count(F.lit(1)).alias("n")).collect()}
+            whole = sum(counts.values()) or 1
+            # the label wins for the w largest offsets
+            hits = [sum(n for (s, w), n in counts.items() if (s == 1 and j >= steps - w) or (s == -1 and j < steps - w)) / whole for j in range(steps)]
+            top = max(range(steps), key=lambda j: (hits[j], -j))
+            if hits[top] > best:
+                best, offsets[k] = hits[top], deltas[top]
         if offsets == before:
             break
-    logs.unpersist()
     return offsets
+
+
+def offset_report(dev: DataFrame, test: DataFrame, labels: list[str], **settings) -> DataFrame:
+    """(part, n, before, after): accuracy of dev and test without and with the offsets that were fitted on dev."""
+    offsets = offset_ascent(dev, labels, **settings)
+    plain, moved = (probs.argmax_label(p, labels) for p in (F.col("probs"), probs.shifted(probs.log_clipped(F.col("probs")), offsets)))
+    share = lambda p: F.avg((p == F.col("truth")).cast("double"))
+    one = lambda rows, part: rows.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), share(plain).alias("before"), share(moved).alias("after"))
+    return one(dev, "dev").unionByName(one(test, "test"))

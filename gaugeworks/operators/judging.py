@@ -84,3 +84,35 @@ def agreement_by(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
     """(group, n, agreement) of two labels, over the rows that have both."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     return both.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
+
+
+def verifier_agreement(rows: DataFrame) -> DataFrame:
+    """One row: how many generated rows were verified, and how often the verifier repeats the generator's label."""
+    seen = rows.where("verifier is not null")
+    return seen.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("verifier") == F.col("tier")).cast("double")).alias("agreement"))
+
+
+def verifier_disagreements(rows: DataFrame, most: int = 5) -> DataFrame:
+    """(tier, verifier, n) of the most frequent disagreements."""
+    wrong = rows.where("verifier <> tier").groupBy("tier", "verifier").agg(F.count(F.lit(1)).alias("n"))
+    return wrong.orderBy(F.desc("n"), "tier", "verifier").limit(most)
+
+
+def paired_answers(answers: DataFrame, small: str, large: str, key: str = "row_id") -> DataFrame:
+    """(row_id, small, large): both models' answers to each prompt, of rows (row_id, model, answer); prompts that lack
+    one go, and of repeated answers the least counts."""
+    one = lambda m: answers.where((F.col("model") == m) & F.col("answer").isNotNull()).groupBy(key).agg(F.min("answer").alias("answer"))
+    return one(small).withColumnRenamed("answer", "small").join(one(large).withColumnRenamed("answer", "large"), key)
+
+
+def adjudicated_detail(rows: DataFrame, most: int = 400) -> DataFrame:
+    """(text, gold, model, verdict, why) of judged disagreements, texts cut for reading."""
+    return rows.select(F.left("text", F.lit(most)).alias("text"), "gold", "model", "verdict", "why")
+
+
+def hypothesis_labels(scores: DataFrame, labels: list[str], key: str = "row_id") -> DataFrame:
+    """(row_id, label, score): the label whose hypothesis entails best, the first in label order of equal ones. scores
+    has a row for each text and hypothesis (row_id, label, score); other labels don't count."""
+    rank = F.array_position(F.lit(labels), F.col("label"))
+    best = scores.where(rank > 0).groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), rank.alias("at"), "label")).alias("b"))
+    return best.select(key, F.col("b.label").alias("label"), (-F.col("b.s")).alias("score"))

@@ -5,14 +5,17 @@ is combined."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import stats
-from gaugeworks.functions.text import hash_order
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.operators.quantiles import quantiles
-from gaugeworks.operators.sampling import within_quota
 from gaugeworks.operators.votes import contested, unanimous
 
 CONTRACT = ("accuracy", "majority_baseline", "lift_over_chance", "minority_share", "n")
@@ -85,22 +88,29 @@ def label_ceiling(preds: DataFrame) -> DataFrame:
     )
 
 
-def calibration_bins(preds: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, n, confidence, accuracy): bins are (lo, hi]; a confidence of 0 is in none, empty bins are left out."""
+def _by_bin(preds: DataFrame, bins: int) -> DataFrame:
+    """(bin, n, known, conf, hits): rows, rows with a confidence, sums of confidences and of hits; bin is NULL for the
+    rows that are in none."""
     edges = [k * 0.1 if bins == 10 else k / bins for k in range(bins)]
     place = F.lit(None).cast("int")
     for k, low in reversed(list(enumerate(edges))):
         place = F.coalesce(place, F.when(F.col("conf") > low, k))
-    rows = preds.where("conf <= 1").withColumn("bin", place).where(F.col("bin").isNotNull())
-    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("confidence"), _share(F.col("truth") == F.col("pred")).alias("accuracy"))
+    hit = (F.col("truth") == F.col("pred")).cast("double")
+    return preds.groupBy(F.when(F.col("conf") <= 1, place).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count("conf").alias("known"), F.sum("conf").alias("conf"), F.sum(hit).alias("hits"))
+
+
+def calibration_bins(preds: DataFrame, bins: int = 10) -> DataFrame:
+    """(bin, n, confidence, accuracy): bins are (lo, hi]; a confidence of 0 is in none, empty bins are left out."""
+    return _by_bin(preds, bins).where("bin is not null").select("bin", "n", (F.col("conf") / F.col("n")).alias("confidence"), (F.col("hits") / F.col("n")).alias("accuracy"))
 
 
 def calibration(preds: DataFrame, bins: int = 10) -> DataFrame:
-    """One row: ece, mce, overconfidence, bins."""
-    gaps = calibration_bins(preds, bins).withColumn("gap", F.abs(F.col("confidence") - F.col("accuracy")))
-    whole = preds.agg(F.count(F.lit(1)).alias("all"), (F.avg("conf") - _share(F.col("truth") == F.col("pred"))).alias("overconfidence"))
-    rows = gaps.agg(F.sum(F.col("gap") * F.col("n")).alias("weighted"), F.max("gap").alias("mce"), F.count(F.lit(1)).alias("bins"))
-    return rows.join(F.broadcast(whole), F.lit(True)).select((F.coalesce("weighted", F.lit(0.0)) / F.greatest("all", F.lit(1))).alias("ece"), F.coalesce("mce", F.lit(0.0)).alias("mce"), "overconfidence", "bins")
+    """One row: ece, mce, overconfidence, bins; all of it from one aggregation by bin."""
+    per = _by_bin(preds, bins)
+    inside = F.col("bin").isNotNull()
+    gap = F.when(inside, F.abs(F.col("conf") - F.col("hits")) / F.col("n"))
+    whole = F.sum("n")
+    return per.agg((F.coalesce(F.sum(gap * F.col("n")), F.lit(0.0)) / F.greatest(F.coalesce(whole, F.lit(0)), F.lit(1))).alias("ece"), F.coalesce(F.max(gap), F.lit(0.0)).alias("mce"), F.try_divide(F.sum("conf") - F.sum("hits"), F.sum("known")).alias("overconfidence"), F.count("bin").alias("bins"))
 
 
 def confident_half_spread(preds: DataFrame) -> DataFrame:
@@ -124,23 +134,119 @@ def gates(preds: DataFrame, task: Taxonomy) -> DataFrame:
     return wide.select(F.inline(F.array(*(F.struct(F.col(f"c{k}").alias("gate"), F.col(f"c{k + 1}").alias("containment"), F.col(f"c{k + 2}").alias("over_block"), F.col(f"c{k + 3}").alias("released_to_lowest")) for k in range(0, len(rows), 4)))))
 
 
-def hash_halves(preds: DataFrame, repeats: int, key: str = "row_id") -> DataFrame:
-    """Each row `repeats` times, with rep and half (0 or 1): the lower half of the rows by a hash of rep and key."""
-    many = preds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    quotas = many.groupBy("rep").agg(F.floor(F.count(F.lit(1)) / 2).alias("quota"))
-    return within_quota(many, ["rep"], hash_order(F.col("rep"), ":", F.col(key)), key, quotas).withColumn("half", F.when(F.col("in_quota"), 0).otherwise(1)).drop("in_quota")
+#: Bits that half_word has for each of its two numbers.
+WORD_BITS = 60
+#: Sums of one aggregation over rows: Spark compiles wide ones only up to 100 columns.
+MOST_SUMS = 80
+#: Values by which confidences are binned before any is looked at one by one.
+BINS = 1000
+
+
+def half_word(key: str = "row_id") -> Column:
+    """An array of two numbers whose bits put a row in a half (0 or 1) of each of 120 repeats, by its key alone."""
+    h = F.md5(F.col(key).cast("string"))
+    return F.array(*(F.conv(F.substring(h, at, WORD_BITS // 4), 16, 10).cast("bigint") for at in (1, WORD_BITS // 4 + 1)))
+
+
+def half_of(word: Column, rep: int | Column) -> Column:
+    if isinstance(rep, int):
+        return F.shiftright(F.get(word, F.lit(rep // WORD_BITS)), rep % WORD_BITS).bitwiseAND(F.lit(1))
+    return F.call_function("shiftright", F.get(word, F.floor(rep / WORD_BITS).cast("int")), (rep % WORD_BITS).cast("int")).bitwiseAND(F.lit(1))
+
+
+def half_sums(rows: DataFrame, by: list[str], measures: list[str], repeats: int, word: str = "word") -> DataFrame:
+    """(by, rep, half, measures): sums of whole-number measures over each half of each repeat. Rows aren't repeated:
+    each adds to one sum for each repeat, before the shuffle; by makes few groups, and every group has all halves."""
+    if repeats > 2 * WORD_BITS:
+        raise ValueError(f"at most {2 * WORD_BITS} repeats")
+    out, step = None, max(1, MOST_SUMS // len(measures) - 1)
+    for low in range(0, repeats, step):
+        reps = range(low, min(low + step, repeats))
+        sums = [F.sum(m).alias(f"_t_{m}") for m in measures]
+        sums += [F.sum(F.when(half_of(F.col(word), r) == 1, F.col(m)).otherwise(0)).alias(f"_s{r}_{m}") for r in reps for m in measures]
+        wide = rows.groupBy(*by).agg(*sums)
+        half = lambda r, h: F.struct(F.lit(r).alias("rep"), F.lit(h).alias("half"), *((F.col(f"_s{r}_{m}") if h else F.col(f"_t_{m}") - F.col(f"_s{r}_{m}")).alias(m) for m in measures))
+        part = wide.select(*by, F.inline(F.array(*(half(r, h) for r in reps for h in (0, 1)))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> DataFrame:
+    """(rep, half, k, cut, n, ok, n_kept, ok_kept) of rows (row_id, conf, ok 0 or 1): the exact quantile 1 - coverages[k]
+    of the confidences of one half, and the other half's rows, those that are right, and both among the rows at or
+    above the cut. half is the one that the cut is from.
+
+    Confidences are binned by a sketch's quantiles, and bins are summed by half in one pass; the driver gets BINS rows
+    of sums, which tell in which bins the cuts fall. Only rows of those bins are then looked at one by one."""
+    spark = rows.sparkSession
+    empty = "rep int, half int, k int, cut double, n bigint, ok bigint, n_kept bigint, ok_kept bigint"
+    values = rows.select(F.col("conf").cast("double").alias("conf"), F.col("ok").cast("bigint").alias("ok"), half_word().alias("word")).where("conf is not null and not isnan(conf)")
+    edges = values.agg(F.percentile_approx("conf", [k / BINS for k in range(1, BINS)], 10 * BINS)).first()[0]
+    if not edges:
+        return spark.createDataFrame([], empty)
+    binned = Bucketizer(splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol="conf", outputCol="bin").transform(values)
+    binned = binned.withColumn("bin", F.col("bin").cast("int")).withColumn("one", F.lit(1).cast("bigint"))
+    sums = half_sums(binned, ["bin"], ["one", "ok"], repeats)
+    sums = sums.groupBy("rep", "half").agg(F.array_sort(F.collect_list(F.struct("bin", "one", "ok"))).alias("bins")).collect()  # BINS * 2 * repeats at most
+    halves = {(r.rep, r.half): tuple(np.array([b[c] for b in r.bins], np.int64) for c in ("bin", "one", "ok")) for r in sums}
+    targets, near = [], set()
+    for (rep, half), (bins, n, _) in halves.items():
+        upto = np.cumsum(n)
+        _, other_n, other_ok = halves[rep, 1 - half]  # every group has all halves: bins are the same
+        for k, coverage in enumerate(coverages if upto[-1] else ()):
+            place = (1 - coverage) * float(upto[-1] - 1)
+            at = [max(0, min(math.floor(place), int(upto[-1]) - 1)), max(0, min(math.ceil(place), int(upto[-1]) - 1))]
+            a, b = (int(np.searchsorted(upto, x, "right")) for x in at)
+            near |= set(range(a, b + 1))
+            inside = [int(x - (upto[y - 1] if y else 0)) for x, y in zip(at, (a, b), strict=True)]
+            targets.append((rep, half, k, place, int(bins[a]), inside[0], int(bins[b]), inside[1], int(other_n.sum()), int(other_ok.sum()), int(other_n[b + 1 :].sum()), int(other_ok[b + 1 :].sum())))
+    bins = next(iter(halves.values()))[0]
+    wanted = F.broadcast(spark.createDataFrame([(int(bins[k]),) for k in sorted(near)], "bin int"))
+    table = spark.createDataFrame(targets, "rep int, half int, k int, place double, a_bin int, a_at bigint, b_bin int, b_at bigint, n bigint, ok bigint, n_above bigint, ok_above bigint")
+    edge = binned.join(wanted, "bin").select("bin", "conf", "ok", "word", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    edge = edge.groupBy("rep", half_of(F.col("word"), F.col("rep")).cast("int").alias("half"), "bin", "conf").agg(F.count(F.lit(1)).alias("c"), F.sum("ok").alias("c_ok"))
+    upto = F.sum("c").over(Window.partitionBy("rep", "half", "bin").orderBy("conf"))
+
+    def at(side: str) -> DataFrame:
+        want = table.select("rep", "half", "k", F.col(f"{side}_bin").alias("bin"), F.col(f"{side}_at").alias("at"))
+        found = edge.withColumn("upto", upto).join(F.broadcast(want), ["rep", "half", "bin"]).where("upto > at and upto - c <= at")
+        return found.select("rep", "half", "k", F.col("conf").alias(side))
+
+    place = F.col("place")
+    between = (F.ceil(place) - place) * F.col("a") + (place - F.floor(place)) * F.col("b")
+    cuts = table.join(at("a"), ["rep", "half", "k"]).join(at("b"), ["rep", "half", "k"]).withColumn("cut", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between))
+    other = cuts.select("rep", (1 - F.col("half")).alias("half"), "k", "cut", "a_bin", "b_bin")
+    kept = edge.join(F.broadcast(other), ["rep", "half"]).where("bin between a_bin and b_bin and conf >= cut").groupBy("rep", (1 - F.col("half")).alias("half"), "k").agg(F.sum("c").alias("c"), F.sum("c_ok").alias("c_ok"))
+    both = cuts.join(kept, ["rep", "half", "k"], "left")
+    return both.select("rep", "half", "k", "cut", "n", "ok", (F.col("n_above") + F.coalesce("c", F.lit(0))).alias("n_kept"), (F.col("ok_above") + F.coalesce("c_ok", F.lit(0))).alias("ok_kept"))
+
+
+def right_rows(preds: DataFrame) -> DataFrame:
+    return preds.select("row_id", "conf", (F.col("truth") == F.col("pred")).cast("int").alias("ok"))
 
 
 def risk_coverage(preds: DataFrame, coverages: tuple[float, ...] = (0.95, 0.90, 0.80, 0.70), repeats: int = 40) -> DataFrame:
     """(coverage, accuracy, waste): thresholds are quantiles of one half's confidence and are scored on the other, in
     both directions; waste is the share of dropped rows that were right."""
-    rows = hash_halves(preds.select("row_id", "conf", (F.col("truth") == F.col("pred")).cast("double").alias("ok")), repeats)
-    cuts = quantiles(rows, "conf", [1 - c for c in coverages], ["rep", "half"])
-    other = cuts.select("rep", (1 - F.col("half")).alias("half"), "k", "cut")
-    both = rows.join(F.broadcast(other), ["rep", "half"])
-    kept = F.col("conf") >= F.col("cut")
-    each = both.groupBy("rep", "half", "k").agg(F.avg(F.when(kept, F.col("ok"))).alias("accuracy"), F.avg(F.when(~kept, F.col("ok"))).alias("waste"))
-    return each.groupBy("k").agg(F.avg("accuracy").alias("accuracy"), F.avg("waste").alias("waste")).select(F.get(F.lit(list(coverages)), F.col("k")).alias("coverage"), "accuracy", "waste")
+    each = heldout_cuts(right_rows(preds), coverages, repeats).select("k", F.try_divide("ok_kept", "n_kept").alias("a"), F.try_divide(F.col("ok") - F.col("ok_kept"), F.col("n") - F.col("n_kept")).alias("w"))
+    return each.groupBy("k").agg(F.avg("a").alias("accuracy"), F.avg("w").alias("waste")).select(F.get(F.lit(list(coverages)), F.col("k")).alias("coverage"), "accuracy", "waste")
+
+
+def hard_subset_accuracy(preds: DataFrame) -> DataFrame:
+    """(hard, n, accuracy) of rows with a flag for hard ones; a NULL flag is not hard."""
+    return preds.groupBy(F.coalesce("hard", F.lit(False)).alias("hard")).agg(F.count(F.lit(1)).alias("n"), _share(F.col("truth") == F.col("pred")).alias("accuracy"))
+
+
+def top_confusions(preds: DataFrame, most: int = 5) -> DataFrame:
+    """(truth, pred, n) of the most frequent errors, by count and then by label."""
+    wrong = preds.where("truth <> pred").groupBy("truth", "pred").agg(F.count(F.lit(1)).alias("n"))
+    return wrong.orderBy(F.desc("n"), "truth", "pred").limit(most)
+
+
+def spread_by(rows: DataFrame, column: str, by: str) -> DataFrame:
+    """(by, n, mean, sd, low, high, median): sd of the population, the exact median."""
+    out = rows.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.min(column).alias("low"), F.max(column).alias("high"))
+    return out.join(quantiles(rows, column, [0.5], [by]).select(by, F.col("cut").alias("median")), by, "left")
 
 
 def contested_enrichment(preds: DataFrame, coverage: float = 0.90) -> DataFrame:

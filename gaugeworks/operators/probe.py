@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.probs import unit
-from gaugeworks.functions.text import hash_unit
+from gaugeworks.functions.text import hash_order, hash_unit
+from gaugeworks.operators.sampling import within_quota
+from gaugeworks.operators.vectors import nearest_centroid
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
@@ -40,8 +42,39 @@ def cross_validated(rows: DataFrame, folds: int = 5, strength: float = 1.0) -> D
 def separability(live: DataFrame, reference: DataFrame, folds: int = 5) -> DataFrame:
     """One row: how well a probe tells two corpora of embeddings apart, on equal numbers of rows; 0.5 is not at all."""
     n = min(live.count(), reference.count())
-    take = lambda df, y: df.orderBy(F.md5(F.col("row_id").cast("string"))).limit(n).select(F.concat(F.lit(f"{y}:"), F.col("row_id").cast("string")).alias("row_id"), F.lit(y).alias("label"), "embedding")
+    quota = live.sparkSession.createDataFrame([(0, n)], "_all int, quota bigint")
+
+    def take(df: DataFrame, y: int) -> DataFrame:
+        """n rows by hash, which stay where they are: nothing is sorted in one task."""
+        some = within_quota(df.withColumn("_all", F.lit(0)), ["_all"], hash_order("d:", F.col("row_id")), "row_id", quota).where("in_quota")
+        return some.select(F.concat(F.lit(f"{y}:"), F.col("row_id").cast("string")).alias("row_id"), F.lit(y).alias("label"), "embedding")
+
     scores = cross_validated(take(live, 0).unionByName(take(reference, 1)), folds)
     out = scores.agg(F.avg("accuracy").alias("separability"))
     s = F.col("separability")
     return out.withColumn("traffic", F.when(s.isNull(), "UNMEASURED").when(s < 0.70, "ALIGNED").when(s < 0.90, "DRIFTED").otherwise("OFF_DISTRIBUTION"))
+
+
+def bake_off(sets: dict[str, DataFrame], folds: int = 5) -> DataFrame:
+    """(encoder, n, probe, anchors) of several encoders' embeddings of the same rows: cross-validated accuracy of a probe,
+    and accuracy by the nearest centroid of the rows of other folds."""
+    out = None
+    for name, rows in sets.items():
+        probe = cross_validated(rows, folds).agg(F.sum("n").alias("n"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("probe"))
+        placed = rows.withColumn("fold", F.floor(hash_unit("fold:", F.col("row_id")) * folds).cast("int"))
+        hits = None
+        for k in range(folds):
+            test = placed.where(F.col("fold") == k)
+            near = nearest_centroid(test, placed.where(F.col("fold") != k)).select("row_id", F.col("label").alias("found"))
+            got = test.join(near, "row_id").select((F.col("label") == F.col("found")).cast("double").alias("hit"))
+            hits = got if hits is None else hits.unionByName(got)
+        row = probe.join(hits.agg(F.avg("hit").alias("anchors")), F.lit(True)).select(F.lit(name).alias("encoder"), "n", "probe", "anchors")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def reproduced(found: DataFrame, published: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """(metric, found, published, delta, same): measured metrics against published ones, by name."""
+    both = found.select("metric", F.col("value").alias("found")).join(published.select("metric", F.col("value").alias("published")), "metric", "full")
+    delta = F.col("found") - F.col("published")
+    return both.withColumn("delta", delta).withColumn("same", F.coalesce(F.abs(delta) < tolerance, F.lit(False)))

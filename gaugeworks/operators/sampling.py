@@ -67,25 +67,58 @@ def to_prior(rows: DataFrame, prior: DataFrame, label: str, root: bool = False,
     return within_quota(rows, [label], hash_order(seed, ":", F.col(key)), key, counts).where("in_quota").drop("in_quota")
 
 
-def most_uncertain(rows: DataFrame, budget: int, labels: int, pred: str = "pred", key: str = "row_id") -> DataFrame:
-    """The rows of least margin, at most budget // labels of each predicted label."""
-    capped = rows.withColumn("_rn", _rank(pred, "margin", key)).where(F.col("_rn") <= budget // labels).drop("_rn")
-    return capped.orderBy("margin", key).limit(budget)
+def _capped(rows: DataFrame, budget: int, labels: int, order: list, pred: str) -> DataFrame:
+    """The first rows of each predicted label, the same number of each and one at least; of those the first `budget`."""
+    capped = rows.withColumn("_rn", _rank(pred, *order)).where(F.col("_rn") <= max(1, budget // labels)).drop("_rn")
+    return capped.orderBy(*order).limit(budget)
+
+
+def most_uncertain(rows: DataFrame, budget: int, labels: int, random_share: float = 0.0, pred: str = "pred", key: str = "row_id", seed: str = "u") -> DataFrame:
+    """The rows of least margin, at most an equal part of each predicted label, and a share of the budget at random
+    among the rest. `chosen` says which."""
+    n_random = int(budget * random_share)
+    found = _capped(rows, budget - n_random, labels, [F.col("margin"), F.col(key)], pred).withColumn("chosen", F.lit("uncertain"))
+    if not n_random:
+        return found
+    rest = rows.join(F.broadcast(found.select(key)), key, "left_anti")  # budget rows at most
+    return found.unionByName(rest.orderBy(hash_order(seed, ":", F.col(key)), key).limit(n_random).withColumn("chosen", F.lit("random")))
 
 
 def disagreements(rows: DataFrame, least_margin: float, budget: int, labels: int, screen: str = "screen", key: str = "row_id") -> DataFrame:
     """Confident rows whose screen label differs from the prediction, the most confident first, capped by label."""
     found = rows.where((F.col("margin") >= least_margin) & (F.col("pred") != F.col(screen)))
-    capped = found.withColumn("_rn", _rank("pred", F.desc("margin"), key)).where(F.col("_rn") <= budget // labels).drop("_rn")
-    return capped.orderBy(F.desc("margin"), key).limit(budget)
+    return _capped(found, budget, labels, [F.desc("margin"), F.col(key)], "pred")
+
+
+def slice_after(rows: DataFrame, first: int, last: int, key: str = "row_id", seed: str = "x") -> DataFrame:
+    """Rows first to last - 1 of a shuffle by hash: what one set takes, the set of the next slice doesn't."""
+    quotas = lambda n: rows.sparkSession.createDataFrame([(0, n)], "_all int, quota bigint")
+    order = hash_order(seed, ":", F.col(key))
+    upto = within_quota(rows.withColumn("_all", F.lit(0)), ["_all"], order, key, quotas(last)).where("in_quota").drop("in_quota")
+    return within_quota(upto, ["_all"], order, key, quotas(first)).where(~F.col("in_quota")).drop("in_quota", "_all")
 
 
-def retained(rows: DataFrame, rate: float, key: str, conf: str = "conf", low: float = 0.6, boost: float = 5.0) -> DataFrame:
-    """A hash sample at the rate, boosted where confidence is low."""
-    return rows.where(hash_unit("r:", F.col(key)) < F.least(F.lit(1.0), F.lit(rate) * F.when(F.col(conf) < low, boost).otherwise(1.0)))
+def retained(rows: DataFrame, rate: float, key: str, conf: str = "conf", low: float = 0.6, boost: float = 5.0, most: int | None = None, order: str | None = None) -> DataFrame:
+    """A hash sample at the rate, boosted where confidence is low; at most the `most` first rows of it by `order`."""
+    kept = rows.where(hash_unit("r:", F.col(key)) < F.least(F.lit(1.0), F.lit(rate) * F.when(F.col(conf) < low, boost).otherwise(1.0)))
+    return kept if most is None else kept.orderBy(order or key, key).limit(most)
 
 
 def planned_jobs(spark, n: int, roles: list[str], settings: list[str], stride: int = 3) -> DataFrame:
     """(job, role, setting): a round-robin plan over roles and settings."""
     at = lambda values, k: F.element_at(F.lit(values), (k % len(values) + 1).cast("int"))
     return spark.range(n).select(F.col("id").alias("job"), at(roles, F.col("id")).alias("role"), at(settings, F.col("id") * stride).alias("setting"))
+
+
+def breadth(jobs: DataFrame, settings: list[str]) -> DataFrame:
+    """(pool, jobs, combinations): how many different combinations of settings the jobs of each pool have."""
+    return jobs.groupBy("pool").agg(F.count(F.lit(1)).alias("jobs"), F.countDistinct(*settings).alias("combinations"))
+
+
+def grid_plan(rows: DataFrame, key: str, dimensions: dict[str, list[str]], strides: list[int], seed: str = "g") -> DataFrame:
+    """rows with a value of each dimension by their place in a hash order, each dimension at its own stride, so that
+    values meet in many combinations; the same plan each time."""
+    out, h = rows, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 31))
+    for (name, values), stride in zip(dimensions.items(), strides, strict=True):
+        out = out.withColumn(name, F.element_at(F.lit(values), (F.pmod(F.floor(h / stride), F.lit(len(values))) + 1).cast("int")))
+    return out

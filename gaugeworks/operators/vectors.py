@@ -50,7 +50,7 @@ def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFr
     import pandas as pd
 
     def blocks(rows: DataFrame, kept: str, name: str) -> DataFrame:
-        n = rows.count() // BLOCK + 1
+        n = rows.count() // BLOCK + 1  # blocks, not rows, meet each other; every query needs a cosine with every anchor
         packed = F.struct(F.col(kept).alias("id"), unit(F.col("embedding")).alias("v"))
         return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(packed).alias(name))
 
@@ -72,8 +72,8 @@ def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFr
 
 def best_label(scores: DataFrame) -> DataFrame:
     """(row_id, label, score): the least label of equal scores."""
-    best = scores.groupBy("row_id").agg(F.max(F.struct(F.round("score", 12).alias("score"), (-F.col("label")).alias("label"))).alias("b"))
-    return best.select("row_id", (-F.col("b.label")).alias("label"), F.col("b.score").alias("score"))
+    best = scores.groupBy("row_id").agg(F.min(F.struct((-F.round("score", 12)).alias("score"), "label")).alias("b"))
+    return best.select("row_id", F.col("b.label").alias("label"), (-F.col("b.score")).alias("score"))
 
 
 def centroids(rows: DataFrame) -> DataFrame:

@@ -59,15 +59,57 @@ def pairwise_agreement(rows: DataFrame, jurors: int, votes: str = "votes") -> Da
     return full.select(F.inline(equal)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("same").alias("agreement"))
 
 
-def boundary_shares(rows: DataFrame, votes: str = "votes") -> DataFrame:
-    """(low, high, splits, opportunities, over): how much more often a pair of labels splits a jury than its labels'
-    votes would give it occasion to; pairs that split three rows or more."""
-    labels = F.array_sort(F.array_distinct(votes))
-    split = rows.where(F.size(labels) == 2).groupBy(F.get(labels, F.lit(0)).alias("low"), F.get(labels, F.lit(1)).alias("high")).agg(F.count(F.lit(1)).alias("splits"))
-    cast = rows.select(F.explode(votes).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    low, high = cast.toDF("low", "n_low"), cast.toDF("high", "n_high")
-    pairs = low.join(high, F.col("low") < F.col("high"))  # of labels, a handful
-    pairs = pairs.select("low", "high", (F.col("n_low") + F.col("n_high")).alias("opportunities"))
-    whole = pairs.agg(F.sum("opportunities").alias("all_o")).join(split.agg(F.sum("splits").alias("all_s")), F.lit(True))
-    out = split.where("splits >= 3").join(pairs, ["low", "high"]).join(F.broadcast(whole), F.lit(True))
+def label_pairs(labels: Column) -> Column:
+    """All pairs (low, high) of an array's distinct labels."""
+    ordered = F.array_sort(F.array_distinct(F.filter(labels, lambda v: v.isNotNull())))
+    return F.flatten(F.transform(ordered, lambda a, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda b: F.struct(a.alias("low"), b.alias("high")))))
+
+
+def boundary_shares(rows: DataFrame, votes: str = "votes", tier: str = "truth", least: int = 3) -> DataFrame:
+    """(low, high, splits, opportunities, over): how much more often a pair of labels splits a jury than it has occasion
+    to. A row with two votes or more splits on each pair of labels among its votes, and gives occasion to each pair
+    among its votes and its own tier. Pairs that split `least` rows or more."""
+    cast = F.filter(F.col(votes), lambda v: v.isNotNull())
+    rows = rows.where(F.size(cast) >= 2).select(label_pairs(cast).alias("split"), label_pairs(F.concat(cast, F.array(tier))).alias("chance"))
+    marked = rows.select(F.explode(F.transform("chance", lambda p: F.struct(p.low.alias("low"), p.high.alias("high"), F.array_contains("split", p).cast("int").alias("split"))))).select("col.*")
+    pairs = marked.groupBy("low", "high").agg(F.sum("split").alias("splits"), F.count(F.lit(1)).alias("opportunities"))
+    whole = pairs.agg(F.sum("splits").alias("all_s"), F.sum("opportunities").alias("all_o"))
+    out = pairs.where(F.col("splits") >= least).join(F.broadcast(whole), F.lit(True))
     return out.select("low", "high", "splits", "opportunities", ((F.col("splits") / F.col("all_s")) / (F.col("opportunities") / F.col("all_o"))).alias("over"))
+
+
+def refined(rows: DataFrame, votes: str = "votes", tier: str = "tier") -> DataFrame:
+    """Gold judged anew: rows whose new votes are all there and alike, with that label as tier, the old one as tier_v1,
+    and changed; all others go."""
+    kept = rows.where(answered(F.col(votes)) & (F.size(F.array_distinct(votes)) == 1))
+    out = kept.withColumn("tier_v1", F.col(tier)).withColumn(tier, F.get(votes, F.lit(0))).withColumn("refined", F.lit(True))
+    return out.withColumn("changed", ~F.col(tier).eqNullSafe(F.col("tier_v1")))
+
+
+def self_agreement(rows: DataFrame, passes: str, votes: str = "votes") -> DataFrame:
+    """(stratum, n, self_agreement, inter_agreement) of all rows, of those whose jurors agree and of those whose don't:
+    how often repeated passes of one labeller agree, and how often jurors do, over rows whose passes all answered."""
+    ok = rows.where(answered(F.col(passes)))
+    same, jury = (F.size(F.array_distinct(passes)) == 1).cast("double"), unanimous(F.col(votes))
+    per = ok.select(same.alias("s"), jury.cast("double").alias("j"), F.explode(F.array(F.lit("all"), F.when(jury, "unanimous").otherwise("contested"))).alias("stratum"))
+    return per.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.avg("s").alias("self_agreement"), F.avg("j").alias("inter_agreement"))
+
+
+def self_disagreements(rows: DataFrame, passes: str, most: int = 5) -> DataFrame:
+    """(labels, n) of the sets of labels between which repeated passes waver, the most frequent first."""
+    split = rows.where(answered(F.col(passes)) & (F.size(F.array_distinct(passes)) > 1))
+    return split.groupBy(F.array_join(F.array_sort(F.array_distinct(passes)), "/").alias("labels")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "labels").limit(most)
+
+
+def rubric_agreement(rows: DataFrame, rubrics: dict[str, tuple[str, str]]) -> DataFrame:
+    """(rubric, n, agreement) of two labellers under each rubric, which names their columns; rows without both labels
+    don't count."""
+    cells = F.array(*(F.struct(F.lit(name).alias("rubric"), F.col(a).alias("a"), F.col(b).alias("b")) for name, (a, b) in rubrics.items()))
+    both = rows.select(F.inline(cells)).where("a is not null and b is not null")
+    return both.groupBy("rubric").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
+
+
+def gold_agreement(a: DataFrame, b: DataFrame, key: str = "row_id", tier: str = "tier") -> DataFrame:
+    """One row: on how many rows two sets of gold labels both have one, and how often it is the same."""
+    both = a.select(key, F.col(tier).alias("a")).join(b.select(key, F.col(tier).alias("b")), key).where("a is not null and b is not null")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))

@@ -11,6 +11,7 @@ from gaugeworks.functions import probs, text
 from gaugeworks.operators import adapters, compress, corpus, curves, folds, judging, medoids, metrics, probe, sampling, vectors, votes
 from gaugeworks.plans import frames, policy
 from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
+from gaugeworks.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,16 +105,50 @@ def gate_metrics(spark, sf):
     return rounded(metrics.gates(predictions(spark, sf), PRIORITY))
 
 
-HALVES_SQL = """halves as (select *, case when row_number() over (partition by rep order by md5(rep || ':' || row_id), row_id) <= floor(count(*) over (partition by rep) / 2) then 0 else 1 end as half
-from scored, range({repeats}) r(rep))"""
+HALVES_SQL = """halves as (select *, ((('0x' || substr(md5(row_id::VARCHAR), 1, 15))::BIGINT >> rep) & 1)::int as half from scored, range({repeats}) r(rep))"""
+RIGHT_SQL = f"{P}, scored as (select row_id, conf, (truth = pred)::int as ok from preds)"
 
 
-@query(f"""with {P}, scored as (select row_id, conf, (truth = pred)::int as ok from preds), {HALVES_SQL.format(repeats=6)}, c as (select unnest([0.95, 0.90, 0.80, 0.70]) as coverage),
-cuts as (select rep, 1 - half as half, coverage, quantile_cont(conf, 1 - coverage) as cut from (select rep, half, list(conf) as l from halves group by 1, 2) x, c, unnest(l) t(conf) group by 1, 2, 3),
-e as (select coverage, rep, half, avg(ok) filter (where conf >= cut) as a, avg(ok) filter (where conf < cut) as w from halves join cuts using (rep, half) group by 1, 2, 3)
-select coverage::DOUBLE as coverage, round(avg(a), 6) as accuracy, round(avg(w), 6) as waste from e group by 1""".replace("quantile_cont(conf, 1 - coverage)", "case coverage when 0.95 then quantile_cont(conf, 0.05) when 0.90 then quantile_cont(conf, 0.1) when 0.80 then quantile_cont(conf, 0.2) else quantile_cont(conf, 0.3) end"))
+def cuts_sql(repeats: int, coverages) -> str:
+    """Common table expressions that end in `e`: each half's rows at or above the cuts of the other half."""
+    shares, values = ", ".join(repr(1 - c) for c in coverages), ", ".join(map(repr, coverages))
+    return f"""{RIGHT_SQL}, {HALVES_SQL.format(repeats=repeats)}, cuts as (select rep, half, unnest([{values}])::DOUBLE as coverage, unnest(quantile_cont(conf, [{shares}])) as cut from halves group by 1, 2),
+e as (select c.rep, c.half, c.coverage, count(*) filter (where conf >= cut) as kept, avg(ok) filter (where conf >= cut) as a, avg(ok) filter (where conf < cut) as w from cuts c join halves h on h.rep = c.rep and h.half = 1 - c.half group by 1, 2, 3)"""
+
+
+@query(f"with {cuts_sql(40, (0.95, 0.90, 0.80, 0.70))} select coverage, round(avg(a), 6) as accuracy, round(avg(w), 6) as waste from e group by 1")
 def risk_coverage(spark, sf):
-    return rounded(metrics.risk_coverage(predictions(spark, sf), repeats=6))
+    return rounded(metrics.risk_coverage(predictions(spark, sf)))
+
+
+TWENTIES = tuple(round(0.95 - 0.05 * k, 2) for k in range(16))
+
+
+@query(f"with {cuts_sql(20, TWENTIES)}, m as (select coverage, avg(a) as a from e group by 1) select 0.85::DOUBLE as target, max(coverage) filter (where a >= 0.85) as coverage from m")
+def coverage_for_target(spark, sf):
+    return rounded(curves.coverage_for_target(predictions(spark, sf), 0.85))
+
+
+@query(f"""with {cuts_sql(40, tuple(round(1 - 0.01 * k, 2) for k in range(71)))}, t as (select unnest([0.8, 0.85, 0.99])::DOUBLE as target),
+f as (select target, rep, half, 1 - max(coverage) filter (where kept >= 20 and a >= target) as need from e, t group by 1, 2, 3)
+select target, round(case when avg((need is not null)::int) > 0.5 then avg(need) end, 6) as escalation, round(avg((need is not null)::int), 6) as reached from f group by 1""")
+def escalation_needed(spark, sf):
+    return rounded(curves.escalation_needed(predictions(spark, sf), (0.8, 0.85, 0.99)))
+
+
+@query(f"with {P} select row_id % 7 = 0 as hard, count(*)::BIGINT as n, round(avg((truth = pred)::int), 6) as accuracy from preds group by 1")
+def hard_subset_accuracy(spark, sf):
+    return rounded(metrics.hard_subset_accuracy(predictions(spark, sf).withColumn("hard", F.col("row_id") % 7 == 0)))
+
+
+@query(f"with {P} select truth, pred, count(*)::BIGINT as n from preds where truth <> pred group by 1, 2 order by n desc, truth, pred limit 5")
+def top_confusions(spark, sf):
+    return metrics.top_confusions(predictions(spark, sf))
+
+
+@query(f"""with {CALLS_SQL} select pred, count(latency_ms)::BIGINT as n, round(avg(latency_ms), 6) as mean, round(stddev_pop(latency_ms), 6) as sd, round(min(latency_ms), 6) as low, round(max(latency_ms), 6) as high, round(quantile_cont(latency_ms, 0.5), 6) as median from calls group by 1""")
+def latency_spread(spark, sf):
+    return rounded(metrics.spread_by(calls(spark, sf), "latency_ms", "pred"))
 
 
 @query(f"""with {P}, x as (select conf, (len(list_distinct({VOTES_SQL})) + (len(list_filter(votes, lambda v: v is null)) > 0)::int > 1)::int as c from preds), q as (select quantile_cont(conf, 0.1) as cut from x)
@@ -130,7 +165,7 @@ def runtime_summary(spark, sf):
 
 
 @query(f"""with {CALLS_SQL} select date_trunc('hour', ts) as hour, count(*)::BIGINT as n, round(avg(conf), 6) as conf_mean, round(quantile_cont(conf, 0.1), 6) as conf_p10, round(quantile_cont(conf, 0.5), 6) as conf_p50,
-round(quantile_cont(latency_ms, 0.5), 6) as p50_ms, round(quantile_cont(latency_ms, 0.99), 6) as p99_ms, round(avg((conf < 0.6)::int), 6) as abstain_at_60 from calls group by 1""")
+round(quantile_cont(latency_ms, 0.5), 6) as p50_ms, round(quantile_cont(latency_ms, 0.99), 6) as p99_ms, round(avg((conf < 0.5)::int), 6) as abstain_at_50, round(avg((conf < 0.7)::int), 6) as abstain_at_70, round(avg((conf < 0.9)::int), 6) as abstain_at_90 from calls group by 1""")
 def shadow_metrics(spark, sf):
     from gaugeworks.streaming.shadow import window_metrics
 
@@ -189,12 +224,87 @@ def tie_resolution(spark, sf):
     return votes.resolve_ties(rows, "third").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {P}, s as (select list_sort(list_distinct(votes)) as d, votes from preds where len({VOTES_SQL}) = 3), sp as (select d[1] as low, d[2] as high, count(*) as splits from s where len(d) = 2 group by 1, 2),
-c as (select x as label, count(*) as n from s, unnest(votes) t(x) group by 1), o as (select a.label as low, b.label as high, a.n + b.n as opportunities from c a join c b on a.label < b.label)
-select low, high, splits::BIGINT as splits, opportunities::BIGINT as opportunities, round((splits / (select sum(splits) from sp)) / (opportunities / (select sum(opportunities) from o)), 6) as over from sp join o using (low, high) where splits >= 3""")
+@query(f"""with {P}, r as (select row_id, {VOTES_SQL} as v, truth from preds), r2 as (select * from r where len(v) >= 2), u as (select row_id, unnest(list_distinct(list_append(v, truth))) as x, v from r2),
+pairs as (select a.row_id, a.x as low, b.x as high, list_contains(a.v, a.x) and list_contains(a.v, b.x) as split from u a join u b on a.row_id = b.row_id and a.x < b.x),
+g as (select low, high, sum(split::int) as splits, count(*) as opportunities from pairs group by 1, 2)
+select low, high, splits::BIGINT as splits, opportunities::BIGINT as opportunities, round((splits / (select sum(splits) from g)) / (opportunities / (select sum(opportunities) from g)), 6) as over from g where splits >= 3""")
 def boundary_shares(spark, sf):
-    rows = predictions(spark, sf)
-    return rounded(votes.boundary_shares(rows.where(votes.answered(F.col("votes")))))
+    return rounded(votes.boundary_shares(predictions(spark, sf)))
+
+
+@query(f"""with {P} select truth as tier_v1, votes[1] as tier, count(*)::BIGINT as n, sum((truth <> votes[1])::int)::BIGINT as changed from preds where len({VOTES_SQL}) = 3 and len(list_distinct(votes)) = 1 group by 1, 2""")
+def gold_refinement(spark, sf):
+    rows = votes.refined(predictions(spark, sf).withColumn("tier", F.col("truth")))
+    return rows.groupBy("tier_v1", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("changed").cast("long")).alias("changed"))
+
+
+PASSES_SQL = "with " + ", ".join(preds_sql(r, x, f"m{k}") for k, (r, x) in (("a", (0.25, "p")), ("b", (0.3, "q")), ("c", (0.35, "r")))) + ", j as (select row_id, ma.truth, ma.votes, [ma.pred, mb.pred, mc.pred] as passes from ma join mb using (row_id) join mc using (row_id))"
+
+
+def _passes(spark, sf):
+    return _members(spark, sf).join(predictions(spark, sf).select("row_id", "votes"), "row_id").withColumn("passes", F.array("a", "b", "c"))
+
+
+@query(f"""{PASSES_SQL}, x as (select (len(list_distinct(passes)) = 1)::int as s, len(list_distinct(votes)) + (len({VOTES_SQL}) < 3)::int = 1 as u from j), y as (select 'all' as stratum, s, u from x union all select case when u then 'unanimous' else 'contested' end, s, u from x)
+select stratum, count(*)::BIGINT as n, round(avg(s), 6) as self_agreement, round(avg(u::int), 6) as inter_agreement from y group by 1""")
+def self_agreement(spark, sf):
+    return rounded(votes.self_agreement(_passes(spark, sf), "passes"))
+
+
+@query(f"{PASSES_SQL} select array_to_string(list_sort(list_distinct(passes)), '/') as labels, count(*)::BIGINT as n from j where len(list_distinct(passes)) > 1 group by 1 order by n desc, labels limit 5")
+def self_disagreements(spark, sf):
+    return votes.self_disagreements(_passes(spark, sf), "passes")
+
+
+@query(f"""with {P}, x as (select 'v1' as rubric, votes[1] as a, votes[2] as b from preds union all select 'v2', votes[1], votes[3] from preds) select rubric, count(*)::BIGINT as n, round(avg((a = b)::int), 6) as agreement from x where a is not null and b is not null group by 1""")
+def rubric_agreement(spark, sf):
+    rows = predictions(spark, sf).select(*(F.get("votes", F.lit(k)).alias(f"v{k}") for k in range(3)))
+    return rounded(votes.rubric_agreement(rows, {"v1": ("v0", "v1"), "v2": ("v0", "v2")}))
+
+
+@query(f"""{PASSES_SQL}, t as (select case when passes[1] = passes[2] or passes[1] = passes[3] then passes[1] when passes[2] = passes[3] then passes[2] end as self, case when votes[1] = votes[2] or votes[1] = votes[3] then votes[1] when votes[2] = votes[3] then votes[2] end as panel, len({VOTES_SQL}) as n from j)
+select count(*)::BIGINT as n, round(avg((self = panel)::int), 6) as agreement from t where self is not null and panel is not null and n = 3""")
+def gold_agreement(spark, sf):
+    """The panel's gold against that of one labeller's repeated passes."""
+    rows = _passes(spark, sf)
+    return rounded(votes.gold_agreement(votes.adjudicate(rows), votes.self_consistent(rows, "passes")))
+
+
+@query(f"""with {P}, x as (select case when t >= 2 then 'BLOCK' else 'ALLOW' end as truth, list_transform(votes, lambda v: case when v >= '3' then 'BLOCK' else 'ALLOW' end) as v from preds) select truth, count(*)::BIGINT as n, sum((len(list_distinct(v)) = 1)::int)::BIGINT as unanimous from x group by 1""")
+def threshold_fold(spark, sf):
+    rows = folds.threshold_rows(predictions(spark, sf), PRIORITY, "3-MEDIUM")
+    return rows.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.sum(votes.unanimous(F.col("votes")).cast("long")).alias("unanimous"))
+
+
+def fold_scores_sql(tables: dict[str, list[str]]) -> str:
+    """Of each table (groups by rank): agreement, accuracy and majority over preds."""
+    rows = " union all ".join(f"select '{n}' as name, {g} as g" for n, g in tables.items())
+    return f"""with {P}, f as ({rows}), x as (select name, g[t + 1] as own, g[p + 1] = g[t + 1] as hit, len(list_distinct(list_transform({VOTES_SQL}, lambda v: g[substr(v, 1, 1)::int]))) = 1 as agree from preds, f),
+y as (select name, own, count(*) as n, sum(hit::int) as k, sum(agree::int) as a from x group by 1, 2) select name, sum(n)::BIGINT as n, round(sum(a) / sum(n), 6) as agreement, round(sum(k) / sum(n), 6) as accuracy, round(max(n) / sum(n), 6) as majority from y group by 1"""
+
+
+#: The named decisions over the priorities: a ladder's labels are those of the same rank, its last one all above.
+LADDER_TABLES = {n: [g[min(k, len(g) - 1)] for k in range(5)] for n, (_, g) in folds.DECISIONS.items()}
+
+
+@query(fold_scores_sql(LADDER_TABLES))
+def decision_scores(spark, sf):
+    tables = {n: dict(zip(PRIORITY.labels, g, strict=True)) for n, g in LADDER_TABLES.items()}
+    return rounded(folds.fold_scores(predictions(spark, sf), PRIORITY, tables))
+
+
+@query(fold_scores_sql({n: [t[x] for x in PRIORITY.labels] for n, t in folds.merges(PRIORITY).items()}))
+def merge_analysis(spark, sf):
+    return rounded(folds.fold_scores(predictions(spark, sf), PRIORITY, folds.merges(PRIORITY)))
+
+
+@query()
+def best_folds(spark, sf):
+    """The first five folds; fold_search holds the same rows against SQL."""
+    return rounded(folds.best_folds(folds.fold_search(predictions(spark, sf), PRIORITY), 5))
+
+
+MEMBERS = {"a": (0.25, "p"), "b": (0.3, "q"), "c": (0.35, "r")}
 
 
 # ---- curves --------------------------------------------------------------------------------------------------
@@ -229,19 +339,62 @@ def threshold_curve(spark, sf):
     return rounded(curves.threshold_curve(_scores(spark, sf)))
 
 
-@query(f"""with {SCORES_SQL}, {HALVES_SQL.format(repeats=5)}, g as (select k * 0.05::DOUBLE as th from range(1, 20) r(k)),
-c as (select rep, half, th, avg(((score >= th) = positive)::int) as a from halves, g group by 1, 2, 3), b as (select rep, half, th from c qualify row_number() over (partition by rep, half order by a desc, th) = 1)
-select round(b.th, 6) as threshold, count(*)::BIGINT as times, round(avg(c.a), 6) as accuracy from b join c on c.rep = b.rep and c.half = 1 - b.half and c.th = b.th group by 1""")
+CHOICES_SQL = f"""{SCORES_SQL}, {HALVES_SQL.format(repeats=40)}, g as (select k * 0.05::DOUBLE as th from range(1, 20) r(k)),
+c as (select rep, half, th, avg(((score >= th) = positive)::int) as a from halves, g group by 1, 2, 3), b as (select rep, half, th, a from c qualify row_number() over (partition by rep, half order by a desc, th) = 1),
+o as (select b.th, b.a as fitted, c.a from b join c on c.rep = b.rep and c.half = 1 - b.half and c.th = b.th)"""
+
+
+@query(f"with {CHOICES_SQL} select round(th, 6) as threshold, count(*)::BIGINT as times, round(avg(a), 6) as accuracy from o group by 1")
 def heldout_threshold(spark, sf):
-    return rounded(curves.heldout_threshold(_scores(spark, sf), repeats=5))
+    return rounded(curves.heldout_threshold(_scores(spark, sf)))
+
+
+@query(f"""with {CHOICES_SQL} select round(avg(fitted), 6) as "threshold/fitted", round(avg(a), 6) as "threshold/heldout" from o""")
+def threshold_transfer(spark, sf):
+    return rounded(curves.threshold_transfer(_scores(spark, sf)))
 
 
-@query(f"""with {SCORES_SQL}, {HALVES_SQL.format(repeats=5)}, cand as (select distinct rep, half, round(score, 3) as th from halves),
+def transfer_sql(repeats: int, targets: str) -> str:
+    return f"""{SCORES_SQL}, {HALVES_SQL.format(repeats=repeats)}, cand as (select distinct rep, half, round(score, 3) as th from halves), tg as (select unnest([{targets}])::DOUBLE as target),
 cc as (select c.rep, c.half, c.th, avg((h.score >= c.th)::int) as con from cand c join halves h on h.rep = c.rep and h.half = c.half and h.positive group by 1, 2, 3),
-ch as (select rep, half, max(th) as cut from cc where con >= 0.95 group by 1, 2), e as (select h.rep, h.half, avg((score >= cut)::int) filter (where positive) as c, avg((score >= cut)::int) filter (where not positive) as o
-from halves h join ch on ch.rep = h.rep and ch.half = 1 - h.half group by 1, 2) select round(avg(c), 6) as containment, round(avg(o), 6) as over_block, round(avg((c < 0.95)::int), 6) as miss_rate, count(*)::BIGINT as evaluations from e""")
+ch as (select rep, half, target, max(th) as cut from cc, tg where con >= target group by 1, 2, 3), e as (select h.rep, h.half, target, avg((score >= cut)::int) filter (where positive) as c, avg((score >= cut)::int) filter (where not positive) as o
+from halves h join ch on ch.rep = h.rep and ch.half = 1 - h.half group by 1, 2, 3)"""
+
+
+@query(f"with {transfer_sql(60, '0.95')} select round(avg(c), 6) as containment, round(avg(o), 6) as over_block, round(avg((c < 0.95)::int), 6) as miss_rate, count(*)::BIGINT as evaluations from e")
 def containment_transfer(spark, sf):
-    return rounded(curves.containment_transfer(_scores(spark, sf), repeats=5))
+    return rounded(curves.containment_transfer(_scores(spark, sf)))
+
+
+@query(f"with {transfer_sql(40, '0.90, 0.95, 0.99')} select target, round(avg(c), 6) as achieved, round(avg(c) - target, 6) as shortfall, round(avg(o), 6) as false_fire, round(avg((c < target)::int), 6) as miss_rate, count(*)::BIGINT as evaluations from e group by target")
+def recall_guide(spark, sf):
+    return rounded(curves.recall_guide(_scores(spark, sf)))
+
+
+@query(f"""with {SCORES_SQL}, th as (select distinct round(score, 4) as th from scored), c as (select th, avg((score >= th)::int) filter (where positive) as con, avg((score >= th)::int) filter (where not positive) as o from scored, th group by 1),
+t as (select unnest([0.85, 0.90, 0.95, 0.99])::DOUBLE as target) select target, round(min(o) filter (where con >= target), 6) as over_block from c, t group by 1""")
+def exact_over_block(spark, sf):
+    return rounded(curves.exact_over_block(_scores(spark, sf)))
+
+
+MATCHED_SQL = """, grid as (select k, -4.0::DOUBLE + k * 0.05::DOUBLE as bias from range(241) r(k)), f as (select 'a' as m, t >= 2 as inside, greatest(ln(p0), ln(p1)) - greatest(ln(p2), ln(p3), ln(p4)) as flip from ma
+union all select 'b', t >= 2, greatest(ln(p0), ln(p1)) - greatest(ln(p2), ln(p3), ln(p4)) from mb), c as (select m, bias, avg((bias > flip)::int) filter (where inside) as con, avg((bias > flip)::int) filter (where not inside) as o from f, grid group by 1, 2),
+x as (select unnest([0.85, 0.90, 0.95])::DOUBLE as target), z as (select target, min(o) filter (where con >= target and m = 'a') as a, min(o) filter (where con >= target and m = 'b') as b from c, x group by 1)"""
+
+
+def _compared(spark, sf):
+    sides = (predictions(spark, sf, *MEMBERS[m]) for m in ("a", "b"))
+    return curves.matched_comparison(*(curves.matched_over_block(curves.bias_sweep(rows, PRIORITY, "3-MEDIUM", high=8.0)) for rows in sides))
+
+
+@query("with " + preds_sql(0.25, "p", "ma") + ", " + preds_sql(0.3, "q", "mb") + MATCHED_SQL + " select target, round(a, 6) as a, round(b, 6) as b, a < b as won from z")
+def matched_comparison(spark, sf):
+    return rounded(_compared(spark, sf))
+
+
+@query("with " + preds_sql(0.25, "p", "ma") + ", " + preds_sql(0.3, "q", "mb") + MATCHED_SQL + " select count(*) filter (where a < b)::BIGINT as cells_won, count(a < b)::BIGINT as cells from z")
+def cells_won(spark, sf):
+    return curves.cells_won(_compared(spark, sf))
 
 
 COVER = (1.0, 0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4)
@@ -254,11 +407,6 @@ def ordering_audit(spark, sf):
     return rounded(curves.ordering_audit(predictions(spark, sf), COVER))
 
 
-@query(f"with {COVER_SQL} select 0.85::DOUBLE as target, max(coverage) filter (where accuracy >= 0.85) as coverage from curve")
-def coverage_for_target(spark, sf):
-    return rounded(curves.coverage_for_target(curves.coverage_curve(predictions(spark, sf), COVER), 0.85))
-
-
 RATIOS = [0.4, 0.2, 0.0, -0.2, -0.4]
 
 
@@ -274,15 +422,23 @@ def fold_orders(spark, sf):
     return rounded(curves.fold_orders(predictions(spark, sf), PRIORITY, "route").drop("p_value"))
 
 
-@query(f"""with {P}, x as (select (p0 + p1 >= p2 + p3 + p4) = (t <= 1) as ok, greatest(p0, p1, p2, p3, p4) as f, greatest(p0 + p1, p2 + p3 + p4) as c from preds),
-s as (select ok::int as ok, 'labels' as strategy, f as conf from x union all select ok::int, 'groups', c from x union all select ok::int, 'both', f * c from x),
-q as ({" union all ".join(f"select strategy, {c}::DOUBLE as coverage, quantile_cont(conf, {1 - c!r}) as cut from s group by 1" for c in (0.95, 0.9, 0.8, 0.7, 0.6))})
+HEADS = (0.98, 0.95, 0.90, 0.85, 0.80)
+
+
+@query(f"""with {P}, {preds_sql(0.3, "q", "heads")}, x as (select p.t, (p.p0 + p.p1 >= p.p2 + p.p3 + p.p4) = (p.t <= 1) as ok, greatest(p.p0, p.p1, p.p2, p.p3, p.p4) as f, greatest(p.p0 + p.p1, p.p2 + p.p3 + p.p4) as c, (h.p <= 1) = (p.t <= 1) as hok, h.conf as hc from preds p join heads h using (row_id)),
+s as (select ok::int as ok, 'naive' as strategy, f as conf from x union all select ok::int, 'fold-aware', c from x union all select hok::int, 'binary head', hc from x),
+q as ({" union all ".join(f"select strategy, {c}::DOUBLE as coverage, quantile_cont(conf, {1 - c!r}) as cut from s group by 1" for c in HEADS)})
 select strategy, coverage, round(avg(ok) filter (where conf >= cut), 6) as accuracy, round(avg(ok) filter (where conf < cut), 6) as waste from s join q using (strategy) group by 1, 2""")
 def fold_aware_abstention(spark, sf):
-    return rounded(curves.fold_aware_abstention(predictions(spark, sf), PRIORITY, "route"))
+    head = predictions(spark, sf, 0.3, "q").select("row_id", PRIORITY.group(PRIORITY.folds["route"], F.col("pred")).alias("head"), F.col("conf").alias("head_conf"))
+    return rounded(curves.fold_aware_abstention(predictions(spark, sf).join(head, "row_id"), PRIORITY, "route", "head", "head_conf", HEADS))
 
 
-MEMBERS = {"a": (0.25, "p"), "b": (0.3, "q"), "c": (0.35, "r")}
+@query()
+def offset_report(spark, sf):
+    """Accuracy before and after offsets fitted on one half by coordinate ascent, which SQL can't express."""
+    rows = predictions(spark, sf)
+    return rounded(curves.offset_report(rows.where("row_id % 2 = 0"), rows.where("row_id % 2 = 1"), PRIORITY.labels))
 
 
 @query("with " + ", ".join(preds_sql(r, s, f"m{k}") for k, (r, s) in MEMBERS.items()) + """, j as (select ma.t, [ma.p0, ma.p1, ma.p2, ma.p3, ma.p4] as a, [mb.p0, mb.p1, mb.p2, mb.p3, mb.p4] as b, [mc.p0, mc.p1, mc.p2, mc.p3, mc.p4] as c from ma join mb using (row_id) join mc using (row_id)),
@@ -325,10 +481,22 @@ def resample_to_prior(spark, sf):
     return sampling.to_prior(_skewed(spark, sf), prior, "tier")
 
 
-@query(f"""with {P}, m as (select row_id, pred, conf - (1 - conf) / 4 as margin from preds), c as (select * from m qualify row_number() over (partition by pred order by margin, row_id) <= 20) select row_id, pred, round(margin, 6) as margin from c order by margin, row_id limit 100""")
+@query(f"""with {P}, m as (select row_id, pred, conf - (1 - conf) / 4 as margin from preds), c as (select * from m qualify row_number() over (partition by pred order by margin, row_id) <= 16), u as (select * from c order by margin, row_id limit 80),
+r as (select * from m where row_id not in (select row_id from u) order by md5('u:' || row_id), row_id limit 20) select row_id, pred, round(margin, 6) as margin, 'uncertain' as chosen from u union all select row_id, pred, round(margin, 6), 'random' from r""")
 def uncertainty_selection(spark, sf):
     rows = predictions(spark, sf).select("row_id", "pred", probs.margin(F.col("probs")).alias("margin"))
-    return rounded(sampling.most_uncertain(rows, 100, 5))
+    return rounded(sampling.most_uncertain(rows, 100, 5, 0.2))
+
+
+@query(f"with {P}, r as (select row_id, row_number() over (order by md5('x:' || row_id), row_id) as rn from preds) select row_id from r where rn > 100 and rn <= 250")
+def slice_after(spark, sf):
+    return sampling.slice_after(predictions(spark, sf).select("row_id"), 100, 250)
+
+
+@query(f"""with {P}, g as (select row_id, row_id % 2 as pool, [truth, pred, votes[1]] as c from preds) select pool::BIGINT as pool, count(*)::BIGINT as jobs, count(distinct c)::BIGINT as combinations from g group by 1""")
+def plan_breadth(spark, sf):
+    rows = predictions(spark, sf).select((F.col("row_id") % 2).alias("pool"), F.array("truth", "pred", F.get("votes", F.lit(0))).alias("combination"))
+    return sampling.breadth(rows, ["combination"])
 
 
 @query(f"""with {P}, m as (select row_id, pred, votes[1] as screen, conf - (1 - conf) / 4 as margin from preds), c as (select * from m where margin >= 0.5 and pred <> screen qualify row_number() over (partition by pred order by margin desc, row_id) <= 20)
@@ -391,13 +559,59 @@ def text_sizes(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"), text.newlines(F.col("text")).alias("n_newlines"))
 
 
-@query()
+SEGMENTS_SQL = r"""s as (select doc_id, text, list_transform(regexp_extract_all(text, '"[^"]{80,}"|“[^”]{80,}”'), lambda x: regexp_replace(substr(x, 2, length(x) - 2), '^\s+|\s+$', '', 'g')) as q,
+list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 80) as p from documents),
+seg as (select doc_id, list_prepend(text, list_slice(case when len(q) > 0 then list_filter(q, lambda x: length(x) >= 80) else p end, 1, 6)) as seg from s)"""
+
+
+@query(rf"""with {SEGMENTS_SQL}, n as (select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> '')) as k from documents)
+select doc_id, n.k::int as n_sentences, len(seg)::int as n_segments from seg join n using (doc_id)""")
 def text_segments(spark, sf):
-    """Sentences and long segments of each document; the cuts need look-behind, which the SQL engine's patterns lack."""
+    """Sentences and long segments of each document."""
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(t)).alias("n_sentences"), F.size(text.segments(t)).alias("n_segments"))
 
 
+@query(f"""with {SEGMENTS_SQL}, u as (select doc_id, unnest(seg) as x from seg) select doc_id as row_id, 'tier' || max(length(x) % 5) as label, count(*)::BIGINT as n_segments from u group by 1""")
+def span_max(spark, sf):
+    """A rule as a classifier over each text and its parts; the highest label counts."""
+    labels = [f"tier{k}" for k in range(5)]
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return adapters.span_max(rows, adapters.FunctionAdapter(labels, lambda t: f"tier{len(t) % 5}"), labels)
+
+
+@query("select doc_id, lang from documents d join labels l using (doc_id) where lang = 'en' and coalesce(toxic, 0) = 0")
+def english_and_civil(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    return corpus.english_and_civil(rows, "lang", "toxic", "en").select("doc_id", "lang")
+
+
+@query("""with h as (select lang as label, count(*) / sum(count(*)) over () as have from documents group by 1), w as (select lang as label, count(*) / sum(count(*)) over () as want from documents join labels using (doc_id) where quality = 1 group by 1)
+select label, round(have, 6) as have, round(want, 6) as want, round(ln(want / have), 6) as ratio from h full join w using (label)""")
+def prior_ratios(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
+    return rounded(corpus.prior_ratios(docs, docs.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select("label")))
+
+
+@query("""with n as (select lang, count(*) as n from documents group by 1), k as (select unnest(['en', 'de', 'fr', 'es', 'xx']) as label, unnest([0, 1, 2, 3, 4]) as place), w as (select label, sqrt((select sum(n) from n) / coalesce(n, 1)) * (1 + 0.5 * place / 4) as w from k left join n on n.lang = k.label)
+select label, round(w / avg(w) over (), 6) as weight from w""")
+def class_weights(spark, sf):
+    return rounded(corpus.class_weights(table(spark, sf, "documents").select(F.col("lang").alias("label")), ["en", "de", "fr", "es", "xx"], 0.5))
+
+
+@query(f"""with {P}, k as (select row_id, [p0, p1, p2, p3, p4] as q from preds), w as (select unnest(range(5)) as i), z as (select a.i, b.i as j, case abs(a.i - b.i) when 1 then 1.0 when 2 then 0.5 else 0 end as w from w a, w b), t as (select i, sum(w) as s from z group by 1),
+m as (select row_id, z.j, sum(q[z.i + 1] * case when z.i = z.j then 0.88 else 0.12 * w / s end) as m from k, z join t using (i) group by 1, 2) select row_id, round(m, 6) as mass, j::int as rank from m where j = 2""")
+def smoothed_targets(spark, sf):
+    return rounded(predictions(spark, sf).select("row_id", F.get(probs.smoothed(F.col("probs"), 5), F.lit(2)).alias("mass"), F.lit(2).alias("rank")))
+
+
+@query(f"""with {P}, x as (select row_id, votes, list_filter(votes, lambda v: v is not null and v <> '5-LOW') as v from preds) select row_id, round(case when row_id % 3 = 0 then 0.7 when len(v) > 0 then 0.97 * len(list_filter(v, lambda y: y = '1-URGENT')) / len(v) + 0.03 / 4 end, 6) as mass from x""")
+def soft_targets(spark, sf):
+    known = PRIORITY.labels[:4]
+    given = F.when(F.col("row_id") % 3 == 0, F.array(*map(F.lit, (0.7, 0.1, 0.1, 0.1))))
+    return rounded(predictions(spark, sf).select("row_id", F.get(probs.soft_target(F.col("votes"), known, given=given), F.lit(0)).alias("mass")))
+
+
 # ---- vectors -------------------------------------------------------------------------------------------------
 
 VEC_SQL = """e as (select vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings), a as (select vec_id as aid, label as alabel, v as av from e where vec_id % 10 = 0), q as (select * from e where vec_id % 10 <> 0)"""
@@ -417,12 +631,36 @@ def nearest_centroids(spark, sf):
     return rounded(vectors.nearest_centroid(rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0")))
 
 
+@query(f"""with {VEC_SQL}, s as (select vec_id, chr(97 + alabel) as alabel, list_cosine_similarity(v, av) as c from q, a), t as (select vec_id, alabel, c from s qualify row_number() over (partition by vec_id, alabel order by c desc) <= 3), m as (select vec_id, alabel, avg(c) as s from t group by 1, 2)
+select vec_id as row_id, alabel as label, round(s, 6) as score from m qualify row_number() over (partition by vec_id order by round(s, 12) desc, alabel) = 1""")
+def named_anchor_labels(spark, sf):
+    """The same with labels that are names."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", F.chr(F.col("label") + 97).alias("label"))
+    return rounded(vectors.best_label(vectors.anchor_scores(rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0"))))
+
+
+@query(f"""with {VEC_SQL}, s as (select vec_id, alabel, max(list_cosine_similarity(v, av)) as c from q, a group by 1, 2) select vec_id as row_id, 'l' || alabel as label, round(c, 6) as score from s where alabel < 4 qualify row_number() over (partition by vec_id order by round(c, 12) desc, alabel) = 1""")
+def hypothesis_labels(spark, sf):
+    """The best of a few hypotheses for each row, by scores that here are cosines."""
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    scores = vectors.anchor_scores(rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0"), 1)
+    named = scores.select("row_id", F.concat(F.lit("l"), F.col("label").cast("string")).alias("label"), F.round("score", 12).alias("score"))
+    return rounded(judging.hypothesis_labels(named, ["l0", "l1", "l2", "l3"]))
+
+
 @query()
 def medoid_anchors(spark, sf):
     """Rows at even distances below the centroid; ranks of nearly equal cosines depend on the order of summing."""
     return vectors.medoid_anchors(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id"), 5)
 
 
+@query()
+def encoder_bake_off(spark, sf):
+    """Two encoders' embeddings of the same rows by probe and by centroids; here the second keeps half of the numbers."""
+    rows = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id")
+    return rounded(probe.bake_off({"whole": rows, "half": rows.withColumn("embedding", F.slice("embedding", 1, 32))}), 3)
+
+
 @query("""with a as (select n.n_nationkey as k, avg(c.c_acctbal) as x, count(*) as n from customer c join nation n on n.n_nationkey = c.c_nationkey group by 1), b as (select s_nationkey as k, avg(s_acctbal) as y from supplier group by 1)
 select round(corr(x, y), 6) as r, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept, count(*)::BIGINT as n from a join b using (k)""")
 def agreement_fit(spark, sf):
@@ -476,15 +714,42 @@ def screen_agreement(spark, sf):
     return rounded(judging.agreement_by(rows, "truth", "pred", "screen"))
 
 
-@query(f"""with {MEMBERS_SQL}, f as (select *, (a in ('1-URGENT', '2-HIGH')) as near, greatest(p0, p1) as hi from j), r as (select truth, a as pred, case when near and least(p0, p1) >= greatest(p2, p3, p4) then b else a end as final, near and least(p0, p1) >= greatest(p2, p3, p4) as fired from f where b in ('1-URGENT', '2-HIGH'))
+@query(f"""with {MEMBERS_SQL}, f as (select *, (a in ('1-URGENT', '2-HIGH')) as near, b in ('1-URGENT', '2-HIGH') as known from j), r as (select truth, a as pred, case when near and known and least(p0, p1) >= greatest(p2, p3, p4) then b else a end as final, near and known and least(p0, p1) >= greatest(p2, p3, p4) as fired from f)
 select sum(fired::int)::BIGINT as fired, sum((final <> pred)::int)::BIGINT as changed, sum((final = truth)::int - (pred = truth)::int)::BIGINT as net_corrected from r""")
 def arbiter(spark, sf):
-    rows = _members(spark, sf).where(F.col("b").isin("1-URGENT", "2-HIGH"))
-    special = probs.one_hot(F.col("b"), ["1-URGENT", "2-HIGH"])
-    rows = rows.select("truth", F.col("a").alias("pred"), F.col("pa").alias("probs"), special.alias("special"))
+    """All rows; the specialist of a pair has an answer where the second member's label is of the pair."""
+    special = F.when(F.col("b").isin("1-URGENT", "2-HIGH"), probs.one_hot(F.col("b"), ["1-URGENT", "2-HIGH"]))
+    rows = _members(spark, sf).select("truth", F.col("a").alias("pred"), F.col("pa").alias("probs"), special.alias("special"))
     return judging.arbiter_summary(judging.arbitrated(rows, PRIORITY.labels, {("1-URGENT", "2-HIGH"): "special"}))
 
 
+@query(f"with {MEMBERS_SQL} select greatest(a, b, c) as tier, count(*)::BIGINT as n from j group by 1")
+def highest_tiers(spark, sf):
+    return curves.highest_tier(_members(spark, sf), ["a", "b", "c"], PRIORITY).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {P}, x as (select truth as tier, votes[1] as v from preds where votes[1] is not null) select count(*)::BIGINT as n, round(avg((tier = v)::int), 6) as agreement from x")
+def verifier_agreement(spark, sf):
+    return rounded(judging.verifier_agreement(predictions(spark, sf).select(F.col("truth").alias("tier"), F.get("votes", F.lit(0)).alias("verifier"))))
+
+
+@query(f"with {P} select truth as tier, votes[1] as verifier, count(*)::BIGINT as n from preds where truth <> votes[1] group by 1, 2 order by n desc, tier, verifier limit 5")
+def verifier_disagreements(spark, sf):
+    return judging.verifier_disagreements(predictions(spark, sf).select(F.col("truth").alias("tier"), F.get("votes", F.lit(0)).alias("verifier")))
+
+
+@query(f"with {P} select case when truth = votes[1] then 'kept' else 'contested' end as stratum, count(*)::BIGINT as n from preds group by 1")
+def verifier_strata(spark, sf):
+    rows = judging.kept_by_verifier(predictions(spark, sf).select(F.col("truth").alias("tier"), F.get("votes", F.lit(0)).alias("verifier")))
+    return rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {P} select row_id, votes[1] as small, votes[2] as large from preds where votes[1] is not null and votes[2] is not null")
+def answer_pairs(spark, sf):
+    answers = predictions(spark, sf).select("row_id", F.inline(F.arrays_zip(F.array(F.lit("s"), F.lit("l"), F.lit("x")).alias("model"), F.col("votes").alias("answer"))))
+    return judging.paired_answers(answers.toDF("row_id", "model", "answer"), "s", "l")
+
+
 @query()
 def separability(spark, sf):
     """Two halves of the embeddings by label, told apart by a probe; an iterative fit that SQL can't express."""
@@ -498,18 +763,85 @@ def probe_accuracy(spark, sf):
     return rounded(probe.cross_validated(rows), 3)
 
 
-@query(f"""with {P}, c as (select (1 - avg((truth = pred)::int)) as e from preds), m as (select max(n) * 1.0 / sum(n) as majority, min(n) * 1.0 / sum(n) as minority from (select count(*) as n from preds group by truth))
-select 'baseline_lift' as control, case when minority < 0.06 then 'FAIL' when 1 - e - majority < 0.02 then 'FAIL' when 1 - e - majority < 0.04 then 'WARN' else 'PASS' end as status from c, m
-union all select 'confidence_ordering', case when max(fall) > 0.005 then 'FAIL' else 'PASS' end from (with {COVER_SQL} select lag(accuracy) over (order by coverage desc) - accuracy as fall from curve)
-union all select 'calibration', case when (with {BINS_SQL}, whole as (select count(*) as n from preds) select sum(abs(confidence - accuracy) * bins.n) / any_value(whole.n) from bins, whole) > 0.10 then 'WARN' else 'PASS' end
-union all select 'traffic_alignment', 'WARN'""")
-def control_results(spark, sf):
-    """Controls over the measured metrics of one classifier; a row for each control."""
+RUNTIME_SLO = {"coverage": 0.85, "p95_ms": 400.0}
+CHECKED = ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment", "holdout_integrity", "matched_operating_point", "runtime_slo"]
+CONTROL_SQL = f"""select 'baseline_lift' as control, case when minority_share < 0.06 or lift_over_chance < 0.02 then 'FAIL' when lift_over_chance < 0.04 then 'WARN' else 'PASS' end as status from ({ORACLE_SQL["metric_contract"]})
+union all select 'confidence_ordering', case when max(fall) > 0.005 then 'FAIL' else 'PASS' end from ({ORACLE_SQL["ordering_audit"]})
+union all select 'calibration', case when ece > 0.10 then 'WARN' else 'PASS' end from ({ORACLE_SQL["calibration"]})
+union all select 'traffic_alignment', 'WARN'
+union all select 'holdout_integrity', case when gap > 0.01 then 'FAIL' when gap > 0.005 then 'WARN' else 'PASS' end from (select "threshold/fitted" - "threshold/heldout" as gap from ({ORACLE_SQL["threshold_transfer"]}))
+union all select 'matched_operating_point', case when cells_won > cells / 2 then 'PASS' else 'FAIL' end from ({ORACLE_SQL["cells_won"]})
+union all select 'runtime_slo', case when coverage < {RUNTIME_SLO["coverage"]} or resource_exhausted_rate > 0.001 or p95_ms / {RUNTIME_SLO["p95_ms"]} > 1 then 'FAIL' when p95_ms / {RUNTIME_SLO["p95_ms"]} > 0.8 then 'WARN' else 'PASS' end from ({ORACLE_SQL["runtime_summary"]})"""
+PLANE_SQL = """select plane, case when plane in ('traffic_validity', 'outcome_value') then 'NOT_EVALUATED' when max((status = 'FAIL')::int) = 1 then 'FAIL' when max((status = 'WARN')::int) = 1 then 'WARN' else 'PASS' end as status
+from (select unnest(['classifier_quality', 'classifier_quality', 'decision_quality', 'decision_quality', 'runtime_quality', 'traffic_validity', 'outcome_value']) as plane, unnest(['baseline_lift', 'calibration', 'matched_operating_point', 'holdout_integrity', 'runtime_slo', 'traffic_alignment', null]) as control) p
+left join ({0}) using (control) group by plane""".replace("{0}", CONTROL_SQL)
+
+
+def _report(spark, sf) -> policy.Report:
+    """The report of one classifier by what is measured of it; a few rows for each metric reach the driver."""
     rows = predictions(spark, sf)
-    found = policy.bag(metrics.contract(rows)) | policy.bag(metrics.calibration(rows))
+    found = policy.bag(metrics.contract(rows)) | policy.bag(metrics.calibration(rows)) | policy.bag(curves.threshold_transfer(_scores(spark, sf)))
+    found |= {f"gate/{r.gate}/{n}": r[n] for r in metrics.gates(rows, PRIORITY).collect() for n in ("containment", "over_block", "released_to_lowest") if r[n] is not None}
     curve = [(r.coverage, r.accuracy) for r in curves.coverage_curve(rows, COVER).collect()]  # a row for each coverage
-    results = policy.run_controls({"metrics": found, "curve": curve}, ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment"])
-    return spark.createDataFrame([(r.control, r.status) for r in results], "control string, status string")
+    against = curves.cells_won(_compared(spark, sf)).first().asDict()
+    context = {"metrics": found, "curve": curve, "gates": PRIORITY.gates, "champion_comparison": against, "runtime": policy.bag(metrics.runtime_summary(calls(spark, sf))), "slo": RUNTIME_SLO}
+    classifier = {"model_revision": "p", "runtime_revision": "r", "code_revision": "c"}
+    return policy.qualify("priority", PRIORITY.name, classifier, [{"id": "orders", "digest": "0"}], context, [], CHECKED)
+
+
+@query(CONTROL_SQL)
+def control_results(spark, sf):
+    """Controls over the measured metrics of one classifier; a row for each control."""
+    return spark.createDataFrame([(r.control, r.status) for r in _report(spark, sf).controls], "control string, status string")
+
+
+@query(PLANE_SQL)
+def plane_results(spark, sf):
+    return spark.createDataFrame([*_report(spark, sf).planes.items()], "plane string, status string")
+
+
+@query(f"""with c as ({CONTROL_SQL}), v as (select max((status = 'FAIL' and control <> 'calibration')::int) as blocked, max((status = 'WARN')::int) as warned from c)
+select case when blocked = 1 then 'REJECTED' when warned = 1 then 'QUALIFIED_WITH_WARNINGS' else 'QUALIFIED' end as verdict, case when blocked = 1 then 'NOT_QUALIFIED' when warned = 1 then 'QUALIFIED_WITH_WARNING' else 'QUALIFIED' end as summary,
+case when blocked = 1 then 'REJECT' else 'PROMOTE' end as decision, blocked as exit_code from v""")
+def qualification(spark, sf):
+    """Verdict, summary, promotion decision and exit code of the same report."""
+    report = _report(spark, sf)
+    decision, _ = policy.promotion(report, policy.Promotion())
+    return spark.createDataFrame([(report.verdict, policy.summary(report.controls)[0], decision, policy.exit_code(decision))], "verdict string, summary string, decision string, exit_code int")
+
+
+@query("with " + preds_sql(0.25, "p", "ma") + ", " + preds_sql(0.3, "q", "mb") + """, x as (select 'a' as m, truth, pred, t, p from ma union all select 'b', truth, pred, t, p from mb), n as (select m, truth, count(*) as n from x group by 1, 2),
+s as (select m, max(n) * 1.0 / sum(n) as majority, min(n) * 1.0 / sum(n) as minority from n group by 1), g as (select m, avg((truth = pred)::int) as accuracy, avg((p >= 2)::int) filter (where t >= 2) as c3, avg((p >= 2)::int) filter (where t < 2) as o3, avg((p = 0)::int) filter (where t >= 2) as r3,
+avg((p >= 4)::int) filter (where t >= 4) as c5, avg((p >= 4)::int) filter (where t < 4) as o5, avg((p = 0)::int) filter (where t >= 4) as r5 from x group by 1),
+w as (select m, unnest(['accuracy', 'lift_over_chance', 'minority_share', 'gate/3-MEDIUM/containment', 'gate/3-MEDIUM/over_block', 'gate/3-MEDIUM/released_to_lowest', 'gate/5-LOW/containment', 'gate/5-LOW/over_block', 'gate/5-LOW/released_to_lowest']) as metric,
+unnest([accuracy, accuracy - majority, minority, c3, o3, r3, c5, o5, r5]) as v from g join s using (m)) select metric, round(sum(case when m = 'b' then v else -v end), 6) as delta, metric = 'lift_over_chance' as is_primary from w group by metric""")
+def champion_comparison(spark, sf):
+    """What changes from a champion to a candidate, by metric."""
+
+    def measured(rate: float, seed: str) -> policy.Report:
+        rows = predictions(spark, sf, rate, seed)
+        found = {k: v for k, v in policy.bag(metrics.contract(rows)).items() if not k.startswith("wilson")}
+        found |= {f"gate/{r.gate}/{n}": r[n] for r in metrics.gates(rows, PRIORITY).collect() for n in ("containment", "over_block", "released_to_lowest") if r[n] is not None}
+        return policy.Report("priority", PRIORITY.name, {}, [], found)
+
+    compared = policy.compare(measured(0.3, "q"), measured(0.25, "p"), policy.Promotion())
+    return rounded(spark.createDataFrame([(k, v, k == compared.primary_metric) for k, v in compared.ordered()], "metric string, delta double, is_primary boolean"))
+
+
+@query("with " + ", ".join(preds_sql(r, x, f"m{k}") for k, (r, x) in MEMBERS.items()) + """, a as (select avg((truth = pred)::int) as s from ma union all select avg((truth = pred)::int) from mb union all select avg((truth = pred)::int) from mc)
+select 'priority' as config, 3::BIGINT as n, round(max(s) - min(s), 6) as spread, round(list_sort(list(s))[2], 6) as median, round((max(s) - min(s)) / 1.693, 6) as sigma from a""")
+def seed_summary(spark, sf):
+    scores = None
+    for rate, seed in MEMBERS.values():
+        one = predictions(spark, sf, rate, seed).agg(F.lit("priority").alias("config"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("score"))
+        scores = one if scores is None else scores.unionByName(one)
+    return rounded(metrics.seed_summary(scores))
+
+
+@query()
+def training_report(spark, sf):
+    """The report of a trained classifier as one JSON document; tests hold its numbers against the metric queries."""
+    return sinks.training_report({"gold": predictions(spark, sf), "other": predictions(spark, sf, 0.3, "q")}, PRIORITY.labels, {"tag": "priority"}, calls(spark, sf))
 
 
 @query()
@@ -520,7 +852,7 @@ def k_medoids(spark, sf):
 
 @query()
 def compressed_documents(spark, sf):
-    """The sizes of all documents when cut to half of their characters by ranked sentences."""
+    """The sizes of all documents when cut to 256 words by ranked sentences; tests hold it against plain matrices."""
     short = compress.compress(table(spark, sf, "documents").select("doc_id", "text"))
     return short.select("doc_id", F.length("text").alias("n_chars"), F.length("short").alias("n_short"))
 

@@ -8,7 +8,7 @@ import hashlib
 import json
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -49,7 +49,9 @@ def seed_stability(c: dict) -> tuple[str, str]:
     spread = max(scores) - min(scores)
     if floor is None:
         return WARN, f"spread {spread:.4f}, no floor to hold it against"
-    return graded(spread, 3 * floor, floor, f"spread {spread:.4f}, floor {floor:.4f}")
+    origin = c.get("floor_measured_on")
+    inherited = f"; floor is of {origin}, and a floor is a property of a config" if origin and origin != c.get("config_id") else ""
+    return graded(spread, 3 * floor, floor, f"spread {spread:.4f}, floor {floor:.4f}{inherited}")
 
 
 def holdout_integrity(c: dict) -> tuple[str, str]:
@@ -128,25 +130,47 @@ def artifact_identity(c: dict) -> tuple[str, str]:
 
 CONTROLS: dict[str, Callable[[dict], tuple[str, str]]] = {f.__name__: f for f in (baseline_lift, seed_stability, holdout_integrity, matched_operating_point, calibration, confidence_ordering, traffic_alignment, runtime_slo, corpus_immutability, judge_integrity, artifact_identity)}
 ADVISORY = {"calibration"}
-#: Which controls decide which plane.
-PLANES = {"model": ("baseline_lift", "seed_stability", "holdout_integrity", "matched_operating_point", "calibration", "confidence_ordering"), "runtime": ("runtime_slo", "artifact_identity"), "traffic": ("traffic_alignment",), "data": ("corpus_immutability",), "outcome": ("judge_integrity",)}
+#: The controls that speak for each plane, and the metrics whose presence means that it was exercised.
+PLANES = {
+    "classifier_quality": (("baseline_lift", "seed_stability", "calibration"), ("accuracy", "lift_over_chance", "macro_f1")),
+    "decision_quality": (("matched_operating_point", "holdout_integrity"), ("selective/accuracy@0.90",)),
+    "runtime_quality": (("runtime_slo", "artifact_identity"), ("runtime/classification_coverage",)),
+    "traffic_validity": (("traffic_alignment",), ()),
+    "outcome_value": ((), ("outcome/objective_delta",)),
+}
+
+
+def register(name: str, control: Callable[[dict], tuple[str, str]], blocking: bool = True) -> None:
+    """Add a control of one's own: a function of the context that returns a status and its reason."""
+    CONTROLS[name] = control
+    (ADVISORY.discard if blocking else ADVISORY.add)(name)
 
 
 def run_controls(context: dict, names: list[str] | None = None) -> list[Result]:
     wanted = names or list(CONTROLS)
-    if unknown := set(wanted) - set(CONTROLS):
-        raise ValueError(f"unknown controls: {sorted(unknown)}")
+    if unknown := [n for n in wanted if n not in CONTROLS]:
+        raise ValueError(f"unknown controls {unknown}; there are {sorted(CONTROLS)}")
     return [Result(n, *CONTROLS[n](context), blocking=n not in ADVISORY) for n in wanted]
 
 
-def planes(results: list[Result]) -> dict[str, str]:
-    """FAIL before WARN before PASS of a plane's controls; NOT_EVALUATED if none applies."""
+def summary(results: list[Result]) -> tuple[str, list[str], list[str]]:
+    """(QUALIFIED, QUALIFIED_WITH_WARNING or NOT_QUALIFIED, blocking failures, warnings and advisory failures)."""
+    blocking = [r.control for r in results if r.status == FAIL and r.blocking]
+    warned = [r.control for r in results if r.status == WARN] + [r.control for r in results if r.status == FAIL and not r.blocking]
+    return ("NOT_QUALIFIED" if blocking else "QUALIFIED_WITH_WARNING" if warned else "QUALIFIED"), blocking, warned
+
+
+def planes(results: list[Result], metrics: dict[str, float], traffic: dict | None = None, outcome: dict | None = None) -> dict[str, str]:
+    """FAIL before WARN before PASS of a plane's controls. NOT_EVALUATED where no control applies and no metric shows
+    that the plane was exercised, without a measured separability, or without outcome evidence."""
     out = {}
-    for plane, names in PLANES.items():
+    for plane, (names, evidence) in PLANES.items():
         seen = {r.status for r in results if r.control in names} - {NOT_APPLICABLE}
-        if plane == "traffic" and any(r.control == "traffic_alignment" and r.detail == "UNKNOWN" for r in results):
-            seen = set()
-        out[plane] = next((s for s in (FAIL, WARN, PASS) if s in seen), NOT_EVALUATED)
+        unmeasured = (plane == "traffic_validity" and not (traffic or {}).get("separability")) or (plane == "outcome_value" and not outcome)
+        if unmeasured or not (seen or any(m in metrics for m in evidence)):
+            out[plane] = NOT_EVALUATED
+        else:
+            out[plane] = next((s for s in (FAIL, WARN) if s in seen), PASS)
     return out
 
 
@@ -157,45 +181,83 @@ def verdict(results: list[Result], by_plane: dict[str, str], required: list[str]
         return "INCOMPLETE"
     if FAIL in by_plane.values():
         return "REJECTED"
-    return "QUALIFIED_WITH_WARNINGS" if any(r.status == WARN for r in results) else "QUALIFIED"
+    return "QUALIFIED_WITH_WARNINGS" if WARN in by_plane.values() or any(r.status == WARN for r in results) else "QUALIFIED"
 
 
 @dataclass(frozen=True)
 class Promotion:
-    min_lift: float = 0.0
-    max_regression: float = 0.005
+    """What a deployment accepts. None switches a limit off."""
+
+    primary_metric: str = "lift_over_chance"
+    minimum_lift_over_baseline: float | None = None
+    max_regression_vs_champion: float | None = 0.005
+    allow_warnings: bool = True
+    require_planes: tuple[str, ...] = ()
     require_reproducible: bool = True
 
 
-def promotion(decision: str, metrics: dict[str, float], policy: Promotion, unpinned: list[str], champion: dict[str, float] | None = None) -> tuple[str, list[str]]:
-    """(PROMOTE, PROMOTE_WITH_REVIEW, HOLD or REJECT, reasons)."""
-    reasons = []
-    out = {"QUALIFIED": "PROMOTE", "QUALIFIED_WITH_WARNINGS": "PROMOTE_WITH_REVIEW", "INCOMPLETE": "HOLD"}.get(decision, "REJECT")
-    if decision == "REJECTED":
-        reasons.append("a blocking control failed")
-    if unpinned and policy.require_reproducible:
+def promotion(report: Report, policy: Promotion, champion: dict[str, float] | None = None) -> tuple[str, list[str]]:
+    """(PROMOTE, INCOMPLETE or REJECT, reasons). Later rules overrule earlier ones: inputs that aren't pinned reject an
+    unfinished run too."""
+    out, reasons = {"REJECTED": "REJECT", "INCOMPLETE": "INCOMPLETE"}.get(report.verdict, "PROMOTE"), []
+    _, blocking, warned = summary(report.controls)
+    if out == "REJECT":
+        reasons.append(f"rejected: {', '.join(blocking) or 'a plane failed'}")
+    elif out == "INCOMPLETE":
+        reasons.append("a required plane was not exercised")
+    elif report.verdict == "QUALIFIED_WITH_WARNINGS" and not policy.allow_warnings:
+        out, reasons = "REJECT", [f"warnings aren't allowed: {', '.join(warned)}"]
+    if missing := [p for p in policy.require_planes if report.planes.get(p) == NOT_EVALUATED]:
+        out, reasons = ("INCOMPLETE" if out == "PROMOTE" else out), [*reasons, f"planes not evaluated: {', '.join(missing)}"]
+    if policy.require_reproducible and (unpinned := report.unpinned()):
         out, reasons = "REJECT", [*reasons, f"unpinned: {', '.join(unpinned)}"]
-    if metrics.get("lift_over_chance", 0.0) < policy.min_lift:
-        out, reasons = "REJECT", [*reasons, "too little lift"]
-    if champion:
-        if champion.get("accuracy", 0.0) - metrics.get("accuracy", 0.0) > policy.max_regression:
-            out, reasons = "REJECT", [*reasons, "worse than the champion"]
-        for note in compare(metrics, champion):
-            out, reasons = ("PROMOTE_WITH_REVIEW" if out == "PROMOTE" else out), [*reasons, note]
-    return out, reasons
-
-
-def compare(candidate: dict[str, float], champion: dict[str, float]) -> list[str]:
-    """What a gain of accuracy may hide: less containment, more rows released."""
-    notes = []
-    gain = candidate.get("accuracy", 0.0) - champion.get("accuracy", 0.0)
-    for k in sorted(set(candidate) & set(champion)):
-        change = candidate[k] - champion[k]
-        if k.endswith("/containment") and change < -0.005 and gain > 0:
-            notes.append(f"{k} falls by {-change:.4f}")
-        if k.endswith("/released_to_lowest") and change > 0.001:
-            notes.append(f"{k} rises by {change:.4f}")
-    return notes
+    lift, least = report.metrics.get("lift_over_chance"), policy.minimum_lift_over_baseline
+    if least is not None and lift is not None and lift < least:
+        out, reasons = "REJECT", [*reasons, f"lift {lift:+.4f} is below {least:+.4f}"]
+    mine, theirs, most = report.metrics.get(policy.primary_metric), (champion or {}).get(policy.primary_metric), policy.max_regression_vs_champion
+    if most is not None and mine is not None and theirs is not None:
+        if mine - theirs < -most:
+            out = "REJECT"
+        reasons.append(f"{policy.primary_metric} {mine - theirs:+.4f} against the champion")
+    return out, reasons or ["all conditions are met"]
+
+
+#: Metrics that are compared besides the primary one and those of gates.
+COMPARED = ("accuracy", "macro_f1", "calibration/ece", "minority_share")
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """A candidate against the champion: what changed, what an average hides, and the decision."""
+
+    primary_metric: str
+    deltas: dict[str, float]
+    disagreements: list[str]
+    decision: str
+    reasons: list[str]
+
+    def ordered(self) -> list[tuple[str, float]]:
+        """Deltas by name, the primary one first."""
+        return sorted(self.deltas.items(), key=lambda kv: (kv[0] != self.primary_metric, kv[0]))
+
+
+def compare(candidate: Report, champion: Report, policy: Promotion) -> Comparison:
+    mine, theirs, primary = candidate.metrics, champion.metrics, policy.primary_metric
+    deltas = {k: v - theirs[k] for k, v in mine.items() if k in theirs and (k == primary or k.startswith("gate/") or k in COMPARED)}
+    gain, notes = deltas.get("accuracy"), []
+    if gain is not None and gain * deltas.get(primary, 0.0) < 0:
+        notes.append(f"accuracy {gain:+.4f} and {primary} {deltas[primary]:+.4f} differ in sign")
+    notes += [f"accuracy rose, {k} fell by {-v:.4f}" for k, v in deltas.items() if k.endswith("/containment") and v < -0.005 and (gain or 0) > 0]
+    notes += [f"{k} rose by {v:.4f}" for k, v in deltas.items() if k.endswith("/released_to_lowest") and v > 0.001]
+    decision, reasons = promotion(candidate, policy, theirs)
+    if notes and decision == "PROMOTE":
+        decision, reasons = "PROMOTE_WITH_REVIEW", [*reasons, "metrics disagree"]
+    return Comparison(primary, deltas, notes, decision, reasons)
+
+
+def exit_code(decision: str | None) -> int:
+    """0 for what is promoted, with review or without; 2 for no rows at all; else 1."""
+    return 2 if decision is None else 0 if decision.startswith("PROMOTE") else 1
 
 
 @dataclass(frozen=True)
@@ -219,8 +281,33 @@ class Report:
         body = {"suite": self.suite, "taxonomy": self.taxonomy, "classifier": self.classifier, "datasets": self.datasets, "verdict": self.verdict, "metrics": self.metrics}
         return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()[:16]
 
+    def to_dict(self) -> dict:
+        """All of it, with the digest and what isn't pinned."""
+        state, blocking, warned = summary(self.controls)
+        controls = {"verdict": state, "blocking_failures": blocking, "warnings": warned, "controls": [asdict(r) for r in self.controls]}
+        return {
+            "suite": self.suite, "taxonomy": self.taxonomy, "classifier": self.classifier, "datasets": self.datasets, "metrics": self.metrics, "controls": controls, "planes": self.planes,
+            "verdict": self.verdict, "report_digest": self.digest(), "unpinned_inputs": self.unpinned(),
+        }
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict(), sort_keys=True)
+
+    @classmethod
+    def from_dict(cls, found: dict) -> Report:
+        """Read back leniently: what this version doesn't know is left out, what it misses is empty. Digests are
+        computed anew."""
+        controls = found.get("controls") or {}
+        rows = controls.get("controls", controls.get("checks", [])) if isinstance(controls, dict) else controls
+        status = lambda r: r.get("status") or (PASS if r.get("passed") else FAIL)
+        results = [Result(r["control"], status(r), r.get("detail", ""), r.get("blocking", True)) for r in rows]
+        by_plane = found.get("planes") or {}
+        if isinstance(by_plane, list):
+            by_plane = {p["plane"]: p["status"] for p in by_plane}
+        return cls(found.get("suite", ""), found.get("taxonomy", ""), found.get("classifier") or {}, found.get("datasets") or [], found.get("metrics") or {}, results, by_plane, found.get("verdict", ""))
+
 
 def qualify(suite: str, taxonomy: str, classifier: dict[str, str], datasets: list[dict[str, str]], context: dict, required: list[str], names: list[str] | None = None) -> Report:
     results = run_controls(context, names)
-    by_plane = planes(results)
+    by_plane = planes(results, context["metrics"], context.get("traffic"), context.get("outcome"))
     return Report(suite, taxonomy, classifier, datasets, context["metrics"], results, by_plane, verdict(results, by_plane, required))

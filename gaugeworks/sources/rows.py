@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeworks.operators.folds import Taxonomy
+from gaugeworks.plans.policy import Report
 
 #: Never inferred: a column such as votes may be missing from whole files.
 LABELLED = T.StructType([T.StructField(n, t) for n, t in (("text", T.StringType()), ("tier", T.StringType()), ("label", T.StringType()), ("votes", T.ArrayType(T.StringType())), ("source", T.StringType()), ("src", T.StringType()), ("soft_dist", T.ArrayType(T.DoubleType())), ("hard", T.BooleanType()), ("agree", T.BooleanType()), ("margin", T.DoubleType()), ("_bad", T.StringType()))])
@@ -31,6 +34,12 @@ def source_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def source_string(rows: DataFrame) -> DataFrame:
+    """One row with `source`: name:count of each file, joined by +, in order of names."""
+    each = F.array_sort(F.collect_list(F.concat_ws(":", "dataset", "n")))
+    return source_counts(rows).agg(F.array_join(each, "+").alias("source"))
+
+
 def excluding(rows: DataFrame, *tokens: str) -> DataFrame:
     """Rows of files whose names hold none of the tokens."""
     out = rows
@@ -61,6 +70,30 @@ def calls(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return raw.select(F.col("request_id").alias("call_id"), "ts", "status", "latency_ms", best.label.alias("pred"), conf.alias("conf"))
 
 
+def report_rows(spark: SparkSession, path: str) -> list[Report]:
+    """Reports of a ledger, read back leniently; a ledger has one for each run."""
+    rows = spark.read.parquet(path).where("kind = 'report'").orderBy("at", "run").select("text").collect()
+    return [Report.from_dict(json.loads(r.text)) for r in rows]
+
+
+CHECKPOINT = T.StructType([T.StructField("id2label", T.MapType(T.StringType(), T.StringType())), T.StructField("architectures", T.ArrayType(T.StringType())), T.StructField("_bad", T.StringType())])
+
+
+def checkpoints(spark: SparkSession, folder: str, labels: list[str], prefix: str = "") -> DataFrame:
+    """(tag, labels, architecture) of the model checkpoints in a folder, by their config.json: those whose tag has the
+    prefix and that answer in the given labels, in whatever order."""
+    raw = spark.read.schema(CHECKPOINT).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(f"{folder}/*/config.json")
+    tag = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    order = F.array_sort(F.transform(F.map_entries("id2label"), lambda e: F.struct(e.key.cast("int").alias("at"), e.value.alias("label"))))
+    rows = raw.where("_bad is null and id2label is not null").select(tag.alias("tag"), F.transform(order, lambda e: e.label).alias("labels"), F.get("architectures", F.lit(0)).alias("architecture"))
+    return rows.where(F.col("tag").startswith(prefix) & (F.array_sort("labels") == F.lit(sorted(labels))))
+
+
+def intact(cache: DataFrame, value: str) -> DataFrame:
+    """Entries of a cache whose value is a whole JSON document; the others are asked for again."""
+    return cache.where(F.expr(f"try_parse_json({value})").isNotNull())
+
+
 def missing_from_cache(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Requests that a keyed table of earlier answers (labels, embeddings) lacks."""
     return wanted.join(cache.select(*keys).distinct(), keys, "left_anti")

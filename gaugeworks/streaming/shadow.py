@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gaugeworks.operators.probe import separability
 from gaugeworks.operators.quantiles import quantiles
 from gaugeworks.operators.sampling import retained
 
 WINDOW = "1 hour"
 
 
-def window_metrics(calls: DataFrame, abstain_below: float = 0.6) -> DataFrame:
+#: Confidences below which a call would abstain.
+ABSTAIN = (0.5, 0.7, 0.9)
+#: Quantiles of each window's confidence and latency.
+QUANTILES = {"conf": {0.1: "conf_p10", 0.5: "conf_p50"}, "latency_ms": {0.5: "p50_ms", 0.99: "p99_ms"}}
+
+
+def _means(thresholds: tuple[float, ...]) -> list[Column]:
+    low = lambda t: F.avg((F.col("conf") < t).cast("double")).alias(f"abstain_at_{round(100 * t)}")
+    return [F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf_mean"), *map(low, thresholds)]
+
+
+def window_metrics(calls: DataFrame, thresholds: tuple[float, ...] = ABSTAIN) -> DataFrame:
     """Exact metrics of each window of calls (ts, conf, latency_ms), in batch."""
     rows = calls.select(F.window("ts", WINDOW)["start"].alias("hour"), "conf", "latency_ms")
-    out = rows.groupBy("hour").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("conf_mean"), F.avg((F.col("conf") < abstain_below).cast("double")).alias("abstain_at_60"))
-    wanted = {"conf": {0.1: "conf_p10", 0.5: "conf_p50"}, "latency_ms": {0.5: "p50_ms", 0.99: "p99_ms"}}
-    for column, names in wanted.items():
+    means = _means(thresholds)
+    out = rows.groupBy("hour").agg(*means)
+    for column, names in QUANTILES.items():
         cuts = quantiles(rows, column, list(names), ["hour"])
         wide = cuts.groupBy("hour").agg(*(F.max(F.when(F.col("k") == k, F.col("cut"))).alias(n) for k, n in enumerate(names.values())))
         out = out.join(wide, "hour", "left")
-    return out.select("hour", "n", "conf_mean", "conf_p10", "conf_p50", "p50_ms", "p99_ms", "abstain_at_60")
+    return out
 
 
 def predicted_shares(calls: DataFrame) -> DataFrame:
@@ -30,22 +46,56 @@ def predicted_shares(calls: DataFrame) -> DataFrame:
     return counts.join(whole, "hour").select("hour", "pred", "n", (F.col("n") / F.col("whole")).alias("share"))
 
 
-def stream_metrics(calls: DataFrame, late: str = "10 minutes", abstain_below: float = 0.6) -> DataFrame:
-    """The streaming form: sums and a quantile sketch for each window, closed when the watermark passes it."""
-    q = lambda c, p: F.percentile_approx(c, F.lit(p), 10_000)
-    out = calls.withWatermark("ts", late).groupBy(F.window("ts", WINDOW).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("conf").alias("conf_mean"),
-        q("conf", 0.5).alias("conf_p50"),
-        q("latency_ms", 0.99).alias("p99_ms"),
-        F.avg((F.col("conf") < abstain_below).cast("double")).alias("abstain_at_60"),
-    )
+def stream_metrics(calls: DataFrame, labels: Sequence[str] = (), late: str = "10 minutes", thresholds: tuple[float, ...] = ABSTAIN) -> DataFrame:
+    """The streaming form: sums, the share of each label and a quantile sketch for each window, closed when the
+    watermark passes it."""
+    sketched = [F.percentile_approx(c, F.lit(q), 10_000).alias(name) for c, names in QUANTILES.items() for q, name in names.items()]
+    shares = [F.avg((F.col("pred") == x).cast("double")).alias(f"share_{x}") for x in labels]
+    out = calls.withWatermark("ts", late).groupBy(F.window("ts", WINDOW).alias("w")).agg(*_means(thresholds), *sketched, *shares)
     return out.select(F.col("w.start").alias("hour"), *out.columns[1:])
 
 
-def stream_retained(calls: DataFrame, rate: float = 0.05) -> DataFrame:
-    """A stateless sample of calls for review, richer where confidence is low."""
-    return retained(calls, rate, "call_id")
+def stream_retained(calls: DataFrame, rate: float = 0.05, most: int | None = None, late: str = "10 minutes") -> DataFrame:
+    """A sample of calls for review, richer where confidence is low. With `most`, at most so many of each window and
+    bucket of calls go on: the count of each is kept as state until the watermark passes the window."""
+    kept = retained(calls, rate, "call_id")
+    return kept if most is None else _first_of_window(kept, most, late)
+
+
+#: Buckets by call that share a window's room, so that no task sees all of a window.
+BUCKETS = 8
+
+
+def _first_of_window(rows: DataFrame, most: int, late: str) -> DataFrame:
+    rooms = rows.withWatermark("ts", late).withColumn("_hour", F.window("ts", WINDOW)["start"]).withColumn("_bucket", F.pmod(F.xxhash64("call_id"), F.lit(BUCKETS)).cast("int"))
+    room = max(1, most // BUCKETS)
+
+    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        for pdf in batches:
+            part = pdf.sort_values(["ts", "call_id"]).iloc[: max(0, room - used)]
+            used += len(part)
+            yield part[names]
+        state.update((used,))
+        state.setTimeoutTimestamp(max(int(key[0].timestamp() * 1000) + 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    names = rows.columns
+    return rooms.groupBy("_hour", "_bucket").applyInPandasWithState(take, rows.schema, "used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_drift(calls: DataFrame, reference: DataFrame, path: str, checkpoint: str, most: int = 5000, folds: int = 5):
+    """For each batch of calls (call_id, embedding): how well a probe tells at most `most` of their embeddings from the
+    reference's (row_id, embedding); appended to a Parquet ledger. Batches without embeddings are UNMEASURED."""
+
+    def measure(batch: DataFrame, number: int) -> None:
+        live = batch.where("embedding is not null").select(F.col("call_id").alias("row_id"), "embedding").limit(most)
+        found = separability(live, reference, folds)
+        found.withColumns({"batch": F.lit(number), "n": F.lit(live.count())}).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return calls.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_ledger(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
