@@ -1,61 +1,117 @@
-"""Medoids of each label's embeddings, and anchors chosen greedily for accuracy. Both work on a bounded sample of each
-label; the bound is a parameter."""
+"""Medoids of each label's embeddings, over all rows, and anchors chosen greedily for accuracy on a bounded sample."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gaugeworks.operators.sampling import stratified
 
-SAMPLE = 1500
+#: Rows of each label that greedy anchors are chosen among and measured on.
+SAMPLE = 200
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+#: Of a label's unit vectors: the slot that each row belongs to, and its score there.
+Scorer = Callable[[object, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _best(rows: DataFrame, score: Scorer) -> dict[tuple, tuple[int, np.ndarray]]:
+    """The row_id and vector of best score in each (label, slot), the least row_id of equal ones. A task sends one row
+    for each batch and slot."""
+    kind = dict(rows.dtypes)["label"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for label, part in pdf.groupby("label"):
+                part = part.sort_values("row_id")
+                x = _unit(np.array(part.embedding.tolist(), float))
+                slot, value = score(label, x)
+                value = np.round(value, 12)
+                for s in np.unique(slot):
+                    own = np.flatnonzero(slot == s)
+                    at = own[value[own].argmax()]
+                    yield pd.DataFrame({"label": [label], "slot": [int(s)], "score": [float(value[at])], "row_id": [int(part.row_id.iloc[at])], "v": [x[at]]})
+
+    found = rows.mapInPandas(run, f"label {kind}, slot int, score double, row_id bigint, v array<double>")
+    best = found.groupBy("label", "slot").agg(F.max(F.struct("score", F.negative("row_id").alias("id"), "v")).alias("b")).collect()
+    return {(r.label, r.slot): (-r.b.id, np.array(r.b.v)) for r in best}
+
 
+def _means(rows: DataFrame, slot_of: Callable[[object, np.ndarray], np.ndarray]) -> dict[tuple, np.ndarray]:
+    """The mean vector, at unit length, of each (label, slot); tasks send sums."""
+    kind = dict(rows.dtypes)["label"]
 
-def k_medoids(x: np.ndarray, k: int, rounds: int = 25) -> list[int]:
-    """Farthest-point start from the point nearest the centre, then reassignment and new medoids until they stay."""
-    x = _unit(x)
-    far = 1 - x @ x.T
-    chosen = [int(far.sum(1).argmin())]
-    while len(chosen) < min(k, len(x)):
-        chosen.append(int(far[:, chosen].min(1).argmax()))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for label, part in pdf.groupby("label"):
+                x = _unit(np.array(part.embedding.tolist(), float))
+                slot = slot_of(label, x)
+                for s in np.unique(slot):
+                    yield pd.DataFrame({"label": [label], "slot": [int(s)], "v": [x[slot == s].sum(0)]})
+
+    long = rows.mapInPandas(run, f"label {kind}, slot int, v array<double>").select("label", "slot", F.posexplode("v").alias("pos", "x"))
+    sums = long.groupBy("label", "slot", "pos").agg(F.sum("x").alias("x")).groupBy("label", "slot").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).collect()
+    return {(r.label, r.slot): _unit(np.array([p.x for p in r.v])) for r in sums}
+
+
+def medoids(rows: DataFrame, k: int, rounds: int = 25) -> DataFrame:
+    """(label, row_id) of k medoids of each label, or all of its rows if fewer. They begin with the row nearest the
+    label's mean and, one by one, the row farthest from all so far; then rows go to their nearest medoid, and the row
+    nearest each group's mean takes its place, until none changes. The driver holds the medoids; each step is an
+    aggregation over all rows, to which a task adds a row for each batch and medoid."""
+    rows = rows.select("label", F.col("row_id").cast("bigint").alias("row_id"), "embedding")
+    means = _means(rows, lambda _, x: np.zeros(len(x), int))
+    chosen = {label: [got] for (label, _), got in _best(rows, lambda label, x: (np.zeros(len(x), int), x @ means[label, 0])).items()}
+    vectors = lambda: {label: np.array([v for _, v in got]) for label, got in chosen.items()}
+    for _ in range(k - 1):
+        now = vectors()
+        for (label, _), got in _best(rows, lambda label, x: (np.zeros(len(x), int), -(x @ now[label].T).max(1))).items():  # noqa: B023
+            if got[0] not in [i for i, _ in chosen[label]]:
+                chosen[label].append(got)
     for _ in range(rounds):
-        owner = far[:, chosen].argmin(1)
-        new = []
-        for j, c in enumerate(chosen):
-            own = np.flatnonzero(owner == j)
-            new.append(int(own[far[np.ix_(own, own)].sum(1).argmin()]) if len(own) else c)
-        if new == chosen:
-            break
-        chosen = new
-    return chosen
+        now = vectors()
+        nearest = lambda label, x: (x @ now[label].T).argmax(1)  # noqa: B023, E731
+        means = _means(rows, nearest)
 
+        def inside(label: object, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            slot = nearest(label, x)  # noqa: B023
+            return slot, np.array([v @ means[label, int(s)] for v, s in zip(x, slot, strict=True)])  # noqa: B023
 
-def medoids(rows: DataFrame, k: int, sample: int = SAMPLE) -> DataFrame:
-    """(label, row_id) of k medoids of each label, over at most `sample` rows of it."""
-    kinds = dict(rows.dtypes)
+        found = _best(rows, inside)
+        new = {label: [found.get((label, j), got) for j, got in enumerate(old)] for label, old in chosen.items()}
+        if all([i for i, _ in new[label]] == [i for i, _ in chosen[label]] for label in new):
+            break
+        chosen = new
+    kind = dict(rows.dtypes)["label"]
+    return rows.sparkSession.createDataFrame([(label, i) for label, got in chosen.items() for i, _ in got], f"label {kind}, row_id bigint")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", ignore_index=True)
-        at = k_medoids(np.array(pdf.embedding.tolist(), float), k)
-        return pdf.loc[at, ["label", "row_id"]]
 
-    return stratified(rows, "label", sample).groupBy("label").applyInPandas(run, f"label {kinds['label']}, row_id {kinds['row_id']}")
+def chosen_anchors(rows: DataFrame, per_label: int, sample: int = SAMPLE) -> DataFrame:
+    """(label, row_id, step) of anchors chosen greedily: candidates and the rows that they are measured on are at most
+    `sample` of each label by hash, as every step looks at all pairs of them."""
+    some = stratified(rows.select("label", "row_id", "embedding"), "label", sample).orderBy("row_id").collect()
+    y = np.array([r.label for r in some])
+    picked = greedy_anchors(np.array([r.embedding for r in some], float), y, list(range(len(some))), per_label) if some else []
+    schema = f"label {dict(rows.dtypes)['label']}, row_id {dict(rows.dtypes)['row_id']}, step int"
+    return rows.sparkSession.createDataFrame([(some[c].label, some[c].row_id, n) for n, c in enumerate(picked)], schema)
 
 
 def greedy_anchors(x: np.ndarray, y: np.ndarray, candidates: list[int], per_label: int) -> list[int]:
     """Candidates added one by one, each time that whose nearest-anchor accuracy on the others is best, the first of
-    equal ones, until no label has room or nothing improves."""
+    equal ones, until no label has room."""
     x = _unit(np.asarray(x, float))
     sim = x @ x.T
     labels = sorted(set(y[candidates]))
     best = {c: np.full(len(x), -np.inf) for c in labels}
     chosen: list[int] = []
-    score = -1.0
     while True:
         top = (-np.inf, None)
         for c in candidates:
@@ -65,8 +121,7 @@ def greedy_anchors(x: np.ndarray, y: np.ndarray, candidates: list[int], per_labe
             accuracy = float((np.array(labels)[grid.argmax(1)] == y).mean())
             if accuracy > top[0]:
                 top = (accuracy, c)
-        if top[1] is None or top[0] <= score:
+        if top[1] is None:
             return chosen
-        score = top[0]
         chosen.append(top[1])
         best[y[top[1]]] = np.maximum(best[y[top[1]]], sim[:, top[1]])

@@ -846,10 +846,16 @@ def training_report(spark, sf):
 
 @query()
 def k_medoids(spark, sf):
-    """Medoids of each label of the embeddings."""
+    """Medoids of each label of the embeddings, over all rows; tests hold them against plain matrices."""
     return medoids.medoids(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id"), 5)
 
 
+@query()
+def greedy_anchors(spark, sf):
+    """Anchors chosen one by one for accuracy, among a bounded sample of each label."""
+    return medoids.chosen_anchors(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "row_id"), 2, 20)
+
+
 @query()
 def compressed_documents(spark, sf):
     """The sizes of all documents when cut to 256 words by ranked sentences; tests hold it against plain matrices."""

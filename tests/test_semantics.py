@@ -1,14 +1,17 @@
 """Rules that change answers: ties, undefined ratios, bins, medians, folds, votes, controls."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions import probs, stats, text
 from gaugeworks.operators import folds, metrics, sampling, votes
 from gaugeworks.operators.folds import Taxonomy
-from gaugeworks.plans import policy
+from gaugeworks.operators.metrics import CONTRACT
+from gaugeworks.plans import policy, specs
 from gaugeworks.sources import rows as sources
 from gaugeworks.sources import sinks
 from gaugeworks.streaming import shadow
@@ -25,6 +28,8 @@ def test_vectors(spark):
     s = one(spark, probs.softmax(F.array(F.lit(3.395), F.lit(-0.251), F.lit(None), F.lit(float("nan")))))[0]
     assert sum(s) == pytest.approx(1) and s[2] == s[3] == 0 and s[0] > s[1]
     t = one(spark, probs.soft_target(F.lit(["a", "a", "z"]), ["a", "b"]), probs.soft_target(F.lit(["z"]), ["a", "b"]), probs.smoothed_ordinal(F.lit(0), 4))
+    own = one(spark, probs.smoothed(F.array(*map(F.lit, (0.5, 0.5, 0.0, 0.0))), 4), probs.soft_target(F.lit(["a"]), ["a", "b"], given=F.array(F.lit(0.2), F.lit(0.8))), probs.soft_target(F.lit(["a"]), ["a", "b"], given=F.array(F.lit(1.0))), probs.reordered(F.array(F.lit(0.2), F.lit(0.8)), ["a", "b"], ["b", "z", "a"]), stats.nearest_rank(F.array(*map(F.lit, (3, 1, 2, 4))), 0.5))
+    assert own[0] == pytest.approx([0.44 + 0.06 * 0.4, 0.44 + 0.06 * 2 / 3, 0.06 * (1 / 3 + 0.4), 0.06 * 0.2]) and own[1] == [0.2, 0.8] and own[2][0] > 0.9 and own[3] == [0.8, 0.0, 0.2] and own[4] == 3
     assert sum(t[0]) == pytest.approx(1) and t[1] is None and sum(t[2]) == pytest.approx(1)
 
 
@@ -37,6 +42,9 @@ def test_statistics(spark):
 
 def test_text(spark):
     t = F.lit(" Ab  C\n\nd. E! f ")
+    long = "“" + "q" * 80 + " ” and \"" + "r" * 90 + '"'
+    assert one(spark, text.quoted_spans(F.lit(long)))[0] == ["q" * 80, "r" * 90]
+    assert list(one(spark, text.scheme_of(F.lit("GRPC://x")), text.scheme_of(F.lit("a/b")), text.level_of(F.lit("selective/accuracy@0.90")), text.level_of(F.lit("accuracy")), text.capped(F.lit("abcdef"), 3))) == ["grpc", "", 0.9, None, "abc"]
     r = one(spark, text.normal(t), text.word_count(F.lit("  a b\tc ")), text.sentences(F.lit("A b. C? d\ne")), text.newlines(t))
     assert r[0] == "ab c d. e! f" and r[1] == 3 and r[2] == ["A b.", "C?", "d", "e"] and r[3] == 2
     assert one(spark, text.key(F.lit("A  b")) == text.key(F.lit(" a\nB ")))[0]
@@ -120,20 +128,127 @@ def test_controls(name, more, status):
     assert policy.run_controls(context() | more, [name])[0].status == status
 
 
+GOOD = context(seed_scores=[0.9, 0.901], noise_floor=0.004, dataset_manifest=[{"id": "a", "digest": "0f"}], traffic={"separability": 0.6})
+PINNED = {"model_revision": "a", "runtime_revision": "b", "code_revision": "c"}
+
+
+def report(context=GOOD, required=(), classifier=PINNED):
+    return policy.qualify("s", "t", classifier, [{"id": "a", "digest": "0f"}], context, list(required))
+
+
+def test_a_floor_is_a_property_of_a_config():
+    r = policy.run_controls(context(seed_scores=[0.90, 0.9025], noise_floor=0.002, floor_measured_on="other", config_id="this"), ["seed_stability"])[0]
+    assert r.status == "WARN" and "property of a config" in r.detail
+
+
+def test_planes():
+    found = report().planes
+    assert found == {"classifier_quality": "PASS", "decision_quality": "NOT_EVALUATED", "runtime_quality": "NOT_EVALUATED", "traffic_validity": "PASS", "outcome_value": "NOT_EVALUATED"}
+    measured = GOOD["metrics"] | {"selective/accuracy@0.90": 0.9, "runtime/classification_coverage": 1.0, "ece": 0.2}
+    found = report(GOOD | {"metrics": measured, "traffic": {"separability": 0.0}, "outcome": {"delta": 1}}).planes
+    assert found == {"classifier_quality": "WARN", "decision_quality": "PASS", "runtime_quality": "PASS", "traffic_validity": "NOT_EVALUATED", "outcome_value": "NOT_EVALUATED"}
+    assert report(GOOD | {"metrics": measured | {"outcome/objective_delta": 0.1}, "outcome": {"delta": 1}}).planes["outcome_value"] == "PASS"
+
+
 def test_verdicts_and_promotion():
-    good = context(seed_scores=[0.9, 0.901], noise_floor=0.004, dataset_manifest=[{"id": "a", "digest": "0f"}], traffic={"separability": 0.6})
-    classifier = {"model_revision": "a", "runtime_revision": "b", "code_revision": "c"}
-    report = policy.qualify("s", "t", classifier, [{"id": "a", "digest": "0f"}], good, ["model", "data"])
-    assert report.verdict == "QUALIFIED" and report.unpinned() == [] and report.planes["runtime"] == "NOT_EVALUATED"
-    assert policy.qualify("s", "t", classifier, [], good, ["runtime"]).verdict == "INCOMPLETE"
-    assert policy.qualify("s", "t", classifier, [], good | {"dataset_manifest": []}, []).verdict == "REJECTED"
+    good = report(required=["classifier_quality"])
+    assert good.verdict == "QUALIFIED" and good.unpinned() == [] and policy.promotion(good, policy.Promotion()) == ("PROMOTE", ["all conditions are met"])
+    assert report(required=["runtime_quality"]).verdict == "INCOMPLETE"
+    bad = report(GOOD | {"dataset_manifest": []})
+    assert bad.verdict == "REJECTED" and policy.promotion(bad, policy.Promotion())[0] == "REJECT" and policy.summary(bad.controls)[:2] == ("NOT_QUALIFIED", ["corpus_immutability"])
     with pytest.raises(ValueError):
-        policy.run_controls(good, ["nothing"])
-    assert policy.promotion("QUALIFIED", good["metrics"], policy.Promotion(), [])[0] == "PROMOTE"
-    assert policy.promotion("INCOMPLETE", good["metrics"], policy.Promotion(), ["x"])[0] == "REJECT"
-    champion = good["metrics"] | {"accuracy": 0.89, "gate/g/containment": 0.95}
-    assert policy.promotion("QUALIFIED", good["metrics"] | {"gate/g/containment": 0.90}, policy.Promotion(), [], champion)[0] == "PROMOTE_WITH_REVIEW"
-    assert report.digest() == policy.qualify("s", "t", classifier, [{"id": "a", "digest": "0f"}], good, ["model", "data"]).digest()
+        policy.run_controls(GOOD, ["nothing"])
+    warned = report(GOOD | {"traffic": None})
+    assert warned.verdict == "QUALIFIED_WITH_WARNINGS" and policy.summary(warned.controls)[0] == "QUALIFIED_WITH_WARNING"
+    decide = lambda r, champion=None, **rules: policy.promotion(r, policy.Promotion(**rules), champion)[0]
+    assert decide(warned) == "PROMOTE" and decide(warned, allow_warnings=False) == "REJECT"
+    unfinished = report(required=["runtime_quality"])
+    assert decide(unfinished) == "INCOMPLETE" and decide(report(required=["runtime_quality"], classifier={})) == "REJECT"
+    assert decide(report(classifier={})) == "REJECT" and decide(report(classifier={}), require_reproducible=False) == "PROMOTE"
+    assert decide(good, require_planes=("outcome_value",)) == "INCOMPLETE" and decide(good, minimum_lift_over_baseline=0.31) == "REJECT" and decide(good, minimum_lift_over_baseline=0.29) == "PROMOTE"
+    assert decide(good, {"lift_over_chance": 0.306}) == "REJECT" and decide(good, {"lift_over_chance": 0.304}) == "PROMOTE" and decide(good, {"lift_over_chance": 0.4}, max_regression_vs_champion=None) == "PROMOTE"
+    assert [policy.exit_code(d) for d in ("PROMOTE", "PROMOTE_WITH_REVIEW", "INCOMPLETE", "REJECT", None)] == [0, 0, 1, 1, 2]
+    assert good.digest() == report(required=["classifier_quality"]).digest() != bad.digest()
+
+
+def test_comparisons_tell_what_an_average_hides():
+    def against(mine, theirs, **rules):
+        side = lambda m: report(GOOD | {"metrics": GOOD["metrics"] | m})
+        return policy.compare(side(mine), side(theirs), policy.Promotion(**rules))
+
+    same = against({}, {})
+    assert same.decision == "PROMOTE" and same.disagreements == [] and [k for k, _ in same.ordered()][0] == "lift_over_chance"
+    sign = against({"accuracy": 0.91, "lift_over_chance": 0.299}, {})
+    assert sign.decision == "PROMOTE_WITH_REVIEW" and "sign" in sign.disagreements[0]
+    leak = against({"accuracy": 0.91, "gate/g/containment": 0.90, "gate/g/released_to_lowest": 0.02}, {"gate/g/containment": 0.95, "gate/g/released_to_lowest": 0.01})
+    assert leak.decision == "PROMOTE_WITH_REVIEW" and len(leak.disagreements) == 2 and set(leak.deltas) >= {"gate/g/containment", "accuracy"} and "n" not in leak.deltas
+    assert "PROMOTE_WITH_REVIEW" in sinks.comparison_text(leak) and "<- primary" in sinks.comparison_text(leak)
+
+
+def test_controls_of_ones_own():
+    policy.register("even_rows", lambda c: ("PASS" if c["metrics"]["n"] % 2 == 0 else "FAIL", ""), blocking=False)
+    try:
+        assert policy.run_controls(GOOD, ["even_rows"])[0].status == "PASS"
+    finally:
+        del policy.CONTROLS["even_rows"]
+        policy.ADVISORY.discard("even_rows")
+
+
+def test_reports_are_read_back_leniently():
+    first = report()
+    again = policy.Report.from_dict(first.to_dict())
+    assert again == first and again.digest() == first.to_dict()["report_digest"]
+    old = policy.Report.from_dict({"suite": "s", "controls": {"checks": [{"control": "x", "passed": False}]}, "planes_evaluated": ["a"], "planes": [{"plane": "p", "status": "WARN"}]})
+    assert old.controls[0].status == "FAIL" and old.planes == {"p": "WARN"} and old.metrics == {}
+
+
+def test_tasks_and_suites(tmp_path):
+    task = {"signal": "cost", "labels": ["LOW", "MID", "HIGH"], "ordered": True, "gates": [{"at": "HIGH"}], "folds": {"f": {"LOW": "z", "MID": "z", "HIGH": "y"}}, "deployment_fold": "f", "abstention": {"enabled": True, "fallback_class": "HIGH"}}
+    (tmp_path / "local").mkdir()
+    (tmp_path / "shared").mkdir()
+    (tmp_path / "shared" / "cost.json").write_text(json.dumps(task | {"description": "shared"}))
+    own = lambda **more: specs.Task.of(task | more)
+    assert specs.Task.named("cost", tmp_path / "local", tmp_path / "shared").description == "shared"
+    (tmp_path / "local" / "cost.json").write_text(json.dumps(task))
+    found = specs.Task.named("cost", tmp_path / "local", tmp_path / "shared")
+    assert found.description == "" and found.as_deployed()[0].labels == ["y", "z"] and found.taxonomy().gates == ["HIGH"]
+    with pytest.raises(FileNotFoundError, match="cost"):
+        specs.Task.named("other", tmp_path / "local")
+    for bad in ({"deployment_fold": "g"}, {"ordered": False}, {"abstention": {"fallback_class": "x"}}, {"gates": [{"at": "x"}]}, {"folds": {"f": {"LOW": "z"}}}):
+        with pytest.raises(ValueError):
+            own(**bad)
+    assert own().digest() == own(description="x").digest() != own(labels=["MID", "LOW", "HIGH"]).digest()
+    assert own().fold_digest("f") == own(folds=task["folds"] | {"g": task["folds"]["f"]}).fold_digest("g")
+    suite = {"apiVersion": specs.API_VERSION, "kind": specs.KIND, "metadata": {"name": "s"}, "spec": {"task": "cost", "datasets": [{"id": "d", "_digest": "0"}], "controls": ["baseline_lift"], "runtime": {"p95_ms": 20}, "requiredPlanes": ["runtime_quality"], "promotion": {"allow_warnings": False}}}
+    (tmp_path / "s.json").write_text(json.dumps(suite))
+    s = specs.Suite.load(tmp_path / "s.json", tmp_path / "local")
+    assert (s.controls, s.runtime, s.required_planes, s.promotion.allow_warnings, s.required_metrics) == (["baseline_lift"], {"p95_ms": 20}, ["runtime_quality"], False, list(CONTRACT))
+    assert s.missing({"accuracy": 1.0}) == [m for m in CONTRACT if m != "accuracy"]
+    for name in ("t.json", "t.yaml"):
+        s.write(tmp_path / name)
+        assert specs.Suite.load(tmp_path / name, tmp_path / "local").digest() == s.digest() and "_digest" not in (tmp_path / name).read_text()
+    for bad in ({"kind": "Other"}, {"apiVersion": "x/v2"}, {"spec": suite["spec"] | {"controls": ["nothing"]}}):
+        (tmp_path / "bad.json").write_text(json.dumps(suite | bad))
+        with pytest.raises(ValueError):
+            specs.Suite.load(tmp_path / "bad.json", tmp_path / "local")
+    assert specs.adapter_reference("grpc://h:1/x") == ("grpc", "h:1/x") and specs.adapter_reference("models/x") == ("file", "models/x")
+    (tmp_path / "cost.md").write_text("rules")
+    assert specs.rubric("cost", tmp_path) == "rules"
+
+
+def test_decisions_and_folds(spark):
+    assert len(folds.DECISIONS) == 9
+    for name in folds.DECISIONS:
+        task, table = folds.decision(name)
+        assert task.folded(name).labels == sorted(set(table.values()))
+    t = Taxonomy("t", ["LOW", "MID", "HIGH"], ordered=True, gates=["HIGH"])
+    df = spark.createDataFrame([("HIGH", ["HIGH", "odd"]), ("MID", ["LOW", "MID"]), ("odd", ["LOW"])], "truth string, votes array<string>").withColumn("soft_dist", F.lit(1))
+    got = {(r.truth, tuple(r.votes)) for r in folds.threshold_rows(df, t, "HIGH").collect()}
+    assert got == {("BLOCK", ("BLOCK", "ALLOW")), ("ALLOW", ("ALLOW", "ALLOW"))}
+    assert set(folds.merges(t)) == {"merge LOW+MID", "merge MID+HIGH", "gate MID", "gate HIGH"}
+    other = Taxonomy("u", ["LOW", "MID", "HIGH"], ordered=True, folds={"a": folds.threshold_fold(t, "HIGH"), "b": folds.threshold_fold(t, "MID")})
+    twice = folds.duplicate_folds(spark, [other, Taxonomy("v", t.labels, folds={"c": folds.threshold_fold(t, "MID")})]).collect()
+    assert [r.folds for r in twice] == [["u:b", "v:c"]]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -146,13 +261,36 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.json(path).count() == 2
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_rows(got, str(tmp_path / "out"), "1")
-    report = policy.Report("s", "t", {}, [], context()["metrics"], policy.run_controls(context(), ["baseline_lift"]))
-    sinks.append_ledger(spark, report, str(tmp_path / "ledger"), "r1")
+    report = policy.Report("s", "t", {}, [], context()["metrics"] | {"odd": math.inf}, policy.run_controls(context(), ["baseline_lift"]))
+    sinks.append_ledger(spark, report, str(tmp_path / "ledger"), "r1", params={"long": "x" * 900}, tags={"by": "me"})
     sinks.append_ledger(spark, report, str(tmp_path / "ledger"), "r2")
-    assert spark.read.parquet(str(tmp_path / "ledger")).where("kind = 'control'").count() == 2
+    ledger = spark.read.parquet(str(tmp_path / "ledger"))
+    assert {r.run for r in ledger.where("kind = 'control' and parent is not null").collect()} == {"r1/baseline_lift", "r2/baseline_lift"}
+    assert ledger.where("name = 'long'").first().text == "x" * 500 and ledger.where("name = 'odd'").count() == 0 and ledger.where("name = 'by'").count() == 1
+    assert [r.digest() for r in sources.report_rows(spark, str(tmp_path / "ledger"))] == [report.digest()] * 2
+    assert "baseline_lift" in ledger.where("kind = 'text'").first().text
     with pytest.raises(ValueError, match="contract"):
         sinks.append_ledger(spark, policy.Report("s", "t", {}, [], {}), str(tmp_path / "ledger"), "r3")
-    assert sinks.metric_name("selective/accuracy@0.90") == "selective/accuracy_at_0.90"
+    assert sinks.metric_name("selective/accuracy@0.90") == "selective/accuracy_at_0.90" and sinks.metric_name("a(b),c%[d]:e") == "ab_cpctd_e"
+    assert sources.source_string(got).first().source == "gold:2" and sources.excluding(got, "gold").count() == 0 and sources.source_counts(got).first().n == 2
+    strata = votes.adjudicate(spark.createDataFrame([("a", ["x"] * 3), ("b", ["x", "x", "y"]), ("c", ["x", "y", "z"])], "text string, votes array<string>"))
+    where = sinks.write_strata(strata, str(tmp_path / "strata"), "1")
+    assert {r.stratum: r["count"] for r in spark.read.json(where).groupBy("stratum").count().collect()} == {"gold": 1, "contested": 1}
+    judged = spark.createDataFrame([("t" * 500, "a", "b", "gold", "w")], "text string, gold string, model string, verdict string, why string")
+    assert len(spark.read.json(sinks.write_detail(judged, str(tmp_path / "detail"), "1")).first().text) == 400
+    anchors = spark.createDataFrame([("x", "b"), ("x", "a"), ("y", "c")], "label string, text string")
+    assert json.loads(sinks.anchors_json(anchors).first().anchors) == {"x": ["a", "b"], "y": ["c"]}
+    for k, (tag, labels) in enumerate((("m1", {"0": "X", "1": "Y"}), ("m2", {"0": "Y", "1": "X"}), ("m3", {"0": "X"}), ("other", {"0": "X", "1": "Y"}))):
+        (tmp_path / "models" / tag).mkdir(parents=True)
+        (tmp_path / "models" / tag / "config.json").write_text(json.dumps({"id2label": labels, "architectures": [f"A{k}"]}))
+    found = {r.tag: (r.labels, r.architecture) for r in sources.checkpoints(spark, str(tmp_path / "models"), ["X", "Y"], "m").collect()}
+    assert found == {"m1": (["X", "Y"], "A0"), "m2": (["Y", "X"], "A1")}
+    for name, body in (("a", '{"tag": "run", "n": 1}'), ("b", '{"tag": "smoke-1", "n": 2}'), ("c", "{broken")):
+        (tmp_path / f"report-{name}.json").write_text(body)
+    assert [r.n for r in sources.reports(spark, str(tmp_path / "report-*.json"), T.StructType([T.StructField("tag", T.StringType()), T.StructField("n", T.LongType())])).collect()] == [1]
+    cache = spark.createDataFrame([("k1", '{"a": 1}'), ("k2", '{"a": ')], "key string, answer string")
+    wanted = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "key string")
+    assert {r.key for r in sources.missing_from_cache(wanted, sources.intact(cache, "answer"), ["key"]).collect()} == {"k2", "k3"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -163,5 +301,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.hour: (r.n, r.conf_mean) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.hour: (r.n, r.conf_mean) for r in shadow.window_metrics(calls).collect()}
     assert got and all(want[h][0] == n and math.isclose(want[h][1], m) for h, (n, m) in got.items())
+    shares = shadow.stream_metrics(stream.withColumn("pred", F.when(F.col("call_id") % 4 == 0, "a").otherwise("b")), ["a", "b"])
+    sinks.append_shadow(shares, str(tmp_path / "shadow"), str(tmp_path / "ck3"), "live").awaitTermination()
+    long = spark.read.parquet(str(tmp_path / "shadow"))
+    assert long.where("name = 'shadow/share_a'").agg(F.avg("value")).first()[0] == pytest.approx(0.25) and {r.mode for r in long.select("mode").distinct().collect()} == {"shadow"}
+    assert {"shadow/conf_p10", "shadow/abstain_at_90", "shadow/p99_ms", "shadow/p50_ms"} <= {r.name for r in long.select("name").distinct().collect()}
     shadow.run_to_ledger(shadow.stream_retained(stream), str(tmp_path / "kept"), str(tmp_path / "ck2")).awaitTermination()
+    capped = shadow.stream_retained(stream, 0.5, most=16)
+    shadow.run_to_ledger(capped, str(tmp_path / "capped"), str(tmp_path / "ck4")).awaitTermination()
+    per = spark.read.parquet(str(tmp_path / "capped")).groupBy(F.window("ts", "1 hour")["start"]).count().collect()
+    assert per and max(r["count"] for r in per) <= 16 and sampling.retained(calls, 0.5, "call_id", most=16, order="ts").count() == 16
+    near = calls.where("call_id < 200").select("call_id", F.array(F.col("conf"), 1 - F.col("conf")).alias("embedding"))
+    near.write.parquet(str(tmp_path / "emb"))
+    live = spark.readStream.schema(near.schema).parquet(str(tmp_path / "emb"))
+    reference = near.select(F.col("call_id").alias("row_id"), F.array(F.lit(-1.0) - F.col("call_id") / 1000, F.lit(-2.0)).alias("embedding"))
+    shadow.stream_drift(live, reference, str(tmp_path / "drift"), str(tmp_path / "ck5"), 100, 2).awaitTermination()
+    drift = spark.read.parquet(str(tmp_path / "drift")).first()
+    assert drift.traffic == "OFF_DISTRIBUTION" and drift.n == 100
     assert spark.read.parquet(str(tmp_path / "kept")).count() == sampling.retained(calls, 0.05, "call_id").count() > 0
