@@ -35,7 +35,7 @@ MIN_SHARED = 32
 LEAST_ESTIMATE = 0.48
 #: Shingles and classes in a side of a block of comparisons.
 BLOCK_SHINGLES = 1 << 16
-BLOCK_ROWS = 256
+BLOCK_ROWS = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
