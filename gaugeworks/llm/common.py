@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -73,9 +73,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+#: Paths of stored tables, in order.
+_made: list[str] = []
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def stored_alone(df_of: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What df_of returns, stored; the tables that it stored on the way are deleted."""
+    before = set(_made)
+    out = materialise(df_of(), name)
+    for path in [p for p in _made if p not in before and p != out.stored_at]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:

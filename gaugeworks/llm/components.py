@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import materialise
+from gaugeworks.llm.common import discard, materialise
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -33,7 +33,9 @@ def connected_components(links: DataFrame, stars: DataFrame | None = None) -> Da
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # in large, v < u always
         joined = large.join(least, "u")
         small = joined.select("v", "m").where("v <> m").toDF("u", "v").unionByName(least.toDF("u", "v"))
+        old = edges
         edges, after = _stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(old)
         if after == before:
             break
         before = after

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.llm.common import kept_columns, materialise, slices, texts_of
+from gaugeworks.llm.common import discard, kept_columns, materialise, slices, texts_of
 
 ERRORS_PER_CHARACTER = 1 / 16
 BLOCK_BYTES = 4 << 20
@@ -149,10 +149,13 @@ def benchmark_hits(df: DataFrame, items: DataFrame, column: str = "text", out: s
     """Add `out`: the items found in each text, with place and distance."""
     spark = df.sparkSession
     result = df.select(*kept_columns(df, out)).withColumn(out, F.lit(None).cast(HITS))
-    before = None
+    before = stored = None
     for block in item_blocks(items):
         if before is not None:  # one automaton a task
-            result = materialise(result, "hits")
+            last, result = stored, materialise(result, "hits")
+            stored = result
+            if last is not None:
+                discard(last)
             before.destroy()
         before = spark.sparkContext.broadcast(tuple(block))
         result = _with_hits(result, before, column, out)

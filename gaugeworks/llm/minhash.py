@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import Words, materialise, mixed, packed, slices
+from gaugeworks.llm.common import Words, discard, materialise, mixed, packed, slices, stored_alone
 from gaugeworks.llm.components import connected_components
 
 SHINGLE = 5
@@ -202,11 +202,14 @@ def near_duplicates(df: DataFrame, column: str = "text", key: str = "doc_id") ->
     members = pairs.select("c").unionByName(pairs.select(F.col("z").alias("c")))
     sets = materialise(full_sets(df, members, column, key), "sets")
     both = pairs.join(listed.select("c", F.col("sketch").alias("a")), "c").join(listed.select(F.col("c").alias("z"), F.col("sketch").alias("b")), "z")
-    links = materialise(verified(estimates(both.select("c", "z", "a", "b")), sets).toDF("u", "v"), "verified")
-    comps = materialise(connected_components(links), "components")
+    links = verified(estimates(both.select("c", "z", "a", "b")), sets).toDF("u", "v")
+    comps = stored_alone(lambda: connected_components(links), "components")
     more = materialise(links_among_groups(pairs, comps, sets, listed.select("c", "n")), "more_links")
     if not more.isEmpty():
-        comps = materialise(connected_components(more, comps), "components")
+        first = comps
+        comps = stored_alone(lambda: connected_components(more, first), "components")
+        discard(first)
+    discard(listed, pairs, sets, more)
     owned = classes.select("k1", "k2", F.col("n").alias("n_shingles"), "c").join(comps.withColumnRenamed("node", "c"), "c", "left")
     owned = owned.select("k1", "k2", "n_shingles", F.coalesce("component", "c").alias("component"))
     joined = docs.drop("sketch").join(owned, ["k1", "k2", "n_shingles"], "left")

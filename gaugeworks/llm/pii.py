@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import free_name, kept_columns, materialise
+from gaugeworks.llm.common import discard, free_name, kept_columns, materialise, stored_alone
 
 #: Titles with the gender they tell, in the scripts of their languages; n tells none.
 TITLES = {
@@ -281,15 +281,17 @@ def redrawn(df: DataFrame, key: str, column: str = "text") -> DataFrame:
         if clash.isEmpty():
             return state.where("salt > 0").select("kind", "form", "salt")
         loses = F.col("keeper").isNotNull() & (F.col("real") | (F.struct("salt", "form") != F.col("keeper")))
-        state = state.join(clash, ["kind", "drawn"], "left").withColumn("_loses", F.coalesce(loses, F.lit(False)))
-        state = state.withColumn("salt", F.col("salt") + F.col("_loses").cast("int"))
-        state = materialise(state.withColumn("drawn", F.when(F.col("_loses"), again).otherwise(F.col("drawn"))).select("kind", "form", "text", "salt", "drawn"), "draws")
+        next_draw = state.join(clash, ["kind", "drawn"], "left").withColumn("_loses", F.coalesce(loses, F.lit(False)))
+        next_draw = next_draw.withColumn("salt", F.col("salt") + F.col("_loses").cast("int"))
+        old, next_draw = state, next_draw.withColumn("drawn", F.when(F.col("_loses"), again).otherwise(F.col("drawn")))
+        state = materialise(next_draw.select("kind", "form", "text", "salt", "drawn"), "draws")
+        discard(old, clash)
 
 
 def replace_pii(df: DataFrame, key: str, column: str = "text", found: str = "found") -> DataFrame:
     """df with each entity of the text replaced, and `found`: kind and surrogate of each, in order."""
     df = df.drop(found)
-    salts = materialise(redrawn(df, key, column), "salts")
+    salts = stored_alone(lambda: redrawn(df, key, column), "salts")
     own = {n: free_name(df, n) for n in ("parts", "entities", "salts", "place", "swapped", "text_key")}
     parts, entities, salt_map, place, swapped, text_key = map(F.col, own.values())
     rows = df.withColumn(own["parts"], parts_of(F.col(column))).withColumn(own["entities"], F.when(F.size(parts) > 1, entities_of(parts)))

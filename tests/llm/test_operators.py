@@ -254,6 +254,19 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(links.limit(0)).count() == 0
 
 
+def test_tables_stored_on_the_way_are_deleted(spark, docs):
+    import os
+
+    from gaugeworks.llm import common
+
+    folder = f"{common.shared_folder(spark)}/gaugeworks"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = common.stored_alone(lambda: minhash.near_duplicates(docs), "out")
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"out"} and out.count() == len(TEXTS)
+    common.discard(out)
+    assert set(os.listdir(folder)) <= before
+
+
 # ---- personal data -------------------------------------------------------------------------------------------
 
 
