@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, decontaminate, minhash, pii, quality
-from gaugeworks.llm.common import free_name, kept_columns, materialise, table
+from gaugeworks.llm.common import discard, free_name, kept_columns, materialise, stored_alone, table
 from gaugeworks.llm.queries import PII_KEY
 
 
@@ -80,5 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage")
+        before, docs = docs, stored_alone(lambda: stage(spark, docs, sf_dir), "stage")  # noqa: B023
+        if hasattr(before, "stored_at"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
