@@ -243,6 +243,14 @@ def top_confusions(preds: DataFrame, most: int = 5) -> DataFrame:
     return wrong.orderBy(F.desc("n"), "truth", "pred").limit(most)
 
 
+def z_scores(rows: DataFrame, column: str, by: str, out: str = "z") -> DataFrame:
+    """Add the distance from the group's mean in its standard deviations (of the population); 0 where all are equal.
+    Means are aggregated and joined back, so a large group stays spread over tasks."""
+    per = rows.groupBy(by).agg(F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_sd"))
+    joined = rows.join(F.broadcast(per), by)
+    return joined.withColumn(out, F.when(F.col("_sd") > 0, (F.col(column) - F.col("_mean")) / F.col("_sd")).otherwise(F.lit(0.0))).drop("_mean", "_sd")
+
+
 def spread_by(rows: DataFrame, column: str, by: str) -> DataFrame:
     """(by, n, mean, sd, low, high, median): sd of the population, the exact median."""
     out = rows.groupBy(by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.min(column).alias("low"), F.max(column).alias("high"))

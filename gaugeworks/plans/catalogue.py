@@ -179,6 +179,24 @@ def shadow_shares(spark, sf):
     return rounded(predicted_shares(calls(spark, sf)))
 
 
+@query(f"""with {P}, f as (select greatest(p0 + p1, p2 + p3 + p4) as conf from preds), m as (select median(conf) as m from f) select round(max(conf) - min(conf), 6) as confident_half_spread from f, m where conf >= m.m""")
+def deployed_half_spread(spark, sf):
+    """The same where decisions are made, in the folded space."""
+    summed = probs.folded(F.col("probs"), PRIORITY.labels, PRIORITY.folds["route"])
+    return rounded(metrics.confident_half_spread(predictions(spark, sf).select(F.array_max(summed).alias("conf"))))
+
+
+@query(f"""with {CALLS_SQL} select call_id, round((latency_ms - avg(latency_ms) over w) / stddev_pop(latency_ms) over w, 6) as z from calls window w as (partition by pred)""")
+def latency_z_scores(spark, sf):
+    return rounded(metrics.z_scores(calls(spark, sf).select("call_id", "pred", "latency_ms"), "latency_ms", "pred").select("call_id", "z"))
+
+
+@query(f"""with {P}, e as (select row_id, [exp(3 * p0), exp(3 * p1), exp(3 * p2), exp(3 * p3), exp(3 * p4)] as e from preds) select row_id, round(list_max(e) / list_sum(e), 6) as top, round(e[1] / list_sum(e), 6) as first from e""")
+def softmax_scores(spark, sf):
+    q = probs.softmax(F.transform("probs", lambda x: 3 * x))
+    return rounded(predictions(spark, sf).select("row_id", F.array_max(q).alias("top"), F.get(q, F.lit(0)).alias("first")))
+
+
 # ---- folds and votes -----------------------------------------------------------------------------------------
 
 
@@ -417,9 +435,10 @@ def prior_shift(spark, sf):
 
 
 @query(f"""with {P}, x as (select t <= 1 as t, p <= 1 as a, p0 + p1 >= p2 + p3 + p4 as b from preds), c as (select count(*)::BIGINT as n, avg((t = a)::int) as af, avg((t = b)::int) as ff, avg((a <> b)::int) as d, sum((t = a and t <> b)::int)::BIGINT as oa, sum((t <> a and t = b)::int)::BIGINT as ob from x)
-select n, round(af, 6) as argmax_first, round(ff, 6) as fold_first, round(d, 6) as disagreement, oa as only_a, ob as only_b from c""")
+select n, round(af, 6) as argmax_first, round(ff, 6) as fold_first, round(d, 6) as disagreement, oa as only_a, ob as only_b,
+round(case when oa + ob = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(least(oa, ob) + 1), lambda k: exp(lgamma(oa + ob + 1) - lgamma(k + 1) - lgamma(oa + ob - k + 1) - (oa + ob) * ln(2.0))))) end, 6) as p_value from c""")
 def fold_orders(spark, sf):
-    return rounded(curves.fold_orders(predictions(spark, sf), PRIORITY, "route").drop("p_value"))
+    return rounded(curves.fold_orders(predictions(spark, sf), PRIORITY, "route"))
 
 
 HEADS = (0.98, 0.95, 0.90, 0.85, 0.80)
@@ -481,6 +500,13 @@ def resample_to_prior(spark, sf):
     return sampling.to_prior(_skewed(spark, sf), prior, "tier")
 
 
+@query(f"""with {SKEWED_SQL}, n as (select tier, count(*) as n from sk group by 1), w as (select tier, n, sqrt(case tier when 'rare' then 0.5 when 'some' then 0.3 else 0.2 end::DOUBLE * n / sum(n) over ()) as w from n), v as (select tier, n, w / sum(w) over () as w from w),
+q as (select tier, floor((select min(n / w) from v) * w + 1e-9) as quota from v) select row_id, tier from sk join q using (tier) qualify row_number() over (partition by tier order by md5('p:' || row_id), row_id) <= any_value(quota) over (partition by tier)""")
+def resample_to_root_prior(spark, sf):
+    prior = spark.createDataFrame([("rare", 0.5), ("some", 0.3), ("many", 0.2)], "tier string, share double")
+    return sampling.to_prior(_skewed(spark, sf), prior, "tier", root=True)
+
+
 @query(f"""with {P}, m as (select row_id, pred, conf - (1 - conf) / 4 as margin from preds), c as (select * from m qualify row_number() over (partition by pred order by margin, row_id) <= 16), u as (select * from c order by margin, row_id limit 80),
 r as (select * from m where row_id not in (select row_id from u) order by md5('u:' || row_id), row_id limit 20) select row_id, pred, round(margin, 6) as margin, 'uncertain' as chosen from u union all select row_id, pred, round(margin, 6), 'random' from r""")
 def uncertainty_selection(spark, sf):
@@ -549,6 +575,14 @@ def changed_labels(spark, sf):
     return corpus.changed_labels(gold, docs)
 
 
+@query("""with n as (select d.text, arg_max(l.quality, d.doc_id) as q from documents d join labels l using (doc_id) group by 1) select d.doc_id, case n.q when 1 then 'good' when 0 then 'bad' end as tier from documents d left join n using (text)""")
+def relabelled_texts(spark, sf):
+    """Documents with the label that their text has, the last one of texts that are labelled more than once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    names = docs.join(table(spark, sf, "labels"), "doc_id").select("text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tier"), F.col("doc_id").alias("at"))
+    return corpus.relabelled(docs, names).select("doc_id", "tier")
+
+
 @query("with c as (select source, lang, count(*) as n from documents group by 1, 2) select source, lang, n::BIGINT as n, round(n / sum(n) over (partition by source), 6) as share from c")
 def source_mixes(spark, sf):
     return rounded(corpus.mixes(table(spark, sf, "documents"), "lang", "source"))
@@ -708,6 +742,17 @@ def paired_adjudication(spark, sf):
     return rounded(judging.paired_tally(rows))
 
 
+LENGTH_SQL = f"""(with {P}, x as (select row_id, {frames.u("'f:' || row_id")} < 0.5 as flip, case when {frames.u("'w:' || row_id")} < 0.45 then 'A' when {frames.u("'w:' || row_id")} < 0.9 then 'B' else 'tie' end as verdict, row_id % 13 as a, row_id % 17 as b from preds where truth <> pred),
+d as (select *, (verdict = 'A') = (not flip) as a_won from x where verdict <> 'tie' and a <> b) select count(*)::BIGINT as decided, round(avg((a_won = (a > b))::int), 6) as longer_wins, median(a)::DOUBLE as median_a, median(b)::DOUBLE as median_b from d)"""
+
+
+@query(f"select * from {LENGTH_SQL}")
+def length_bias(spark, sf):
+    w = text.hash_unit("w:", F.col("row_id"))
+    rows = predictions(spark, sf).where("truth <> pred").select(judging.flipped(F.col("row_id")).alias("flip"), F.when(w < 0.45, "A").when(w < 0.9, "B").otherwise("tie").alias("verdict"), (F.col("row_id") % 13).alias("words_a"), (F.col("row_id") % 17).alias("words_b"))
+    return rounded(judging.length_bias(rows))
+
+
 @query(f"""with {P}, x as (select truth, pred, votes[1] as s from preds where votes[1] is not null) select truth, count(*)::BIGINT as n, round(avg((pred = s)::int), 6) as agreement from x group by 1""")
 def screen_agreement(spark, sf):
     rows = predictions(spark, sf).withColumn("screen", F.get("votes", F.lit(0)))
@@ -763,17 +808,29 @@ def probe_accuracy(spark, sf):
     return rounded(probe.cross_validated(rows), 3)
 
 
+@query("with " + ", ".join(preds_sql(r, x, f"m{k}") for k, (r, x) in MEMBERS.items()) + """, a as (select avg((truth = pred)::int) as s from ma union all select avg((truth = pred)::int) from mb union all select avg((truth = pred)::int) from mc)
+select 'priority' as config, 3::BIGINT as n, round(max(s) - min(s), 6) as spread, round(list_sort(list(s))[2], 6) as median, round((max(s) - min(s)) / 1.693, 6) as sigma from a""")
+def seed_summary(spark, sf):
+    scores = None
+    for rate, seed in MEMBERS.values():
+        one = predictions(spark, sf, rate, seed).agg(F.lit("priority").alias("config"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("score"))
+        scores = one if scores is None else scores.unionByName(one)
+    return rounded(metrics.seed_summary(scores))
+
+
 RUNTIME_SLO = {"coverage": 0.85, "p95_ms": 400.0}
-CHECKED = ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment", "holdout_integrity", "matched_operating_point", "runtime_slo"]
+CHECKED = ["baseline_lift", "confidence_ordering", "calibration", "traffic_alignment", "holdout_integrity", "matched_operating_point", "runtime_slo", "seed_stability", "judge_integrity"]
 CONTROL_SQL = f"""select 'baseline_lift' as control, case when minority_share < 0.06 or lift_over_chance < 0.02 then 'FAIL' when lift_over_chance < 0.04 then 'WARN' else 'PASS' end as status from ({ORACLE_SQL["metric_contract"]})
 union all select 'confidence_ordering', case when max(fall) > 0.005 then 'FAIL' else 'PASS' end from ({ORACLE_SQL["ordering_audit"]})
 union all select 'calibration', case when ece > 0.10 then 'WARN' else 'PASS' end from ({ORACLE_SQL["calibration"]})
 union all select 'traffic_alignment', 'WARN'
 union all select 'holdout_integrity', case when gap > 0.01 then 'FAIL' when gap > 0.005 then 'WARN' else 'PASS' end from (select "threshold/fitted" - "threshold/heldout" as gap from ({ORACLE_SQL["threshold_transfer"]}))
 union all select 'matched_operating_point', case when cells_won > cells / 2 then 'PASS' else 'FAIL' end from ({ORACLE_SQL["cells_won"]})
-union all select 'runtime_slo', case when coverage < {RUNTIME_SLO["coverage"]} or resource_exhausted_rate > 0.001 or p95_ms / {RUNTIME_SLO["p95_ms"]} > 1 then 'FAIL' when p95_ms / {RUNTIME_SLO["p95_ms"]} > 0.8 then 'WARN' else 'PASS' end from ({ORACLE_SQL["runtime_summary"]})"""
+union all select 'runtime_slo', case when coverage < {RUNTIME_SLO["coverage"]} or resource_exhausted_rate > 0.001 or p95_ms / {RUNTIME_SLO["p95_ms"]} > 1 then 'FAIL' when p95_ms / {RUNTIME_SLO["p95_ms"]} > 0.8 then 'WARN' else 'PASS' end from ({ORACLE_SQL["runtime_summary"]})
+union all select 'seed_stability', case when spread > 3 * 0.004 then 'FAIL' when spread > 0.004 then 'WARN' else 'PASS' end from ({ORACLE_SQL["seed_summary"]})
+union all select 'judge_integrity', case when longer_wins > 0.6 then 'FAIL' else 'PASS' end from {LENGTH_SQL}"""
 PLANE_SQL = """select plane, case when plane in ('traffic_validity', 'outcome_value') then 'NOT_EVALUATED' when max((status = 'FAIL')::int) = 1 then 'FAIL' when max((status = 'WARN')::int) = 1 then 'WARN' else 'PASS' end as status
-from (select unnest(['classifier_quality', 'classifier_quality', 'decision_quality', 'decision_quality', 'runtime_quality', 'traffic_validity', 'outcome_value']) as plane, unnest(['baseline_lift', 'calibration', 'matched_operating_point', 'holdout_integrity', 'runtime_slo', 'traffic_alignment', null]) as control) p
+from (select unnest(['classifier_quality', 'classifier_quality', 'classifier_quality', 'decision_quality', 'decision_quality', 'runtime_quality', 'traffic_validity', 'outcome_value']) as plane, unnest(['baseline_lift', 'calibration', 'seed_stability', 'matched_operating_point', 'holdout_integrity', 'runtime_slo', 'traffic_alignment', null]) as control) p
 left join ({0}) using (control) group by plane""".replace("{0}", CONTROL_SQL)
 
 
@@ -785,6 +842,8 @@ def _report(spark, sf) -> policy.Report:
     curve = [(r.coverage, r.accuracy) for r in curves.coverage_curve(rows, COVER).collect()]  # a row for each coverage
     against = curves.cells_won(_compared(spark, sf)).first().asDict()
     context = {"metrics": found, "curve": curve, "gates": PRIORITY.gates, "champion_comparison": against, "runtime": policy.bag(metrics.runtime_summary(calls(spark, sf))), "slo": RUNTIME_SLO}
+    seeds = [predictions(spark, sf, *m).agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).first()[0] for m in MEMBERS.values()]
+    context |= {"seed_scores": seeds, "noise_floor": 0.004, "judge": {"position_randomised": True, "longer_answer_win_rate": length_bias(spark, sf).first().longer_wins}}
     classifier = {"model_revision": "p", "runtime_revision": "r", "code_revision": "c"}
     return policy.qualify("priority", PRIORITY.name, classifier, [{"id": "orders", "digest": "0"}], context, [], CHECKED)
 
@@ -828,16 +887,6 @@ def champion_comparison(spark, sf):
     return rounded(spark.createDataFrame([(k, v, k == compared.primary_metric) for k, v in compared.ordered()], "metric string, delta double, is_primary boolean"))
 
 
-@query("with " + ", ".join(preds_sql(r, x, f"m{k}") for k, (r, x) in MEMBERS.items()) + """, a as (select avg((truth = pred)::int) as s from ma union all select avg((truth = pred)::int) from mb union all select avg((truth = pred)::int) from mc)
-select 'priority' as config, 3::BIGINT as n, round(max(s) - min(s), 6) as spread, round(list_sort(list(s))[2], 6) as median, round((max(s) - min(s)) / 1.693, 6) as sigma from a""")
-def seed_summary(spark, sf):
-    scores = None
-    for rate, seed in MEMBERS.values():
-        one = predictions(spark, sf, rate, seed).agg(F.lit("priority").alias("config"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("score"))
-        scores = one if scores is None else scores.unionByName(one)
-    return rounded(metrics.seed_summary(scores))
-
-
 @query()
 def training_report(spark, sf):
     """The report of a trained classifier as one JSON document; tests hold its numbers against the metric queries."""

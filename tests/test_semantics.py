@@ -37,7 +37,18 @@ def test_statistics(spark):
     low, high = stats.wilson(F.lit(374), F.lit(418))
     r = one(spark, low, high, *stats.wilson(F.lit(0), F.lit(0)), stats.exact_sign_p(F.lit(4), F.lit(8)), stats.exact_sign_p(F.lit(1), F.lit(0)), stats.upper_median(F.array(*map(F.lit, (4, 1, 3, 2)))), stats.sigma_from_range(F.lit(0.0085), F.lit(4)))
     assert (r[0], r[1]) == pytest.approx((0.861636, 0.920648), abs=1e-6)
-    assert r[2:4] == (0, 0) and r[4] == pytest.approx(0.3877, abs=1e-4) and r[5] == 1 and r[6] == 3 and r[7] == pytest.approx(0.0041, abs=1e-4)
+    assert r[2:4] == (0, 0) and r[4] == pytest.approx(0.3877, abs=1e-4) and r[5] == pytest.approx(1) and r[6] == 3 and r[7] == pytest.approx(0.0041, abs=1e-4)
+
+
+def test_exact_sign_probabilities(spark):
+    """Against sums of whole numbers, and at counts that no list of all terms would hold."""
+    pairs = [(0, 1), (1, 1), (3, 9), (40, 60), (0, 200), (500, 520), (7, 7)]
+    rows = spark.createDataFrame(pairs, "b bigint, c bigint").select("b", "c", stats.exact_sign_p(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in rows:
+        n, least = r.b + r.c, min(r.b, r.c)
+        assert r.p == pytest.approx(min(1.0, 2 * sum(math.comb(n, k) for k in range(least + 1)) / 2**n), rel=1e-9)
+    z = one(spark, stats.exact_sign_p(F.lit(5_000_000_000), F.lit(5_000_200_000)))[0]
+    assert z == pytest.approx(math.erfc(2.0 / math.sqrt(2)), rel=1e-4)
 
 
 def test_text(spark):
@@ -319,3 +330,14 @@ def test_stream_equals_batch(spark, tmp_path):
     drift = spark.read.parquet(str(tmp_path / "drift")).first()
     assert drift.traffic == "OFF_DISTRIBUTION" and drift.n == 100
     assert spark.read.parquet(str(tmp_path / "kept")).count() == sampling.retained(calls, 0.05, "call_id").count() > 0
+
+
+def test_training_reports_and_cards(spark):
+    df = spark.createDataFrame([("a", "a")] * 3 + [("b", "a")], "truth string, pred string")
+    calls = spark.createDataFrame([("OK", 1.0), ("OK", 3.0)], "status string, latency_ms double")
+    got = json.loads(sinks.training_report({"gold": df}, ["a", "b"], {"tag": "t1", "epochs": 3}, calls).first().report)
+    assert got["tag"] == "t1" and got["epochs"] == 3 and got["cpu"]["p50_ms"] == 2.0
+    assert (got["gold"]["n"], got["gold"]["accuracy"], got["gold"]["confusion"], got["gold"]["recall"]) == (4, 0.75, {"a": {"a": 3, "b": 0}, "b": {"a": 1, "b": 0}}, {"a": 1.0, "b": 0.0})
+    card = sinks.model_card(got)
+    assert "# t1" in card and "| gold | 4 | 0.7500 |" in card and "- epochs: 3" in card
+    assert metrics.missing_metrics(metrics.contract(df)) == [] and metrics.missing_metrics(df) == list(CONTRACT)
