@@ -187,12 +187,16 @@ def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> D
     binned = Bucketizer(splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol="conf", outputCol="bin").transform(values)
     binned = binned.withColumn("bin", F.col("bin").cast("int")).withColumn("one", F.lit(1).cast("bigint"))
     sums = half_sums(binned, ["bin"], ["one", "ok"], repeats)
-    sums = sums.groupBy("rep", "half").agg(F.array_sort(F.collect_list(F.struct("bin", "one", "ok"))).alias("bins")).collect()  # BINS * 2 * repeats at most
-    halves = {(r.rep, r.half): tuple(np.array([b[c] for b in r.bins], np.int64) for c in ("bin", "one", "ok")) for r in sums}
+    found = sums.toArrow()  # BINS * 2 * repeats rows at most
+    rep, half, place, *counts = (found.column(c).to_numpy() for c in ("rep", "half", "bin", "one", "ok"))
+    order = np.lexsort((place, half, rep))
+    bins = np.unique(place)  # every half has a row for each bin
+    table = [c[order].reshape(repeats, 2, len(bins)) for c in counts]
+    halves = {(r, h): (table[0][r, h], table[1][r, h]) for r in range(repeats) for h in (0, 1)}
     targets, near = [], set()
-    for (rep, half), (bins, n, _) in halves.items():
+    for (rep, half), (n, _) in halves.items():
         upto = np.cumsum(n)
-        _, other_n, other_ok = halves[rep, 1 - half]  # every group has all halves: bins are the same
+        other_n, other_ok = halves[rep, 1 - half]
         for k, coverage in enumerate(coverages if upto[-1] else ()):
             place = (1 - coverage) * float(upto[-1] - 1)
             at = [max(0, min(math.floor(place), int(upto[-1]) - 1)), max(0, min(math.ceil(place), int(upto[-1]) - 1))]
@@ -200,7 +204,6 @@ def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> D
             near |= set(range(a, b + 1))
             inside = [int(x - (upto[y - 1] if y else 0)) for x, y in zip(at, (a, b), strict=True)]
             targets.append((rep, half, k, place, int(bins[a]), inside[0], int(bins[b]), inside[1], int(other_n.sum()), int(other_ok.sum()), int(other_n[b + 1 :].sum()), int(other_ok[b + 1 :].sum())))
-    bins = next(iter(halves.values()))[0]
     wanted = F.broadcast(spark.createDataFrame([(int(bins[k]),) for k in sorted(near)], "bin int"))
     table = spark.createDataFrame(targets, "rep int, half int, k int, place double, a_bin int, a_at bigint, b_bin int, b_at bigint, n bigint, ok bigint, n_above bigint, ok_above bigint")
     edge = binned.join(wanted, "bin").select("bin", "conf", "ok", "word", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
