@@ -200,10 +200,13 @@ def softmax_scores(spark, sf):
 # ---- folds and votes -----------------------------------------------------------------------------------------
 
 
-@query(f"""with {P}, f as (select b as fold_id, [0, b & 1, (b & 1) + (b >> 1 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1) + (b >> 3 & 1)] as g from range(1, 16) r(b)),
+FOLDS_SQL = f"""{P}, f as (select b as fold_id, [0, b & 1, (b & 1) + (b >> 1 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1), (b & 1) + (b >> 1 & 1) + (b >> 2 & 1) + (b >> 3 & 1)] as g from range(1, 16) r(b)),
 x as (select fold_id, g[5] + 1 as n_groups, g[t + 1] as own, len(list_distinct(list_transform({VOTES_SQL}, lambda v: g[substr(v, 1, 1)::int]))) = 1 as agree from preds, f),
-y as (select fold_id, n_groups, own, count(*) as n, sum(agree::int) as a from x group by 1, 2, 3)
-select fold_id::BIGINT as fold_id, n_groups::int as n_groups, round(sum(a) / sum(n), 6) as agreement, round(min(n) / sum(n), 6) as minority, min(n) / sum(n) < 0.06 as degenerate from y group by 1, 2""")
+y as (select fold_id, n_groups, own, count(*) as n, sum(agree::int) as a from x group by 1, 2, 3),
+z as (select fold_id::BIGINT as fold_id, n_groups::int as n_groups, sum(a) / sum(n) as agreement, min(n) / sum(n) as minority from y group by 1, 2)"""
+
+
+@query(f"with {FOLDS_SQL} select fold_id, n_groups, round(agreement, 6) as agreement, round(minority, 6) as minority, minority < 0.06 as degenerate from z")
 def fold_search(spark, sf):
     found = folds.fold_search(predictions(spark, sf), PRIORITY)
     named = folds.contiguous_folds(spark, PRIORITY).select("fold_id", "name")
@@ -316,9 +319,13 @@ def merge_analysis(spark, sf):
     return rounded(folds.fold_scores(predictions(spark, sf), PRIORITY, folds.merges(PRIORITY)))
 
 
-@query()
+def _cut(k: int) -> str:
+    return f"case when fold_id >> {k} & 1 = 1 then ' | ' else '+' end"
+
+
+@query(f"""with {FOLDS_SQL} select '1-UR' || {_cut(0)} || '2-HI' || {_cut(1)} || '3-ME' || {_cut(2)} || '4-NO' || {_cut(3)} || '5-LO' as name, n_groups, round(agreement, 6) as agreement, round(minority, 6) as minority, minority < 0.06 as degenerate
+from z order by z.agreement desc, z.minority desc, n_groups desc, name desc limit 5""")
 def best_folds(spark, sf):
-    """The first five folds; fold_search holds the same rows against SQL."""
     return rounded(folds.best_folds(folds.fold_search(predictions(spark, sf), PRIORITY), 5))
 
 
