@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -73,7 +74,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made.paths.append(path)
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
@@ -81,8 +82,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
-#: Paths of stored tables, in order.
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of the tables that this thread stored."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 def discard(*tables: DataFrame) -> None:
@@ -94,15 +101,15 @@ def discard(*tables: DataFrame) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    if path in _made:
-        _made.remove(path)
+    if path in _made.paths:
+        _made.paths.remove(path)
 
 
 def stored_alone(df_of: Callable[[], DataFrame], name: str) -> DataFrame:
     """What df_of returns, stored; the tables that it stored on the way are deleted."""
-    before = set(_made)
+    before = set(_made.paths)
     out = materialise(df_of(), name)
-    for path in [p for p in _made if p not in before and p != out.stored_at]:
+    for path in [p for p in _made.paths if p not in before and p != out.stored_at]:
         _delete(out.sparkSession, path)
     return out
 
