@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, decontaminate, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
+from gaugeworks.llm import bpe, centroids, decontaminate, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
 from gaugeworks.llm.common import materialise, table
 
 
@@ -89,6 +89,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def _listed_sql(rule: urls.UrlRule) -> str:
     host, _, path = rule.name.partition("/")
     return f"when (host = '{host}' or ends_with(host, '.{host}')) and starts_with(path, '/{path}') then '{rule.name}'"
@@ -112,6 +116,32 @@ from judged
 """
 
 
+def _clusters_sql(rounds: int, clusters: int) -> str:
+    """Each round's assignment by all distances, and its centroids, which are (cluster, list of components)."""
+    nearest = """select vec_id, v, c.cluster, list_sum(list_transform(list_zip(v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance
+      from kept cross join {0} c qualify row_number() over (partition by vec_id order by distance, c.cluster) = 1"""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} as ({nearest.format(f'c{k}')})")
+        if k < rounds:
+            steps.append(f"""s{k} as (select cluster, pos, sum(x)::hugeint as s, count(*)::hugeint as n from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as pos from a{k}) group by all),
+  c{k + 1} as (select cluster, coalesce(m, c) as c from c{k} left join (select cluster, list(((s - (s % n + n) % n) // n)::bigint order by pos) as m from s{k} group by cluster) using (cluster))""")
+    return f"""
+with kept as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select (row_number() over (order by sha256('1:' || vec_id)) - 1)::int as cluster, v as c from kept qualify cluster < {clusters}
+), {", ".join(steps)}
+select vec_id, cluster::int as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+       (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (cluster)
+"""
+
+
+OP13_SQL = _clusters_sql(centroids.ROUNDS, centroids.CLUSTERS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
@@ -123,8 +153,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": OP10_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }
