@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, centroids, decontaminate, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
+from gaugeworks.llm import bpe, centroids, decontaminate, divergence, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
 from gaugeworks.llm.common import materialise, table
 
 
@@ -89,6 +89,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -116,6 +120,38 @@ from judged
 """
 
 
+OP12_SQL = f"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), counts as (
+  select lang, source, term, count(*) as n, count(distinct r) as d from (select r, lang, source, unnest(terms) as term from docs) group by all
+), kept as (
+  select lang, term, sum(n)::hugeint as n from counts group by all having sum(d) >= {divergence.LEAST_DOCUMENTS}
+), langs as (
+  select lang, count(*) as v, sum(n) as whole from kept group by all
+), groups as (
+  select distinct lang, source from docs
+), sizes as (
+  select lang, source, sum(c.n)::hugeint as whole from counts c semi join kept using (lang, term) group by all
+), grid as (
+  select lang, source, term, coalesce(c.n, 0) as n, 1 + {divergence.UNIT}::hugeint * (coalesce(c.n, 0) + {divergence.ADDED}) // (coalesce(s.whole, 0) + {divergence.ADDED} * v) as p,
+         1 + {divergence.UNIT}::hugeint * (kept.n + {divergence.ADDED}) // (langs.whole + {divergence.ADDED} * v) as q
+  from groups join kept using (lang) join langs using (lang) left join counts c using (lang, source, term) left join sizes s using (lang, source)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source != b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source != b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from grid where n > 0 and p > q
+)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from every qualify part = 'pair' or rank <= {divergence.TOP}
+"""
+
+
 def _clusters_sql(rounds: int, clusters: int) -> str:
     """Each round's assignment by all distances, and its centroids, which are (cluster, list of components)."""
     nearest = """select vec_id, v, c.cluster, list_sum(list_transform(list_zip(v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as distance
@@ -153,10 +189,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op12_source_divergence": op12_source_divergence,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": OP10_SQL,
+    "op12_source_divergence": OP12_SQL,
     "op13_centroid_clusters": OP13_SQL,
 }
