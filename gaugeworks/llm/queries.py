@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, centroids, decontaminate, divergence, fingerprints, minhash, pii, quality, rans, secrets, substring, urls
+from gaugeworks.llm import bpe, centroids, decontaminate, divergence, fingerprints, minhash, pieces, pii, quality, rans, secrets, substring, urls
 from gaugeworks.llm.common import materialise, table
 
 
@@ -89,6 +89,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.piece_round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.crc32("offsets").alias("offsets_crc32"),
+    )
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -189,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_url_filter": op10_url_filter,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_source_divergence": op12_source_divergence,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
