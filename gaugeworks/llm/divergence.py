@@ -115,8 +115,8 @@ def frequency(count: Column, whole: Column, size: Column) -> Column:
 LEVELS = "lang string, block bigint, n_terms int, source string, counts array<bigint>, bits binary"
 
 
-def count_levels(kept: DataFrame) -> DataFrame:
-    """(lang, block, n_terms, source, counts, bits): for each block of BLOCK term ids and group that has some of them, the
+def count_levels(kept: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(lang, block, n_terms, source, counts, bits): for each block of `size` term ids and group that has some of them, the
     counts that occur and the bitset of each in a row. One shuffle, by range of (lang, count in the lang, term), in which
     ids are given as rows pass; a term's rows are never apart."""
 
@@ -126,15 +126,15 @@ def count_levels(kept: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
             place, lang = _places(rows)
-            block, last = _blocks(place, lang)
+            block, last = _blocks(place, lang, size)
             whole = int(np.searchsorted(block, last))  # what follows may belong to the last block
             for a, b in _runs(block[:whole]):
-                yield _levels(rows.slice(a, b - a), place[a:b], number)
+                yield _levels(rows.slice(a, b - a), place[a:b], number, size)
                 number += 1
             left = rows.slice(whole)
         if left is not None and len(left):
             place, _ = _places(left)
-            yield _levels(left, place, number)
+            yield _levels(left, place, number, size)
 
     ordered = kept.repartitionByRange("lang", F.desc("lang_n"), "term").sortWithinPartitions("lang", F.desc("lang_n"), "term").select("lang", "source", "term", "n")
     return ordered.mapInArrow(run, LEVELS)
@@ -154,8 +154,8 @@ def _places(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return term - term[np.flatnonzero(new_lang)][lang], lang
 
 
-def _blocks(place: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, int]:
-    key = np.concatenate([[True], (place[1:] // BLOCK != place[:-1] // BLOCK) | (lang[1:] != lang[:-1])])
+def _blocks(place: np.ndarray, lang: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    key = np.concatenate([[True], (place[1:] // size != place[:-1] // size) | (lang[1:] != lang[:-1])])
     block = np.cumsum(key) - 1
     return block, int(block[-1])
 
@@ -165,13 +165,13 @@ def _runs(block: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
-def _levels(rows: pa.Table, place: np.ndarray, number: int) -> pa.RecordBatch:
+def _levels(rows: pa.Table, place: np.ndarray, number: int, size: int) -> pa.RecordBatch:
     """A block's rows as one row for each group: its counts, and a bitset for each."""
-    bit = place % BLOCK
+    bit = place % size
     coded = rows.column("source").combine_chunks().dictionary_encode()
     n = rows.column("n").to_numpy()
     level, at = np.unique(np.stack([coded.indices.to_numpy().astype(np.int64), n]), axis=1, return_inverse=True)
-    bits = np.zeros((level.shape[1], BLOCK), np.uint8)
+    bits = np.zeros((level.shape[1], size), np.uint8)
     bits[at.ravel(), bit] = 1
     raw = np.packbits(bits, axis=1, bitorder="little")
     groups = _runs(level[0])
@@ -214,7 +214,7 @@ def _frequencies(counts: np.ndarray, whole: int, size: int) -> np.ndarray:
     return np.array([1 + UNIT * (int(c) + ADDED) // (whole + ADDED * size) for c in counts], np.int64)
 
 
-def pair_values(levels: DataFrame, groups: DataFrame) -> DataFrame:
+def pair_values(levels: DataFrame, groups: DataFrame, size: int = BLOCK) -> DataFrame:
     """(lang, source, item, value) of every two sources of a lang, once each way. groups: (lang, source, n, v, tile, tiles)."""
     blocks = levels.select("lang", "block", "n_terms").distinct()
     grid = blocks.join(groups, "lang").join(levels.select("lang", "block", "source", "counts", "bits"), ["lang", "block", "source"], "left")
@@ -227,7 +227,7 @@ def pair_values(levels: DataFrame, groups: DataFrame) -> DataFrame:
         names: list[list[str]] = [[], []]
         for r in rows:
             side = int(r["a"] != r["b"] and r["tile"] == r["b"])
-            bits = np.frombuffer(r["bits"] or b"", "<u8").reshape(-1, BLOCK // 64)
+            bits = np.frombuffer(r["bits"] or b"", "<u8").reshape(-1, size // 64)
             p = _frequencies(np.array([*(r["counts"] or []), 0]), r["n"], r["v"])
             sides[side].append((p[:-1], int(p[-1]), bits))
             names[side].append(r["source"])
@@ -241,7 +241,7 @@ def pair_values(levels: DataFrame, groups: DataFrame) -> DataFrame:
     return once.unionByName(once.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))
 
 
-def source_divergence(df: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, tile: int = TILE) -> DataFrame:
+def source_divergence(df: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` is each other source of the lang with the sum of frequency
     differences over all kept terms; part `term` is each term more frequent in the group than in the lang, to rank `top`."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
@@ -254,8 +254,8 @@ def source_divergence(df: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TO
     sources = found.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     groups = found.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").join(sources, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), "tiles").cast("int"))
     groups = materialise(groups.fillna(0, ["n", "v", "lang_whole"]), "groups")
-    levels = materialise(count_levels(kept), "count_levels")
-    pairs = pair_values(levels, groups.where("v > 0").select("lang", "source", "n", "v", "tile", "tiles"))
+    levels = materialise(count_levels(kept, block), "count_levels")
+    pairs = pair_values(levels, groups.where("v > 0").select("lang", "source", "n", "v", "tile", "tiles"), block)
     none = groups.where("v = 0").select("lang", "source")
     pairs = pairs.unionByName(none.join(none.select("lang", F.col("source").alias("item")), "lang").where("source != item").withColumn("value", F.lit(0).cast("bigint")))
     both = kept.join(groups.select("lang", "source", F.col("n").alias("whole"), "v", "lang_whole"), ["lang", "source"])
