@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,16 +146,12 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64, n of each at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 5 << 18)
-        _powers[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (_BASE, _INVERSE)]
-    return _powers
+#: Where the hashes of words begin: each gives a hash that is independent of the other's.
+_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+#: What is left of eight loaded bytes if a word has so many more.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one, by the xxhash library.
+_LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -177,15 +174,28 @@ class Words:
         words = ~gap[at[:-1]] if len(data) else np.zeros(0, bool)
         self.start, self.end = at[:-1][words], at[1:][words]
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.hash = self.hashed(_LOWER[data])
+        self.lowered = _LOWER[data]
+        self.hash = self.hashed(self.lowered)
         self.counts = np.bincount(self.doc, minlength=self.n_docs)
 
-    def hashed(self, data: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each word's bytes in data, which are the texts' bytes or stand for them one by one."""
-        up, down = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        return mixed((sums[self.end] - sums[self.start]) * down[self.start])
+    def hashed(self, data: np.ndarray, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes in data, which are the texts' bytes or stand for them one by one: eight
+        bytes at a time go into a state that is mixed after each. Hashes of seed 0 and 1 are independent."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))  # at every byte
+        size = self.end - self.start
+        out = mixed(size.astype(np.uint64) * _BASE + _SEEDS[seed])
+        out = mixed(out ^ (eight[self.start] & _MASKS[np.minimum(size, 8)]))
+        todo = np.flatnonzero(size > 8)
+        for k in todo[size[todo] > _LONG].tolist():
+            out[k] = xxhash.xxh3_64_intdigest(data[self.start[k] : self.end[k]].tobytes(), seed=int(_SEEDS[seed]))
+        todo = todo[size[todo] <= _LONG]
+        for at in range(8, _LONG, 8):
+            todo = todo[size[todo] > at]
+            if not len(todo):
+                break
+            out[todo] = mixed(out[todo] * _BASE ^ (eight[self.start[todo] + at] & _MASKS[np.minimum(size[todo] - at, 8)]))
+        return out
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k words in a row, and their documents; none of documents with fewer words."""

@@ -65,9 +65,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that loses text: what stays of it, where that stood, and what went for which earlier document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     spans = materialise(substring.repeated_spans(docs), "spans")
-    gone = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct("start_at", "end_at", "first_doc_id", "first_start"))).alias("spans"))
-    left = substring.remove_spans(docs.join(gone.select("doc_id"), "doc_id", "left_semi"), spans)
-    return left.join(gone, "doc_id").select("doc_id", "text", "kept", "spans", "n_spans", "n_words")
+    return substring.remove_spans(docs, spans, changed=True).select("doc_id", "text", "kept", "spans", "n_spans", "n_words")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
