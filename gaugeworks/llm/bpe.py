@@ -29,16 +29,10 @@ NONE = np.uint32(0xFFFFFFFF)
 REMEMBERED = 120_000
 
 
-class Ranks:
-    """Vocabulary, and a hash table from pairs of ids to the id of their merger."""
+class PairTable:
+    """A hash table from pairs of ids to the id of their merger, whose order is the order of merging."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {i: t for t, i in self.ids.items()}
-        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.uint32)
-        pairs = (x for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids for x in (self.ids[t[:k]], self.ids[t[k:]], i))
-        left, right, merged = np.fromiter(pairs, np.uint64).reshape(-1, 3).T
+    def __init__(self, left: np.ndarray, right: np.ndarray, merged: np.ndarray):
         self.bits = int(np.ceil(np.log2(4 * len(left))))
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.merged = np.full(1 << self.bits, NONE, np.uint32)
@@ -75,6 +69,18 @@ class Ranks:
         return out.reshape(key.shape)
 
 
+class Ranks(PairTable):
+    """A vocabulary of byte strings, and the pairs that merge."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.tokens = {i: t for t, i in self.ids.items()}
+        self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.uint32)
+        pairs = (x for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids for x in (self.ids[t[:k]], self.ids[t[k:]], i))
+        super().__init__(*np.fromiter(pairs, np.uint64).reshape(-1, 3).T)
+
+
 @lru_cache(maxsize=2)
 def ranks_of(path: str) -> Ranks:
     return Ranks(path)
@@ -91,7 +97,7 @@ def _at_once(rank: np.ndarray, least: np.ndarray) -> np.ndarray:
     return merge
 
 
-def _overtaken(ranks: Ranks, ids: np.ndarray, merge: np.ndarray, least: np.ndarray) -> np.ndarray:
+def _overtaken(ranks: PairTable, ids: np.ndarray, merge: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Rows in which a merge makes a pair of a lower rank than its own, which would have to go before the next merge."""
     row, col = np.nonzero(merge)
     new = least[row]
@@ -106,15 +112,19 @@ def _overtaken(ranks: Ranks, ids: np.ndarray, merge: np.ndarray, least: np.ndarr
 
 def merge_rows(ranks: Ranks, pieces: list[bytes]) -> list[np.ndarray]:
     """Ids of pieces of similar length, merged together as the rows of one padded matrix."""
-    n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    width = int(n.max())
-    ids = np.full((len(pieces), width), NONE, np.uint32)
-    ids[np.arange(width) < n[:, None]] = ranks.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-    rank = np.full((len(pieces), width), NONE, np.uint32)  # of the pair that begins in each column
+    return merge_ids(ranks, ranks.of_byte[np.frombuffer(b"".join(pieces), np.uint8)], np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+
+def merge_ids(ranks: PairTable, flat: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """What remains of rows of n ids each, which stand end to end in flat, when all pairs are merged."""
+    count, width = len(n), int(n.max())
+    ids = np.full((count, width), NONE, np.uint32)
+    ids[np.arange(width) < n[:, None]] = flat
+    rank = np.full((count, width), NONE, np.uint32)  # of the pair that begins in each column
     if width > 1:
         rank[:, :-1] = ranks.lookup(ids[:, :-1], ids[:, 1:])
-    out: list = [None] * len(pieces)
-    row = np.arange(len(pieces))
+    out: list = [None] * count
+    row = np.arange(count)
     while len(row):
         least = rank.min(axis=1)
         over = least == NONE

@@ -6,7 +6,9 @@ Spaces become U+2581, one more goes before the text. The normalised text is merg
 first, the leftmost of equal ones, and every piece is projected back to bytes of the original.
 
 Two neighbouring characters that no piece of the vocabulary holds side by side are never merged, so the text is cut
-between them, and each distinct part is merged once and remembered. Characters without a piece are spelt in bytes.
+between them, and each distinct part is merged once and remembered: those of a batch as the rows of padded matrices, like
+the pieces of byte-level BPE, and those in which pieces of equal score may meet one by one. Characters without a piece are
+spelt in bytes.
 
 Ids and decoded texts equal those of the sentencepiece library. `offsets` has one number more than `ids`: id k stands for
 the original's bytes offsets[k] to offsets[k + 1]. Of a character spelt in bytes the last id has the span, those before it an
@@ -31,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gaugeworks.llm.bpe import PairTable, merge_ids
 from gaugeworks.llm.common import slices, texts_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Entries of a worker's memories of words and of their parts; at this count they start anew, which changes speed alone.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
+#: Bytes of text whose new parts are merged together.
+SLICE = 4 << 20
 
 
 class CharMap:
@@ -117,9 +122,29 @@ class Model:
         byte = {k: b for b, k in enumerate(self.of_byte)}
         self.surface = [bytes([byte[k]]) if p.type == BYTE else b"" if p.type == CONTROL else p.piece.replace(SPACE, " ").encode() if p.type == NORMAL else proto.trainer_spec.unk_surface.encode() for k, p in enumerate(proto.pieces)]
         self.is_byte = [p.type == BYTE for p in proto.pieces]
+        self._rank_pieces()
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _rank_pieces(self) -> None:
+        """Numbers for the matrices: pieces in the order of merging, then characters that are in pieces, but none."""
+        order = sorted(self.score, key=self.score.__getitem__)
+        number = {p: k for k, p in enumerate(order)}
+        for c in sorted(set("".join(order)).difference(number)):
+            number[c] = len(number)
+        pairs = (x for p in order for k in range(1, len(p)) if p[:k] in number and p[k:] in number for x in (number[p[:k]], number[p[k:]], number[p]))
+        self.table = PairTable(*np.fromiter(pairs, np.uint64).reshape(-1, 3).T)
+        self.of_char = np.full(0x110000, len(number), np.uint32)  # a character of no piece has the last number
+        for p, k in number.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = k
+        self.of_number = np.array([self.score[p][1] for p in order], np.uint32)
+        scores = [self.score[p][0] for p in order]
+        tied = {p for k, p in enumerate(order) if scores[k] in scores[max(k - 1, 0) : k] + scores[k + 1 : k + 2]}
+        ties = {p[k : k + 2] for p in tied for k in range(len(p) - 1)}
+        self.may_tie = re.compile("|".join(map(re.escape, sorted(ties))) or "(?!)").search
+        self.joined = np.array(sorted(ord(a) << 32 | ord(b) for a, b in self.together) or [0], np.uint64)
+
     # ---- normalising
 
     def normalised(self, text: str) -> tuple[str, np.ndarray | None]:
@@ -201,39 +226,74 @@ class Model:
             offer(a, after[a])
         return [p for p in pieces if p]
 
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            ids = []
-            for p in self.merged(part):
-                own = self.score.get(p)
-                ids += [own[1]] if own else map(self.of_byte.__getitem__, p.encode())
-            found = self.parts[part] = np.array(ids, "<u4").tobytes()
-        return found
-
-    def _word(self, word: str) -> bytes:
-        at, out = 0, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in self.together:
-                out.append(self._part(word[at:k]))
-                at = k
-        out.append(self._part(word[at:]))
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Packed ids of a normalised text."""
-        words = self.words(text)
-        got = list(map(self.known.get, words))
-        if None in got:
-            if len(self.known) > REMEMBERED or len(self.parts) > REMEMBERED:
-                self.known, self.parts = {}, {}
-            for k, x in enumerate(got):
-                if x is None:
-                    w = words[k]
-                    if (x := self.known.get(w)) is None:
-                        x = self.known[w] = self._word(w)
-                    got[k] = x
-        return b"".join(got)
+    def _spelt_out(self, pieces: list[str]) -> bytes:
+        ids = []
+        for p in pieces:
+            own = self.score.get(p)
+            ids += [own[1]] if own else map(self.of_byte.__getitem__, p.encode())
+        return np.array(ids, "<u4").tobytes()
+
+    def _cut(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words in a row, and how many of them each word and those before it have."""
+        text, ends = "".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        pair = code[:-1] << np.uint64(32) | code[1:]
+        cut = self.joined[np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)] != pair
+        cut[ends[:-1] - 1] = True
+        at = np.concatenate([[0], np.flatnonzero(cut) + 1, [len(text)]])
+        places = at.tolist()
+        return [text[a:b] for a, b in zip(places, places[1:], strict=False)], np.searchsorted(at, ends)
+
+    def learn(self, words: set[str]) -> None:
+        """Find the ids of new words, from those of their parts."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        words = list(words)
+        parts, until = self._cut(words)
+        buckets: dict[int, list[str]] = {}
+        for p in set(parts).difference(self.parts):
+            if len(p) == 1 or self.may_tie(p):
+                self.parts[p] = self._spelt_out(self.merged(p))
+            else:
+                buckets.setdefault(len(p) if len(p) < 16 else 1 << len(p).bit_length(), []).append(p)
+        for width, some in buckets.items():
+            step = max(1, (1 << 18) // width)
+            for a in range(0, len(some), step):
+                self._merge(some[a : a + step])
+        ids, a = list(map(self.parts.__getitem__, parts)), 0
+        for w, b in zip(words, until.tolist(), strict=True):
+            self.known[w] = ids[a] if b == a + 1 else b"".join(ids[a:b])
+            a = b
+
+    def _merge(self, parts: list[str]) -> None:
+        flat = self.of_char[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
+        rows = merge_ids(self.table, flat, np.fromiter(map(len, parts), np.int64, len(parts)))
+        numbers = np.concatenate(rows)
+        places = np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])
+        odd = np.maximum.reduceat(numbers, places[:-1]) >= len(self.of_number)
+        packed = self.of_number[np.minimum(numbers, len(self.of_number) - 1)].astype("<u4").tobytes()
+        edges = (4 * places).tolist()
+        self.parts.update(zip(parts, (packed[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
+        for k in np.flatnonzero(odd).tolist():  # some of its characters are no pieces: their text tells what they are
+            self.parts[parts[k]] = self._spelt_out(self.merged(parts[k]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of normalised texts."""
+        words = [self.words(t) for t in texts]
+        every = [w for own in words for w in own]
+        got = list(map(self.known.get, every))
+        missed = [k for k, x in enumerate(got) if x is None]
+        if missed:
+            self.learn({every[k] for k in missed})
+            for k in missed:
+                got[k] = self.known[every[k]]
+        out, at = [], 0
+        for own in words:
+            out.append(b"".join(got[at : at + len(own)]))
+            at += len(own)
+        return out
 
     def offsets(self, ids: np.ndarray, text: str, normal: str, of: np.ndarray | None) -> np.ndarray:
         """The original's byte at which each id begins, and its end."""
@@ -310,11 +370,11 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, column: str = "text",
     model = model_of(path)
     first, last = (np.array([x] if ends else [], "<u4").tobytes() for x in (model.begin, model.end))
     for batch in batches:
-        for part in slices(batch, column):
+        for part in slices(batch, column, SLICE):
             ids, offsets = [], []
-            for text in texts_of(part, column):
-                normal, of = model.normalised(text)
-                own = model.encode(normal)
+            texts = texts_of(part, column)
+            normals = [model.normalised(t) for t in texts]
+            for text, (normal, of), own in zip(texts, normals, model.encode([n for n, _ in normals]), strict=True):
                 at = model.offsets(np.frombuffer(own, "<u4"), text, normal, of)
                 at = np.concatenate([at[:1], at, at[-1:]]) if ends else at
                 ids.append(first + own + last)
