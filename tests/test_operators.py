@@ -1,5 +1,6 @@
 """Operators that SQL can't express, against what they must satisfy."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -77,8 +78,6 @@ def test_medoids_and_greedy_anchors(spark):
     centres = np.eye(4)[:3]
     x = np.concatenate([c + r.normal(0, 0.05, (20, 4)) for c in centres])
     y = np.repeat([0, 1, 2], 20)
-    chosen = medoids.greedy_anchors(x, y, list(range(0, 60, 5)), 2)
-    assert sorted(y[chosen]) == [0, 0, 1, 1, 2, 2]
     df = spark.createDataFrame([(k, int(y[k]), x[k].tolist()) for k in range(60)], "row_id bigint, label int, embedding array<double>")
     got = {}
     for m in medoids.medoids(df.repartition(5), 2).collect():
@@ -93,9 +92,41 @@ def test_medoids_and_greedy_anchors(spark):
     assert sorted(map(len, got.values())) == [2, 2, 2]
     one = medoids.medoids(df.withColumn("label", F.lit("all")), 3).collect()
     assert {m.row_id // 20 for m in one} == {0, 1, 2} and medoids.medoids(df.limit(2).withColumn("label", F.lit("x")), 5).count() == 2
-    assert medoids.chosen_anchors(df, 2, 5).groupBy("label").count().where("count = 2").count() == 3
-    scores = probe.cross_validated(df.where("label < 2"), 3).collect()
-    assert sum(s.n for s in scores) == 40 and all(s.accuracy > 0.9 for s in scores)
+
+
+def test_greedy_anchors_equal_a_plain_loop(spark):
+    """Every candidate tried at every step by all of its cosines, as plain sorting and counting."""
+    r = np.random.default_rng(1)
+    names, k, per_label = ["a", "b", "c"], 3, [4, 4, 4]
+    x = r.normal(0, 1, (3, 5))[r.choice(3, 150)] + r.normal(0, 1.2, (150, 5))
+    y = r.choice(3, 150)
+    rows = [(i, names[y[i]], x[i].tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id bigint, label string, embedding array<double>").repartition(5)
+    extra = spark.createDataFrame([(900, "not a candidate's", x[3].tolist()), (901, None, x[4].tolist()), (902, "a", None)], df.schema)
+    got = medoids.chosen_anchors(df.where("row_id < 40"), df.where("row_id >= 40").unionByName(extra), 4).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = sorted(range(40), key=lambda i: (y[i], hashlib.md5(f"s:{i}".encode()).hexdigest()))
+    dev = range(40, 150)
+
+    def right(chosen):
+        hits = 0
+        for i in dev:
+            score = [np.sort([unit[i] @ unit[c] for c in chosen if y[c] == v])[-k:].mean() if any(y[c] == v for c in chosen) else -np.inf for v in range(3)]
+            hits += int(np.argmax(score)) == y[i]
+        return hits
+
+    chosen = []
+    for step in range(12):
+        best = (-1, None)
+        for c in order:
+            if c not in chosen and sum(y[d] == y[c] for d in chosen) < per_label[y[c]] and (h := right([*chosen, c])) > best[0]:
+                best = (h, c)
+        chosen.append(best[1])
+        assert (got[step].step, got[step].row_id, got[step].label) == (step + 1, best[1], names[y[best[1]]])
+        assert abs(got[step].accuracy - best[0] / 111) < 1e-12  # the row of another label never counts as right
+    assert len(got) == 12
+    assert medoids.chosen_anchors(df.where("row_id < 5"), df, 9).count() == 5 and medoids.chosen_anchors(df.where("false"), df, 2).count() == 0
+    assert {r.accuracy for r in medoids.chosen_anchors(df.where("row_id < 5"), df.where("false"), 1).collect()} == {None}
 
 
 def test_specialists_decide_their_pairs(spark):
