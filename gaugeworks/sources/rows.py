@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.plans.policy import Report
+from gaugeworks.sources.ledger import committed
 
 #: Never inferred: a column such as votes may be missing from whole files.
 LABELLED = T.StructType([T.StructField(n, t) for n, t in (("text", T.StringType()), ("tier", T.StringType()), ("label", T.StringType()), ("votes", T.ArrayType(T.StringType())), ("source", T.StringType()), ("src", T.StringType()), ("soft_dist", T.ArrayType(T.DoubleType())), ("hard", T.BooleanType()), ("agree", T.BooleanType()), ("margin", T.DoubleType()), ("_bad", T.StringType()))])
@@ -55,9 +56,12 @@ def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def reports(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Report files, one JSON document each; those that don't parse and trial runs are left out."""
-    rows = spark.read.schema(schema.add("_bad", T.StringType())).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull() & ~F.coalesce(F.col("tag"), F.lit("")).rlike("smoke|probe")).drop("_bad")
+    """Report files, one JSON document each; those that don't parse and trial runs, by their `tag` if the schema has one,
+    are left out. The schema stays as it is."""
+    own = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(own).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    tag = F.coalesce(F.col("tag"), F.lit("")) if "tag" in schema.names else F.lit("")
+    return rows.where(F.col("_bad").isNull() & ~tag.rlike("smoke|probe")).drop("_bad")
 
 
 def calls(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -72,7 +76,7 @@ def calls(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
 
 def report_rows(spark: SparkSession, path: str) -> list[Report]:
     """Reports of a ledger, read back leniently; a ledger has one for each run."""
-    rows = spark.read.parquet(path).where("kind = 'report'").orderBy("at", "run").select("text").collect()
+    rows = committed(spark, path).where("kind = 'report'").orderBy("at", "run").select("text").collect()
     return [Report.from_dict(json.loads(r.text)) for r in rows]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks.operators.judging import adjudicated_detail
 from gaugeworks.operators.metrics import CONTRACT, confusion, contract, macro_f1, per_label, runtime_summary
 from gaugeworks.plans.policy import Comparison, Report
+from gaugeworks.sources.ledger import append_once, stream_to_ledger
 
 
 def write_rows(rows: DataFrame, folder: str, version: str) -> str:
@@ -38,9 +39,10 @@ def metric_name(name: str) -> str:
 MOST_PARAMETER = 500
 
 
-def append_ledger(spark: SparkSession, report: Report, path: str, run: str, shadow: bool = False, params: dict[str, object] | None = None, tags: dict[str, str] | None = None) -> None:
-    """Rows of one run: its report, tags and parameters, its finite metrics, and each control as a run below it. A run
-    that lacks a metric of the contract is refused, but for shadow runs."""
+def append_ledger(spark: SparkSession, report: Report, path: str, run: str, shadow: bool = False, params: dict[str, object] | None = None, tags: dict[str, str] | None = None) -> bool:
+    """Rows of one run, appended once: its report, tags and parameters, its finite metrics, and each control as a run
+    below it. False if the suite's run is in the ledger. A run that lacks a metric of the contract is refused, but for
+    shadow runs."""
     if not shadow and (lacks := [m for m in CONTRACT if m not in report.metrics]):
         raise ValueError(f"metrics missing from the contract: {lacks}")
     tags = {"mode": "shadow" if shadow else "qualification", "verdict": report.verdict, "report_digest": report.digest()} | (tags or {})
@@ -49,19 +51,20 @@ def append_ledger(spark: SparkSession, report: Report, path: str, run: str, shad
     rows += [(run, None, "metric", metric_name(k), float(v), None) for k, v in report.metrics.items() if math.isfinite(v)]
     rows += [(f"{run}/{r.control}", run, "control", r.control, float(r.status == "PASS"), r.status) for r in report.controls]
     rows += [(run, None, "report", report.digest(), None, report.to_json()), (run, None, "text", report.digest(), None, report_text(report))]
-    ledger = spark.createDataFrame(rows, "run string, parent string, kind string, name string, value double, text string")
-    ledger.withColumn("experiment", F.lit(report.suite)).withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").partitionBy("experiment").parquet(path)
+    ledger = spark.createDataFrame(rows, "id string, parent string, kind string, name string, value double, text string")
+    return append_once(ledger.withColumn("at", F.current_timestamp()).coalesce(1), path, report.suite, run)
 
 
 def append_shadow(stream: DataFrame, path: str, checkpoint: str, experiment: str):
-    """Window metrics of a stream as rows of a ledger, (run, name, value) with mode shadow: each batch is appended once."""
+    """Window metrics of a stream as rows of a ledger, (hour, name, value) with mode shadow: each batch is appended once,
+    and what other experiments or other checkpoints append to the same ledger stays."""
 
-    def append(batch: DataFrame, number: int) -> None:
+    def long(batch: DataFrame) -> DataFrame:
         names = [c for c, kind in batch.dtypes if kind in ("double", "bigint", "int")]
-        long = batch.select(F.col("hour").cast("string").alias("run"), F.inline(F.array(*(F.struct(F.lit(metric_name(f"shadow/{n}")).alias("name"), F.col(n).cast("double").alias("value")) for n in names))))
-        long.where("value is not null").withColumns({"experiment": F.lit(experiment), "mode": F.lit("shadow"), "batch": F.lit(number)}).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.select("hour", F.inline(F.array(*(F.struct(F.lit(metric_name(f"shadow/{n}")).alias("name"), F.col(n).cast("double").alias("value")) for n in names))))
+        return rows.where("value is not null").withColumn("mode", F.lit("shadow"))
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_to_ledger(stream, path, checkpoint, experiment, long)
 
 
 def report_text(report: Report) -> str:

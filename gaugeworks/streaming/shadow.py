@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaugeworks.operators.probe import separability
 from gaugeworks.operators.quantiles import quantiles
 from gaugeworks.operators.sampling import retained
+from gaugeworks.sources.ledger import stream_to_ledger
+from gaugeworks.stored import stored
+from gaugeworks.streaming.buffers import first_of_windows, first_overall
 
 WINDOW = "1 hour"
 
@@ -55,49 +56,64 @@ def stream_metrics(calls: DataFrame, labels: Sequence[str] = (), late: str = "10
     return out.select(F.col("w.start").alias("hour"), *out.columns[1:])
 
 
-def stream_retained(calls: DataFrame, rate: float = 0.05, most: int | None = None, late: str = "10 minutes") -> DataFrame:
-    """A sample of calls for review, richer where confidence is low. With `most`, at most so many of each window and
-    bucket of calls go on: the count of each is kept as state until the watermark passes the window."""
-    kept = retained(calls, rate, "call_id")
-    return kept if most is None else _first_of_window(kept, most, late)
+def stream_retained(calls: DataFrame, rate: float = 0.05) -> DataFrame:
+    """A sample of calls for review, richer where confidence is low; each call goes on at once."""
+    return retained(calls, rate, "call_id")
 
 
-#: Buckets by call that share a window's room, so that no task sees all of a window.
-BUCKETS = 8
+def retain_to_ledger(calls: DataFrame, path: str, checkpoint: str, most: int, rate: float = 0.05, experiment: str = "retained", late: str = "10 minutes"):
+    """That sample, but of each window the `most` first calls at most, exactly so many if enough qualify, whatever the
+    batches: they go to the ledger when the window is over."""
+    return stream_to_ledger(first_of_windows(retained(calls, rate, "call_id"), most, "call_id", late, WINDOW), path, checkpoint, experiment, lambda batch: first_overall(batch, most, "call_id", WINDOW))
 
 
-def _first_of_window(rows: DataFrame, most: int, late: str) -> DataFrame:
-    rooms = rows.withWatermark("ts", late).withColumn("_hour", F.window("ts", WINDOW)["start"]).withColumn("_bucket", F.pmod(F.xxhash64("call_id"), F.lit(BUCKETS)).cast("int"))
-    room = max(1, most // BUCKETS)
+def stream_drift(calls: DataFrame, reference: DataFrame, path: str, checkpoint: str, most: int = 5000, folds: int = 5, experiment: str = "drift", late: str = "10 minutes"):
+    """For each window of calls (call_id, ts, embedding): how well a probe tells the first `most` of their embeddings from the
+    reference's (row_id, embedding), as rows (hour, n, separability, traffic) of a ledger. The embeddings wait as state
+    until the window is over. Windows without embeddings have no row."""
 
-    def take(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        if state.hasTimedOut:
-            state.remove()
-            return
-        for pdf in batches:
-            part = pdf.sort_values(["ts", "call_id"]).iloc[: max(0, room - used)]
-            used += len(part)
-            yield part[names]
-        state.update((used,))
-        state.setTimeoutTimestamp(max(int(key[0].timestamp() * 1000) + 3_600_000, state.getCurrentWatermarkMs() + 1))
+    def measure(batch: DataFrame) -> DataFrame:
+        first = first_overall(batch, most, "call_id", WINDOW).withColumn("hour", F.window("ts", WINDOW)["start"])
+        with stored(first, "first_embeddings") as kept:
+            out = None
+            for r in kept.groupBy("hour").agg(F.count(F.lit(1)).alias("n")).orderBy("hour").collect():  # windows that end in this batch
+                live = kept.where(F.col("hour") == r.hour).select(F.col("call_id").alias("row_id"), "embedding")
+                one = separability(live, reference, folds).select(F.lit(r.hour).alias("hour"), F.lit(r.n).cast("bigint").alias("n"), "separability", "traffic")
+                out = one if out is None else out.unionByName(one)
+        return batch.sparkSession.createDataFrame([], "hour timestamp, n bigint, separability double, traffic string") if out is None else out
 
-    names = rows.columns
-    return rooms.groupBy("_hour", "_bucket").applyInPandasWithState(take, rows.schema, "used long", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream_to_ledger(first_of_windows(calls.where("embedding is not null").select("call_id", "ts", "embedding"), most, "call_id", late, WINDOW), path, checkpoint, experiment, measure)
 
 
-def stream_drift(calls: DataFrame, reference: DataFrame, path: str, checkpoint: str, most: int = 5000, folds: int = 5):
-    """For each batch of calls (call_id, embedding): how well a probe tells at most `most` of their embeddings from the
-    reference's (row_id, embedding); appended to a Parquet ledger. Batches without embeddings are UNMEASURED."""
+# ---- sketches that add up ------------------------------------------------------------------------------------
 
-    def measure(batch: DataFrame, number: int) -> None:
-        live = batch.where("embedding is not null").select(F.col("call_id").alias("row_id"), "embedding").limit(most)
-        found = separability(live, reference, folds)
-        found.withColumns({"batch": F.lit(number), "n": F.lit(live.count())}).write.mode("overwrite").parquet(f"{path}/batch={number}")
+#: Size of a sketch: ranks err by about 0.3 %.
+SKETCH_SIZE = 1200
+SKETCHED = ("conf", "latency_ms")
 
-    return calls.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def window_sketches(calls: DataFrame, late: str | None = None) -> DataFrame:
+    """(hour, n, conf_sketch, latency_ms_sketch) of each window, in batch or, with `late`, as a stream. Rows of a ledger from which
+    quantiles of any longer time follow without the calls."""
+    rows = calls.withWatermark("ts", late) if late else calls
+    sketch = [F.call_function("kll_sketch_agg_double", F.col(c), F.lit(SKETCH_SIZE)).alias(f"{c}_sketch") for c in SKETCHED]
+    out = rows.groupBy(F.window("ts", WINDOW).alias("w")).agg(F.count(F.lit(1)).alias("n"), *sketch)
+    return out.select(F.col("w.start").alias("hour"), *out.columns[1:])
+
+
+def sketches_to_ledger(calls: DataFrame, path: str, checkpoint: str, experiment: str = "sketches", late: str = "10 minutes"):
+    return stream_to_ledger(window_sketches(calls, late), path, checkpoint, experiment)
+
+
+def merged_quantiles(sketches: DataFrame, length: str, slide: str | None = None, shares: Sequence[float] = (0.1, 0.5, 0.99)) -> DataFrame:
+    """(start, n, metric, share, value) over longer windows (`1 day`, or sliding ones), from stored window_sketches. Each
+    sketch goes to the few longer windows that hold its hour; merging doesn't depend on the order."""
+    longer = sketches.groupBy(F.window("hour", length, slide or length)["start"].alias("start"))
+    merged = longer.agg(F.sum("n").alias("n"), *(F.call_function("kll_merge_agg_double", F.col(f"{c}_sketch"), F.lit(SKETCH_SIZE)).alias(c) for c in SKETCHED))
+    cuts = [F.struct(F.lit(c).alias("metric"), F.lit(float(q)).alias("share"), F.when(F.call_function("kll_sketch_get_n_double", F.col(c)) > 0, F.call_function("kll_sketch_get_quantile_double", F.col(c), F.lit(float(q)))).alias("value")) for c in SKETCHED for q in shares]
+    return merged.select("start", "n", F.inline(F.array(*cuts)))
 
 
 def run_to_ledger(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Append a stream's rows to a Parquet ledger, exactly once, and stop when the source is used up."""
+    """Append a stream's rows to a Parquet folder, exactly once, and stop when the source is used up."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
