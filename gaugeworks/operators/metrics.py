@@ -6,9 +6,10 @@ is combined."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from gaugeworks.functions import stats
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.operators.quantiles import quantiles
 from gaugeworks.operators.votes import contested, unanimous
+from gaugeworks.stored import stored
 
 CONTRACT = ("accuracy", "majority_baseline", "lift_over_chance", "minority_share", "n")
 
@@ -171,27 +173,63 @@ def half_sums(rows: DataFrame, by: list[str], measures: list[str], repeats: int,
     return out
 
 
+def half_bins(rows: DataFrame, edges: np.ndarray, repeats: int) -> DataFrame:
+    """(rep, half, bin, one, ok): rows (conf, ok, word) and those that are right, in each bin of each half of each repeat.
+    One pass: a task counts all repeats side by side and sends a row for each bin that it has seen."""
+    n = len(edges) + 1
+    if repeats > 2 * WORD_BITS:
+        raise ValueError(f"at most {2 * WORD_BITS} repeats")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, repeats, 2 * n), np.int64)
+        for batch in batches:
+            at = np.searchsorted(edges, batch.column("conf").to_numpy(), "right")
+            ok = batch.column("ok").to_numpy(zero_copy_only=False).astype(float)
+            word = np.asarray(batch.column("word").flatten(), np.int64).reshape(-1, 2)
+            for r in range(repeats):
+                place = at + n * ((word[:, r // WORD_BITS] >> (r % WORD_BITS)) & 1)
+                total[0, r] += np.bincount(place, minlength=2 * n)
+                total[1, r] += np.bincount(place, ok, 2 * n).astype(np.int64)
+        rep, place = np.nonzero(total[0])
+        columns = [rep.astype(np.int32), (place // n).astype(np.int32), (place % n).astype(np.int32), total[0, rep, place], total[1, rep, place]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "half", "bin", "one", "ok"])
+
+    sent = rows.select("conf", "ok", "word").mapInArrow(run, "rep int, half int, bin int, one bigint, ok bigint")
+    return sent.groupBy("rep", "half", "bin").agg(F.sum("one").alias("one"), F.sum("ok").alias("ok"))
+
+
 def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> DataFrame:
     """(rep, half, k, cut, n, ok, n_kept, ok_kept) of rows (row_id, conf, ok 0 or 1): the exact quantile 1 - coverages[k]
     of the confidences of one half, and the other half's rows, those that are right, and both among the rows at or
     above the cut. half is the one that the cut is from.
 
     Confidences are binned by a sketch's quantiles, and bins are summed by half in one pass; the driver gets BINS rows
-    of sums, which tell in which bins the cuts fall. Only rows of those bins are then looked at one by one."""
-    spark = rows.sparkSession
-    empty = "rep int, half int, k int, cut double, n bigint, ok bigint, n_kept bigint, ok_kept bigint"
+    of sums, which tell in which bins the cuts fall. Only rows of those bins are then looked at one by one. What the
+    passes read is stored first: three numbers a row."""
     values = rows.select(F.col("conf").cast("double").alias("conf"), F.col("ok").cast("bigint").alias("ok"), half_word().alias("word")).where("conf is not null and not isnan(conf)")
+    with stored(values, "halves") as kept:
+        found = _cuts_of(kept, coverages, repeats)
+        return rows.sparkSession.createDataFrame(found.collect() if found is not None else [], CUTS)  # a row for each half and coverage
+
+
+CUTS = "rep int, half int, k int, cut double, n bigint, ok bigint, n_kept bigint, ok_kept bigint"
+
+
+def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> DataFrame | None:
+    spark = values.sparkSession
     edges = values.agg(F.percentile_approx("conf", [k / BINS for k in range(1, BINS)], 10 * BINS)).first()[0]
     if not edges:
-        return spark.createDataFrame([], empty)
-    binned = Bucketizer(splits=[-math.inf, *sorted(set(edges)), math.inf], inputCol="conf", outputCol="bin").transform(values)
-    binned = binned.withColumn("bin", F.col("bin").cast("int")).withColumn("one", F.lit(1).cast("bigint"))
-    sums = half_sums(binned, ["bin"], ["one", "ok"], repeats)
-    found = sums.toArrow()  # BINS * 2 * repeats rows at most
+        return None
+    splits = [-math.inf, *sorted(set(edges)), math.inf]
+    binned = Bucketizer(splits=splits, inputCol="conf", outputCol="bin").transform(values)
+    binned = binned.withColumn("bin", F.col("bin").cast("int"))
+    found = half_bins(values, np.array(splits[1:-1]), repeats).toArrow()  # bins * 2 * repeats rows at most
     rep, half, place, *counts = (found.column(c).to_numpy() for c in ("rep", "half", "bin", "one", "ok"))
     order = np.lexsort((place, half, rep))
-    bins = np.unique(place)  # every half has a row for each bin
-    table = [c[order].reshape(repeats, 2, len(bins)) for c in counts]
+    bins = np.arange(len(splits) - 1)
+    table = [np.zeros((repeats, 2, len(bins)), np.int64) for _ in counts]
+    for t, c in zip(table, counts, strict=True):
+        t[rep[order], half[order], place[order]] = c[order]
     halves = {(r, h): (table[0][r, h], table[1][r, h]) for r in range(repeats) for h in (0, 1)}
     targets, near = [], set()
     for (rep, half), (n, _) in halves.items():
@@ -262,8 +300,14 @@ def spread_by(rows: DataFrame, column: str, by: str) -> DataFrame:
 
 def contested_enrichment(preds: DataFrame, coverage: float = 0.90) -> DataFrame:
     """Are contested rows more frequent among those that a confidence threshold drops? NULL without any."""
+    return enrichment_of(preds, contested(F.col("votes")), coverage)
+
+
+def enrichment_of(preds: DataFrame, flag: Column, coverage: float = 0.90) -> DataFrame:
+    """The same of any flag: its share of all rows, of the rows below the threshold, and how the two compare. NULL without
+    a flagged row or a row below the threshold."""
     cut = quantiles(preds, "conf", [1 - coverage]).select("cut")
-    rows = preds.select("conf", contested(F.col("votes")).cast("double").alias("c")).join(F.broadcast(cut), F.lit(True), "left")
+    rows = preds.select("conf", flag.cast("double").alias("c")).join(F.broadcast(cut), F.lit(True), "left")
     out = rows.agg(F.avg("c").alias("base_rate"), F.avg(F.when(F.col("conf") < F.col("cut"), F.col("c"))).alias("in_dropped"))
     return out.select("base_rate", "in_dropped", F.try_divide("in_dropped", "base_rate").alias("enrichment"))
 

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.probs import dot, unit
 from gaugeworks.functions.text import hash_order
-from gaugeworks.operators.sampling import within_quota
+from gaugeworks.operators.sampling import hash_rank, within_quota
 from gaugeworks.stored import stored
 
 #: Unknowns of one fold up to which the whole Hessian is added up (8 MB of sums for a fold).
@@ -32,13 +32,8 @@ LEAST_GAIN = 1e-15
 
 def with_folds(rows: DataFrame, folds: int, key: str = "row_id", label: str = "label", seed: str = "fold:") -> DataFrame:
     """rows with `fold`: the rows of each label dealt round in the order of a hash, so that folds hold equal parts of every
-    label. Rows are counted by label and prefix of the hash; a row's place is that of its prefix and that among the
-    rows of its prefix, so no label is sorted in one task."""
-    marked = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
-    counts = marked.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(label).orderBy("_b")) - F.col("_n")).drop("_n")
-    ranked = marked.withColumn("_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
-    return ranked.join(before, [label, "_b"]).withColumn("fold", F.pmod(F.col("_before") + F.col("_rn") - 1, F.lit(folds)).cast("int")).select(*rows.columns, "fold")
+    label."""
+    return hash_rank(rows, [label], key, seed).withColumn("fold", F.pmod(F.col("rank"), F.lit(folds)).cast("int")).drop("rank")
 
 
 @dataclass

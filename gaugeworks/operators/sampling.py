@@ -33,6 +33,17 @@ def within_quota(rows: DataFrame, by: list[str], order: Column, key: str, quotas
     return decided.unionByName(edge).select(*rows.columns, "in_quota")
 
 
+def hash_rank(rows: DataFrame, by: list[str], key: str, seed: str) -> DataFrame:
+    """rows with `rank`: each row's place, from 0, among its group's rows in the order of a hash and then of the key. Rows are
+    counted by group and prefix of the hash; a place is that of the prefix and that among the rows of the prefix, so no
+    group is sorted in one task."""
+    marked = rows.withColumn("_h", hash_order(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = marked.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")).drop("_n")
+    ranked = marked.withColumn("_rn", _rank([*by, "_b"], "_h", key))
+    return ranked.join(before, [*by, "_b"]).withColumn("rank", F.col("_before") + F.col("_rn") - 1).select(*rows.columns, "rank")
+
+
 def stratified(rows: DataFrame, stratum: str, n: int, key: str = "row_id", seed: str = "s") -> DataFrame:
     """At most n rows of each stratum, without replacement. A bounded heap for each task precedes the shuffle: Spark
     limits ranked windows before the exchange."""
@@ -110,6 +121,44 @@ def planned_jobs(spark, n: int, roles: list[str], settings: list[str], stride: i
     return spark.range(n).select(F.col("id").alias("job"), at(roles, F.col("id")).alias("role"), at(settings, F.col("id") * stride).alias("setting"))
 
 
+#: How far the domains of a plan's neighbouring jobs are apart.
+PAIR_STRIDE, ANTICUE_STRIDE = 11, 13
+EXEMPLARS = 6
+
+
+def _over_pairs(pairs: DataFrame, a: str, b: str, kind: str, domains: list[str], per: int, stride: int) -> DataFrame:
+    jobs = pairs.select(a, b).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    start = F.conv(F.substring(F.md5(F.concat_ws("/", a, b)), 1, 8), 16, 10).cast("bigint")
+    domain = F.get(F.lit(domains), F.pmod(F.col("i") * stride + start, F.lit(len(domains))).cast("int"))
+    return jobs.select(F.concat_ws("/", F.lit(kind), a, b, "i").alias("job"), F.lit(kind).alias("kind"), a, b, domain.alias("domain"))
+
+
+def boundary_plan(boundaries: DataFrame, domains: list[str], per: int = 9) -> DataFrame:
+    """(job, kind, a, b, domain): `per` jobs for each boundary (a, b) between two labels, over the domains by a stride that
+    begins where a hash of the pair says; the same plan each time."""
+    return _over_pairs(boundaries, "a", "b", "pairs", domains, per, PAIR_STRIDE)
+
+
+def anticue_plan(confusable: DataFrame, domains: list[str], per: int = 7) -> DataFrame:
+    """(job, kind, label, decoy, domain): jobs for texts of a label that look like its decoy."""
+    return _over_pairs(confusable, "label", "decoy", "anticue", domains, per, ANTICUE_STRIDE)
+
+
+def exemplar_plan(labels: DataFrame, pool: DataFrame, key: str, per: int = 14, exemplars: int = EXEMPLARS, seed: str = "e:") -> DataFrame:
+    """(job, label, slot, key): `per` jobs for each label, each with so many different exemplars of the pool. Jobs take the
+    pool in the order of a keyed hash, one after the other and round again: each exemplar serves as often as any other, or
+    once more. Exemplars and jobs meet by their places; a pool of fewer rows serves whole in each job."""
+    order = hash_rank(pool.select(key).dropDuplicates().withColumn("_all", F.lit(0)), ["_all"], key, seed).select(key, "rank")
+    size = pool.select(F.countDistinct(key).alias("size"))
+    ranked = labels.select("label").distinct()
+    first = F.row_number().over(Window.partitionBy().orderBy("label")) - 1  # labels are few
+    jobs = ranked.withColumn("_l", first).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    slots = jobs.join(F.broadcast(size), F.lit(True)).where("size > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(exemplars), F.col("size")).cast("int") - 1)))
+    taken = F.least(F.lit(exemplars), F.col("size"))
+    at = slots.withColumn("rank", F.pmod((F.col("_l") * per + F.col("i")) * taken + F.col("slot"), F.col("size")))
+    return at.join(order, "rank").select(F.concat_ws("/", F.lit("real"), "label", "i").alias("job"), "label", "slot", key)
+
+
 def breadth(jobs: DataFrame, settings: list[str]) -> DataFrame:
     """(pool, jobs, combinations): how many different combinations of settings the jobs of each pool have."""
     return jobs.groupBy("pool").agg(F.count(F.lit(1)).alias("jobs"), F.countDistinct(*settings).alias("combinations"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -109,6 +109,16 @@ def rubric_agreement(rows: DataFrame, rubrics: dict[str, tuple[str, str]]) -> Da
     return both.groupBy("rubric").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
 
 
+def rubric_residuals(rows: DataFrame, rubrics: dict[str, tuple[str, str]], most: int = 4) -> DataFrame:
+    """(rubric, pair, n, rank): the pairs of labels that two labellers still disagree in most often under each rubric, in
+    either order; equal counts rank by pair."""
+    cells = F.array(*(F.struct(F.lit(name).alias("rubric"), F.col(a).alias("a"), F.col(b).alias("b")) for name, (a, b) in rubrics.items()))
+    differ = rows.select(F.inline(cells)).where("a <> b")
+    counts = differ.groupBy("rubric", F.concat_ws("/", F.least("a", "b"), F.greatest("a", "b")).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("rubric").orderBy(F.desc("n"), "pair")))
+    return ranked.where(F.col("rank") <= most)
+
+
 def gold_agreement(a: DataFrame, b: DataFrame, key: str = "row_id", tier: str = "tier") -> DataFrame:
     """One row: on how many rows two sets of gold labels both have one, and how often it is the same."""
     both = a.select(key, F.col(tier).alias("a")).join(b.select(key, F.col(tier).alias("b")), key).where("a is not null and b is not null")

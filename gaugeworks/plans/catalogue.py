@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import probs, text
 from gaugeworks.operators import adapters, compress, corpus, curves, folds, judging, medoids, metrics, probe, sampling, vectors, votes
-from gaugeworks.plans import frames, policy
+from gaugeworks.plans import frames, policy, run
 from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
 from gaugeworks.sources import sinks
+from gaugeworks.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,10 +110,10 @@ HALVES_SQL = """halves as (select *, ((('0x' || substr(md5(row_id::VARCHAR), 1,
 RIGHT_SQL = f"{P}, scored as (select row_id, conf, (truth = pred)::int as ok from preds)"
 
 
-def cuts_sql(repeats: int, coverages) -> str:
+def cuts_sql(repeats: int, coverages, right: str | None = None) -> str:
     """Common table expressions that end in `e`: each half's rows at or above the cuts of the other half."""
     shares, values = ", ".join(repr(1 - c) for c in coverages), ", ".join(map(repr, coverages))
-    return f"""{RIGHT_SQL}, {HALVES_SQL.format(repeats=repeats)}, cuts as (select rep, half, unnest([{values}])::DOUBLE as coverage, unnest(quantile_cont(conf, [{shares}])) as cut from halves group by 1, 2),
+    return f"""{right or RIGHT_SQL}, {HALVES_SQL.format(repeats=repeats)}, cuts as (select rep, half, unnest([{values}])::DOUBLE as coverage, unnest(quantile_cont(conf, [{shares}])) as cut from halves group by 1, 2),
 e as (select c.rep, c.half, c.coverage, count(*) filter (where conf >= cut) as kept, avg(ok) filter (where conf >= cut) as a, avg(ok) filter (where conf < cut) as w from cuts c join halves h on h.rep = c.rep and h.half = 1 - c.half group by 1, 2, 3)"""
 
 
@@ -186,6 +187,60 @@ def deployed_half_spread(spark, sf):
     return rounded(metrics.confident_half_spread(predictions(spark, sf).select(F.array_max(summed).alias("conf"))))
 
 
+#: Rows as decided: two groups' probabilities summed, the first of equal ones.
+DECIDED_SQL = f"""{P}, decided as (select *, greatest(p0 + p1, p2 + p3 + p4) as d_conf, (p0 + p1 >= p2 + p3 + p4) = (t < 2) as d_ok from preds)"""
+ROUTE = PRIORITY.folds["route"]
+
+
+@query(f"""with {cuts_sql(40, (0.95, 0.90, 0.80, 0.70), DECIDED_SQL + ", scored as (select row_id, d_conf as conf, d_ok::int as ok from decided)")} select coverage, round(avg(a), 6) as accuracy, round(avg(w), 6) as waste from e group by 1""")
+def deployed_risk_coverage(spark, sf):
+    """Risk at each coverage where decisions are made: thresholds are of folded confidences."""
+    return rounded(metrics.risk_coverage(run.decided_rows(run.deployed(predictions(spark, sf), PRIORITY, ROUTE))))
+
+
+@query(f"""with {DECIDED_SQL}, x as (select d_conf as conf, (len(list_distinct({VOTES_SQL})) + (len(list_filter(votes, lambda v: v is null)) > 0)::int > 1)::int as c from decided), q as (select quantile_cont(conf, 0.1) as cut from x)
+select round(avg(c), 6) as base_rate, round(avg(c) filter (where conf < cut), 6) as in_dropped, round(avg(c) filter (where conf < cut) / avg(c), 6) as enrichment from x, q""")
+def deployed_enrichment(spark, sf):
+    own = run.decided_rows(run.deployed(predictions(spark, sf), PRIORITY, ROUTE))
+    return rounded(metrics.enrichment_of(own, F.col("contested")))
+
+
+def _named_sql(name: str, columns: dict[str, str]) -> str:
+    """The columns of another query's one row as rows (metric, value)."""
+    return f"select unnest([{', '.join(repr(m) for m in columns)}]) as metric, unnest([{', '.join(f'{c}::DOUBLE' for c in columns.values())}]) as value from ({ORACLE_SQL[name]})"
+
+
+def _each_sql(name: str, key: str, shape: str, columns: list[str]) -> list[str]:
+    """The columns of another query's rows, named by each row's key."""
+    return [f"select {shape.format(key=key, column=c)} as metric, {c}::DOUBLE as value from ({ORACLE_SQL[name]})" for c in columns]
+
+
+def _suite_sql() -> str:
+    same = lambda *names: {n: n for n in names}
+    parts = [
+        _named_sql("metric_contract", same("n", "accuracy", "majority_baseline", "minority_share", "lift_over_chance", "wilson95_lo", "wilson95_hi")),
+        _named_sql("macro_f1", {"macro_f1": "macro_f1_defined", "macro_f1_all": "macro_f1_all", "balanced_accuracy": "balanced_accuracy"}),
+        _named_sql("label_ceiling", same("jury_agreement", "contested_share", "accuracy_unanimous", "accuracy_contested", "error_on_unanimous", "ceiling_from_perfect_labels")),
+        _named_sql("calibration", same("ece", "mce", "overconfidence")),
+        _named_sql("deployed_half_spread", same("confident_half_spread")),
+        _named_sql("deployed_enrichment", same("base_rate", "in_dropped", "enrichment")),
+        f"select 'decided/accuracy', round(avg(d_ok::int), 6) from (with {DECIDED_SQL} select d_ok from decided)",
+        *_each_sql("per_label_metrics", "label", "'{column}/' || {key}", ["recall", "precision", "f1"]),
+        *_each_sql("gate_metrics", "gate", "'gate/' || {key} || '/{column}'", ["containment", "over_block", "released_to_lowest"]),
+        *_each_sql("deployed_risk_coverage", "coverage", "'selective/{column}@' || printf('%.2f', {key})", ["accuracy", "waste"]),
+    ]
+    return f"select metric, value from ({' union all '.join(parts)}) where value is not null"
+
+
+@query(_suite_sql())
+def suite_metrics(spark, sf):
+    """Every metric of a suite's run by name: one narrow stored table, one aggregation for all that counts tell, and
+    the metrics of confidence where decisions are made."""
+    with stored(run.deployed(predictions(spark, sf), PRIORITY, ROUTE), "scored_rows") as kept:
+        found = run.metrics_of_cells(run.cells(kept), PRIORITY) | run.confidence_metrics(kept)
+    return rounded(spark.createDataFrame([*found.items()], "metric string, value double"))
+
+
 @query(f"""with {CALLS_SQL} select call_id, round((latency_ms - avg(latency_ms) over w) / stddev_pop(latency_ms) over w, 6) as z from calls window w as (partition by pred)""")
 def latency_z_scores(spark, sf):
     return rounded(metrics.z_scores(calls(spark, sf).select("call_id", "pred", "latency_ms"), "latency_ms", "pred").select("call_id", "z"))
@@ -283,6 +338,41 @@ def rubric_agreement(spark, sf):
     return rounded(votes.rubric_agreement(rows, {"v1": ("v0", "v1"), "v2": ("v0", "v2")}))
 
 
+@query(f"""with {P}, x as (select 'v1' as rubric, votes[1] as a, votes[2] as b from preds union all select 'v2', votes[1], votes[3] from preds), c as (select rubric, least(a, b) || '/' || greatest(a, b) as pair, count(*)::BIGINT as n from x where a <> b group by 1, 2)
+select rubric, pair, n, (row_number() over (partition by rubric order by n desc, pair))::int as rank from c qualify rank <= 4""")
+def rubric_residuals(spark, sf):
+    """What two labellers still disagree in under each wording."""
+    rows = predictions(spark, sf).select(*(F.get("votes", F.lit(k)).alias(f"v{k}") for k in range(3)))
+    return votes.rubric_residuals(rows, {"v1": ("v0", "v1"), "v2": ("v0", "v2")})
+
+
+DOMAINS = ("trade", "law", "health", "travel", "code", "school", "home")
+DOMAIN_SQL = """(['trade', 'law', 'health', 'travel', 'code', 'school', 'home'])[((i * {stride} + ('0x' || substr(md5(a || '/' || b), 1, 8))::BIGINT) % 7) + 1]"""
+
+
+@query(f"""with {P}, p as (select distinct least(truth, pred) as a, greatest(truth, pred) as b from preds where truth <> pred)
+select 'pairs/' || a || '/' || b || '/' || i as job, 'pairs' as kind, a, b, {DOMAIN_SQL.format(stride=11)} as domain from p, range(9) r(i)""")
+def boundary_plan(spark, sf):
+    """Jobs for each boundary that predictions cross."""
+    wrong = predictions(spark, sf).where("truth <> pred").select(F.least("truth", "pred").alias("a"), F.greatest("truth", "pred").alias("b"))
+    return sampling.boundary_plan(wrong, list(DOMAINS))
+
+
+@query(f"""with {P}, p as (select truth as a, pred as b from preds where truth <> pred group by 1, 2)
+select 'anticue/' || a || '/' || b || '/' || i as job, 'anticue' as kind, a as label, b as decoy, {DOMAIN_SQL.format(stride=13)} as domain from p, range(7) r(i)""")
+def anticue_plan(spark, sf):
+    """Jobs for texts of one label that are taken for another."""
+    return sampling.anticue_plan(predictions(spark, sf).where("truth <> pred").select(F.col("truth").alias("label"), F.col("pred").alias("decoy")), list(DOMAINS))
+
+
+@query("""with pool as (select c_custkey, row_number() over (order by md5('e:' || c_custkey), c_custkey) - 1 as rank, count(*) over () as size from customer), l as (select *, row_number() over (order by label) - 1 as l from (select distinct o_orderpriority as label from orders)),
+j as (select label, i, slot, ((l * 14 + i) * 6 + slot) % (select max(size) from pool) as rank from l, range(14) r(i), range(6) s(slot)) select 'real/' || label || '/' || i as job, label, slot::int as slot, c_custkey from j join pool using (rank)""")
+def exemplar_plan(spark, sf):
+    """Jobs with six different exemplars each, all exemplars used equally often."""
+    labels = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("label"))
+    return sampling.exemplar_plan(labels, table(spark, sf, "customer"), "c_custkey")
+
+
 @query(f"""{PASSES_SQL}, t as (select case when passes[1] = passes[2] or passes[1] = passes[3] then passes[1] when passes[2] = passes[3] then passes[2] end as self, case when votes[1] = votes[2] or votes[1] = votes[3] then votes[1] when votes[2] = votes[3] then votes[2] end as panel, len({VOTES_SQL}) as n from j)
 select count(*)::BIGINT as n, round(avg((self = panel)::int), 6) as agreement from t where self is not null and panel is not null and n = 3""")
 def gold_agreement(spark, sf):
