@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.operators.sampling import stratified
 from gaugeworks.functions.probs import unit
+from gaugeworks.stored import shared_folder, stored
 
-#: Anchors go to every task up to this many, after a check; more are joined in blocks.
-ANCHORS = 20_000
+#: Anchors go to every task up to this many and this many bytes of numbers, after a check; more are joined in blocks.
+ANCHORS, ANCHOR_BYTES = 20_000, 64 << 20
 #: Rows of a block of queries or of anchors.
 BLOCK = 1024
 
 
 def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """(row_id, label, score) by blocked products in tasks; anchors is a bounded list."""
-    import numpy as np
     import pandas as pd
 
     rows = anchors.select("label", unit(F.col("embedding")).alias("v")).collect()
@@ -39,35 +43,100 @@ def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
 
 def anchor_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
     """(row_id, label, score): the mean of a query's k largest cosines with each label's anchors, or all if fewer."""
-    few = anchors.limit(ANCHORS + 1).count() <= ANCHORS
+    found = anchors.limit(ANCHORS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("embedding")).alias("numbers")).first()
+    few = found.n <= ANCHORS and 8 * (found.numbers or 0) <= ANCHOR_BYTES
     return _scores(queries, anchors, k) if few else blocked_scores(queries, anchors, k)
 
 
-def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
-    """anchor_scores for anchors of any number, with row_id: each block of queries meets each block of anchors, and only
-    the k largest cosines of a query, label and block go on."""
-    import numpy as np
-    import pandas as pd
+#: Pivots that blocks are formed about, of a block's rows at most, and cosines that rounding may hide.
+PIVOTS, SLACK = 256, 1e-9
 
-    def blocks(rows: DataFrame, kept: str, name: str) -> DataFrame:
-        n = rows.count() // BLOCK + 1  # blocks, not rows, meet each other; every query needs a cosine with every anchor
-        packed = F.struct(F.col(kept).alias("id"), unit(F.col("embedding")).alias("v"))
-        return rows.groupBy(F.pmod(F.xxhash64("row_id"), F.lit(n)).alias(f"{name}_block")).agg(F.collect_list(packed).alias(name))
 
-    def run(batches):
+def _blocks(rows: DataFrame, pivots: np.ndarray, kept: list[str], by: list[str]) -> DataFrame:
+    """(by, pivot, part, rows): packed unit vectors grouped by their nearest pivot and cut into parts of about BLOCK rows, and
+    the cosine of the farthest one to the pivot (`least`)."""
+    import pandas as pd
+
+    def nearest(batches):
         for pdf in batches:
-            for q, a in zip(pdf.q, pdf.a, strict=True):
-                ids, labels = [r["id"] for r in q], np.array([r["id"] for r in a])
-                cosine = np.array([r["v"] for r in q]) @ np.array([r["v"] for r in a]).T
-                for x in np.unique(labels):
-                    top = np.sort(cosine[:, labels == x], 1)[:, -k:]
-                    yield pd.DataFrame({"row_id": ids, "label": x, "top": list(top)})
+            if len(pdf):
+                x = np.array(pdf.v.tolist()) @ pivots.T
+                yield pdf.assign(pivot=x.argmax(1), near=x.max(1))
+
+    dealt = F.xxhash64("row_id") if "row_id" in rows.columns else F.xxhash64("embedding")
+    unit_rows = rows.select(*kept, unit(F.col("embedding").cast("array<double>")).alias("v"), dealt.alias("dealt"))
+    placed = unit_rows.mapInPandas(nearest, T.StructType([*unit_rows.schema.fields, T.StructField("pivot", T.IntegerType()), T.StructField("near", T.DoubleType())]))
+    sizes = placed.groupBy(*by, "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    cut = placed.join(F.broadcast(sizes), [*by, "pivot"]).withColumn("part", F.pmod("dealt", "parts").cast("int"))
+    return cut.groupBy(*by, "pivot", "part").agg(F.collect_list(F.struct(*kept, "v")).alias("rows"), F.min("near").alias("least"))
+
+
+def _most(a: DataFrame, b: DataFrame, gram: DataFrame) -> DataFrame:
+    """Pairs of blocks (q, a) with `most`, a bound of every cosine between them: by the triangle inequality of angles, no pair is nearer
+    than the pivots' angle less both blocks' radii."""
+    angle = lambda c: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(c))))
+    met = a.join(F.broadcast(gram), "q_pivot").join(b, "a_pivot")
+    gap = F.greatest(F.lit(0.0), angle("between") - angle("q_least") - angle("a_least"))
+    return met.withColumn("most", F.cos(gap) + SLACK)
+
+
+def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3, pivots: int = PIVOTS, report: dict | None = None) -> DataFrame:
+    """anchor_scores for anchors of any number, exactly and without all pairs.
+
+    Queries and each label's anchors are grouped by their nearest of a few pivots (rows of the anchors by hash). Each block
+    of queries first meets, for each label, the blocks of best bound that hold k anchors between them; the k-th best cosine
+    of its worst query is then a threshold, and only those other blocks follow whose bound reaches it. `report` is
+    given the numbers of pairs of blocks, `all` and `met`. Blocks, bounds and tops are stored; the driver holds the pivots."""
+    import pandas as pd
 
+    spark = queries.sparkSession
     kinds = dict(queries.dtypes)["row_id"], dict(anchors.dtypes)["label"]
-    pairs = blocks(queries, "row_id", "q").join(blocks(anchors, "label", "a"), F.lit(True)).select("q", "a")
-    tops = pairs.mapInPandas(run, f"row_id {kinds[0]}, label {kinds[1]}, top array<double>")
-    merged = tops.groupBy("row_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
-    return merged.select("row_id", "label", (F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")).alias("score"))
+    scores = f"row_id {kinds[0]}, label {kinds[1]}, score double"
+    chosen = anchors.where("embedding is not null").select(unit(F.col("embedding").cast("array<double>")).alias("v")).orderBy(F.xxhash64("v")).limit(pivots).collect()
+    if not chosen:
+        return spark.createDataFrame([], scores)
+    centres = np.array([r.v for r in chosen])
+    cosine = centres @ centres.T
+    gram = spark.createDataFrame([(i, j, float(cosine[i, j])) for i in range(len(centres)) for j in range(len(centres))], "q_pivot int, a_pivot int, between double")
+    with ExitStack() as held:
+        q = held.enter_context(stored(_blocks(queries.where("embedding is not null"), centres, ["row_id"], []).withColumn("q", F.monotonically_increasing_id()), "query_blocks"))
+        a = held.enter_context(stored(_blocks(anchors.where("embedding is not null"), centres, ["label"], ["label"]).withColumn("a", F.monotonically_increasing_id()), "anchor_blocks"))
+        q_about = q.select("q", F.col("pivot").alias("q_pivot"), F.col("least").alias("q_least"))
+        a_about = a.select("a", "label", F.col("pivot").alias("a_pivot"), F.col("least").alias("a_least"), F.size("rows").alias("size"))
+        bounds = held.enter_context(stored(_most(q_about, a_about, gram).select("q", "a", "label", "most", "size"), "bounds"))
+        by = Window.partitionBy("q", "label").orderBy(F.desc("most"), "a")
+        first = bounds.withColumn("_before", F.sum("size").over(by) - F.col("size")).where(F.col("_before") < k).select("q", "a")
+
+        def meet(batches):
+            for pdf in batches:
+                for label, own, other in zip(pdf.label, pdf.q_rows, pdf.a_rows, strict=True):
+                    found = np.array([r["v"] for r in own]) @ np.array([r["v"] for r in other]).T
+                    top = np.sort(found, 1)[:, -k:]
+                    yield pd.DataFrame({"row_id": [r["row_id"] for r in own], "label": label, "top": list(top)})
+
+        def tops(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(q.select("q", F.col("rows").alias("q_rows")), "q").join(a.select("a", "label", F.col("rows").alias("a_rows")), "a")
+            return both.select("q", "label", "q_rows", "a_rows").mapInPandas(meet, f"row_id {kinds[0]}, label {kinds[1]}, top array<double>")
+
+        merged = lambda rows: rows.groupBy("row_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
+        early = held.enter_context(stored(tops(first), "early_tops"))
+        kth = F.when(F.size("top") >= k, F.get("top", F.lit(k - 1))).otherwise(-2.0)
+        whose = q.select("q", F.explode("rows.row_id").alias("row_id"))
+        limits = merged(early).select("row_id", "label", kth.alias("kth")).join(whose, "row_id").groupBy("q", "label").agg(F.min("kth").alias("limit"))
+        more = held.enter_context(stored(bounds.join(limits, ["q", "label"]).where(F.col("most") >= F.col("limit")).select("q", "a").join(first, ["q", "a"], "left_anti"), "more_pairs"))
+        if report is not None:
+            report |= {"all": bounds.count(), "met": first.count() + more.count()}
+        out = merged(early.unionByName(tops(more)))
+        mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")
+        return _kept(out.select("row_id", "label", mean.alias("score")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed now and stored where it stays until Spark's cleaner drops the checkpoint with it."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
 
 
 def best_label(scores: DataFrame) -> DataFrame:
