@@ -77,16 +77,18 @@ def minor_class_recall(preds: DataFrame, labels: list[str]) -> DataFrame:
 
 def label_ceiling(preds: DataFrame) -> DataFrame:
     """What the labels' own disagreement allows, over the rows with votes."""
-    rows = preds.where(F.size("votes") > 0).select((F.col("truth") == F.col("pred")).alias("ok"), unanimous(F.col("votes")).alias("same"))
+    # null without votes; a filter on it would be pushed below the votes' projection, which then computes them twice
+    voted = F.when(F.size("votes") > 0, unanimous(F.col("votes")))
+    rows = preds.select((F.col("truth") == F.col("pred")).alias("ok"), voted.alias("same"))
     ok, same = F.col("ok"), F.col("same")
     return rows.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("same").alias("n"),
         _share(same).alias("jury_agreement"),
         _share(~same).alias("contested_share"),
         F.avg(F.when(same, ok.cast("double"))).alias("accuracy_unanimous"),
         F.avg(F.when(~same, ok.cast("double"))).alias("accuracy_contested"),
         F.avg(F.when(same, (~ok).cast("double"))).alias("error_on_unanimous"),
-        F.avg((ok | ~same).cast("double")).alias("ceiling_from_perfect_labels"),
+        F.avg(F.when(same.isNotNull(), (ok | ~same).cast("double"))).alias("ceiling_from_perfect_labels"),
     )
 
 
@@ -208,18 +210,17 @@ def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> D
     passes read is stored first: three numbers a row."""
     values = rows.select(F.col("conf").cast("double").alias("conf"), F.col("ok").cast("bigint").alias("ok"), half_word().alias("word")).where("conf is not null and not isnan(conf)")
     with stored(values, "halves") as kept:
-        found = _cuts_of(kept, coverages, repeats)
-        return rows.sparkSession.createDataFrame(found.collect() if found is not None else [], CUTS)  # a row for each half and coverage
+        return rows.sparkSession.createDataFrame(_cuts_of(kept, coverages, repeats), CUTS)  # a row for each half and coverage
 
 
 CUTS = "rep int, half int, k int, cut double, n bigint, ok bigint, n_kept bigint, ok_kept bigint"
 
 
-def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> DataFrame | None:
+def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> list:
     spark = values.sparkSession
     edges = values.agg(F.percentile_approx("conf", [k / BINS for k in range(1, BINS)], 10 * BINS)).first()[0]
     if not edges:
-        return None
+        return []
     splits = [-math.inf, *sorted(set(edges)), math.inf]
     binned = Bucketizer(splits=splits, inputCol="conf", outputCol="bin").transform(values)
     binned = binned.withColumn("bin", F.col("bin").cast("int"))
@@ -246,6 +247,12 @@ def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> Dat
     table = spark.createDataFrame(targets, "rep int, half int, k int, place double, a_bin int, a_at bigint, b_bin int, b_at bigint, n bigint, ok bigint, n_above bigint, ok_above bigint")
     edge = binned.join(wanted, "bin").select("bin", "conf", "ok", "word", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
     edge = edge.groupBy("rep", half_of(F.col("word"), F.col("rep")).cast("int").alias("half"), "bin", "conf").agg(F.count(F.lit(1)).alias("c"), F.sum("ok").alias("c_ok"))
+    with stored(edge, "edge_rows") as kept:
+        return _cuts_at(kept, table).collect()
+
+
+def _cuts_at(edge: DataFrame, table: DataFrame) -> DataFrame:
+    """The cuts that table places, and what is kept by them, from the counted confidences of the bins they fall in."""
     upto = F.sum("c").over(Window.partitionBy("rep", "half", "bin").orderBy("conf"))
 
     def at(side: str) -> DataFrame:
