@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.functions import probs, text
+from gaugeworks.functions import probs, tables, text
 from gaugeworks.operators import adapters, compress, corpus, curves, folds, judging, medoids, metrics, probe, sampling, vectors, votes
 from gaugeworks.plans import frames, policy, run
-from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table
+from gaugeworks.plans.frames import CALLS_SQL, PRIORITY, calls, predictions, preds_sql, rounded, table, u
 from gaugeworks.sources import sinks
 from gaugeworks.stored import stored
 
@@ -346,6 +346,30 @@ def rubric_residuals(spark, sf):
     return votes.rubric_residuals(rows, {"v1": ("v0", "v1"), "v2": ("v0", "v2")})
 
 
+@query(f"""with {CALLS_SQL}, k as (select call_id, ts, conf from calls where {u("'r:' || call_id")} < least(1.0, 0.05 * case when conf < 0.6 then 5 else 1 end)), r as (select *, row_number() over (partition by date_trunc('hour', ts) order by ts, call_id) as rn from k)
+select call_id, date_trunc('hour', ts) as hour from r where rn <= 20""")
+def retained_of_windows(spark, sf):
+    """The sample for review with a cap: the first calls of each hour, as the stream keeps them."""
+    from gaugeworks.streaming.buffers import first_overall
+
+    kept = first_overall(sampling.retained(calls(spark, sf), 0.05, "call_id"), 20)
+    return kept.select("call_id", F.window("ts", "1 hour")["start"].alias("hour"))
+
+
+@query(f"""with {CALLS_SQL}, d as (select date_trunc('day', ts) as start, count(*)::BIGINT as n, count(latency_ms) as l from calls group by 1), m as (select unnest(['conf', 'latency_ms']) as metric), s as (select unnest([0.1, 0.5, 0.99])::DOUBLE as share)
+select start, n, metric, share, true as within from d, m, s where metric = 'conf' or l > 0""")
+def merged_sketches(spark, sf):
+    """Quantiles of days from the sketches of their hours: are their ranks within 1 % of what was asked for?"""
+    from gaugeworks.streaming.shadow import merged_quantiles, window_sketches
+
+    rows = calls(spark, sf)
+    cuts = merged_quantiles(window_sketches(rows), "1 day").where("value is not null")
+    days = rows.select(F.window("ts", "1 day")["start"].alias("start"), F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in ("conf", "latency_ms"))))).where("x is not null")
+    below, upto = F.avg((F.col("x") < F.col("value")).cast("double")), F.avg((F.col("x") <= F.col("value")).cast("double"))
+    ranks = days.join(F.broadcast(cuts), ["start", "metric"]).groupBy("start", "n", "metric", "share").agg(below.alias("low"), upto.alias("high"))  # a row for each day, metric and share
+    return ranks.select("start", "n", "metric", "share", ((F.col("low") - 0.01 <= F.col("share")) & (F.col("share") <= F.col("high") + 0.01)).alias("within"))
+
+
 DOMAINS = ("trade", "law", "health", "travel", "code", "school", "home")
 DOMAIN_SQL = """(['trade', 'law', 'health', 'travel', 'code', 'school', 'home'])[((i * {stride} + ('0x' || substr(md5(a || '/' || b), 1, 8))::BIGINT) % 7) + 1]"""
 
@@ -711,6 +735,14 @@ def span_max(spark, sf):
     return adapters.span_max(rows, adapters.FunctionAdapter(labels, lambda t: f"tier{len(t) % 5}"), labels)
 
 
+@query(f"""with {SEGMENTS_SQL}, u as (select doc_id, unnest(seg) as x from seg) select doc_id as row_id, 'tier' || max(length(x) % 5) as label, count(*)::BIGINT as n_segments from u group by 1""")
+def segments_by_sql(spark, sf):
+    """The same from SQL: segments_of(text) exploded laterally, in one pass over the documents."""
+    tables.register_tables(spark)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id AS row_id, concat('tier', max(length(segment) % 5)) AS label, count(*) AS n_segments FROM (SELECT doc_id, segments_of(text) AS parts FROM {docs}) LATERAL VIEW posexplode(parts) s AS at, segment GROUP BY doc_id", docs=docs)
+
+
 @query("select doc_id, lang from documents d join labels l using (doc_id) where lang = 'en' and coalesce(toxic, 0) = 0")
 def english_and_civil(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")

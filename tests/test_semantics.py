@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugeworks.functions import probs, stats, text
+from gaugeworks.functions import probs, stats, tables, text
 from gaugeworks.operators import folds, metrics, sampling, votes
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.operators.metrics import CONTRACT
@@ -62,6 +62,17 @@ def test_text(spark):
     assert one(spark, text.key(F.lit("A  b")) == text.key(F.lit(" a\nB ")))[0]
 
 
+def test_functions_of_sql_give_what_columns_give(spark):
+    tables.register_tables(spark)
+    quote = '"' + "q" * 90 + '"'
+    df = spark.createDataFrame([(1, None), (2, ""), (3, f"One. Two!  {quote} “{'c' * 100}”"), (4, "p" * 90 + "\n \n" + " r" * 50 + "\n\nshort\n\n" + "s" * 80), (5, '"' + " " * 90 + '" then'), (6, "a.b c? d\n\ne")], "id int, t string")
+    got = spark.sql("SELECT id, segments_of(t) AS s, sentences_of(t) AS u FROM {df}", df=df)
+    want = df.select("id", text.segments(F.col("t")).alias("s"), text.sentences(F.col("t")).alias("u"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = spark.sql("SELECT id, at, s FROM (SELECT id, segments_of(t) AS p FROM {df}) LATERAL VIEW posexplode(p) x AS at, s", df=df)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_votes(spark):
     df = spark.createDataFrame([(1, ["a", "a", "a"]), (2, ["b", "a", "b"]), (3, ["a", "b", "c"]), (4, ["a", None, "a"]), (5, []), (6, None)], "row_id int, votes array<string>")
     got = {r.row_id: (r.stratum, r.tier) for r in votes.adjudicate(df).collect()}
