@@ -41,3 +41,20 @@ def test_one_way_or_the_other_the_scores_are_the_same(spark, monkeypatch):
     many = {tuple(r)[:2]: r.score for r in vectors.anchor_scores(queries, anchors, 2).collect()}
     assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
     assert vectors.blocked_scores(queries, anchors.where("false")).count() == 0 and vectors.blocked_scores(queries.where("false"), anchors).count() == 0
+
+
+@pytest.mark.parametrize(("k", "keep"), [(3, 0.9), (5, 0.5), (40, 0.9)])
+def test_medoid_anchors_are_spread_over_what_is_near_the_centroid(spark, k, keep):
+    _, a, y, _, anchors = frames(spark, 0.7, 5, 120)
+    got = {}
+    for r in vectors.medoid_anchors(anchors, k, keep).collect():
+        got.setdefault(r.label, set()).add(r.row_id)
+    unit = a / np.linalg.norm(a, axis=1, keepdims=True)
+    for b in np.unique(y):
+        own = np.flatnonzero(y == b)
+        centre = unit[own].mean(0)
+        cosine = np.round(unit[own] @ (centre / np.linalg.norm(centre)), 12)
+        order = own[np.lexsort((own, -cosine))]
+        kept = max(int(len(own) * keep), min(k, len(own)))
+        step = max(kept // k, 1)
+        assert got[f"l{b}"] == set(order[:kept:step][:k].tolist())
