@@ -20,8 +20,8 @@ Tasks send sums; the driver holds the centroids, `clusters` vectors of 64 intege
 
 Defined results: vectors that are null, of another length, or with a null or non-finite component have no row; a
 null vec_id is clustered but starts no centroid; rows of equal vec_id are vectors of their own, and start centroids in
-the order of their components; fewer vectors than centroids give as many centroids as there are vectors; an
-empty table gives an empty table; other columns aren't kept. A component beyond 2**27 / 64 fails the task, as distances
+the order of their components; fewer vectors than centroids give as many centroids as there are vectors; without a
+vector that has an id nothing starts, and there are no rows; an empty table gives an empty table; other columns aren't kept. A component beyond 2**27 / 64 fails the task, as distances
 then need more than 64 bits.
 """
 

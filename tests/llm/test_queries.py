@@ -27,6 +27,8 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame([(1, " ".join(TEXTS[12].split()[5:25])), (2, prose(25, 777)), (3, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     urls = [None, "", "no scheme", "http://Foo.NET", "https://a.example.net/en/x?q#f", "https://example.net/EN/", "ftp://b.example.com/de/1", "http://x.org/fr/", "http://spam-farm.example.org/", "http://a.io/wp-login.php", "http://a.io/x-spam/", "http://q.io/download/a.zip", "http://porn.io", "http://aporn.io"]
     spark.createDataFrame([(k, u, "<p>") for k, u in enumerate(urls * 2)], "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    vectors = [(k, [((k * 7 + d * 3) % 11 - 5) / 8 for d in range(64)], k % 3) for k in range(40)] + [(90, None, 1), (91, [0.5], 1)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -146,8 +148,20 @@ def test_op10(spark, sf):
     assert verdicts == ["allow", "allow", "allow", "allow", "allow", "block", "block", "allow", "block", "block", "allow", "block", "block", "allow"]
 
 
+@pytest.mark.parametrize("name", ["op12_source_divergence", "op13_centroid_clusters"])
+def test_queries_that_sql_expresses(spark, sf, name):
+    tables = {t: f"'{sf}/{t}.parquet/*.parquet'" for t in ("documents", "embeddings")}
+    sql = queries.ORACLE_SQL[name]
+    for t, place in tables.items():
+        sql = re.sub(rf"from {t}\b", f"from {place}", sql)
+    got, want = queries.QUERIES[name](spark, sf), duckdb.sql(sql)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [tuple(r) for r in got.select(*want.columns).collect()]
+    assert len(rows) == len(set(rows)) > 0 and set(rows) == set(want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
-    for table in ("documents", "labels", "benchmark", "pages"):
+    for table in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{sf}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
