@@ -27,17 +27,18 @@ def brute(rows, least, top=50):
         counts[lang, source].update(found)
         whole[lang].update(found)
         docs[lang].update(set(found))
+    kept = {lang: [t for t, n in docs[lang].items() if n >= least] for lang, _ in groups}
+
+    def p_of(c, lang):
+        n = sum(c[t] for t in kept[lang])
+        return {t: 1 + 10**9 * (c[t] + 5) // (n + 5 * len(kept[lang])) for t in kept[lang]}
+
+    own = {g: p_of(counts[g], g[0]) for g in groups}
     out = set()
     for lang, source in groups:
-        kept = [t for t, n in docs[lang].items() if n >= least]
-        p_of = lambda c: (lambda n: {t: 1 + 10**9 * (c[t] + 5) // (n + 5 * len(kept)) for t in kept})(sum(c[t] for t in kept))  # noqa: E731, B023
-        p, q = p_of(counts[lang, source]), p_of(whole[lang])
-        pairs = []
-        for other_lang, other in groups:
-            if other_lang == lang and other != source:
-                r = p_of(counts[lang, other])
-                pairs.append((-sum(abs(p[t] - r[t]) for t in kept), other.encode(), other))
-        terms = [(q[t] - p[t], t.encode(), t) for t in kept if counts[lang, source][t] and p[t] > q[t]]
+        p, q = own[lang, source], p_of(whole[lang], lang)
+        pairs = [(-sum(abs(p[t] - own[g][t]) for t in kept[lang]), g[1].encode(), g[1]) for g in groups if g[0] == lang and g[1] != source]
+        terms = [(q[t] - p[t], t.encode(), t) for t in kept[lang] if counts[lang, source][t] and p[t] > q[t]]
         for part, found in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
             out |= {(lang, source, part, item, -value, k) for k, (value, _, item) in enumerate(found, 1)}
     return out
