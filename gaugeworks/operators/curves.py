@@ -9,6 +9,7 @@ from gaugeworks.functions import probs, stats
 from gaugeworks.operators.folds import Taxonomy
 from gaugeworks.operators.metrics import half_sums, half_word, heldout_cuts, right_rows
 from gaugeworks.operators.quantiles import quantiles
+from gaugeworks.stored import stored
 
 
 def flip_bias(logits: Column, gate: int) -> Column:
@@ -226,10 +227,13 @@ def rescued_by_fold(preds: DataFrame, task: Taxonomy, fold: str, coverage: float
     ok = (probs.argmax_label(summed, groups) == task.group(table, F.col("truth"))).cast("double")
     split = F.coalesce((F.size(F.array_distinct("votes")) > 1).cast("double"), F.lit(0.0))
     rows = preds.select(ok.alias("ok"), split.alias("split"), F.array_max("probs").alias("fine"), F.array_max(summed).alias("coarse"))
-    cut = lambda c: quantiles(rows, c, [1 - coverage]).select(F.col("cut").alias(f"{c}_cut"))
-    cuts = cut("fine").join(F.broadcast(cut("coarse")), F.lit(True))  # one row each
-    both = rows.join(F.broadcast(cuts), (F.col("fine") < F.col("fine_cut")) & (F.col("coarse") >= F.col("coarse_cut")))
-    return both.agg(F.count(F.lit(1)).alias("rescued"), F.avg("ok").alias("accuracy"), F.avg("split").alias("contested"))
+    # stored: every pass and filter below would work out both confidences anew
+    with stored(rows, "fold_confidences") as kept:
+        cut = lambda c: quantiles(kept, c, [1 - coverage]).select(F.col("cut").alias(f"{c}_cut"))
+        cuts = cut("fine").join(F.broadcast(cut("coarse")), F.lit(True))  # one row each
+        both = kept.join(F.broadcast(cuts), (F.col("fine") < F.col("fine_cut")) & (F.col("coarse") >= F.col("coarse_cut")))
+        found = both.agg(F.count(F.lit(1)).alias("rescued"), F.avg("ok").alias("accuracy"), F.avg("split").alias("contested"))
+        return preds.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
 
 
 def offset_ascent(dev: DataFrame, labels: list[str], passes: int = 6, reach: float = 2.0, steps: int = 41) -> list[float]:
