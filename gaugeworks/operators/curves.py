@@ -241,32 +241,49 @@ def offset_ascent(dev: DataFrame, labels: list[str], passes: int = 6, reach: flo
     equal ones, until a pass changes nothing.
 
     One aggregation tries all values of one label's offset: a row is right from one offset on (if the label is its
-    truth) or up to one (if not), so rows are counted by that step, and the driver gets a count for each."""
+    truth) or up to one (if not), so rows are counted by that step, and the driver gets a count for each. The logarithms
+    are stored, a column a label, as each aggregation reads them all."""
+    size = len(labels)
     deltas = [-reach + 2 * reach * k / (steps - 1) for k in range(steps)]
     logs = dev.select(F.array_position(F.lit(labels), F.col("truth")).cast("int").alias("t"), probs.log_clipped(F.col("probs")).alias("l"))
-    offsets, best = [0.0] * len(labels), -1.0
-    for _ in range(passes):
-        before = list(offsets)
-        for k in range(len(labels)):
-            shifted = probs.shifted(F.col("l"), [*offsets[:k], 0.0, *offsets[k + 1 :]])
-            own = F.get(shifted, F.lit(k))
-            rest = F.transform(shifted, lambda x, i: F.when(i == k, float("-inf")).otherwise(x))  # noqa: B023
-            rival = F.array_max(rest)
-            first = F.array_position(rest, rival) - 1  # the first of equal ones wins
-            wins = F.filter(F.lit(deltas), lambda d: (own + d > rival) | ((own + d == rival) & (F.lit(k) < first)))  # noqa: B023
-            right = F.when(F.col("t") == k + 1, F.lit(1)).when(F.col("t") == first + 1, F.lit(-1)).otherwise(0)
-            counts = {(r.s, r.w): r.n for r in logs.select(right.alias("s"), F.size(wins).alias("w")).groupBy("s", "w").agg(F.count(F.lit(1)).alias("n")).collect()}
-            whole = sum(counts.values()) or 1
-            # the label wins for the w largest offsets
-            hits = [sum(n for (s, w), n in counts.items() if (s == 1 and j >= steps - w) or (s == -1 and j < steps - w)) / whole for j in range(steps)]
-            top = max(range(steps), key=lambda j: (hits[j], -j))
-            if hits[top] > best:
-                best, offsets[k] = hits[top], deltas[top]
-        if offsets == before:
-            break
+    offsets, best = [0.0] * size, -1.0
+    with stored(logs.select("t", *(F.get("l", F.lit(j)).alias(f"l{j}") for j in range(size))), "logarithms") as kept:
+        for _ in range(passes):
+            before = list(offsets)
+            for k in range(size):
+                counts = {(r.s, r.w): r.n for r in _steps_won(kept, k, offsets, deltas).groupBy("s", "w").agg(F.count(F.lit(1)).alias("n")).collect()}
+                whole = sum(counts.values()) or 1
+                # the label wins for the w largest offsets
+                hits = [sum(n for (s, w), n in counts.items() if (s == 1 and j >= steps - w) or (s == -1 and j < steps - w)) / whole for j in range(steps)]
+                top = max(range(steps), key=lambda j: (hits[j], -j))
+                if hits[top] > best:
+                    best, offsets[k] = hits[top], deltas[top]
+            if offsets == before:
+                break
     return offsets
 
 
+def _steps_won(logs: DataFrame, k: int, offsets: list[float], deltas: list[float]) -> DataFrame:
+    """(s, w) of rows (t, l0, l1, ...): w, the number of deltas with which label k wins against the others' offsets, and
+    what that does: 1 if k is the truth, -1 if the best of the others is, else 0. Winning begins at one of the deltas
+    next to the difference, so only these are tried."""
+    steps, rest = len(deltas), [F.lit(float("-inf")) if j == k else F.col(f"l{j}") + b for j, b in enumerate(offsets)]
+    rival = F.greatest(*rest) if len(rest) > 1 else rest[0]
+    rows = logs.select("t", (F.col(f"l{k}") + 0.0).alias("own"), rival.alias("rival"), *(x.alias(f"x{j}") for j, x in enumerate(rest)))
+    first = F.coalesce(*(F.when(F.col(f"x{j}") == F.col("rival"), j) for j in range(len(rest))))  # the first of equal ones wins
+    place = (F.col("rival") - F.col("own") - deltas[0]) / ((deltas[-1] - deltas[0]) / (steps - 1))
+    near = F.floor(F.least(F.greatest(place, F.lit(0.0)), F.lit(float(steps)))).cast("int")
+    rows = rows.select("t", "own", "rival", first.alias("first"), near.alias("near"))
+
+    def wins(j: Column) -> Column:
+        mine = F.col("own") + F.get(F.lit(deltas), j)
+        return (mine > F.col("rival")) | ((mine == F.col("rival")) & (F.lit(k) < F.col("first")))
+
+    least = F.coalesce(*(F.when(wins(F.col("near") + d), F.col("near") + d) for d in (-1, 0, 1, 2)), F.lit(steps))
+    right = F.when(F.col("t") == k + 1, F.lit(1)).when(F.col("t") == F.col("first") + 1, F.lit(-1)).otherwise(0)
+    return rows.select(right.alias("s"), F.when(F.col("own").isNull(), 0).otherwise(steps - least).alias("w"))
+
+
 def offset_report(dev: DataFrame, test: DataFrame, labels: list[str], **settings) -> DataFrame:
     """(part, n, before, after): accuracy of dev and test without and with the offsets that were fitted on dev."""
     offsets = offset_ascent(dev, labels, **settings)

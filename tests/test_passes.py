@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import curves, metrics
+from gaugeworks.operators import curves
 from gaugeworks.operators.folds import Taxonomy
 
 LABELS = ["a", "b", "c"]
@@ -37,3 +37,39 @@ def test_rescued_rows_are_read_once(spark):
     split = np.array([len(set(r.votes)) > 1 for r in rows])
     saved = (fine < np.quantile(fine, 1 - 0.9)) & (coarse >= np.quantile(coarse, 1 - 0.9))
     assert got.rescued == saved.sum() > 0 and got.accuracy == pytest.approx(ok[saved].mean()) and got.contested == pytest.approx(split[saved].mean())
+
+
+@pytest.mark.parametrize("labels", [LABELS, ["a"]])
+def test_offsets_are_those_of_a_plain_ascent_and_rows_are_read_once(spark, labels):
+    df, seen = counted(spark, 500)
+    if len(labels) == 1:
+        df = df.withColumn("probs", F.slice("probs", 1, 1))
+    # equal probabilities, missing ones and a truth that isn't known
+    odd = spark.createDataFrame([("a", [0.25, 0.25, 0.5]), ("c", [1.0, 0.0, None]), ("b", None), (None, [0.2, 0.3, 0.5]), ("z", [0.0, 0.0, 0.0])], "truth string, probs array<double>")
+    got = curves.offset_ascent(df.select("truth", "probs").unionByName(odd), labels, 3, 2.0, 21)
+    assert seen.value == 500
+    rows = [(r.truth, r.probs) for r in df.collect()] + [tuple(r) for r in odd.collect()]
+    deltas, offsets, best = [-2.0 + 4.0 * j / 20 for j in range(21)], [0.0] * len(labels), -1.0
+    logs = [(t, None if p is None else np.log(np.clip([1e-9 if x is None else x for x in p[: len(labels)]], 1e-9, 1))) for t, p in rows]
+
+    def accuracy(k, d):
+        hit = 0
+        for t, x in logs:
+            if x is not None:
+                y = x + np.array(offsets)
+                y[k] = x[k] + 0.0 + d
+                hit += labels[int(y.argmax())] == t
+            else:  # without probabilities a label wins with no offset, so its own rows are wrong
+                hit += 0
+        return hit / len(logs)
+
+    for _ in range(3):
+        before = list(offsets)
+        for k in range(len(labels)):
+            hits = [accuracy(k, d) for d in deltas]
+            top = max(range(21), key=lambda j: (hits[j], -j))
+            if hits[top] > best:
+                best, offsets[k] = hits[top], deltas[top]
+        if offsets == before:
+            break
+    assert got == offsets
