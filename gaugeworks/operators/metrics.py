@@ -144,6 +144,8 @@ WORD_BITS = 60
 MOST_SUMS = 80
 #: Values by which confidences are binned before any is looked at one by one.
 BINS = 1000
+#: Rows of the bins in which cuts fall, over all repeats, up to which these bins aren't cut finer, by FINER * BINS values.
+EDGE_ROWS, FINER = 1 << 22, 4
 
 
 def half_word(key: str = "row_id") -> Column:
@@ -206,8 +208,9 @@ def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> D
     above the cut. half is the one that the cut is from.
 
     Confidences are binned by a sketch's quantiles, and bins are summed by half in one pass; the driver gets BINS rows
-    of sums, which tell in which bins the cuts fall. Only rows of those bins are then looked at one by one. What the
-    passes read is stored first: three numbers a row."""
+    of sums, which tell in which bins the cuts fall. Where many rows lie there, those bins are cut finer and their rows
+    counted again. Only rows of the bins of cuts are then looked at one by one, each in the repeats whose cuts fall in its
+    bin. What the passes read is stored first: three numbers a row."""
     values = rows.select(F.col("conf").cast("double").alias("conf"), F.col("ok").cast("bigint").alias("ok"), half_word().alias("word")).where("conf is not null and not isnan(conf)")
     with stored(values, "halves") as kept:
         return rows.sparkSession.createDataFrame(_cuts_of(kept, coverages, repeats), CUTS)  # a row for each half and coverage
@@ -216,36 +219,80 @@ def heldout_cuts(rows: DataFrame, coverages: Sequence[float], repeats: int) -> D
 CUTS = "rep int, half int, k int, cut double, n bigint, ok bigint, n_kept bigint, ok_kept bigint"
 
 
-def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> list:
-    spark = values.sparkSession
-    edges = values.agg(F.percentile_approx("conf", [k / BINS for k in range(1, BINS)], 10 * BINS)).first()[0]
-    if not edges:
-        return []
-    splits = [-math.inf, *sorted(set(edges)), math.inf]
+def _edges(values: DataFrame, bins: int) -> np.ndarray:
+    found = values.agg(F.percentile_approx("conf", [k / bins for k in range(1, bins)], 10 * bins)).first()[0]
+    return np.array(sorted(set(found or ())))
+
+
+def _binned(values: DataFrame, edges: np.ndarray) -> DataFrame:
+    splits = [-math.inf, *edges.tolist(), math.inf]
     binned = Bucketizer(splits=splits, inputCol="conf", outputCol="bin").transform(values)
-    binned = binned.withColumn("bin", F.col("bin").cast("int"))
-    found = half_bins(values, np.array(splits[1:-1]), repeats).toArrow()  # bins * 2 * repeats rows at most
+    return binned.withColumn("bin", F.col("bin").cast("int"))
+
+
+def _table(rows: DataFrame, edges: np.ndarray, repeats: int) -> np.ndarray:
+    """half_bins on the driver: (one or ok, rep, half, bin)."""
+    found = half_bins(rows, edges, repeats).toArrow()  # bins * 2 * repeats rows at most
     rep, half, place, *counts = (found.column(c).to_numpy() for c in ("rep", "half", "bin", "one", "ok"))
-    order = np.lexsort((place, half, rep))
-    bins = np.arange(len(splits) - 1)
-    table = [np.zeros((repeats, 2, len(bins)), np.int64) for _ in counts]
+    table = np.zeros((2, repeats, 2, len(edges) + 1), np.int64)
     for t, c in zip(table, counts, strict=True):
-        t[rep[order], half[order], place[order]] = c[order]
-    halves = {(r, h): (table[0][r, h], table[1][r, h]) for r in range(repeats) for h in (0, 1)}
-    targets, near = [], set()
-    for (rep, half), (n, _) in halves.items():
-        upto = np.cumsum(n)
-        other_n, other_ok = halves[rep, 1 - half]
-        for k, coverage in enumerate(coverages if upto[-1] else ()):
-            place = (1 - coverage) * float(upto[-1] - 1)
-            at = [max(0, min(math.floor(place), int(upto[-1]) - 1)), max(0, min(math.ceil(place), int(upto[-1]) - 1))]
-            a, b = (int(np.searchsorted(upto, x, "right")) for x in at)
-            near |= set(range(a, b + 1))
-            inside = [int(x - (upto[y - 1] if y else 0)) for x, y in zip(at, (a, b), strict=True)]
-            targets.append((rep, half, k, place, int(bins[a]), inside[0], int(bins[b]), inside[1], int(other_n.sum()), int(other_ok.sum()), int(other_n[b + 1 :].sum()), int(other_ok[b + 1 :].sum())))
-    wanted = F.broadcast(spark.createDataFrame([(int(bins[k]),) for k in sorted(near)], "bin int"))
+        t[rep, half, place] = c
+    return table
+
+
+def _targets(table: np.ndarray, coverages: Sequence[float]) -> list[tuple]:
+    """For each half and coverage: the place of its cut, the bins and the places within them of the two values about it,
+    the other half's rows and those above these bins."""
+    targets = []
+    for rep in range(table.shape[1]):
+        for half in (0, 1):
+            upto = np.cumsum(table[0, rep, half])
+            other_n, other_ok = table[:, rep, 1 - half]
+            for k, coverage in enumerate(coverages if upto[-1] else ()):
+                place = (1 - coverage) * float(upto[-1] - 1)
+                at = [max(0, min(math.floor(place), int(upto[-1]) - 1)), max(0, min(math.ceil(place), int(upto[-1]) - 1))]
+                a, b = (int(np.searchsorted(upto, x, "right")) for x in at)
+                inside = [int(x - (upto[y - 1] if y else 0)) for x, y in zip(at, (a, b), strict=True)]
+                targets.append((rep, half, k, place, a, inside[0], b, inside[1], int(other_n.sum()), int(other_ok.sum()), int(other_n[b + 1 :].sum()), int(other_ok[b + 1 :].sum())))
+    return targets
+
+
+def _bins_of(targets: list[tuple]) -> dict[int, set[int]]:
+    """The bins that cuts fall in, and the repeats that they do so in."""
+    found: dict[int, set[int]] = {}
+    for rep, _, _, _, a, _, b, *_ in targets:
+        for place in range(a, b + 1):
+            found.setdefault(place, set()).add(rep)
+    return found
+
+
+def _cuts_of(values: DataFrame, coverages: Sequence[float], repeats: int) -> list:
+    spark = values.sparkSession
+    edges = _edges(values, BINS)
+    if not len(edges):
+        return []
+    table = _table(values, edges, repeats)
+    targets = _targets(table, coverages)
+    near = sorted(_bins_of(targets))
+    if repeats * int(table[0, 0][:, near].sum()) > EDGE_ROWS:  # cut those bins finer, and count their rows again
+        wanted = F.broadcast(spark.createDataFrame([(k,) for k in near], "bin int"))
+        with stored(_binned(values, edges).join(wanted, "bin").drop("bin"), "near_rows") as inner:
+            finer = np.array(sorted({*edges.tolist(), *_edges(inner, FINER * BINS).tolist()}))
+            inside = _table(inner, finer, repeats)
+            far = [k for k in range(len(edges) + 1) if k not in set(near)]
+            start = [int(np.searchsorted(finer, edges[k - 1], "right")) if k else 0 for k in far]  # no finer edge divides these
+            inside[..., start] = table[..., far]
+            targets = _targets(inside, coverages)
+            return _cuts_among(inner, finer, targets)
+    return _cuts_among(values, edges, targets)
+
+
+def _cuts_among(values: DataFrame, edges: np.ndarray, targets: list[tuple]) -> list:
+    """The cuts of all targets, from the rows of the bins that they fall in, each in the repeats that need it."""
+    spark = values.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(k, sorted(reps)) for k, reps in sorted(_bins_of(targets).items())], "bin int, reps array<int>"))
     table = spark.createDataFrame(targets, "rep int, half int, k int, place double, a_bin int, a_at bigint, b_bin int, b_at bigint, n bigint, ok bigint, n_above bigint, ok_above bigint")
-    edge = binned.join(wanted, "bin").select("bin", "conf", "ok", "word", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("rep"))
+    edge = _binned(values, edges).join(wanted, "bin").select("bin", "conf", "ok", "word", F.explode("reps").alias("rep"))
     edge = edge.groupBy("rep", half_of(F.col("word"), F.col("rep")).cast("int").alias("half"), "bin", "conf").agg(F.count(F.lit(1)).alias("c"), F.sum("ok").alias("c_ok"))
     with stored(edge, "edge_rows") as kept:
         return _cuts_at(kept, table).collect()
@@ -263,8 +310,8 @@ def _cuts_at(edge: DataFrame, table: DataFrame) -> DataFrame:
     place = F.col("place")
     between = (F.ceil(place) - place) * F.col("a") + (place - F.floor(place)) * F.col("b")
     cuts = table.join(at("a"), ["rep", "half", "k"]).join(at("b"), ["rep", "half", "k"]).withColumn("cut", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between))
-    other = cuts.select("rep", (1 - F.col("half")).alias("half"), "k", "cut", "a_bin", "b_bin")
-    kept = edge.join(F.broadcast(other), ["rep", "half"]).where("bin between a_bin and b_bin and conf >= cut").groupBy("rep", (1 - F.col("half")).alias("half"), "k").agg(F.sum("c").alias("c"), F.sum("c_ok").alias("c_ok"))
+    other = cuts.select("rep", (1 - F.col("half")).alias("half"), "k", "cut", F.explode(F.sequence("a_bin", "b_bin")).alias("bin"))
+    kept = edge.join(F.broadcast(other), ["rep", "half", "bin"]).where("conf >= cut").groupBy("rep", (1 - F.col("half")).alias("half"), "k").agg(F.sum("c").alias("c"), F.sum("c_ok").alias("c_ok"))
     both = cuts.join(kept, ["rep", "half", "k"], "left")
     return both.select("rep", "half", "k", "cut", "n", "ok", (F.col("n_above") + F.coalesce("c", F.lit(0))).alias("n_kept"), (F.col("ok_above") + F.coalesce("c_ok", F.lit(0))).alias("ok_kept"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import curves
+from gaugeworks.operators import curves, metrics
 from gaugeworks.operators.folds import Taxonomy
 
 LABELS = ["a", "b", "c"]
@@ -73,3 +73,27 @@ def test_offsets_are_those_of_a_plain_ascent_and_rows_are_read_once(spark, label
         if offsets == before:
             break
     assert got == offsets
+
+
+@pytest.mark.parametrize("edge_rows", [0, 1 << 22])
+def test_cuts_in_finer_bins_and_few_rows_looked_at(spark, monkeypatch, edge_rows):
+    import hashlib
+
+    r = np.random.default_rng(8)
+    conf, ok = np.round(r.random(1500) ** 2, 3), r.integers(0, 2, 1500)
+    conf[:200] = 0.25
+    df = spark.createDataFrame([(k, float(c), int(o)) for k, (c, o) in enumerate(zip(conf, ok, strict=True))], "row_id bigint, conf double, ok int").repartition(3)
+    looked, plain = [], metrics._cuts_at
+    monkeypatch.setattr(metrics, "BINS", 20)
+    monkeypatch.setattr(metrics, "EDGE_ROWS", edge_rows)
+    monkeypatch.setattr(metrics, "_cuts_at", lambda edge, table: looked.append(edge.agg(F.sum("c")).first()[0]) or plain(edge, table))
+    got = {(c.rep, c.half, c.k): c for c in metrics.heldout_cuts(df, (1.0, 0.9, 0.62, 0.3), 4).collect()}
+    word = [int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) for k in range(1500)]
+    assert len(got) == 4 * 2 * 4
+    for (rep, half, k), c in got.items():
+        side = np.array([w >> rep & 1 for w in word])
+        cut, other = np.quantile(conf[side == half], 1 - (1.0, 0.9, 0.62, 0.3)[k]), side != half
+        assert c.cut == pytest.approx(cut, abs=1e-12)
+        assert (c.n, c.ok, c.n_kept, c.ok_kept) == (other.sum(), ok[other].sum(), (conf[other] >= c.cut).sum(), ok[other][conf[other] >= c.cut].sum())
+    if not edge_rows:
+        assert looked[0] < 4 * 1500 / 4  # 20 bins have 75 rows each, and 200 rows are equal
