@@ -72,7 +72,8 @@ def dot(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """At length 1; a zero vector stays zero."""
     n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0))
+    whole = F.array(F.when(n > 0, n).otherwise(1.0))  # an array of one, so that it's worked out once and not for each component
+    return F.get(F.transform(whole, lambda m: F.transform(v, lambda x: x.cast("double") / m)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from contextlib import ExitStack
+from collections.abc import Iterable, Iterator
+from contextlib import ExitStack, contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,31 +16,43 @@ from gaugeworks.functions.probs import unit
 from gaugeworks.stored import shared_folder, stored
 
 #: Anchors go to every task up to this many and this many bytes of numbers, after a check; more are joined in blocks.
-ANCHORS, ANCHOR_BYTES = 20_000, 64 << 20
-#: Rows of a block of queries or of anchors.
-BLOCK = 1024
+ANCHORS, ANCHOR_BYTES = 131_072, 64 << 20
+#: Rows of a block of queries or of anchors, and pairs of blocks that a task is given at once.
+BLOCK, PAIRS = 1024, 16
+#: Cosines that a task holds at once.
+HELD = 1 << 20
 
 
-def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
-    """(row_id, label, score) by blocked products in tasks; anchors is a bounded list."""
-    import pandas as pd
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """A row for each vector; the numbers aren't copied."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    rows = anchors.select("label", unit(F.col("embedding")).alias("v")).collect()
-    labels = sorted({r.label for r in rows})
-    mats = {x: np.array([r.v for r in rows if r.label == x]) for x in labels}
 
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
+def _top_cosines(q: np.ndarray, a: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k largest cosines with the anchors, or all if fewer, ascending; HELD cosines are computed at a time."""
+    k = min(k, len(a))
+    step = max(1, HELD // len(a))
+    return np.concatenate([np.sort(np.partition(q[at : at + step] @ a.T, len(a) - k, axis=1)[:, len(a) - k :], 1) for at in range(0, len(q), step)])
+
+
+def _scores(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
+    """(row_id, label, score) by blocked products in tasks; anchors is a bounded list."""
+    rows = anchors.where("embedding is not null").select("label", unit(F.col("embedding")).alias("v")).toArrow().combine_chunks()
+    kept, at = rows.column("label"), np.array(rows.column("label").to_pylist(), object)
+    vectors = _matrix(rows.column("v").combine_chunks()) if len(rows) else np.zeros((0, 0))
+    mats = {x: vectors[at == x] for x in sorted(set(at))}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
                 continue
-            q = np.array(pdf.v.tolist())
-            for x in labels:
-                s = q @ mats[x].T
-                top = np.sort(s, 1)[:, -min(k, s.shape[1]) :]
-                yield pd.DataFrame({"row_id": pdf.row_id, "label": x, "score": top.mean(1)})
+            q = _matrix(batch.column("v"))
+            for x, a in mats.items():
+                columns = [batch.column("row_id"), pa.array([x] * len(q), kept.type), pa.array(_top_cosines(q, a, k).mean(1))]
+                yield pa.RecordBatch.from_arrays(columns, ["row_id", "label", "score"])
 
     kind = dict(anchors.dtypes)["label"]
-    return queries.select("row_id", unit(F.col("embedding")).alias("v")).mapInPandas(run, f"row_id {dict(queries.dtypes)['row_id']}, label {kind}, score double")
+    return queries.where("embedding is not null").select("row_id", unit(F.col("embedding")).alias("v")).mapInArrow(run, f"row_id {dict(queries.dtypes)['row_id']}, label {kind}, score double")
 
 
 def anchor_scores(queries: DataFrame, anchors: DataFrame, k: int = 3) -> DataFrame:
@@ -86,9 +100,8 @@ def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3, pivots: i
     Queries and each label's anchors are grouped by their nearest of a few pivots (rows of the anchors by hash). Each block
     of queries first meets, for each label, the blocks of best bound that hold k anchors between them; the k-th best cosine
     of its worst query is then a threshold, and only those other blocks follow whose bound reaches it. `report` is
-    given the numbers of pairs of blocks, `all` and `met`. Blocks, bounds and tops are stored; the driver holds the pivots."""
-    import pandas as pd
-
+    given the numbers of pairs of blocks, `all` and `met`. Blocks, bounds and tops are stored; the driver holds the pivots, and
+    a task's Python PAIRS pairs of blocks."""
     spark = queries.sparkSession
     kinds = dict(queries.dtypes)["row_id"], dict(anchors.dtypes)["label"]
     scores = f"row_id {kinds[0]}, label {kinds[1]}, score double"
@@ -107,19 +120,22 @@ def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3, pivots: i
         by = Window.partitionBy("q", "label").orderBy(F.desc("most"), "a")
         first = bounds.withColumn("_before", F.sum("size").over(by) - F.col("size")).where(F.col("_before") < k).select("q", "a")
 
-        def meet(batches):
-            for pdf in batches:
-                for label, own, other in zip(pdf.label, pdf.q_rows, pdf.a_rows, strict=True):
-                    found = np.array([r["v"] for r in own]) @ np.array([r["v"] for r in other]).T
-                    top = np.sort(found, 1)[:, -k:]
-                    yield pd.DataFrame({"row_id": [r["row_id"] for r in own], "label": label, "top": list(top)})
+        def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    own, other = (batch.column(c).slice(i, 1).flatten() for c in ("q_rows", "a_rows"))
+                    top = _top_cosines(_matrix(own.field("v")), _matrix(other.field("v")), k)
+                    ends = pa.array(np.arange(len(top) + 1, dtype=np.int32) * top.shape[1])
+                    columns = [own.field("row_id"), pa.repeat(batch.column("label")[i], len(top)), pa.ListArray.from_arrays(ends, pa.array(top.ravel()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row_id", "label", "top"])
 
         def tops(pairs: DataFrame) -> DataFrame:
             both = pairs.join(q.select("q", F.col("rows").alias("q_rows")), "q").join(a.select("a", "label", F.col("rows").alias("a_rows")), "a")
-            return both.select("q", "label", "q_rows", "a_rows").mapInPandas(meet, f"row_id {kinds[0]}, label {kinds[1]}, top array<double>")
+            return both.select("q", "label", "q_rows", "a_rows").mapInArrow(meet, f"row_id {kinds[0]}, label {kinds[1]}, top array<double>")
 
         merged = lambda rows: rows.groupBy("row_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top"))
-        early = held.enter_context(stored(tops(first), "early_tops"))
+        with _batches_of(spark, PAIRS):
+            early = held.enter_context(stored(tops(first), "early_tops"))
         kth = F.when(F.size("top") >= k, F.get("top", F.lit(k - 1))).otherwise(-2.0)
         whose = q.select("q", F.explode("rows.row_id").alias("row_id"))
         limits = merged(early).select("row_id", "label", kth.alias("kth")).join(whose, "row_id").groupBy("q", "label").agg(F.min("kth").alias("limit"))
@@ -128,7 +144,20 @@ def blocked_scores(queries: DataFrame, anchors: DataFrame, k: int = 3, pivots: i
             report |= {"all": bounds.count(), "met": first.count() + more.count()}
         out = merged(early.unionByName(tops(more)))
         mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")
-        return _kept(out.select("row_id", "label", mean.alias("score")))
+        with _batches_of(spark, PAIRS):
+            return _kept(out.select("row_id", "label", mean.alias("score")))
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block Arrow batches have so many rows, for rows that hold whole blocks."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _kept(df: DataFrame) -> DataFrame:

@@ -58,3 +58,20 @@ def test_medoid_anchors_are_spread_over_what_is_near_the_centroid(spark, k, keep
         kept = max(int(len(own) * keep), min(k, len(own)))
         step = max(kept // k, 1)
         assert got[f"l{b}"] == set(order[:kept:step][:k].tolist())
+
+
+@pytest.mark.parametrize("held", [1, 700, 1 << 20])
+def test_cosines_are_held_in_parts(monkeypatch, held):
+    import tracemalloc
+
+    monkeypatch.setattr(vectors, "HELD", held)
+    r = np.random.default_rng(3)
+    q, a = r.normal(size=(90, 5)), r.normal(size=(40, 5))
+    for k in (1, 3, 40, 50):
+        assert np.allclose(vectors._top_cosines(q, a, k), np.sort(q @ a.T, 1)[:, -k:], atol=1e-12)
+    if held > 700:
+        q, a = r.normal(size=(10_000, 4)), r.normal(size=(5_000, 4))
+        tracemalloc.start()
+        vectors._top_cosines(q, a, 3)
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20  # of 400 MB for all of them
+        tracemalloc.stop()
