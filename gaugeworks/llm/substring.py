@@ -6,7 +6,9 @@ all go, whatever their length, and parts of lines, as whole lines are too coarse
 them: a line is cut at words chosen by content, those whose hash is least among some WINDOW neighbouring words of the
 line. Neighbouring marked parts join to a span, and spans of MIN_WORDS words or more go. Equal lines always give equal
 parts, and so does a passage inside different lines, but for WINDOW - 1 words at its start and WINDOW at its end at
-most. Hence every repeat of MIN_WORDS + 2 * WINDOW - 1 = 51 words is found, wherever it stands.
+most. Hence every repeat of MIN_WORDS + 2 * WINDOW - 1 = 51 words that is cut alike into lines is found, wherever it
+stands. A second pass compares the windows of 51 words about the ends of these spans, so that every word goes that stands
+in 51 words whose earliest occurrence ends before they begin. Shorter repeats inside lines may stay.
 Words of parts are compared with A-Z as a-z, those of whole lines as they are (short lines that differ in case are not
 the same); white space only divides words.
 
@@ -208,8 +210,8 @@ def _edge_windows(part: pa.RecordBatch, column: str, size: int) -> Iterator[pa.R
     first_word = np.searchsorted(words.doc, np.arange(words.n_docs))
     last_word = np.searchsorted(words.doc, np.arange(words.n_docs), "right")
 
-    def rows(at: np.ndarray, b: np.ndarray | None, start: np.ndarray, end: np.ndarray, a0: np.ndarray, a1: np.ndarray, first: bool) -> pa.RecordBatch:
-        whose, n, spans = pa.array(doc[at]), len(at), pa.array(is_span[at])
+    def rows(at: np.ndarray, b: np.ndarray | None, start: np.ndarray, end: np.ndarray, a0: np.ndarray, a1: np.ndarray, first: bool, own: bool = True) -> pa.RecordBatch:
+        whose, n, spans = pa.array(doc[at]), len(at), pa.array(is_span[at] & own)
         none = pa.nulls(n, pa.int64())
         of_window = [none, none, none, pa.nulls(n, pa.int32())] if b is None else [pa.array(h1[b]), pa.array(h2[b]), pa.array(b - first_word[doc[at]]), pa.array(begins[b].astype(np.int32))]
         mine = [pc.if_else(spans, pa.array(x.astype(t)), pa.scalar(None, pa.from_numpy_dtype(t))) for x, t in ((start_at[at], np.int32), (start, np.int32), (end, np.int32), (a0 - first_word[doc[at]], np.int64), (a1 - first_word[doc[at]], np.int64))]
@@ -219,13 +221,20 @@ def _edge_windows(part: pa.RecordBatch, column: str, size: int) -> Iterator[pa.R
     spans = np.flatnonzero(is_span)
     if len(spans):
         yield rows(spans, None, start_at[spans], end_at[spans], w0[spans], w1[spans], True)
+    others = np.zeros(len(words.hash), bool)  # windows of units; several may ask for one
     for mask, before in ((left, True), (right, False)):
         k, at = np.nonzero(mask[None] >> np.arange(2 * WINDOW + 1)[:, None] & 1)
         b = w0[at] - k if before else w1[at] + k - size
         ok = (b >= first_word[doc[at]]) & (b + size <= last_word[doc[at]])
         at, k, b = at[ok], k[ok], b[ok]
+        others[b[~is_span[at]]] = True
+        at, k, b = (x[is_span[at]] for x in (at, k, b))
         if len(at):
             yield rows(at, b, begins[b] if before else start_at[at], end_at[at] if before else ends[b + size - 1], w0[at] - k * before, w1[at] + k * (not before), False)
+    b = np.flatnonzero(others)
+    if len(b):
+        at = np.searchsorted(doc, words.doc[b])  # any row of the text that asks; doc is in order
+        yield rows(at, b, begins[b], begins[b], b, b, False, False)
 
 
 def widened(df: DataFrame, runs: DataFrame, spans: DataFrame, column: str, key: str, ids_repeat: bool, size: int) -> DataFrame:
