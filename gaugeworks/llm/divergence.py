@@ -222,7 +222,7 @@ def pair_values(levels: DataFrame, groups: DataFrame, size: int = BLOCK) -> Data
     met = grid.withColumn("unit", F.explode(units)).select("lang", "block", F.col("unit.a").alias("a"), F.col("unit.b").alias("b"), "tile", "n_terms", "source", "n", "v", "counts", "bits")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["source"])  # joins leave any order: two sources are (i, j) one way in all blocks
         sides: list[list[tuple]] = [[], []]
         names: list[list[str]] = [[], []]
         for r in rows:

@@ -74,6 +74,20 @@ def test_blocks_and_tiles_of_any_size(spark, rows):
     assert found(spark, rows, least=2, tile=2, top=3, block=64) == brute(rows, 2, 3)
 
 
+@pytest.mark.parametrize("tile", [64, 3])
+def test_blocks_whose_sources_come_in_any_order(spark, rows, tile):
+    """Joins that shuffle leave each block's sources in an order of its own."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert found(spark, rows, least=2, tile=tile, block=64) == brute(rows, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_many_sources_and_one_very_long_text(spark):
     r = random.Random(1)
     rows = [(" ".join(r.choice(("ab", "cd", "ef", "g")) for _ in range(r.randint(1, 9))), "x", f"s{k}") for k in range(150)] + [(LONG, "x", "s0")] * 2
